@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrid.functions.geo import EARTH_M, Grid, _col, haversine_m
-from trailgrid.operators.skew import HOT_ROWS, split_join
+from trailgrid.operators.skew import split_join
 
 
 def covering_cells(probes: DataFrame, grid: Grid, lat: str, lon: str, radius_m) -> DataFrame:
@@ -51,7 +51,7 @@ def radius_pairs(
     lat: str = "lat",
     lon: str = "lon",
     spread: list[str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Every (probe, point) pair at most ``radius_m`` apart, with ``distance_m``.
 
@@ -61,7 +61,7 @@ def radius_pairs(
     grid = Grid.for_radius(reach_m)
     cover = covering_cells(probes, grid, probe_lat, probe_lon, radius_m).drop("_whole")
     keyed = points.withColumn("_cell", grid.cell(lat, lon))
-    pairs = split_join(keyed, cover, ["_cell"], spread or [lat, lon], hot_rows).drop("_cell")
+    pairs = split_join(keyed, cover, ["_cell"], spread or [lat, lon], hot_rows=hot_rows).drop("_cell")
     distance = haversine_m(probe_lat, probe_lon, lat, lon)
     return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= _col(radius_m))
 
@@ -73,39 +73,38 @@ def radius_sums(
     measures: dict[str, Column],
     *,
     reach_m: float,
-    key: str,
     probe_lat: str = "alat",
     probe_lon: str = "alon",
     lat: str = "lat",
     lon: str = "lon",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Per probe ``key``: the sum of each measure over the points within the radius.
+    """The probe rows, each with the sum of every measure over the points within its radius.
 
-    Points are summed per coordinate and per cell before any join, so a pile of rows on one
-    spot, or a crowded cell inside the circle, is one row.
+    Points are summed per coordinate and per cell before the join, so a pile of rows on one
+    spot, or a crowded cell inside the circle, is one row. Probe rows must be distinct.
     """
     grid = Grid.for_radius(reach_m / 4)
     names = list(measures)
+    totals = [F.sum(n).alias(n) for n in names]
     spots = (
-        points.select(_col(lat).alias("_plat"), _col(lon).alias("_plon"), *[c.alias(n) for n, c in measures.items()])
+        points.select(
+            _col(lat).alias("_plat"), _col(lon).alias("_plon"), *[c.alias(n) for n, c in measures.items()]
+        )
         .groupBy("_plat", "_plon")
-        .agg(*[F.sum(n).alias(n) for n in names])
+        .agg(*totals)
         .withColumn("_cell", grid.cell("_plat", "_plon"))
     )
-    cells = spots.groupBy("_cell").agg(*[F.sum(n).alias(n) for n in names])
-    wanted = probes.select(
-        _col(key).alias(key), _col(probe_lat).alias("_qlat"), _col(probe_lon).alias("_qlon"),
-        _col(radius_m).cast("double").alias("_radius"),
+    cells = spots.groupBy("_cell").agg(*totals)
+    nowhere = F.lit(None).cast("double")
+    sums = spots.withColumn("_whole", F.lit(False)).unionByName(
+        cells.withColumns({"_whole": F.lit(True), "_plat": nowhere, "_plon": nowhere})
     )
-    cover = covering_cells(wanted, grid, "_qlat", "_qlon", "_radius")
-    inner = cover.where("_whole").select(key, "_cell").join(cells, "_cell").select(key, *names)
-    rim = split_join(
-        spots, cover.where(~F.col("_whole")).drop("_whole"), ["_cell"], ["_plat", "_plon"], hot_rows
-    ).where(haversine_m("_qlat", "_qlon", "_plat", "_plon") <= F.col("_radius"))
-    sums = inner.unionByName(rim.select(key, *names)).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
-    return (
-        wanted.select(key)
-        .join(sums, key, "left")
-        .select(key, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    cover = covering_cells(probes, grid, probe_lat, probe_lon, radius_m)
+    reached = F.col("_whole") | (
+        haversine_m(probe_lat, probe_lon, "_plat", "_plon") <= _col(radius_m)
     )
+    matched = split_join(
+        sums, cover, ["_cell", "_whole"], ["_plat", "_plon"], how="left", condition=reached, hot_rows=hot_rows
+    )
+    return matched.groupBy(*probes.columns).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])

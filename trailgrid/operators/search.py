@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.functions.geo import Grid, haversine_m
 from trailgrid.operators.range_join import covering_cells, radius_pairs, radius_sums
-from trailgrid.operators.skew import HOT_ROWS, split_join
+from trailgrid.operators.skew import split_join
 
 
 def clamp(value: Column, low: int, high: int) -> Column:
@@ -61,19 +61,19 @@ def k_nearest(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def services_nearby(places: DataFrame, catalogue: DataFrame, radius_m: float = K.SERVICES_RADIUS_M) -> DataFrame:
-    """(lat, lon, services): active food and lodging around each distinct point of ``places``."""
-    spots = places.select("lat", "lon").distinct().withColumn("_spot", F.xxhash64("lat", "lon"))
+def with_services(rows: DataFrame, catalogue: DataFrame, radius_m: float = K.SERVICES_RADIUS_M) -> DataFrame:
+    """``rows`` with the number of active food and lodging places around each."""
     services = catalogue.where(F.col("is_active") & F.col("category").isin(*K.SERVICES))
     counted = radius_sums(
-        spots.withColumnRenamed("lat", "alat").withColumnRenamed("lon", "alon"),
-        services, radius_m, {"services": F.lit(1)}, reach_m=radius_m, key="_spot",
+        rows, services, radius_m, {"services": F.lit(1)}, reach_m=radius_m, probe_lat="lat", probe_lon="lon"
     )
-    return spots.join(counted, "_spot").select("lat", "lon", F.col("services").cast("int").alias("services"))
+    return counted.withColumn("services", F.col("services").cast("int"))
 
 
-def with_services(places: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return places.join(services_nearby(places, catalogue), ["lat", "lon"], "left")
+def catalogue_services(places: DataFrame) -> DataFrame:
+    """Services around every place; places on the same spot are counted once."""
+    spots = with_services(places.select("lat", "lon").distinct(), places)
+    return places.join(spots, ["lat", "lon"], "left")
 
 
 def best_per_category(
@@ -85,13 +85,13 @@ def best_per_category(
     include_lodging: bool = False,
     min_quality: float = 0.0,
     reach_m: float = 25_000,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """The best ``per_category`` places of every category inside each area, with services.
+    """The best ``per_category`` places of every category inside each area.
 
-    Inside a circle a whole cell can only send the qualities that fewer than ``per_category``
-    of its rows beat, so most of a crowded cell never reaches the join. The services count
-    runs last, on the winners alone.
+    A cell that lies whole inside a circle only sends the qualities that fewer than
+    ``per_category`` of its rows beat, so most of a crowded cell never reaches the join; the
+    cells on the rim send every row.
     """
     keep = min(max(per_category, 1), K.MAX_PER_CATEGORY)
     found = usable(places, min_quality).where(category_filter(categories, include_lodging))
@@ -107,34 +107,38 @@ def best_per_category(
         .groupBy("_cell", "category")
         .agg(F.min("quality").alias("_floor"))
     )
+    both, rim = F.array(F.lit(True), F.lit(False)), F.array(F.lit(False))
+    offered = (
+        keyed.join(floors, ["_cell", "category"])
+        .withColumn("_whole", F.explode(F.when(F.col("quality") >= F.col("_floor"), both).otherwise(rim)))
+        .drop("_floor")
+    )
     cover = covering_cells(areas, grid, "alat", "alon", "radius_m")
-    whole = cover.where("_whole").join(floors, "_cell").drop("_whole")
-    inner = split_join(keyed, whole, ["_cell", "category"], ["id"], hot_rows).where(
-        F.col("quality") >= F.col("_floor")
-    ).drop("_floor")
-    rim = split_join(keyed, cover.where(~F.col("_whole")).drop("_whole"), ["_cell"], ["id"], hot_rows)
     pairs = (
-        inner.unionByName(rim.select(inner.columns))
-        .drop("_cell")
+        split_join(offered, cover, ["_cell", "_whole"], ["id"], hot_rows=hot_rows)
+        .drop("_cell", "_whole")
         .withColumn("distance_m", haversine_m("alat", "alon", "lat", "lon"))
         .where(F.col("distance_m") <= F.col("radius_m"))
     )
     order = Window.partitionBy("area_id", "category").orderBy(
         F.col("quality").desc(), F.round("distance_m", 1), "id"
     )
-    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    return with_services(best, places)
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+
+
+def search_in_area(areas: DataFrame, places: DataFrame, **options) -> DataFrame:
+    """``best_per_category`` with the services around each winner, counted on the winners alone."""
+    return with_services(best_per_category(areas, places, **options), places)
 
 
 def near_a_beach(lodgings: DataFrame, places: DataFrame) -> DataFrame:
     """Lodgings with at least one active beach close by."""
     beaches = places.where(F.col("is_active") & (F.col("subcategory") == "beach"))
-    spots = lodgings.select("lat", "lon").distinct().withColumn("_spot", F.xxhash64("lat", "lon"))
     counted = radius_sums(
-        spots.select("_spot", F.col("lat").alias("alat"), F.col("lon").alias("alon")),
-        beaches, K.BEACH_RADIUS_M, {"beaches": F.lit(1)}, reach_m=K.BEACH_RADIUS_M, key="_spot",
-    ).where("beaches > 0")
-    return lodgings.join(spots.join(counted, "_spot", "left_semi").drop("_spot"), ["lat", "lon"], "left_semi")
+        lodgings, beaches, K.BEACH_RADIUS_M, {"_beaches": F.lit(1)},
+        reach_m=K.BEACH_RADIUS_M, probe_lat="lat", probe_lon="lon",
+    )
+    return counted.where(F.col("_beaches") > 0).drop("_beaches")
 
 
 def beach_lodging(areas: DataFrame, places: DataFrame, *, limit: int = 12, reach_m: float = 25_000) -> DataFrame:
@@ -175,10 +179,10 @@ def names_with_destinations(names: DataFrame, places: DataFrame, *, reach_m: flo
     destinations = places.where(F.col("is_active") & (F.col("category") != "food"))
     counted = radius_sums(
         names, destinations, "radius_m", {"destinations": F.lit(1)},
-        reach_m=reach_m, key="name_id", probe_lat="lat", probe_lon="lon",
+        reach_m=reach_m, probe_lat="lat", probe_lon="lon",
     )
     poor = F.col("destinations") < K.NAME_MIN_DESTINATIONS
-    return names.join(counted, "name_id").withColumns(
+    return counted.withColumns(
         {"is_active": ~poor, "rejected_reason": F.when(poor, F.lit("pocos_destinos"))}
     )
 
@@ -199,10 +203,11 @@ def zone_coverage(places: DataFrame) -> DataFrame:
             "places": F.lit(1),
             "destinations": F.when(F.col("category").isin(*K.SERVICES), 0).otherwise(1),
         },
-        reach_m=25_000, key="zone",
+        reach_m=25_000,
     )
-    return zones.select("zone", "radius_m").join(counted, "zone").withColumn(
-        "review", F.col("destinations") < K.ZONE_MIN_DESTINATIONS
+    return counted.select(
+        "zone", "radius_m", "places", "destinations",
+        (F.col("destinations") < K.ZONE_MIN_DESTINATIONS).alias("review"),
     )
 
 

@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
+SMALL_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(frame: DataFrame) -> int:
+    """Catalyst's size estimate; no job runs."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(frame: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -26,23 +32,36 @@ def split_join(
     small: DataFrame,
     keys: list[str],
     spread: list[str],
-    hot_rows: int = HOT_ROWS,
+    *,
+    how: str = "inner",
+    condition=None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Inner equi-join that cuts the hot keys of ``large`` into parts by a hash of ``spread``.
+    """Join ``small`` to ``large``, cutting the hot keys of ``large`` by a hash of ``spread``.
 
-    Rows of ``small`` are repeated once per part, only for hot keys. Neither side carries a
-    broadcast hint: Spark broadcasts a side only below its own size threshold.
+    Rows of ``small`` are repeated once per part, only for hot keys; with ``how="left"`` every
+    row of ``small`` is kept (once per part). An input whose estimated size fits one task's
+    memory is joined as it is, unless ``hot_rows`` asks for the split. No side carries a
+    broadcast hint: Spark broadcasts only below its own size threshold.
     """
-    hot = hot_keys(large, keys, hot_rows)
+    if hot_rows is None and estimated_bytes(large) < SMALL_BYTES:
+        return _keyed_join(small, large, keys, how, condition)
+    hot = hot_keys(large, keys, hot_rows or HOT_ROWS)
     part = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
-    left = (
-        large.join(hot, keys, "left")
-        .withColumn("_part", F.coalesce(part, F.lit(0)))
-        .drop("_parts")
-    )
-    right = (
+    cut = large.join(hot, keys, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
+    repeated = (
         small.join(hot, keys, "left")
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
         .drop("_parts")
     )
-    return left.join(right, [*keys, "_part"]).drop("_part")
+    return _keyed_join(repeated, cut, [*keys, "_part"], how, condition).drop("_part")
+
+
+def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition) -> DataFrame:
+    if condition is None:
+        return left.join(right, keys, how)
+    renamed = right.withColumnsRenamed({k: f"{k}_r" for k in keys})
+    on = condition
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"{k}_r"))
+    return left.join(renamed, on, how).drop(*[f"{k}_r" for k in keys])

@@ -57,6 +57,19 @@ SELECT 4*k + 0 AS query_id, concat(substr(name, 1, 3), substr(name, 5)) AS text
 UNION ALL SELECT 4*k + 1, name FROM (SELECT min(p_partkey) AS k, p_name AS name FROM {part} GROUP BY p_name) b
 UNION ALL SELECT 4*k + 2, substr(name, instr(name, ' ') + 1) FROM (SELECT min(p_partkey) AS k, p_name AS name FROM {part} GROUP BY p_name) c
 UNION ALL SELECT 4*k + 3, concat(name, CASE k % 3 WHEN 0 THEN ' Santa Ana' WHEN 1 THEN ' Juayúa' ELSE ' Villa Roja' END) FROM (SELECT min(p_partkey) AS k, p_name AS name FROM {part} GROUP BY p_name) d""",
+    # crowded catalogue: about twenty rows within a few hundred metres, names that repeat and nest
+    "sites_fx": """
+SELECT p_partkey AS id,
+CASE p_partkey % 3 WHEN 0 THEN concat('Parque Tova', CAST(CAST(floor(p_partkey/3) AS BIGINT) AS VARCHAR(9)))
+WHEN 1 THEN concat('Parque Nacional Tova', CAST(CAST(floor(p_partkey/3) AS BIGINT) AS VARCHAR(9)))
+ELSE CASE WHEN CAST(floor(p_partkey/3) AS BIGINT) % 2 = 0 THEN concat('Parque de Tova', CAST(CAST(floor(p_partkey/3) AS BIGINT) AS VARCHAR(9))) ELSE p_name END END AS name,
+CASE p_type WHEN 'ECONOMY' THEN 'food' WHEN 'STANDARD' THEN 'nature' WHEN 'PROMO' THEN 'culture' WHEN 'MEDIUM' THEN 'viewpoint' WHEN 'LARGE' THEN 'attraction' ELSE 'lodging' END AS category,
+13.0e0 + (CAST(floor(p_partkey/20) AS BIGINT) % 97)*0.017e0 + (p_partkey % 7)*0.0004e0 AS lat,
+-90.0e0 + CAST(floor(p_partkey/1940) AS BIGINT)*0.019e0 + (p_partkey % 5)*0.0005e0 AS lon,
+0.4e0 + (p_size % 13)*0.05e0 AS quality,
+p_size <> 50 AND p_partkey % 31 <> 0 AS is_active,
+CASE WHEN p_size = 50 THEN 'nombre_generico' WHEN p_partkey % 31 = 0 THEN 'duplicado' ELSE NULL END AS rejected_reason,
+CASE WHEN p_partkey % 31 = 0 AND p_size <> 50 THEN p_partkey + 1 ELSE NULL END AS duplicate_of FROM {part}""",
     # consecutive stops of a plan
     "legs_fx": """
 SELECT plan_id, ord, origin, destination FROM (SELECT plan_id, ord, place_id AS destination,
@@ -143,6 +156,7 @@ class Fixtures:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._frames: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -153,10 +167,9 @@ class Fixtures:
         return self.spark.sql(text, **{name: getattr(self, name) for name in names})
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.table(name)
-        if name in VIEWS:
-            return self.sql(VIEWS[name])
-        if f"{name}_fx" in VIEWS:
-            return self.sql(VIEWS[f"{name}_fx"])
-        raise AttributeError(name)
+        view = name if name in VIEWS else f"{name}_fx"
+        if name not in TABLES and view not in VIEWS:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = self.table(name) if name in TABLES else self.sql(VIEWS[view])
+        return self._frames[name]

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from workload import search  # noqa: F401
+from workload import names, search  # noqa: F401
 from workload.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

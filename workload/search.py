@@ -22,7 +22,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY area_id, category ORDER BY
 SELECT area_id, category, CAST(rank AS INTEGER) AS rank, id, name, round(quality, 3) AS quality, round(distance_m, 1) AS distance_m, {SERVICES} AS services
 FROM ranked b WHERE rank <= 10""")
 def win_1(fx):
-    best = S.best_per_category(fx.areas, fx.places, per_category=10, min_quality=0.5)
+    best = S.search_in_area(fx.areas, fx.places, per_category=10, min_quality=0.5)
     return best.select(
         "area_id", "category", "rank", "id", "name", F.round("quality", 3).alias("quality"),
         F.round("distance_m", 1).alias("distance_m"), "services",
@@ -61,7 +61,7 @@ def join_5(fx):
 
 @query("join_6", f"SELECT b.id, {SERVICES} AS services FROM places_fx b")
 def join_6(fx):
-    return S.with_services(fx.places, fx.places).select("id", "services")
+    return S.catalogue_services(fx.places).select("id", "services")
 
 
 @query("join_7", f"""

@@ -68,3 +68,39 @@ def jaccard(a: str, b: str) -> str:
 
 def fold(expr: str) -> str:
     return f"translate(lower({expr}), {text(K.ACCENTED)}, {text(K.UNACCENTED)})"
+
+
+def fit(q: str, t: str) -> str:
+    """Best Jaccard of list ``q`` with any contiguous run of list ``t``, by trying every run."""
+    run = f"{t}[i:j]"
+    return (
+        f"coalesce(list_max(list_transform(range(1, len({t}) + 1), lambda i: list_max(list_transform(range(i, len({t}) + 1), "
+        f"lambda j: len(list_intersect({q}, {run}))::DOUBLE / (len(list_distinct({q})) + len(list_distinct({run})) - "
+        f"len(list_intersect({q}, {run}))))))), 0e0)"
+    )
+
+
+def plain(expr: str) -> str:
+    """Lower case without diacritics."""
+    return f"lower(strip_accents({expr}))"
+
+
+def words(expr: str) -> str:
+    """Significant words of a name."""
+    empty = ", ".join(text(w) for w in K.EMPTY_WORDS)
+    return (
+        f"list_distinct(list_filter(regexp_extract_all({plain(expr)}, '[\\p{{L}}\\p{{N}}]+'), "
+        f"lambda w: NOT list_contains([{empty}], w)))"
+    )
+
+
+ZONE_ALIASES = values(
+    [
+        (order, key, name, alias, flag)
+        for order, (key, name, _, _, _, aliases, whole) in enumerate(K.ZONES)
+        for flag, alias in (
+            [(1, a) for a in whole] + [(0, a) for a in dict.fromkeys((name.lower(), key.replace("-", " "), *aliases))]
+        )
+    ],
+    "za(zone_order, zone, zone_name, alias, whole)",
+)
