@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
@@ -81,30 +81,52 @@ def similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared.cast("double"), F.nullif(either, F.lit(0))), F.lit(0.0))
 
 
-def fit(asked: Column, target: Column) -> Column:
-    """Best Jaccard of the asked trigrams with a contiguous run of the target's.
-
-    Only runs that start and end on a shared trigram can be best, so only those are tried.
-    """
-    wanted = F.array_distinct(asked)
-    hits = F.filter(
+def shared_positions(wanted: Column, target: Column) -> Column:
+    """Positions of ``target`` that hold a trigram of ``wanted``."""
+    return F.filter(
         F.sequence(F.lit(1), F.greatest(F.size(target), F.lit(1))),
         lambda i: F.array_contains(wanted, F.try_element_at(target, i)),
     )
 
+
+def fit(wanted: Column, target: Column, positions: Column) -> Column:
+    """Best Jaccard of the distinct trigrams ``wanted`` with a contiguous run of ``target``.
+
+    Only runs that start and end on a shared trigram can be best, so only those are tried.
+    Give the three as columns of their own: a lambda evaluates its outer expressions each time.
+    """
+
     def score(start: Column, stop: Column) -> Column:
-        run = F.array_distinct(F.slice(target, start, stop - start + 1))
+        run = F.slice(target, start, stop - start + 1)
         shared = F.size(F.array_intersect(wanted, run))
-        return shared.cast("double") / (F.size(wanted) + F.size(run) - shared)
+        return shared.cast("double") / F.size(F.array_union(wanted, run))
 
     best = F.array_max(
         F.transform(
-            hits, lambda a: F.array_max(F.transform(F.filter(hits, lambda b: b >= a), lambda b: score(a, b)))
+            positions,
+            lambda a: F.array_max(F.transform(F.filter(positions, lambda b: b >= a), lambda b: score(a, b))),
         )
     )
     return F.coalesce(best, F.lit(0.0))
 
 
+def with_scores(pairs: DataFrame, asked: str, name: str, *, with_fit: bool, at_least: float = 0.0) -> DataFrame:
+    """``similarity`` (and ``fit``) of two text columns, in six decimals.
+
+    Pairs that share too few of the asked trigrams to reach ``at_least`` on either score are
+    dropped before anything is scored.
+    """
+    scored = pairs.withColumns({"_a": F.array_distinct(trigrams(asked)), "_b": trigrams(name)})
+    if at_least > 0:
+        needed = F.ceil(F.size("_a") * at_least - 1e-5)
+        scored = scored.where(F.size(F.array_intersect("_a", "_b")) >= needed)
+    scored = scored.withColumn("similarity", F.round(similarity(F.col("_a"), F.col("_b")), 6))
+    if with_fit:
+        scored = scored.withColumn("_at", shared_positions(F.col("_a"), F.col("_b")))
+        scored = scored.withColumn("fit", F.round(fit(F.col("_a"), F.col("_b"), F.col("_at")), 6))
+    return scored.drop("_a", "_b", "_at")
+
+
 def display_name(name) -> Column:
     """A name as it is shown: no stray blanks or closing punctuation, no shouting."""
     name = _c(name)
@@ -217,29 +239,37 @@ def date_words(date) -> Column:
     return F.concat(weekday, F.lit(" "), F.dayofmonth(date).cast("string"), F.lit(" de "), month)
 
 
-def zone_of(text) -> Column:
-    """struct(zone_order, zone, zone_name) named by a phrase.
+def zone_of(phrase) -> Column:
+    """struct(zone_order, zone, zone_name) named by a ``plain_phrase`` column.
 
     Words that mean a zone only on their own come first; otherwise the longest name or alias
     found inside the phrase, earlier zones first.
     """
-    phrase = plain_phrase(text)
+    phrase = _c(phrase)
     options = []
-    for order, (key, name, _, _, _, aliases, whole) in enumerate(K.ZONES):
-        zone = [F.lit(order).alias("zone_order"), F.lit(key).alias("zone"), F.lit(name).alias("zone_name")]
-        for alias in whole:
-            rank = [F.lit(0).alias("a"), F.lit(0).alias("b")]
-            options.append(F.when(phrase == alias, F.struct(*rank, *zone)))
-        for alias in dict.fromkeys((name.lower(), key.replace("-", " "), *aliases)):
-            rank = [F.lit(1).alias("a"), F.lit(-len(alias)).alias("b")]
-            options.append(F.when(F.contains(phrase, F.lit(alias)), F.struct(*rank, *zone)))
-    best = F.least(*options)
-    return F.when(best.isNotNull(), F.struct(best["zone_order"].alias("zone_order"), best["zone"].alias("zone"), best["zone_name"].alias("zone_name")))
-
-
-def without_zone(text) -> Column:
-    """The phrase without the longest zone name in it, when four letters or more are left."""
-    base = without_marks(text)
+    for order, (_, name, _, _, _, aliases, whole) in enumerate(K.ZONES):
+        key = K.ZONES[order][0]
+        options += [F.when(phrase == alias, _zone_rank(0, 0, order)) for alias in whole]
+        options += [
+            F.when(F.contains(phrase, F.lit(alias)), _zone_rank(1, -len(alias), order))
+            for alias in dict.fromkeys((name.lower(), key.replace("-", " "), *aliases))
+        ]
+    zones = F.array(
+        *[
+            F.struct(F.lit(i).alias("zone_order"), F.lit(z[0]).alias("zone"), F.lit(z[1]).alias("zone_name"))
+            for i, z in enumerate(K.ZONES)
+        ]
+    )
+    return F.try_element_at(zones, F.least(*options)["zone_order"] + 1)
+
+
+def _zone_rank(kind: int, length: int, order: int) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(length).alias("length"), F.lit(order).alias("zone_order"))
+
+
+def without_zone(base) -> Column:
+    """A ``without_marks`` column less the longest zone name in it, if four letters or more stay."""
+    base = _c(base)
     options = []
     for name in sorted((z[1].lower() for z in K.ZONES), key=len, reverse=True):
         rest = F.regexp_replace(F.replace(base, F.lit(name), F.lit(" ")), r"\s+", " ")

@@ -9,9 +9,9 @@ from trailgrid import constants as K
 from trailgrid.functions import text as T
 from trailgrid.functions.geo import Grid, haversine_m
 from trailgrid.operators.components import connected_components
-from trailgrid.operators.names import trigram_pairs
+from trailgrid.operators.names import gram_spread, name_grams, rarest_grams
 from trailgrid.operators.range_join import covering_cells
-from trailgrid.operators.skew import split_join
+from trailgrid.operators.skew import SMALL_BYTES, estimated_bytes, hot_keys, split_join
 
 
 def reset_duplicates(places: DataFrame) -> DataFrame:
@@ -30,33 +30,45 @@ def reset_duplicates(places: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_pairs(places: DataFrame) -> DataFrame:
+CROWDED = 2_000
+
+
+def duplicate_pairs(places: DataFrame, crowded: int | None = None) -> DataFrame:
     """(id, duplicate_of): each active row that a better row with a similar name nearby beats.
 
     Copies share one node per (name, point), which knows the best row on it, so a pile of
-    copies is compared once. Names are scored once per pair of distinct names, and nodes meet
-    only through (cell, similar name). The radius is the loser's: wider outdoors.
+    copies is compared once. Nodes meet in a grid cell; in a cell with more than ``crowded``
+    nodes they also need one of the loser's rarest trigrams in common. The radius is the
+    loser's: wider outdoors.
     """
     active = places.where("is_active").select(
         "id", "quality", "lat", "lon", F.lower("name").alias("name"),
         F.when(F.col("category").isin(*K.OUTDOOR), K.DEDUPE_OUTDOOR_M).otherwise(K.DEDUPE_URBAN_M).alias("radius_m"),
     )
-    names = active.select("name").distinct()
-    alike = trigram_pairs(
-        names.select(F.col("name").alias("asked")), names, K.DEDUPE_SIMILARITY, with_fit=False
-    ).select(F.col("asked").alias("name"), F.col("name").alias("other"))
-
     grid = Grid.for_radius(K.DEDUPE_OUTDOOR_M)
-    best = active.groupBy("name", "lat", "lon").agg(F.max(F.struct("quality", "id")).alias("best"))
-    winners = best.select(
-        F.col("name").alias("other"), F.col("lat").alias("wlat"), F.col("lon").alias("wlon"), "best",
-        grid.cell("lat", "lon").alias("_cell"),
+    winners = (
+        active.groupBy("name", "lat", "lon").agg(F.max(F.struct("quality", "id")).alias("best"))
+        .select(
+            F.col("name").alias("other"), F.col("lat").alias("wlat"), F.col("lon").alias("wlon"), "best",
+            grid.cell("lat", "lon").alias("_cell"), F.array_distinct(T.trigrams("name")).alias("wgrams"),
+        )
     )
     # the least row of a node decides whether any row of it can lose to a given winner
     losers = active.groupBy("name", "lat", "lon", "radius_m").agg(F.min(F.struct("quality", "id")).alias("worst"))
-    cover = covering_cells(losers, grid, "lat", "lon", "radius_m").drop("_whole").join(alike, "name")
-    met = split_join(winners, cover, ["_cell", "other"], ["wlat", "wlon"]).where(
-        (F.col("best") > F.col("worst")) & (haversine_m("lat", "lon", "wlat", "wlon") <= F.col("radius_m"))
+    cover = (
+        covering_cells(losers, grid, "lat", "lon", "radius_m").drop("_whole")
+        .withColumn("grams", F.array_distinct(T.trigrams("name")))
+    )
+    keys, first_meeting = ["_cell"], F.lit(True)
+    if crowded is not None or estimated_bytes(active) >= SMALL_BYTES:
+        winners, cover = _split_crowded(winners, cover, crowded or CROWDED)
+        keys = ["_cell", "gram"]
+        first_meeting = (F.col("gram") == "") | (F.col("gram") == F.array_min(F.array_intersect("rare", "wgrams")))
+    met = (
+        split_join(winners, cover, keys, ["wlat", "wlon"])
+        .where((F.col("best") > F.col("worst")) & (haversine_m("lat", "lon", "wlat", "wlon") <= F.col("radius_m")))
+        .where(first_meeting)
+        .where(F.round(T.similarity(F.col("grams"), F.col("wgrams")), 6) >= K.DEDUPE_SIMILARITY)
     )
     beaten = met.groupBy("name", "lat", "lon", "radius_m").agg(F.max("best").alias("best"))
     return (
@@ -66,6 +78,26 @@ def duplicate_pairs(places: DataFrame) -> DataFrame:
     )
 
 
+def _split_crowded(winners: DataFrame, cover: DataFrame, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """Give both sides a ``gram`` key: empty in ordinary cells, a trigram in crowded ones."""
+    crowds = hot_keys(winners, ["_cell"], crowded).select("_cell", F.lit(True).alias("_crowd"))
+    names = winners.select(F.col("other").alias("name"))
+    rare = (
+        rarest_grams(names.withColumnRenamed("name", "asked"), gram_spread(name_grams(names)), K.DEDUPE_SIMILARITY)
+        .groupBy("asked").agg(F.collect_set("gram").alias("rare")).withColumnRenamed("asked", "name")
+    )
+    ordinary = F.array(F.lit(""))
+    crowd = F.coalesce(F.col("_crowd"), F.lit(False))
+    split_winners = winners.join(crowds, "_cell", "left").withColumn(
+        "gram", F.explode(F.when(crowd, F.col("wgrams")).otherwise(ordinary))
+    )
+    split_cover = (
+        cover.join(crowds, "_cell", "left").join(rare, "name", "left")
+        .withColumn("gram", F.explode(F.when(crowd, F.col("rare")).otherwise(ordinary)))
+    )
+    return split_winners.drop("_crowd"), split_cover.drop("_crowd")
+
+
 def deduplicate(places: DataFrame) -> DataFrame:
     """The catalogue with duplicates switched off and pointing at their winner."""
     clean = reset_duplicates(places).drop("duplicate_of")

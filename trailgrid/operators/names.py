@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.functions import text as T
 from trailgrid.operators.skew import split_join
+from trailgrid.session import checkpointed
 
 
-def trigram_pairs(asked: DataFrame, names: DataFrame, threshold: float, *, with_fit: bool) -> DataFrame:
-    """(asked, name, similarity[, fit]) of every pair that reaches ``threshold`` on either score.
+def rarest_grams(asked: DataFrame, spread: DataFrame, threshold: float) -> DataFrame:
+    """(asked, gram): the rarest trigrams of each text, as many as any match must hit once.
 
-    ``asked`` and ``names`` hold one text column of that name.
+    ``spread`` is (gram, _names); trigrams no name has need no row.
     """
-    grams = names.select("name").distinct().select("name", F.explode(F.array_distinct(T.trigrams("name"))).alias("gram"))
-    spread = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_names"))
     wanted = (
         asked.select("asked").distinct()
         .withColumn("_grams", F.array_distinct(T.trigrams("asked")))
@@ -30,20 +29,34 @@ def trigram_pairs(asked: DataFrame, names: DataFrame, threshold: float, *, with_
     )
     rarest = Window.partitionBy("asked").orderBy(F.coalesce("_names", F.lit(0)), "gram")
     enough = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1
-    probes = (
+    return (
         wanted.withColumn("_rank", F.row_number().over(rarest))
         .where((F.col("_rank") <= enough) & F.col("_names").isNotNull())
         .select("asked", "gram")
     )
+
+
+def name_grams(names: DataFrame) -> DataFrame:
+    return names.select("name").distinct().select("name", F.explode(F.array_distinct(T.trigrams("name"))).alias("gram"))
+
+
+def gram_spread(grams: DataFrame) -> DataFrame:
+    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_names"))
+
+
+def trigram_pairs(asked: DataFrame, names: DataFrame, threshold: float, *, with_fit: bool) -> DataFrame:
+    """(asked, name, similarity[, fit]) of every pair that reaches ``threshold`` on either score.
+
+    ``asked`` and ``names`` hold one text column of that name.
+    """
+    grams = name_grams(names)
+    probes = rarest_grams(asked, gram_spread(grams), threshold)
     pairs = split_join(grams, probes, ["gram"], ["name"]).select("asked", "name").distinct()
-    a, b = T.trigrams("asked"), T.trigrams("name")
-    scored = pairs.withColumns({"_a": a, "_b": b})
-    scored = scored.withColumn("similarity", F.round(T.similarity(F.col("_a"), F.col("_b")), 6))
+    scored = T.with_scores(pairs, "asked", "name", with_fit=with_fit, at_least=threshold)
     reached = F.col("similarity") >= threshold
     if with_fit:
-        scored = scored.withColumn("fit", F.round(T.fit(F.col("_a"), F.col("_b")), 6))
         reached = reached | (F.col("fit") >= threshold)
-    return scored.where(reached).drop("_a", "_b")
+    return scored.where(reached)
 
 
 def _best_rows_per_name(places: DataFrame, name: Column, keep: int) -> DataFrame:
@@ -84,6 +97,13 @@ def search_candidates(queries: DataFrame, places: DataFrame, *, text: Column | N
     return _ranked(queries, asked, places, T.fold("name"), K.CANDIDATE_SIMILARITY, limit, True)
 
 
+def search_trimmed(queries: DataFrame, places: DataFrame) -> DataFrame:
+    """Candidates of the queries that name a zone, searched without that name."""
+    base = queries.withColumn("_base", T.without_marks("text"))
+    trimmed = base.withColumn("_rest", T.without_zone("_base")).where(F.col("_rest").isNotNull())
+    return search_candidates(trimmed, places, text=F.col("_rest")).drop("_base", "_rest")
+
+
 def decide(candidates: DataFrame) -> DataFrame:
     """(query_id, place_id): a nearly equal name wins; else the best fit if clearly ahead."""
     at = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
@@ -119,10 +139,10 @@ def first_of_each(passes: DataFrame) -> DataFrame:
 
 def resolve_places(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Per query: the place it means, else the same without its zone name, else suggestions."""
-    whole = search_candidates(queries, places)
+    whole = checkpointed(search_candidates(queries, places))
     sure = decide(whole).where(F.col("place_id").isNotNull())
     open_ = queries.join(sure, "query_id", "left_anti")
-    trimmed = search_candidates(open_, places, text=T.without_zone("text"))
+    trimmed = checkpointed(search_trimmed(open_, places))
     second = decide(trimmed).where(F.col("place_id").isNotNull())
     settled = sure.withColumn("found_by", F.lit("whole")).unionByName(second.withColumn("found_by", F.lit("trimmed")))
     passes = trimmed.withColumn("pass", F.lit(0)).unionByName(whole.withColumn("pass", F.lit(1)))
@@ -159,7 +179,8 @@ def gazetteer_lookup(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 def resolve_areas(queries: DataFrame, names: DataFrame, places: DataFrame) -> DataFrame:
     """Where each phrase points: a curated zone, a gazetteer name, a catalogue place, or nowhere."""
-    by_zone = queries.withColumn("_zone", T.zone_of("text"))
+    phrased = queries.withColumn("_phrase", T.plain_phrase("text"))
+    by_zone = phrased.withColumn("_zone", T.zone_of("_phrase")).drop("_phrase")
     centres = F.create_map(
         *[
             v for key, _, lat, lon, radius, _, _ in K.ZONES
@@ -172,7 +193,7 @@ def resolve_areas(queries: DataFrame, names: DataFrame, places: DataFrame) -> Da
         centre["lon"].alias("lon"), centre["radius_m"].alias("radius_m"), F.lit("zone").alias("source"),
     )
     rest = by_zone.where(F.col("_zone").isNull()).drop("_zone")
-    named = gazetteer_lookup(rest, names).select(
+    named = checkpointed(gazetteer_lookup(rest, names)).select(
         "query_id", "text", F.col("name").alias("area"), "lat", "lon",
         F.col("radius_m").cast("int").alias("radius_m"), F.lit("gazetteer").alias("source"),
     )

@@ -27,7 +27,7 @@ def _leg_names(fx):
 
 @query("txt_1", f"SELECT a, b, round({Q.jaccard('ga', 'gb')}, 6) AS similarity FROM ({BOTH})")
 def txt_1(fx):
-    return _leg_names(fx).select("a", "b", F.round(T.similarity(T.trigrams("a"), T.trigrams("b")), 6).alias("similarity"))
+    return T.with_scores(_leg_names(fx), "a", "b", with_fit=False)
 
 
 @query("txt_2", f"""
@@ -38,7 +38,8 @@ def txt_2(fx):
     pairs = _leg_names(fx).select(
         F.expr("substr(a, 3)").alias("a"), F.concat(F.lit("Centro "), "b", F.lit(" Viejo")).alias("b")
     ).distinct()
-    return pairs.select("a", "b", F.round(T.fit(T.trigrams(T.fold("a")), T.trigrams(T.fold("b"))), 6).alias("fit"))
+    folded = pairs.withColumns({"fa": T.fold("a"), "fb": T.fold("b")})
+    return T.with_scores(folded, "fa", "fb", with_fit=True).select("a", "b", "fit")
 
 
 def _scored(asked: str, name: str, threshold: float, with_fit: bool) -> str:
@@ -117,7 +118,8 @@ FROM queries_fx q JOIN {Q.ZONE_ALIASES} ON CASE whole WHEN 1 THEN {PHRASE} = ali
 
 @query("txt_8", f"WITH {ZONED} SELECT q.query_id, z.zone, z.zone_name FROM queries_fx q LEFT JOIN zoned z USING (query_id)")
 def txt_8(fx):
-    return fx.queries.withColumn("z", T.zone_of("text")).select("query_id", "z.zone", "z.zone_name")
+    phrased = fx.queries.withColumn("phrase", T.plain_phrase("text"))
+    return phrased.withColumn("z", T.zone_of("phrase")).select("query_id", "z.zone", "z.zone_name")
 
 
 STRIPPED = f"""stripped AS (SELECT query_id, arg_min(rest, (-length(zn), zone_order)) AS rest FROM (
@@ -128,7 +130,8 @@ WHERE contains(base, zn) AND length(base) > length(zn) + 2 AND length(rest) >= 4
 
 @query("txt_9", f"WITH {STRIPPED} SELECT q.query_id, s.rest FROM queries_fx q LEFT JOIN stripped s USING (query_id)")
 def txt_9(fx):
-    return fx.queries.select("query_id", T.without_zone("text").alias("rest"))
+    base = fx.queries.withColumn("base", T.without_marks("text"))
+    return base.select("query_id", T.without_zone("base").alias("rest"))
 
 
 AREAS_ASKED = """SELECT s_suppkey AS query_id, CASE s_suppkey % 6 WHEN 0 THEN name WHEN 1 THEN concat(substr(name, 1, 5), substr(name, 7)) WHEN 2 THEN 'La Playa'
@@ -214,7 +217,7 @@ passes AS (SELECT 0 AS pass, query_id, id, rank FROM tcand UNION ALL SELECT 1, q
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pass, rank) AS INTEGER) AS rank FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY pass, rank) AS seen FROM passes) WHERE seen = 1""")
 def set_4(fx):
-    trimmed = N.search_candidates(fx.queries, fx.places, text=T.without_zone("text")).withColumn("pass", F.lit(0))
+    trimmed = N.search_trimmed(fx.queries, fx.places).withColumn("pass", F.lit(0))
     whole = N.search_candidates(fx.queries, fx.places).withColumn("pass", F.lit(1))
     return N.first_of_each(trimmed.unionByName(whole)).select("query_id", "id", "rank")
 
