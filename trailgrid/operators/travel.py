@@ -193,21 +193,22 @@ def request_plan(members: DataFrame, key: str, block: int = K.MATRIX_BLOCK) -> D
     )
 
 
-def split_by_stops(path: Column, stops: Column) -> Column:
-    """The path cut at each stop: a stop takes the nearest vertex at or after the previous one's.
+def split_by_stops(routes: DataFrame, path: str = "path", stops: str = "stops") -> DataFrame:
+    """``segments``: the path cut at each stop, one segment per leg.
 
-    ``path`` and ``stops`` are arrays of struct(lat, lon); consecutive segments share a vertex
-    and the last stop takes the end. Segments without length are empty.
+    Both columns are arrays of struct(lat, lon). A stop takes the nearest vertex at or after
+    the previous stop's, the last stop takes the end, and neighbours share a vertex; a leg
+    without length is empty. Read the arrays from a table: a lambda evaluates a computed
+    array again for every element.
     """
 
-    def squared(i: Column, stop: Column) -> Column:
-        lat = F.element_at(path, i)["lat"] - stop["lat"]
-        lon = F.element_at(path, i)["lon"] - stop["lon"]
-        return lat * lat + lon * lon
-
     def nearest(start: Column, stop: Column) -> Column:
-        ranked = F.transform(F.sequence(start, F.size(path)), lambda i: F.struct(squared(i, stop).alias("d"), i.alias("i")))
-        return F.array_min(ranked)["i"]
+        def ranked(i: Column) -> Column:
+            vertex = F.element_at(path, i)
+            lat, lon = vertex["lat"] - stop["lat"], vertex["lon"] - stop["lon"]
+            return F.struct((lat * lat + lon * lon).alias("d"), i.alias("i"))
+
+        return F.array_min(F.transform(F.sequence(start, F.size(path)), ranked))["i"]
 
     anchors = F.aggregate(
         F.slice(stops, 1, F.size(stops) - 1),
@@ -217,11 +218,15 @@ def split_by_stops(path: Column, stops: Column) -> Column:
         ),
         lambda taken: F.concat(taken, F.array(F.size(path))),
     )
+    bounds = F.arrays_zip(
+        F.slice("_at", 1, F.size("_at") - 1).alias("a"), F.slice("_at", 2, F.size("_at")).alias("b")
+    )
     cut = F.transform(
-        F.arrays_zip(F.slice(anchors, 1, F.size(anchors) - 1).alias("a"), F.slice(anchors, 2, F.size(anchors)).alias("b")),
+        bounds,
         lambda s: F.when(s["b"] > s["a"], F.slice(path, s["a"], s["b"] - s["a"] + 1)).otherwise(F.slice(path, 1, 0)),
     )
-    return F.when((F.size(stops) >= 2) & (F.size(path) >= 2), cut)
+    whole = routes.where((F.size(stops) >= 2) & (F.size(path) >= 2))
+    return whole.withColumn("_at", anchors).withColumn("segments", cut).drop("_at")
 
 
 def simplify(paths: DataFrame, keys: list[str], tolerance: float = K.SIMPLIFY_TOLERANCE_DEG, passes: int = 2) -> DataFrame:

@@ -109,8 +109,8 @@ def vertices(coordinates: Column) -> Column:
     return F.when(F.size(points) >= 2, points)
 
 
-def as_wkt(points: Column, decimals: int = 5) -> Column:
+def as_wkt(points: Column, decimals: int = 6) -> Column:
     """Vertices as LINESTRING text."""
-    number = lambda c: c.cast(f"decimal(9,{decimals})").cast("string")
+    number = lambda c: c.cast(f"decimal(10,{decimals})").cast("string")
     pairs = F.transform(points, lambda p: F.concat(number(p["lon"]), F.lit(" "), number(p["lat"])))
     return F.concat(F.lit("LINESTRING("), F.array_join(pairs, ", "), F.lit(")"))

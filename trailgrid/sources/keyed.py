@@ -12,10 +12,10 @@ REQUEST = (
     "earliest_start string, latest_end string, max_travel_km_per_day double, mode string, "
     "preferred_categories array<string>, avoided_categories array<string>, "
     "must_include_categories array<string>, must_include_subcategories array<string>, "
-    "day_modes map<int,string>, include_meals boolean, must_include_meals array<string>, "
+    "day_modes map<string,string>, include_meals boolean, must_include_meals array<string>, "
     "meal_cuisines map<string,string>, meal_minutes int, category_minutes map<string,int>, "
     "max_stops_per_day int, min_quality double, start_place bigint, return_to_start boolean, "
-    "must_include_places array<bigint>, place_minutes map<bigint,int>"
+    "must_include_places array<bigint>, place_minutes map<string,int>"
 )
 
 
