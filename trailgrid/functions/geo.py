@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
@@ -15,25 +17,34 @@ def _col(value) -> Column:
 
 
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance on the mean-radius sphere."""
+    """Great-circle distance on the mean-radius sphere; null when an end is missing."""
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * K.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    return F.lit(2 * K.EARTH_RADIUS_KM) * F.asin(F.sqrt(F.when(chord > 1.0, 1.0).otherwise(chord)))
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     return haversine_km(lat1, lon1, lat2, lon2) * 1000.0
 
 
-def detour_factor(lat, lon) -> Column:
+def _half_chord(lat1: str, lon1: str, lat2: float, lon2: float) -> str:
+    """SQL of the squared half chord on the unit sphere: grows with the distance."""
+    return (
+        f"(power(sin(radians({lat2}D - {lat1})/2), 2) + cos(radians({lat1}))*cos(radians({lat2}D))"
+        f"*power(sin(radians({lon2}D - {lon1})/2), 2))"
+    )
+
+
+def detour_factor(lat: str, lon: str) -> Column:
     """Road over straight line: the closest zone that covers the point, else the country's."""
     options = []
     for zlat, zlon, radius_km, factor in K.DETOUR_BY_ZONE:
-        km = haversine_km(lat, lon, zlat, zlon)
-        options.append(F.when(km <= radius_km, F.struct(km.alias("km"), F.lit(factor).alias("factor"))))
-    return F.coalesce(F.least(*options)["factor"], F.lit(K.DETOUR_NATIONAL))
+        apart = _half_chord(lat, lon, zlat, zlon)
+        reach = math.sin(radius_km / (2 * K.EARTH_RADIUS_KM)) ** 2
+        options.append(f"CASE WHEN {apart} <= {reach!r}D THEN struct({apart} AS apart, {factor}D AS factor) END")
+    return F.expr(f"coalesce(least({', '.join(options)}).factor, {K.DETOUR_NATIONAL}D)")
 
 
 def speed_kmh(straight_km, mode="driving") -> Column:
@@ -54,27 +65,33 @@ def arrival_overhead(mode="driving") -> Column:
     )
 
 
-def estimated_km(lat1, lon1, lat2, lon2) -> Column:
-    lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
-    factor = detour_factor((lat1 + lat2) / 2, (lon1 + lon2) / 2)
-    return haversine_km(lat1, lon1, lat2, lon2) * factor
-
-
-def estimated_leg(lat1, lon1, lat2, lon2, mode="driving") -> Column:
-    """struct(km, minutes) of a leg nobody measured; minutes include the arrival overhead."""
-    straight = haversine_km(lat1, lon1, lat2, lon2)
-    km = estimated_km(lat1, lon1, lat2, lon2)
-    minutes = F.greatest(F.lit(1), F.bround(km / speed_kmh(straight, mode) * 60, 0).cast("int"))
-    return F.struct(
-        F.bround(km, 3).alias("km"), (minutes + arrival_overhead(mode)).cast("int").alias("minutes")
+def with_estimate(rows: DataFrame, start: tuple[str, str], stop: tuple[str, str], mode="driving", km: str = "km", minutes: str = "minutes") -> DataFrame:
+    """``rows`` with the road km and minutes of a leg nobody measured.
+
+    Minutes include the arrival overhead. The factor is a column of its own, so it is worked
+    out once per row.
+    """
+    (lat1, lon1), (lat2, lon2) = start, stop
+    measured = (
+        rows.withColumns({
+            "_straight": haversine_km(lat1, lon1, lat2, lon2),
+            "_mlat": F.expr(f"({lat1} + {lat2}) / 2"), "_mlon": F.expr(f"({lon1} + {lon2}) / 2"),
+        })
+        .withColumn("_factor", detour_factor("_mlat", "_mlon"))
+        .withColumn("_road", F.col("_straight") * F.col("_factor"))
     )
+    driven = F.greatest(F.lit(1), F.bround(F.col("_road") / speed_kmh("_straight", mode) * 60, 0).cast("int"))
+    return measured.withColumns(
+        {km: F.bround("_road", 3), minutes: (driven + arrival_overhead(mode)).cast("int")}
+    ).drop("_straight", "_mlat", "_mlon", "_factor", "_road")
 
 
-def km_to_coast(lat, lon) -> Column:
-    return F.least(*[haversine_km(lat, lon, clat, clon) for clon, clat in K.COAST])
+def km_to_coast(lat: str, lon: str) -> Column:
+    nearest = ", ".join(_half_chord(lat, lon, clat, clon) for clon, clat in K.COAST)
+    return F.expr(f"{2 * K.EARTH_RADIUS_KM}D * asin(sqrt(least({nearest})))")
 
 
-def is_coastal(lat, lon) -> Column:
+def is_coastal(lat: str, lon: str) -> Column:
     return km_to_coast(lat, lon) <= K.COASTAL_KM
 
 
@@ -90,6 +107,17 @@ def inside_area(lat, lon, centre_lat, centre_lon, radius_m) -> Column:
     return haversine_m(lat, lon, centre_lat, centre_lon) <= _col(radius_m)
 
 
+def literal_map(table: dict) -> Column:
+    """A constant table as a map column."""
+
+    def literal(value) -> str:
+        if isinstance(value, str):
+            return "'" + value.replace("'", "\\'") + "'"
+        return f"{value}D" if isinstance(value, float) else str(value)
+
+    return F.expr("map(" + ", ".join(f"{literal(k)}, {literal(v)}" for k, v in table.items()) + ")")
+
+
 class Grid:
     """A fixed latitude/longitude grid of 2**bits columns around the globe."""
 

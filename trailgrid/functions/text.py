@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.functions.geo import literal_map
 
 
 def _c(value) -> Column:
@@ -167,14 +168,10 @@ def _cuisine_parts(raw) -> Column:
     return F.transform(parts, lambda p: F.replace(F.lower(F.trim(p)), F.lit(" "), F.lit("_")))
 
 
-def _label_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-
-
 def cuisine_label(raw, preferred: Column | None = None) -> Column:
     """One readable label: the preferred cuisine if served, the first specific, else a generic one."""
     parts = _cuisine_parts(raw)
-    labels = _label_map(K.CUISINES)
+    labels = literal_map(K.CUISINES)
     specific = [c for c in K.CUISINES if c not in K.GENERIC_CUISINES]
     chosen = [
         F.try_element_at(F.filter(parts, lambda p: p.isin(*specific)), F.lit(1)),

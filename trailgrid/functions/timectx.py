@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.functions.geo import literal_map
 
 
 def _c(value) -> Column:
@@ -54,8 +55,7 @@ def is_rain(mm) -> Column:
 
 
 def weather_words(code) -> Column:
-    table = F.create_map(*[F.lit(v) for pair in K.WMO.items() for v in pair])
-    return F.coalesce(F.try_element_at(table, _c(code)), F.lit("sin datos"))
+    return F.coalesce(F.try_element_at(literal_map(K.WMO), _c(code)), F.lit("sin datos"))
 
 
 def compass(degrees) -> Column:

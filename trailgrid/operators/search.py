@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
-from trailgrid.functions.geo import Grid, haversine_m
+from trailgrid.functions.geo import Grid, haversine_m, literal_map
 from trailgrid.operators.range_join import covering_cells, radius_pairs, radius_sums
 from trailgrid.operators.skew import split_join
 
@@ -85,10 +85,13 @@ def best_per_category(
     include_lodging: bool = False,
     min_quality: float = 0.0,
     reach_m: float = 25_000,
+    key: str = "area_id",
     hot_rows: int | None = None,
 ) -> DataFrame:
     """The best ``per_category`` places of every category inside each area.
 
+    Areas may carry a ``min_quality`` of their own.
+
     A cell that lies whole inside a circle only sends the qualities that fewer than
     ``per_category`` of its rows beat, so most of a crowded cell never reaches the join; the
     cells on the rim send every row.
@@ -120,7 +123,9 @@ def best_per_category(
         .withColumn("distance_m", haversine_m("alat", "alon", "lat", "lon"))
         .where(F.col("distance_m") <= F.col("radius_m"))
     )
-    order = Window.partitionBy("area_id", "category").orderBy(
+    if "min_quality" in areas.columns:
+        pairs = pairs.where(F.col("quality") >= F.col("min_quality"))
+    order = Window.partitionBy(key, "category").orderBy(
         F.col("quality").desc(), F.round("distance_m", 1), "id"
     )
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
@@ -141,11 +146,11 @@ def near_a_beach(lodgings: DataFrame, places: DataFrame) -> DataFrame:
     return counted.where(F.col("_beaches") > 0).drop("_beaches")
 
 
-def beach_lodging(areas: DataFrame, places: DataFrame, *, limit: int = 12, reach_m: float = 25_000) -> DataFrame:
+def beach_lodging(areas: DataFrame, places: DataFrame, *, limit: int = 12, reach_m: float = 25_000, key: str = "area_id") -> DataFrame:
     """Lodgings by a beach inside each area, best first, with their services count."""
     lodgings = places.where(F.col("is_active") & (F.col("category") == "lodging"))
     pairs = radius_pairs(areas, near_a_beach(lodgings, places), "radius_m", reach_m=reach_m)
-    order = Window.partitionBy("area_id").orderBy(F.col("quality").desc(), F.round("distance_m", 1), "id")
+    order = Window.partitionBy(key).orderBy(F.col("quality").desc(), F.round("distance_m", 1), "id")
     best = pairs.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= min(max(limit, 1), K.BEACH_LIMIT)
     )
@@ -213,9 +218,8 @@ def zone_coverage(places: DataFrame) -> DataFrame:
 
 def appeal_of(subcategory) -> Column:
     """How worth a visit a subcategory is."""
-    table = F.create_map(*[F.lit(v) for pair in K.APPEAL.items() for v in pair])
     column = F.col(subcategory) if isinstance(subcategory, str) else subcategory
-    return F.coalesce(F.try_element_at(table, F.coalesce(column, F.lit(""))), F.lit(K.APPEAL_DEFAULT))
+    return F.coalesce(F.try_element_at(literal_map(K.APPEAL), F.coalesce(column, F.lit(""))), F.lit(K.APPEAL_DEFAULT))
 
 
 def top_by_appeal(areas: DataFrame, places: DataFrame, n: int = 20, *, key: str = "area_id", reach_m: float = 25_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
-from trailgrid.functions.geo import arrival_overhead, estimated_leg, haversine_km
+from trailgrid.functions.geo import arrival_overhead, haversine_km, with_estimate
 
 PROFILES = {"driving": "driving-car", "walking": "foot-walking"}
 
@@ -51,11 +51,11 @@ def travel(pairs: DataFrame, edges: DataFrame, places: DataFrame, mode: str = "d
     wanted = pairs.select("origin", "destination").distinct().withColumn("profile", F.lit(PROFILES[mode]))
     known = measured(edges).select("origin", "destination", "profile", "km", "minutes", "source")
     joined = _with_ends(wanted, places).join(known, ["origin", "destination", "profile"], "left")
-    guess = estimated_leg("olat", "olon", "dlat", "dlon", mode)
-    return joined.select(
+    guessed = with_estimate(joined, ("olat", "olon"), ("dlat", "dlon"), mode, "_km", "_minutes")
+    return guessed.select(
         "origin", "destination", "profile",
-        F.coalesce("km", guess["km"]).alias("km"),
-        F.coalesce(F.col("minutes") + arrival_overhead(mode), guess["minutes"]).cast("int").alias("minutes"),
+        F.coalesce("km", "_km").alias("km"),
+        F.coalesce(F.col("minutes") + arrival_overhead(mode), "_minutes").cast("int").alias("minutes"),
         F.coalesce("source", F.lit("estimated")).alias("source"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 from trailgrid.functions import timectx as C
+from trailgrid.functions.geo import literal_map
 
 
 def _c(value) -> Column:
@@ -43,10 +44,6 @@ def stop_cap(asked: Column) -> Column:
     return F.coalesce(F.nullif(asked, F.lit(0)), F.lit(K.DAY_STOP_CAP))
 
 
-def _table(table: dict) -> Column:
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
-
-
 def dwell_minutes(
     *, meal: Column, meal_minutes: Column, is_anchor: Column, place_minutes: Column, place: Column,
     category_minutes: Column, category: Column, subcategory: Column,
@@ -60,8 +57,8 @@ def dwell_minutes(
         .otherwise(
             F.coalesce(
                 F.try_element_at(place_minutes, place.cast("string")), F.try_element_at(category_minutes, category),
-                F.try_element_at(_table(K.SUBCATEGORY_MINUTES), F.coalesce(subcategory, F.lit(""))),
-                F.try_element_at(_table(K.CATEGORY_MINUTES), category), F.lit(60),
+                F.try_element_at(literal_map(K.SUBCATEGORY_MINUTES), F.coalesce(subcategory, F.lit(""))),
+                F.try_element_at(literal_map(K.CATEGORY_MINUTES), category), F.lit(60),
             )
         )
     )

@@ -104,6 +104,35 @@ CASE WHEN (s.ord - 1) % 6 = 0 THEN 0e0 ELSE round(0.5e0 + ((s.place_id*37 + s.or
 CAST(CASE WHEN (s.ord - 1) % 6 = 0 THEN 0 ELSE 5 + (s.place_id*13 + s.ord) % 40 END AS INT) AS leg_min,
 CASE WHEN p.category <> 'food' THEN NULL WHEN (s.ord - 1) % 6 = 0 THEN 'breakfast' WHEN (s.ord - 1) % 6 < 4 THEN 'lunch' ELSE 'dinner' END AS meal
 FROM {stops_fx} s JOIN {places_fx} p ON p.id = s.place_id""",
+    # the same days with one meal of each kind at most
+    "meals_fx": """
+SELECT d.plan_id, d.day, d.ord, d.place_id, d.name, d.category, d.subcategory, d.lat, d.lon, d.dwell, d.leg_km, d.leg_min,
+CASE WHEN d.meal IS NOT NULL AND row_number() OVER (PARTITION BY d.plan_id, d.day, d.meal ORDER BY d.ord) = 1 THEN d.meal ELSE NULL END AS meal
+FROM {days_fx} d""",
+    # and the clock on them: a meal waits for its window to open
+    "timed_fx": """
+SELECT b.plan_id, b.day, b.ord, b.place_id, b.name, b.category, b.subcategory, b.lat, b.lon, b.dwell, b.leg_km, b.leg_min, b.meal,
+CAST(b.s + greatest(coalesce(max(b.opens - b.s) OVER (PARTITION BY b.plan_id, b.day ORDER BY b.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 0) AS INT) AS arrival,
+CAST(b.s + greatest(coalesce(max(b.opens - b.s) OVER (PARTITION BY b.plan_id, b.day ORDER BY b.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0), 0) + b.dwell AS INT) AS departure
+FROM (SELECT m.*, CASE m.meal WHEN 'breakfast' THEN 390 WHEN 'lunch' THEN 690 WHEN 'dinner' THEN 1080 ELSE NULL END AS opens,
+CAST(t.earliest + sum(m.leg_min) OVER (PARTITION BY m.plan_id, m.day ORDER BY m.ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
++ coalesce(sum(m.dwell) OVER (PARTITION BY m.plan_id, m.day ORDER BY m.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s
+FROM {meals_fx} m JOIN {plans_fx} t ON t.plan_id = m.plan_id) b""",
+    # edits asked for stored plans
+    "edits_fx": """
+SELECT plan_id, day, CASE (place_id + ord) % 3 WHEN 0 THEN 'remove' WHEN 1 THEN 'move' ELSE 'add' END AS op,
+CASE WHEN (place_id + ord) % 3 = 2 THEN place_id + 500 ELSE place_id END AS place_id, CAST(day + 1 AS INT) AS to_day
+FROM {days_fx} WHERE (place_id + plan_id) % 9 = 0""",
+    # trips to plan in bulk
+    "trips_fx": """
+SELECT s_suppkey AS plan_id, 13.2e0 + s_nationkey*0.045e0 AS alat, -90.0e0 + s_nationkey*0.09e0 AS alon,
+CAST(10000 + 1000*(s_nationkey % 16) AS INT) AS radius_m, CAST(1 + s_suppkey % 3 AS INT) AS days, CAST(480 + 30*(s_suppkey % 4) AS INT) AS earliest,
+CAST(1080 + 60*(s_suppkey % 4) AS INT) AS latest, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 30e0 + s_suppkey % 60 END AS max_km, 'driving' AS mode,
+CAST(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 3 + s_suppkey % 5 END AS INT) AS max_stops, s_suppkey % 5 <> 0 AS include_meals, 0.45e0 AS min_quality,
+date_add(DATE '2024-01-01', CAST(s_suppkey % 40 AS INT)) AS start_date, 90 AS meal_minutes,
+CASE s_suppkey % 3 WHEN 0 THEN 'culture' WHEN 1 THEN 'viewpoint' ELSE NULL END AS req_category,
+CASE s_suppkey % 4 WHEN 1 THEN 'beach' WHEN 2 THEN 'peak' ELSE NULL END AS req_sub, CASE WHEN s_suppkey % 2 = 0 THEN 'nature' ELSE NULL END AS pref_category,
+CASE WHEN s_suppkey % 5 = 1 THEN 'attraction' ELSE NULL END AS avoid_category FROM {supplier}""",
     # the tags a place carries
     "tags_fx": """
 SELECT p_partkey AS id, p_name AS name,

@@ -7,7 +7,7 @@ from trailgrid import constants as K
 
 def hav_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return (
-        f"({2 * K.EARTH_RADIUS_KM}e0*asin(sqrt(least(1e0, sin(radians({lat2} - {lat1})/2)*sin(radians({lat2} - {lat1})/2)"
+        f"({2 * K.EARTH_RADIUS_KM}e0*asin(sqrt((sin(radians({lat2} - {lat1})/2)*sin(radians({lat2} - {lat1})/2)"
         f" + cos(radians({lat1}))*cos(radians({lat2}))*sin(radians({lon2} - {lon1})/2)*sin(radians({lon2} - {lon1})/2)))))"
     )
 

@@ -44,11 +44,9 @@ def geo_2(fx):
 
 @query("geo_3", f"WITH {ESTIMATE} SELECT origin, destination, km, minutes, walk FROM guess")
 def geo_3(fx):
-    legs = _ends(fx).withColumns({
-        "drive": G.estimated_leg("olat", "olon", "dlat", "dlon"),
-        "foot": G.estimated_leg("olat", "olon", "dlat", "dlon", "walking"),
-    })
-    return legs.select("origin", "destination", "drive.km", "drive.minutes", F.col("foot.minutes").alias("walk"))
+    start, stop = ("olat", "olon"), ("dlat", "dlon")
+    legs = G.with_estimate(G.with_estimate(_ends(fx), start, stop), start, stop, "walking", "_km", "walk")
+    return legs.select("origin", "destination", "km", "minutes", "walk")
 
 
 @query("geo_4", """SELECT n_nationkey, round(sqrt(pow(0.01e0*(1 + n_regionkey)*110.574e0, 2) + pow(0.02e0*(1 + n_nationkey)*111.320e0*cos(radians(13e0 + 0.005e0*(1 + n_regionkey))), 2))/2, 6) AS km FROM nation""")
