@@ -38,12 +38,19 @@ def _half_chord(lat1: str, lon1: str, lat2: float, lon2: float) -> str:
 
 
 def detour_factor(lat: str, lon: str) -> Column:
-    """Road over straight line: the closest zone that covers the point, else the country's."""
+    """Road over straight line: the closest zone that covers the point, else the country's.
+
+    A zone too far north or south is ruled out before any trigonometry.
+    """
     options = []
     for zlat, zlon, radius_km, factor in K.DETOUR_BY_ZONE:
         apart = _half_chord(lat, lon, zlat, zlon)
         reach = math.sin(radius_km / (2 * K.EARTH_RADIUS_KM)) ** 2
-        options.append(f"CASE WHEN {apart} <= {reach!r}D THEN struct({apart} AS apart, {factor}D AS factor) END")
+        band = math.degrees(radius_km / K.EARTH_RADIUS_KM) * 1.001
+        options.append(
+            f"CASE WHEN abs({lat} - {zlat}D) <= {band!r}D AND {apart} <= {reach!r}D "
+            f"THEN struct({apart} AS apart, {factor}D AS factor) END"
+        )
     return F.expr(f"coalesce(least({', '.join(options)}).factor, {K.DETOUR_NATIONAL}D)")
 
 
