@@ -110,3 +110,26 @@ def test_edge_shorter_than_the_straight_line_is_refused(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 1)], "origin long, destination long")
     table = {r.origin: r.source for r in V.travel(pairs, V.purge_implausible(edges, places), places).collect()}
     assert table == {1: "estimated", 2: "osrm"}
+
+
+def test_bulk_plans_keep_every_hard_limit(spark):
+    from trailgrid.plans import build as B
+    from workload.fixtures import Fixtures
+    from workload.planning import trips
+
+    fx = Fixtures(spark, "/root/testdata/sf0.01")
+    some = trips(fx).where("plan_id < 12")
+    stops = B.checkpointed(B.plan_trips(some, fx.places, fx.tags.select("id", "opening_hours")))
+    days = stops.groupBy("plan_id", "day").agg(
+        F.sum("leg_km").alias("km"), F.max("departure").alias("stop"), F.min("arrival").alias("start"),
+        F.count(F.lit(1)).alias("n"), F.first("budget").alias("budget"), F.first("latest").alias("latest"),
+        F.first("earliest").alias("earliest"), F.first("cap").alias("cap"),
+    ).collect()
+    assert days
+    for d in days:
+        assert d.km <= d.budget + 1e-6 and d.stop <= d.latest and d.start >= d.earliest and d.n <= d.cap
+    active = fx.places.where("is_active").select("id")
+    assert stops.join(active, "id", "left_anti").count() == 0
+    assert stops.groupBy("plan_id", "id").count().where("count > 1").count() == 0
+    late = Q.order_failures(stops.withColumn("place_id", F.col("id")))
+    assert late.count() == 0

@@ -153,9 +153,9 @@ def _meal_sql(opens: int, closes: int, budget: bool) -> str:
     return f"""{MEALC}, sd AS (SELECT *, earliest + sum(leg_min) OVER u + sum(dwell) OVER u AS departure, lead(lat) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nlat, lead(lon) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nlon,
 lead(leg_km) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nkm, sum(leg_km) OVER (PARTITION BY plan_id, day) AS total, count(*) OVER (PARTITION BY plan_id, day) AS k FROM cut WINDOW u AS (PARTITION BY plan_id, day ORDER BY fill)),
 sk AS (SELECT *, sum(greatest(least(dwell, CASE WHEN category IN ('nature', 'viewpoint') THEN 1095 WHEN category IN ('culture', 'attraction') THEN 1080 ELSE latest END - departure), 0)) OVER (PARTITION BY plan_id, day ORDER BY fill) AS slack FROM sd WHERE k < cap),
-g0 AS (SELECT s.*, o.food_id, f.lat AS flat, f.lon AS flon, {_est('s.', 'f.')} AS road, {X.hav_km('s.lat', 's.lon', 'f.lat', 'f.lon')} AS str_in, CASE WHEN nlat IS NULL THEN 0e0 ELSE round_even({_est('f.', 's.n')}, 3) - nkm END AS more
+g0 AS (SELECT s.*, o.food_id, f.lat AS flat, f.lon AS flon, {_est('s.', 'f.')} AS froad, {X.hav_km('s.lat', 's.lon', 'f.lat', 'f.lon')} AS str_in, CASE WHEN nlat IS NULL THEN 0e0 ELSE round_even({_est('f.', 's.n')}, 3) - nkm END AS more
  FROM sk s JOIN options o USING (plan_id, day) JOIN sc f ON f.plan_id = s.plan_id AND f.id = o.food_id),
-g1 AS (SELECT *, round(round_even(road, 3) + more, 3) AS added_km, departure + greatest(1, round_even(road/{speed('str_in')}*60, 0)) + 8 AS nat FROM g0),
+g1 AS (SELECT *, round(round_even(froad, 3) + more, 3) AS added_km, departure + greatest(1, round_even(froad/{speed('str_in')}*60, 0)) + 8 AS nat FROM g0),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY added_km, food_id, fill) AS w FROM g1 WHERE nat <= {closes} AND (nat >= {opens} - 30 OR (nlat IS NULL AND greatest(nat, {opens}) + 90 <= latest AND {opens} - 30 - nat <= slack))
 {"AND round(total + added_km, 3) <= budget" if budget else ""})"""
 
