@@ -148,7 +148,9 @@ def sweep_order(stops: DataFrame, keys: list[str] = DAY) -> DataFrame:
     The turn starts at the first stop's own angle, so the route leaves from it.
     """
     whole = Window.partitionBy(*keys)
-    angle = F.atan2(F.col("lat") - F.col("_clat"), F.col("lon") - F.col("_clon"))
+    # rounded, so noise on a straight line cannot flip the half turn
+    north, east = (F.round(F.col(a) - F.col(b), 9) + 0.0 for a, b in (("lat", "_clat"), ("lon", "_clon")))
+    angle = F.atan2(north, east)
     first = F.min("ord").over(whole)
     centred = stops.withColumns({
         "_clat": F.avg("lat").over(whole), "_clon": F.avg("lon").over(whole), "_first": F.col("ord") == first,

@@ -244,6 +244,12 @@ def meal_candidates(stops: DataFrame, food: DataFrame, wanted: DataFrame | None
     return closest.unionByName(liked).dropDuplicates([*DAY, "food_id"])
 
 
+def one_day_each(options: DataFrame) -> DataFrame:
+    """Every restaurant offered to its nearest day only, so no trip eats twice at one place."""
+    order = Window.partitionBy("plan_id", "food_id").orderBy("near_km", "day")
+    return options.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
+
+
 def cheapest_meal(
     stops: DataFrame, options: DataFrame, meal: str, *, enforce_budget: bool = True, tolerance: int = K.MEAL_EARLY_MIN,
 ) -> DataFrame:
@@ -365,7 +371,7 @@ def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = No
     for meal in ("lunch", "dinner"):
         hungry = stops.where("include_meals")
         taken = stops.where(F.col("meal").isNotNull()).select("plan_id", "id").distinct()
-        options = meal_candidates(hungry, tables.join(taken, ["plan_id", "id"], "left_anti"))
+        options = one_day_each(meal_candidates(hungry, tables.join(taken, ["plan_id", "id"], "left_anti")))
         if hours is not None:
             known = H.with_hours(hours.select(F.col("id").alias("food_id"), "opening_hours")).drop("opening_hours")
             options = options.join(known, "food_id", "left")

@@ -95,7 +95,7 @@ def daily_rain(rows: DataFrame) -> DataFrame:
     """Rain per day from arriving hourly rows; rows over three hours late are dropped."""
     return (
         rows.withWatermark("ts", "3 hours").groupBy(F.window("ts", "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("hours"), F.round(F.sum("mm"), 3).alias("mm"))
+        .agg(F.count(F.lit(1)).alias("hours"), F.round(F.sum("mm"), 4).alias("mm"))
         .select(F.col("w.start").cast("date").alias("date"), "hours", "mm")
     )
 
@@ -104,7 +104,7 @@ def sliding_rain(rows: DataFrame, hours: int = 6) -> DataFrame:
     """Rain over a sliding window that moves every hour."""
     return (
         rows.withWatermark("ts", "3 hours").groupBy(F.window("ts", f"{hours} hours", "1 hour").alias("w"))
-        .agg(F.round(F.sum("mm"), 3).alias("mm")).select(F.col("w.start").alias("starts"), "mm")
+        .agg(F.round(F.sum("mm"), 4).alias("mm")).select(F.col("w.start").alias("starts"), "mm")
     )
 
 

@@ -102,7 +102,7 @@ def hourly_stream(fx):
 
 
 @query("str_7", """
-SELECT CAST(ts AS DATE) AS date, count(*) AS hours, round(sum(value/100), 3) AS mm FROM events GROUP BY 1
+SELECT CAST(ts AS DATE) AS date, count(*) AS hours, round(sum(value/100), 4) AS mm FROM events GROUP BY 1
 HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
 def str_7(fx):
     return S.drain(S.daily_rain(hourly_stream(fx)), "daily")
@@ -110,7 +110,7 @@ def str_7(fx):
 
 @query("str_7_sliding", """
 WITH h AS (SELECT date_trunc('hour', ts) - to_hours(k) AS starts, value/100 AS mm FROM events, range(0, 6) t(k))
-SELECT starts, round(sum(mm), 3) AS mm FROM h GROUP BY starts HAVING starts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
+SELECT starts, round(sum(mm), 4) AS mm FROM h GROUP BY starts HAVING starts + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
 def str_7_sliding(fx):
     return S.drain(S.sliding_rain(hourly_stream(fx)), "sliding").withColumn("starts", F.col("starts").cast("timestamp_ntz"))
 
