@@ -159,7 +159,7 @@ def sweep_order(stops: DataFrame, keys: list[str] = DAY) -> DataFrame:
     apart = F.round(F.col("_angle") - F.col("_start"), 6)
     turn = F.when(apart < 0, apart + 6.283185).otherwise(apart)
     ranked = centred.withColumn("_start", start).withColumn("_turn", F.when(F.col("_first"), -1.0).otherwise(turn))
-    order = Window.partitionBy(*keys).orderBy("_turn", "place_id")
+    order = Window.partitionBy(*keys).orderBy("_turn", "place_id", "ord")
     return ranked.withColumn("visit", F.row_number().over(order)).drop("_clat", "_clon", "_first", "_angle", "_start", "_turn")
 
 

@@ -230,7 +230,7 @@ def win_7(fx):
 WITH c AS (SELECT plan_id, day, ord, place_id, lat, lon, ord = min(ord) OVER p AS is_first, round(atan2(round(lat - avg(lat) OVER p, 9) + 0e0, round(lon - avg(lon) OVER p, 9) + 0e0), 9) AS angle FROM days_fx WINDOW p AS (PARTITION BY plan_id, day)),
 a AS (SELECT *, round(angle - max(CASE WHEN is_first THEN angle END) OVER (PARTITION BY plan_id, day), 6) AS apart FROM c),
 t AS (SELECT *, CASE WHEN is_first THEN -1e0 WHEN apart < 0 THEN apart + 6.283185e0 ELSE apart END AS turn FROM a)
-SELECT plan_id, day, ord, CAST(row_number() OVER (PARTITION BY plan_id, day ORDER BY turn, place_id) AS INTEGER) AS visit FROM t""")
+SELECT plan_id, day, ord, CAST(row_number() OVER (PARTITION BY plan_id, day ORDER BY turn, place_id, ord) AS INTEGER) AS visit FROM t""")
 def win_14(fx):
     return Q.sweep_order(fx.days).select("plan_id", "day", "ord", "visit")
 
