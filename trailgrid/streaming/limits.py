@@ -92,15 +92,26 @@ def limit_stream(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
     )
 
 
+def trailing_count(rows: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
+    """Rows of the same key in the ``seconds`` up to each row; ``_at`` holds microseconds.
+
+    Time is cut into slots as long as the window. A row also visits the next slot as context,
+    so a busy key is one task per slot instead of one task in all.
+    """
+    width = seconds * 1_000_000
+    slot = F.floor(F.col("_at") / width)
+    placed = rows.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    trailing = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-(width - 1), 0)
+    counted = placed.withColumn(name, F.count(F.lit(1)).over(trailing))
+    return counted.where(F.col("_slot") == slot).drop("_slot")
+
+
 def attempts_in_window(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
     """Attempts of the key in each trailing window: where all fit, the request was surely accepted."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = log.withColumn("_at", at)
-    out = timed
+    out = log.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
     sure = F.lit(True)
     for allowed, seconds in limits:
-        trailing = Window.partitionBy("ip").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-        out = out.withColumn(f"last_{seconds}", F.count(F.lit(1)).over(trailing))
+        out = trailing_count(out, "ip", seconds, f"last_{seconds}")
         sure = sure & (F.col(f"last_{seconds}") <= allowed)
     return out.withColumn("surely_accepted", sure).drop("_at")
 
@@ -109,16 +120,45 @@ def quota_ledger(calls: DataFrame, budget: int, seconds: int = K.QUOTA_SECONDS)
     """Calls left per endpoint after each call: own 24 h budget against the last server reading.
 
     ``server_remaining`` is null when a call carried no reading; before the first reading the
-    remaining quota is unknown. Every call after a reading lowers it by one.
+    remaining quota is unknown. Every call after a reading lowers it by one. There are few
+    endpoints, so calls are numbered inside a day and days are chained through one small row
+    per endpoint and day.
     """
     timed = calls.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    trailing = Window.partitionBy("endpoint").orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    until = Window.partitionBy("endpoint").orderBy("_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    own = F.greatest(F.lit(budget) - F.count(F.lit(1)).over(trailing), F.lit(0))
-    reading = F.last(F.when(F.col("server_remaining").isNotNull(), F.struct("server_remaining", "_n")), ignorenulls=True)
-    counted = timed.withColumns({"own_remaining": own, "_n": F.row_number().over(until)})
-    known = counted.withColumn("_r", reading.over(until))
-    server = F.greatest(F.col("_r.server_remaining") - (F.col("_n") - F.col("_r._n")), F.lit(0))
-    return known.withColumn(
-        "remaining", F.when(F.col("_r").isNotNull(), F.least("own_remaining", server))
-    ).drop("_at", "_n", "_r")
+    counted = trailing_count(timed, "endpoint", seconds, "_used").withColumns({
+        "own_remaining": F.greatest(F.lit(budget) - F.col("_used"), F.lit(0)),
+        "_day": F.floor(F.col("_at") / (K.QUOTA_SECONDS * 1_000_000)),
+    })
+    in_day = Window.partitionBy("endpoint", "_day").orderBy("_at", "event_id")
+    upto = in_day.rowsBetween(Window.unboundedPreceding, 0)
+    read = F.col("server_remaining").isNotNull()
+    numbered = counted.withColumn("_n", F.row_number().over(in_day)).withColumn(
+        "_here", F.last(F.when(read, F.struct("server_remaining", "_n")), ignorenulls=True).over(upto)
+    )
+    place = F.struct("_at", "event_id")
+    days = counted.groupBy("endpoint", "_day").agg(
+        F.count(F.lit(1)).alias("_calls"),
+        F.max_by("server_remaining", F.when(read, place)).alias("_reading"),
+        F.max(F.when(read, place)).alias("_read_at"),
+    )
+    after = (
+        counted.join(days.select("endpoint", "_day", "_read_at"), ["endpoint", "_day"])
+        .where(place > F.col("_read_at")).groupBy("endpoint", "_day").agg(F.count(F.lit(1)).alias("_since"))
+    )
+    before = Window.partitionBy("endpoint").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    chained = days.join(after, ["endpoint", "_day"], "left").withColumn(
+        "_offset", F.coalesce(F.sum("_calls").over(before), F.lit(0))
+    ).withColumn(
+        "_mark", F.when(
+            F.col("_reading").isNotNull(),
+            F.struct(F.col("_reading"), (F.col("_offset") + F.col("_calls") - F.coalesce("_since", F.lit(0))).alias("at")),
+        )
+    ).withColumn("_earlier", F.last("_mark", ignorenulls=True).over(before))
+    known = numbered.join(chained.select("endpoint", "_day", "_offset", "_earlier"), ["endpoint", "_day"])
+    today = F.col("_here.server_remaining") - (F.col("_n") - F.col("_here._n"))
+    earlier = F.col("_earlier._reading") - (F.col("_offset") + F.col("_n") - F.col("_earlier.at"))
+    server = F.greatest(F.when(F.col("_here").isNotNull(), today).otherwise(earlier), F.lit(0))
+    unknown = F.col("_here").isNull() & F.col("_earlier").isNull()
+    return known.withColumn("remaining", F.when(~unknown, F.least("own_remaining", server))).select(
+        *calls.columns, "own_remaining", "remaining"
+    )

@@ -396,9 +396,6 @@ def agg_14(fx):
     return M.compliance(limits, P.independent_checks(limits, stops, fx.places), stops)
 
 
-PRETTY = "(SELECT plan_id, ord, place_id, name, hour FROM wet)"
-
-
 @query("plan_5", f"""
 WITH {WET}, stops AS (SELECT plan_id, place_id, any_value(name) AS name, min(ord) AS ord FROM wet GROUP BY plan_id, place_id),
 nm AS (SELECT plan_id, list(name ORDER BY ord) AS l FROM stops GROUP BY plan_id),
