@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
-from trailgrid.functions import geo as G
 from trailgrid.functions import timectx as C
 from trailgrid.operators import metrics as M
 from trailgrid.operators import search as S
