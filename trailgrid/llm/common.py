@@ -28,6 +28,15 @@ class Memo(dict):
         return value
 
 
+#: Every ASCII character that is neither letter nor digit, as a space.
+_MARKS_AS_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def bare_words(text: str) -> list[bytes]:
+    """Lower-cased words of a text in UTF-8; ASCII marks part words like white space."""
+    return text.lower().encode().translate(_MARKS_AS_SPACE).split()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from trailgrid.llm.common import Memo, keyed_texts
+from trailgrid.llm.common import bare_words, keyed_texts
 
 #: A mask's words are hashed where it has a 1; a word under a 0 may be any.
 MASKS = ("1110110111", "1101011011", "1011101101", "11111111")
@@ -24,27 +24,14 @@ LEAST_WORDS = 5
 BLOCK_WORDS = 2_000_000
 GAP = max(map(len, MASKS))
 TABLE_BITS = 22
-
-
-def words_of(text: str) -> list[str]:
-    """Lower-cased words with the punctuation at either end taken off; what is nothing else is no word."""
-    return [w for w in map(bare, text.lower().split()) if w]
-
-
-def bare(word: str) -> str:
-    begin, end = 0, len(word)
-    while begin < end and not word[begin].isalnum():
-        begin += 1
-    while end > begin and not word[end - 1].isalnum():
-        end -= 1
-    return word[begin:end]
+RUN = 200_000
 
 
 @dataclass
 class Seeds:
     """One block of test passages: word numbers, and for each mask the hashes of every position."""
 
-    numbers: dict[str, int]
+    numbers: dict[bytes, int]
     words: np.ndarray
     begin: np.ndarray
     items: list
@@ -55,25 +42,28 @@ class Seeds:
 
 
 def hash_at(words: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash under a mask at every position, and whether all of the mask's words are known (not 0)."""
+    """(positions, hashes) under a mask, wherever all words that it hashes are known (not 0)."""
     room = len(words) - span + 1
     if room <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    hashes, known = np.zeros(room, np.uint64), np.ones(room, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    some = words > 0
+    known = some[offsets[0]:offsets[0] + room].copy()
+    for o in offsets[1:]:
+        known &= some[o:o + room]
+    at = np.flatnonzero(known)
+    hashes = np.zeros(len(at), np.uint64)
     for o in offsets:
-        part = words[o:o + room]
-        known &= part > 0
-        hashes = (hashes ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes = (hashes ^ words[at + o].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         hashes ^= hashes >> np.uint64(29)
-    return hashes, known
+    return at, hashes
 
 
 def build_seeds(tests: list[tuple[object, str]]) -> Seeds:
     """Tables of a block of tests. A test shorter than the masks adds a mask of its own length."""
-    numbers: dict[str, int] = {}
+    numbers: dict[bytes, int] = {}
     rows, items = [], []
     for item, text in tests:
-        words = words_of(text or "")
+        words = bare_words(text or "")
         if len(words) >= LEAST_WORDS:
             items.append(item)
             rows.append([numbers.setdefault(w, len(numbers) + 1) for w in words])
@@ -89,38 +79,36 @@ def build_seeds(tests: list[tuple[object, str]]) -> Seeds:
     masks, hashes, places, present = [], [], [], []
     for shape in shapes:
         offsets = np.flatnonzero(np.array(list(shape)) == "1")
-        h, known = hash_at(words, offsets, len(shape))
-        at = np.flatnonzero(known)
+        at, h = hash_at(words, offsets, len(shape))
         if len(shape) < min(map(len, MASKS)):
-            whole = [b for b, row in zip(begin, rows) if len(row) == len(shape)]
-            at = at[np.isin(at, whole)]
-        order = at[np.argsort(h[at], kind="stable")]
+            whole = np.isin(at, [b for b, row in zip(begin, rows) if len(row) == len(shape)])
+            at, h = at[whole], h[whole]
+        order = np.argsort(h, kind="stable")
         masks.append((offsets, len(shape)))
         hashes.append(h[order])
-        places.append(order)
+        places.append(at[order])
         table = np.zeros(1 << TABLE_BITS, dtype=bool)
-        table[(h[order] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+        table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         present.append(table)
     return Seeds(numbers, words, np.array([*begin, len(flat)], dtype=np.int64), items, masks, hashes, places, present)
 
 
 def candidates(words: np.ndarray, seeds: Seeds) -> np.ndarray:
-    """Distinct (item, shift) of all seed hits; shift is the text's position less the table's."""
+    """Distinct (item, shift, a position) of all seed hits; shift is the text's position less the table's."""
     found = []
     for (offsets, span), hashes, places, present in zip(seeds.masks, seeds.hashes, seeds.places, seeds.present):
-        h, known = hash_at(words, offsets, span)
-        if not len(h) or not len(hashes):
-            continue
-        at = np.flatnonzero(known & present[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+        at, h = hash_at(words, offsets, span)
+        near = present[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+        at, h = at[near], h[near]
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
         count = high - low
         if not count.sum():
             continue
         text_at = np.repeat(at, count)
         table_at = places[np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
         item = np.searchsorted(seeds.begin, table_at, "right") - 1
-        found.append(np.stack([item, text_at - table_at], axis=1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        found.append(np.stack([item, text_at - table_at, text_at], axis=1))
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
 def verified(words: np.ndarray, seeds: Seeds, item: int, shift: int, window: int, share: float):
@@ -150,23 +138,43 @@ def verified(words: np.ndarray, seeds: Seeds, item: int, shift: int, window: int
     return at + start, at + end, first + start, first + end, int(sums[end] - sums[start])
 
 
-def text_overlaps(text: str, number, seeds: Seeds, window: int, share: float) -> dict[int, tuple]:
-    """Per test the overlap with the most equal words (then the earliest) in one text."""
-    words = np.fromiter((n for n in map(number, text.lower().split()) if n >= 0), np.int64)
-    best: dict[int, tuple] = {}
-    for item, shift in candidates(words, seeds).tolist():
-        got = verified(words, seeds, item, shift, window, share)
-        if got and (item not in best or (-got[4], got[0]) < (-best[item][4], best[item][0])):
-            best[item] = got
-    return best
+def batch_overlaps(texts: list[str], seeds: Seeds, window: int, share: float) -> list[tuple]:
+    """(row, test, text from, text to, test from, test to, equal words) over a batch of texts.
 
-
-def numbering(seeds: Seeds) -> Memo:
-    """Raw word to its number: 0 for a word in no test, -1 for what is no word."""
-    def number(raw: str) -> int:
-        word = bare(raw)
-        return seeds.numbers.get(word, 0) if word else -1
-    return Memo(number)
+    Per text and test the overlap with the most equal words, then the earliest. Texts are hashed
+    in runs of about ``RUN`` words, parted by gaps that no mask bridges.
+    """
+    number = seeds.numbers.get
+    out, run, begin, size = [], [], [], GAP
+
+    def flush():
+        words = np.array([n for row in run for n in (*([0] * GAP), *row)] + [0] * GAP, dtype=np.int64)
+        starts = np.array(begin, dtype=np.int64)
+        best: dict[tuple[int, int], tuple] = {}
+        hits = candidates(words, seeds)
+        owner = np.searchsorted(starts, hits[:, 2], "right") - 1
+        for at, item, shift in np.unique(np.stack([owner, hits[:, 0], hits[:, 1]], axis=1), axis=0).tolist():
+            start = int(starts[at])
+            text = words[start:start + len(run[at])]
+            got = verified(text, seeds, item, shift - start, window, share)
+            key = (rows[at], item)
+            if got and (key not in best or (-got[4], got[0]) < (-best[key][4], best[key][0])):
+                best[key] = got
+        out.extend((*key, *got) for key, got in sorted(best.items()))
+
+    rows = []
+    for i, text in enumerate(texts):
+        numbers = [number(w, 0) for w in bare_words(text)]
+        rows.append(i)
+        begin.append(size)
+        run.append(numbers)
+        size += len(numbers) + GAP
+        if size >= RUN:
+            flush()
+            run, begin, rows, size = [], [], [], GAP
+    if run:
+        flush()
+    return out
 
 
 def _blocks(tests: DataFrame, key: str, text: str, block_words: int):
@@ -188,7 +196,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
              window: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, item, word_start, word_end, item_start, item_end, matched) of every overlap of a text with a test.
 
-    Words are lower-cased and bare of outer punctuation. Every position of every text and test is
+    Words are lower-cased and parted by white space and ASCII marks. Every position of every text and test is
     hashed under fixed masks that skip some words, equal hashes are met, and the texts are laid
     over each other there: an overlap needs ``window`` words in a row (or the whole test, if
     shorter) of which ``share`` agree. One row per text and test: the overlap with most equal
@@ -209,11 +217,9 @@ def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
 
         def scan(batches, sent=sent):
             seeds = build_seeds(sent.value)
-            number = numbering(seeds).__getitem__
             for batch in batches:
-                out = []
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    out += [(k, seeds.items[i], *got) for i, got in text_overlaps(t.as_py(), number, seeds, window, share).items()]
+                keys = batch.column(0).to_pylist()
+                out = [(keys[row], seeds.items[i], *got) for row, i, *got in batch_overlaps(batch.column(1).to_pylist(), seeds, window, share)]
                 columns = list(zip(*out)) if out else [[] for _ in schema]
                 kinds = [batch.schema.field(0).type, *[to_arrow_type(f.dataType) for f in schema[1:]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=schema.names)
@@ -241,8 +247,9 @@ def without_tests(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
 def _clean(sent, window: int, share: float):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         seeds = build_seeds(sent.value)
-        number = numbering(seeds).__getitem__
         for texts in parts:
-            yield texts.map(lambda t: not text_overlaps(t, number, seeds, window, share)).astype(bool)
+            kept = np.ones(len(texts), dtype=bool)
+            kept[[row for row, *_ in batch_overlaps(texts.tolist(), seeds, window, share)]] = False
+            yield pd.Series(kept)
 
     return clean
