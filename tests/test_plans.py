@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
@@ -133,3 +134,54 @@ def test_bulk_plans_keep_every_hard_limit(spark):
     assert stops.groupBy("plan_id", "id").count().where("count > 1").count() == 0
     late = Q.order_failures(stops.withColumn("place_id", F.col("id")))
     assert late.count() == 0
+
+
+def test_stream_limiter_on_unordered_rows(spark, tmp_path):
+    """Rows in hashed file order, more of a key than an Arrow chunk holds, in one and in many batches."""
+    from trailgrid.streaming import flows as S
+
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), (F.col("id") % 3).alias("ip"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 7_300_000 + F.pmod(F.xxhash64("id"), F.lit(5_000_000))).alias("ts"),
+    )
+    events.orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(str(tmp_path / "a" / "log.parquet"))
+    log = spark.read.parquet(str(tmp_path / "a" / "log.parquet"))
+    limits = ((4, 60), (40, 86_400))
+    expected = {r.event_id: (r.accepted, r.retry_after) for r in L.limit_requests(log, limits).collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "a" / "log.parquet"))
+        got = S.drain(L.limit_stream(stream, limits, "10 seconds"), "limited").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    newest = log.agg(F.max(F.unix_millis("ts"))).first()[0]
+    settled = {r.event_id for r in log.where(F.unix_micros("ts") < (newest - 10_000) * 1_000).collect()}
+    assert {r.event_id: (r.accepted, r.retry_after) for r in got} == {k: v for k, v in expected.items() if k in settled}
+
+
+def test_question_is_answered_again_an_hour_after_the_last_answer(spark):
+    from trailgrid.streaming import flows as S
+
+    minutes = [0, 30, 59, 60, 61, 119, 121, 300]
+    rows = [(n, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=m), 13.701, -89.2, dt.date(2025, 1, 1), None) for n, m in enumerate(minutes)]
+    asked = spark.createDataFrame(rows, "event_id long, ts timestamp, lat double, lon double, from_day date, to_day date")
+    assert sorted(r.event_id for r in S.answered_once(asked).collect()) == [0, 3, 6, 7]
+
+
+def test_catalogue_load_goes_on_after_a_restart(spark, tmp_path):
+    from trailgrid.streaming import flows as S
+
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+    landing.mkdir()
+
+    def land(name, ids):
+        elements = ",".join('{"type":"node","id":%d,"lat":13.7,"lon":-89.2,"tags":{"name":"Lugar %d","tourism":"museum"}}' % (i, i) for i in ids)
+        (landing / name).write_text('{"elements":[%s]}' % elements)
+
+    land("a.json", range(10))
+    assert S.load_incrementally(spark, str(landing), store, buckets=4).count() == 10
+    assert S.load_incrementally(spark, str(landing), store, buckets=4).count() == 10
+    land("b.json", range(8, 15))
+    assert S.load_incrementally(spark, str(landing), store, buckets=4).count() == 15
+    assert S.load_incrementally(spark, str(landing), store, buckets=4).select("osm_id").distinct().count() == 15

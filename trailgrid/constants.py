@@ -1,5 +1,7 @@
 """Fixed values the results depend on: word lists, tables, limits and patterns."""
 
+import math
+
 # ---------------------------------------------------------------- fixed values
 EARTH_RADIUS_KM = 6371.0088
 
@@ -212,14 +214,19 @@ WMO = {
 WEATHER_HORIZON_DAYS = 16
 SEA_HORIZON_DAYS = 7
 KEY_DECIMALS = 2
+ANSWER_SECONDS = 3600
 COMPASS = (
     "del norte", "del noreste", "del este", "del sureste",
     "del sur", "del suroeste", "del oeste", "del noroeste",
 )
 
 # --- sun
-J2000 = 2451545.0
-HORIZON_DEG = -0.833
+# Spencer's series (1971): a constant, then (cosine, sine) at one, two ... times the angle of the year;
+# the declination in radians, the equation of time in minutes.
+YEAR_ANGLE = 2 * math.pi / 365
+DECLINATION = (0.006918, (-0.399912, 0.070257), (-0.006758, 0.000907), (-0.002697, 0.00148))
+TIME_EQUATION = (0.0171885, (0.42810824, -7.35140686), (-3.3494657, -9.36177382))
+SUNSET_ZENITH = math.radians(90.833)
 UTC_OFFSET_HOURS = -6
 
 # --- calendar words

@@ -7,63 +7,48 @@ from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 
-DAY = "(mo|tu|we|th|fr|sa|su)"
-TWO_DAYS = rf"^{DAY}\s*-\s*{DAY}$"
-SPAN = r"^(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})$"
+DAYS = ("mo", "tu", "we", "th", "fr", "sa", "su")
+_DAY, _TIME = f"(?:{'|'.join(DAYS)})", r"\d{1,2}:\d{2}"
+#: The grammar's words: a day or range of days, a shift that ends its list entry, a closing word.
+TOKEN = rf"{_DAY}(?:\s*-\s*{_DAY})?|(?<=^|[,\sa-z]){_TIME}\s*-\s*{_TIME}(?=\s*(?:,|$))|(?:off|closed)$"
+EVERY_DAY = 2 ** len(DAYS) - 1
 
 
-def _day(word: Column) -> Column:
-    """Monday 0 … Sunday 6."""
-    return (F.instr(F.lit("mo tu we th fr sa su"), word) - 1) / 3
+def _day_bits(token: Column) -> Column:
+    """The days of a token as bits, Monday the lowest; a range may run over the week's end."""
+    bit = F.create_map(*[F.lit(x) for n, d in enumerate(DAYS) for x in (d, 2 ** n)])
+    first, last = bit[F.left(token, F.lit(2))], bit[F.right(token, F.lit(2))]
+    through = 2 * last - first
+    return F.when(last >= first, through).otherwise(EVERY_DAY + through)
 
 
-def _days(text: Column) -> Column:
-    """The days a rule names; every day for none, null when a word is not a day."""
-    words = F.filter(F.split(F.regexp_replace(text, r"\s*-\s*", "-"), r"[,\s]+"), lambda w: w != "")
+def _shift(token: Column) -> Column:
+    """struct(opens, closes) minutes of a shift, past midnight after 1440; null where no clock shows them."""
+    n = F.transform(F.regexp_extract_all(token, F.lit(r"(\d+)")), lambda x: x.cast("int"))
+    opens, closes = 60 * n[0] + n[1], 60 * n[2] + n[3]
+    shown = (F.greatest(n[0], n[2]) <= 24) & (F.greatest(n[1], n[3]) <= 59) & (opens != closes)
+    return F.when(shown, F.struct(opens.alias("opens"), (closes + F.when(closes < opens, K.DAY_MIN).otherwise(0)).alias("closes")))
 
-    def span(word: Column) -> Column:
-        first = _day(F.substring(word, 1, 2)).cast("int")
-        last = _day(F.substring(word, -2, 2)).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda k: F.pmod(first + k, F.lit(7)))
 
-    known = F.forall(words, lambda w: w.rlike(rf"^{DAY}(-{DAY})?$"))
-    every = F.sequence(F.lit(0), F.lit(6))
-    return F.when(F.size(words) == 0, every).when(known, F.array_distinct(F.flatten(F.transform(words, span))))
+def read_rules(texts: DataFrame, column: str) -> DataFrame:
+    """(column, n, days, shifts): every readable rule of each text, ``days`` as bits, no shifts for closed.
 
-
-def _spans(text: Column) -> Column:
-    """Shifts of a rule as struct(opens, closes) minutes; a shift past midnight closes after 1440."""
-
-    def span(part: Column) -> Column:
-        n = [F.regexp_extract(part, SPAN, i).try_cast("int") for i in (1, 2, 3, 4)]
-        opens, closes = n[0] * 60 + n[1], n[2] * 60 + n[3]
-        good = (n[0] <= 24) & (n[2] <= 24) & (n[1] <= 59) & (n[3] <= 59) & (opens != closes)
-        return F.when(
-            good,
-            F.struct(opens.alias("opens"), F.when(closes < opens, closes + K.DAY_MIN).otherwise(closes).alias("closes")),
-        )
-
-    parts = F.transform(F.split(text, ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return F.filter(F.transform(parts, span), lambda s: s.isNotNull())
-
-
-def _rule(rule: Column) -> Column:
-    """struct(days, spans) of one rule, or null when it cannot be read."""
-    head = F.regexp_extract(rule, r"^(.*?)(\d{1,2}:\d{2}.*)$", 1)
-    tail = F.regexp_extract(rule, r"^(.*?)(\d{1,2}:\d{2}.*)$", 2)
-    timed = tail != ""
-    spans = _spans(tail)
-    days = _days(F.regexp_replace(F.trim(head), r"[,\s]+$", ""))
-    closing = F.when(rule.rlike(r"(off|closed)$"), _days(F.trim(F.regexp_replace(rule, r"(\s\S*|^\S*)$", ""))))
-    none = F.slice(spans, 1, 0)
-    return F.when(
-        timed & days.isNotNull() & (F.size(spans) > 0), F.struct(days.alias("days"), spans.alias("spans"))
-    ).when(~timed & closing.isNotNull(), F.struct(closing.alias("days"), none.alias("spans")))
-
-
-def _clean(text) -> Column:
-    text = F.col(text) if isinstance(text, str) else text
-    return F.trim(F.lower(F.translate(text, K.DASHES, "-" * len(K.DASHES))))
+    A rule is cut into tokens in one pass. It is readable if nothing but separators stands between
+    them ahead of its first time, and if it has a shift or ends in a closing word; a rule without
+    days is for all of them.
+    """
+    entry = rf";|,(?=\s*{_DAY}\b)"
+    plain = F.trim(F.lower(F.translate(F.col(column), K.DASHES, "-" * len(K.DASHES))))
+    rules = texts.select(column, F.posexplode(F.split(plain, entry)).alias("n", "rule")).withColumn("rule", F.regexp_replace("rule", r"^\s+|\s+$", ""))
+    tokens = rules.withColumn("tokens", F.regexp_extract_all("rule", F.lit(TOKEN), F.lit(0)))
+    named = F.filter("tokens", lambda t: F.substring(t, 1, 2).isin(*DAYS))
+    timed = F.filter(F.transform(F.filter("tokens", lambda t: t.rlike(r"^\d")), _shift), lambda s: s.isNotNull())
+    ahead = F.regexp_replace(F.regexp_replace("rule", rf"{_TIME}.*$|(off|closed)$", ""), rf"{_DAY}(\s*-\s*{_DAY})?(?![a-z])|[,\s]", "")
+    closed = F.element_at("tokens", -1).isin("off", "closed") & ~F.rlike("rule", F.lit(_TIME))
+    bits = F.when(F.size(named) == 0, EVERY_DAY).otherwise(F.aggregate(named, F.lit(0), lambda acc, t: acc.bitwiseOR(_day_bits(t))))
+    return tokens.where("size(tokens) > 0").where((ahead == "") & ((F.size(timed) > 0) | closed)).select(
+        column, "n", bits.alias("days"), timed.alias("shifts")
+    )
 
 
 def parse_hours(texts: DataFrame, column: str = "opening_hours") -> DataFrame:
@@ -72,31 +57,28 @@ def parse_hours(texts: DataFrame, column: str = "opening_hours") -> DataFrame:
     Later rules replace the days of earlier ones, unreadable rules are skipped, and a text
     without a readable rule has a null ``open``: nobody knows.
     """
-    rules = F.transform(
-        F.split("_clean", rf";|,(?=\s*{DAY}\b)"), lambda r: F.regexp_replace(r, r"^\s+|\s+$", "")
+    distinct = texts.select(column).where(F.col(column).isNotNull()).distinct()
+    by_day = (
+        read_rules(distinct, column).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(len(DAYS) - 1))))
+        .where(F.getbit(F.col("days"), F.col("day")) == 1)
+        .groupBy(column, "day").agg(F.max_by("shifts", "n").alias("shifts"))
     )
-    parsed = (
-        texts.select(column).where(F.col(column).isNotNull()).distinct()
-        .withColumn("_clean", _clean(column))
-        .withColumn("_rules", F.filter(F.transform(F.filter(rules, lambda r: r != ""), _rule), lambda r: r.isNotNull()))
-    )
-
-    def of_day(d: Column) -> Column:
-        last = F.try_element_at(F.filter("_rules", lambda r: F.array_contains(r["days"], d)), F.lit(-1))
-        return F.transform(
-            F.coalesce(last["spans"], F.array().cast("array<struct<opens:int,closes:int>>")),
-            lambda s: F.struct((d * K.DAY_MIN + s["opens"]).alias("opens"), (d * K.DAY_MIN + s["closes"]).alias("closes")),
-        )
-
-    week = F.array_sort(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(6)), of_day))))
+    moved = F.transform("shifts", lambda s: F.struct(*[(F.col("day") * K.DAY_MIN + s[x]).alias(x) for x in ("opens", "closes")]))
+    weeks = by_day.groupBy(column).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(moved)))).alias("week"))
     always = F.array(F.struct(F.lit(0).alias("opens"), F.lit(K.WEEK_MIN).alias("closes")))
-    hours = F.when(F.col("_clean").isin(*K.ALWAYS_OPEN), always).when(F.size("_rules") > 0, week)
-    return parsed.select(column, hours.alias("open"))
+    plain = F.trim(F.lower(F.translate(F.col(column), K.DASHES, "-" * len(K.DASHES))))
+    return distinct.join(weeks, column, "left").select(column, F.when(plain.isin(*K.ALWAYS_OPEN), always).otherwise(F.col("week")).alias("open"))
 
 
 def with_hours(rows: DataFrame, column: str = "opening_hours") -> DataFrame:
-    """``rows`` with the parsed ``open`` array of their text; each distinct text is read once."""
-    return rows.join(parse_hours(rows, column), column, "left")
+    """``rows`` with the parsed ``open`` array of their text; each distinct text is read once.
+
+    Rows without a text, usually the most, are not joined: they would all be one key.
+    """
+    parsed = parse_hours(rows, column)
+    known = rows.where(F.col(column).isNotNull()).join(parsed, column, "left").select(*rows.columns, "open")
+    kind = parsed.schema["open"].dataType
+    return known.unionByName(rows.where(F.col(column).isNull()).withColumn("open", F.lit(None).cast(kind)))
 
 
 def merge_runs(intervals: Column) -> Column:

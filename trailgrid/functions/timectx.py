@@ -13,24 +13,26 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _wave(terms, angle: Column) -> Column:
+    """Sum of (cosine, sine) terms at one, two, three ... times an angle, a constant first."""
+    total = F.lit(terms[0])
+    for n, (cosine, sine) in enumerate(terms[1:], start=1):
+        total = total + cosine * F.cos(n * angle) + sine * F.sin(n * angle)
+    return total
+
+
 def sunset_minute(date, lat, lon, utc_offset: float = K.UTC_OFFSET_HOURS) -> Column:
-    """Local minute of the day the sun sets; null on days it does not."""
-    date, lat, lon = _c(date), _c(lat), _c(lon)
-    midnight = F.datediff(date, F.lit("1970-01-01").cast("date")) + 2440587.5
-    west = -lon
-    cycle = F.bround(midnight - K.J2000 + 0.0009 - west / 360.0, 0)
-    noon = F.lit(K.J2000 + 0.0009) + west / 360.0 + cycle
-    anomaly = F.radians(F.pmod(357.5291 + 0.98560028 * (noon - K.J2000), F.lit(360.0)))
-    centre = 1.9148 * F.sin(anomaly) + 0.0200 * F.sin(2 * anomaly) + 0.0003 * F.sin(3 * anomaly)
-    ecliptic = F.radians(F.pmod(F.degrees(anomaly) + centre + 180 + 102.9372, F.lit(360.0)))
-    transit = noon + 0.0053 * F.sin(anomaly) - 0.0069 * F.sin(2 * ecliptic)
-    tilt = F.asin(F.sin(ecliptic) * F.sin(F.radians(F.lit(23.4397))))
-    cosine = (F.sin(F.radians(F.lit(K.HORIZON_DEG))) - F.sin(F.radians(lat)) * F.sin(tilt)) / (
-        F.cos(F.radians(lat)) * F.cos(tilt)
-    )
-    sunset = transit + F.degrees(F.acos(cosine)) / 360.0
-    share = F.pmod(sunset - midnight + utc_offset / 24.0, F.lit(1.0))
-    return F.when(cosine.between(-1, 1), (F.bround(share * K.DAY_MIN, 0) % K.DAY_MIN).cast("int"))
+    """Local minute of the day the sun sets; null on days it does not.
+
+    Declination and equation of time are Fourier series in the angle of the year, taken at six in
+    the evening; the hour angle at which the upper rim meets the horizon gives the minute.
+    """
+    date, lat, lon = _c(date), F.radians(_c(lat)), _c(lon)
+    year = (F.dayofyear(date) - 1 + (6 - utc_offset) / 24) * K.YEAR_ANGLE
+    decline = _wave(K.DECLINATION, year)
+    reach = F.cos(F.lit(K.SUNSET_ZENITH)) / (F.cos(lat) * F.cos(decline)) - F.tan(lat) * F.tan(decline)
+    minute = 720 + 60 * utc_offset - 4 * lon + 4 * F.degrees(F.acos(reach)) - _wave(K.TIME_EQUATION, year)
+    return F.when(F.abs(reach) <= 1, F.pmod(F.bround(minute, 0), F.lit(K.DAY_MIN)).cast("int"))
 
 
 def minute_of_week(date, minute) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.session import run_folder
 from trailgrid.sources import keyed, osm
+from trailgrid.streaming import limits
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -39,10 +40,26 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{batches[-1]}")
 
 
-def answered_once(requests: DataFrame, decimals: int = K.KEY_DECIMALS) -> DataFrame:
-    """The first of the equal questions (rounded point and dates) within an hour."""
-    key = requests.withColumns({"lat": F.bround("lat", decimals), "lon": F.bround("lon", decimals)})
-    return key.withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["lat", "lon", "from_day", "to_day"])
+def _questions(requests: DataFrame, decimals: int) -> DataFrame:
+    """Requests with rounded points, and their question as one text."""
+    asked = requests.withColumns({"lat": F.bround("lat", decimals), "lon": F.bround("lon", decimals)})
+    return asked.withColumn("ip", F.to_json(F.struct("lat", "lon", "from_day", "to_day"), {"ignoreNullFields": "false"}))
+
+
+def answered_once(requests: DataFrame, decimals: int = K.KEY_DECIMALS, seconds: int = K.ANSWER_SECONDS) -> DataFrame:
+    """The questions (rounded point and dates) that are answered anew: none within an hour of the last answer.
+
+    The hour counts from the last answer, not from the last question, so this is a limit of one
+    accepted request per hour and question.
+    """
+    asked = _questions(requests, decimals)
+    answered = limits.limit_requests(asked, ((1, seconds),)).where("accepted").select("event_id")
+    return asked.drop("ip").join(answered, "event_id", "left_semi")
+
+
+def answers(requests: DataFrame, decimals: int = K.KEY_DECIMALS, seconds: int = K.ANSWER_SECONDS, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream: (event_id, ts) of the answered questions, in event time, once the watermark has passed them."""
+    return limits.limit_stream(_questions(requests, decimals), ((1, seconds),), delay).where("accepted").select("event_id", "ts")
 
 
 def phase_log(events: DataFrame) -> DataFrame:
@@ -68,27 +85,61 @@ def never_opened(shared: DataFrame, log: DataFrame, before: Column) -> DataFrame
     return shared.where(F.col("created_at") < before).join(log.select("code").distinct(), "code", "left_anti")
 
 
-def load_incrementally(spark: SparkSession, landing: str, store: str) -> DataFrame:
+def stored_versions(spark: SparkSession, store: str) -> dict[int, str]:
+    """Path of every bucket's newest version in a store; a version counts once its batch was written whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, tuple[int, str]] = {}
+    for status in files.listStatus(path) if files.exists(path) else []:
+        name = status.getPath().getName()
+        if not (name.startswith("v") and name[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/_SUCCESS"))):
+            continue
+        for part in files.listStatus(status.getPath()):
+            label = part.getPath().getName()
+            if label.startswith("bucket="):
+                bucket = int(label.split("=")[1])
+                newest[bucket] = max(newest.get(bucket, (-1, "")), (int(name[1:]), f"{store}/{name}/{label}"))
+    return {bucket: path for bucket, (_, path) in newest.items()}
+
+
+def stored_catalogue(spark: SparkSession, store: str, buckets=None) -> DataFrame | None:
+    """The catalogue as the last whole batch left it, all of it or some buckets; None where nothing is stored."""
+    paths = [p for b, p in stored_versions(spark, store).items() if buckets is None or b in buckets]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def load_incrementally(spark: SparkSession, landing: str, store: str, buckets: int = 64) -> DataFrame:
     """Judge the element files that arrived and upsert them batch by batch; returns the catalogue.
 
-    Every batch writes a new version folder from the previous one, so a failed batch can run again.
+    The store holds a folder per batch with the key buckets that the batch touched; a bucket's
+    newest whole version holds. A batch reads and writes only its own buckets, what it starts from
+    is found in the store itself, so a job that is stopped and started again goes on from there,
+    and a batch that failed half-way is written again.
     """
     batches = spark.readStream.schema(osm.BATCH).json(landing)
-    versions: list[str] = []
+    key = ["osm_type", "osm_id"]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         arrived = osm.verdicts(batch.select(F.inline("elements"))).withColumns(
             {"load": F.lit(batch_id), "tags": F.to_json("tags")}
         )
-        target = f"{store}/v{batch_id}"
-        rows = spark.read.parquet(versions[-1]) if versions else arrived.limit(0)
-        keyed.upsert(rows, arrived, ["osm_type", "osm_id"], "load").write.mode("overwrite").parquet(target)
-        if target not in versions:
-            versions.append(target)
+        placed = arrived.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
+        stored = stored_catalogue(spark, store, touched)
+        fresh = placed.drop("bucket")
+        merged = keyed.upsert(fresh.limit(0) if stored is None else stored.select(*fresh.columns), fresh, key, "load")
+        if touched:
+            bucketed = merged.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+            bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{batch_id}")
+        placed.unpersist()
 
     writer = batches.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True)
     writer.foreachBatch(merge).start().awaitTermination()
-    return spark.read.parquet(versions[-1])
+    found = stored_catalogue(spark, store)
+    if found is not None:
+        return found
+    empty = spark.createDataFrame([], osm.BATCH).select(F.inline("elements"))
+    return osm.verdicts(empty).withColumns({"load": F.lit(0), "tags": F.to_json("tags")})
 
 
 def daily_rain(rows: DataFrame) -> DataFrame:

@@ -14,47 +14,55 @@ from trailgrid import constants as K
 DECISIONS = "key string, event_id bigint, ts timestamp, accepted boolean, retry_after int"
 
 
-def _decide(limits: tuple) -> callable:
-    """A function that judges one request time against the accepted times of its key.
+def _referee(limits: tuple):
+    """(start, judge): queues per limit from earlier accepts, and the decision on the next time.
 
-    Defined inside so that workers get it by value.
+    A limit of n per period needs only the n latest accepts, oldest first: there is room if there
+    are fewer, or if the oldest has left the period. Rejected times leave no trace. Both are
+    defined inside so that workers get them by value.
     """
-    longest = max(seconds for _, seconds in limits)
-
-    def decide(marks: list, now: float) -> tuple[bool, int]:
-        while marks and marks[0] <= now - longest:
-            marks.pop(0)
-        for allowed, seconds in limits:
-            inside = [m for m in marks if m > now - seconds]
-            if len(inside) >= allowed:
-                return False, max(1, int(inside[-allowed] + seconds - now) + 1)
-        marks.append(now)
+    from collections import deque
+
+    def start(accepted=()):
+        return [deque(accepted, maxlen=most) for most, _ in limits]
+
+    def judge(queues, now: float) -> tuple[bool, int]:
+        for queue, (most, period) in zip(queues, limits):
+            if len(queue) == most and now - queue[0] < period:
+                return False, int(period - (now - queue[0])) + 1
+        for queue in queues:
+            queue.append(now)
         return True, 0
 
-    return decide
+    return start, judge
 
 
 def limit_requests(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
     """Each request of a batch log with its decision; rejected attempts are not counted.
 
-    Rows arrive sorted by key and time, so a task holds the accepted times of one key at a
-    time (as many as the largest limit) and streams through a hot key of any size.
+    Where a key rests for the longest period nothing before matters, so its rows are cut into
+    parts there, and parts are judged apart. Within one, rows come in time order, and a task holds
+    only as many accepted times as the largest limit allows.
     """
-    decide = _decide(tuple(limits))
+    start, decide = _referee(tuple(limits))
     rows = log.select(
         F.col("ip").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"),
     )
-    ordered = rows.repartition("key").sortWithinPartitions("key", "ts", "event_id")
+    longest = max(period for _, period in limits)
+    in_order = Window.partitionBy("key").orderBy("at", "event_id")
+    rested = F.coalesce(F.col("at") - F.lag("at").over(in_order) >= longest, F.lit(True))
+    parts = rows.withColumn("part", F.sum(rested.cast("long")).over(in_order))
+    ordered = parts.repartition("key", "part").sortWithinPartitions("key", "part", "at", "event_id")
 
     def judge(batches):
-        current, marks = None, []
+        current, queues = None, start()
         for batch in batches:
             accepted, waits = [], []
-            for key, at in zip(batch["key"], batch["at"]):
-                if key != current:
-                    current, marks = key, []
-                good, wait = decide(marks, at)
+            for key, part, at in zip(batch["key"], batch["part"], batch["at"]):
+                if (key, part) != current:
+                    current, queues = (key, part), start()
+                good, wait = decide(queues, at)
                 accepted.append(good)
                 waits.append(wait)
             yield batch[["key", "event_id", "ts"]].assign(accepted=accepted, retry_after=waits)
@@ -62,33 +70,47 @@ def limit_requests(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
     return ordered.mapInPandas(judge, DECISIONS)
 
 
-def limit_stream(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
-    """The same decisions on a stream; the state of a key is its accepted times and expires."""
-    decide = _decide(tuple(limits))
-    longest_ms = max(seconds for _, seconds in limits) * 1_000
+def limit_stream(log: DataFrame, limits=K.PLAN_LIMITS, delay: str = "10 minutes") -> DataFrame:
+    """The same decisions on a stream whose rows arrive in any order within ``delay``.
+
+    A row waits in its key's state until the watermark has passed it; then it is judged after all
+    earlier ones, whatever batch or chunk they came in, so the decisions are those of
+    ``limit_requests``. Rows later than the watermark are dropped. A key's state is its waiting
+    rows and its latest accepts, and goes when the longest period has passed.
+    """
+    start, decide = _referee(tuple(limits))
+    most, longest_ms = max(n for n, _ in limits), max(period for _, period in limits) * 1_000
     rows = log.select(
         F.col("ip").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts")
-    ).withWatermark("ts", "1 hour")
+    ).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
 
     def judge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        accepted, times, ids = (list(x) for x in state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                times += batch["at"].tolist()
+                ids += batch["event_id"].tolist()
+        passed = state.getCurrentWatermarkMs()
+        rows = sorted(zip(times, ids))
+        ready = [row for row in rows if row[0] < passed * 1_000]
+        waiting = rows[len(ready):]
+        queues = start(accepted)
+        said = [decide(queues, at / 1e6) for at, _ in ready]
+        accepted = list(max(queues, key=lambda q: q.maxlen))
+        wake = waiting[0][0] // 1_000 + 1 if waiting else int(accepted[-1] * 1_000) + longest_ms if accepted else 0
+        if waiting or wake > passed:
+            state.update((accepted[-most:], [at for at, _ in waiting], [n for _, n in waiting]))
+            state.setTimeoutTimestamp(max(wake, passed + 1))
+        elif state.exists:
             state.remove()
-            return
-        marks = list(state.get[0]) if state.exists else []
-        latest = 0.0
-        for batch in batches:
-            batch = batch.sort_values(["ts", "event_id"])
-            seconds = batch["ts"].astype("int64") / (1e9 if str(batch["ts"].dtype).find("[ns") >= 0 else 1e6)
-            decisions = [decide(marks, at) for at in seconds]
-            latest = max(latest, float(seconds.max()))
-            yield batch[["key", "event_id", "ts"]].assign(
-                accepted=[d[0] for d in decisions], retry_after=[d[1] for d in decisions]
-            )
-        state.update((marks,))
-        state.setTimeoutTimestamp(max(int(latest * 1000) + longest_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({
+            "key": [key[0]] * len(ready), "event_id": [n for _, n in ready],
+            "ts": pd.to_datetime([at for at, _ in ready], unit="us"),
+            "accepted": [good for good, _ in said], "retry_after": [wait for _, wait in said],
+        })
 
     return rows.groupBy("key").applyInPandasWithState(
-        judge, DECISIONS, "marks array<double>", "append", GroupStateTimeout.EventTimeTimeout
+        judge, DECISIONS, "accepted array<double>, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -49,13 +49,29 @@ def str_2(fx):
     return L.quota_ledger(calls, 60).select("event_id", "endpoint", "own_remaining", "remaining")
 
 
-@query("str_3")
+ASKED = """SELECT event_id, ts, user_id % 20 AS cell, CAST(ts AS DATE) AS from_day FROM events"""
+ANSWERED = f"""WITH RECURSIVE q AS (SELECT *, round_even(13.0e0 + cell/300e0, 2) AS lat, round_even(-89.0e0 + cell/300e0, 2) AS lon, epoch_us(ts) AS tick FROM ({ASKED})),
+g AS (SELECT lat, lon, from_day, tick, min(event_id) AS event_id FROM q GROUP BY lat, lon, from_day, tick),
+n AS (SELECT *, min(tick) OVER (PARTITION BY lat, lon, from_day ORDER BY tick RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM g),
+a AS (SELECT n.* FROM n JOIN (SELECT lat, lon, from_day, min(tick) AS tick FROM n GROUP BY lat, lon, from_day) f USING (lat, lon, from_day, tick)
+UNION ALL SELECT n.* FROM a JOIN n ON n.lat = a.lat AND n.lon = a.lon AND n.from_day = a.from_day AND n.tick = a.later)
+SELECT event_id FROM a"""
+
+
+def asked(rows):
+    cell = F.col("user_id") % 20
+    day = F.col("ts").cast("date")
+    return rows.select("event_id", "ts", (13.0 + cell / 300).alias("lat"), (-89.0 + cell / 300).alias("lon"), day.alias("from_day"), F.date_add(day, 2).alias("to_day"))
+
+
+@query("str_3", ANSWERED)
 def str_3(fx):
-    asked = events(fx).select(
-        "event_id", "ts", (13.0 + F.col("user_id") % 20 / 300).alias("lat"), (-89.0 + F.col("user_id") % 20 / 300).alias("lon"),
-        F.col("ts").cast("date").alias("from_day"), F.date_add(F.col("ts").cast("date"), 2).alias("to_day"),
-    )
-    return S.drain(S.answered_once(asked), "answered")
+    return S.answered_once(asked(fx.events)).select("event_id")
+
+
+@query("str_3_stream", f"SELECT event_id FROM ({ANSWERED}) JOIN events USING (event_id) WHERE epoch_us(ts) < epoch_ms((SELECT max(ts) FROM events))*1000 - 600000000")
+def str_3_stream(fx):
+    return S.drain(S.answers(asked(events(fx))), "answered").select("event_id")
 
 
 PHASES = "SELECT event_id, CAST(floor(event_id/3) AS BIGINT) AS request_id, CASE event_id % 3 WHEN 0 THEN 'candidates' WHEN 1 THEN 'draft' ELSE 'plan' END AS phase, ts FROM events WHERE event_id % 13 <> 5"

@@ -22,15 +22,15 @@ def today():
 
 
 def sunset_sql(date: str, lat: str, lon: str) -> str:
-    """Sunset minute in the same steps, as nested selects kept apart by names."""
-    return f"""(SELECT CASE WHEN cosine BETWEEN -1 AND 1 THEN CAST(round_even(((sh % 1) + 1) % 1*1440, 0) AS INTEGER) % 1440 END FROM (
-SELECT cosine, transit + degrees(acos(greatest(-1, least(1, cosine))))/360 - midnight - 0.25e0 AS sh FROM (
-SELECT midnight, transit, (sin(radians(-0.833e0)) - sin(radians({lat}))*sin(tilt))/(cos(radians({lat}))*cos(tilt)) AS cosine FROM (
-SELECT midnight, noon + 0.0053e0*sin(an) - 0.0069e0*sin(2*ec) AS transit, asin(sin(ec)*sin(radians(23.4397e0))) AS tilt FROM (
-SELECT *, radians((degrees(an) + 1.9148e0*sin(an) + 0.0200e0*sin(2*an) + 0.0003e0*sin(3*an) + 180 + 102.9372e0) % 360) AS ec FROM (
-SELECT *, radians((357.5291e0 + 0.98560028e0*(noon - 2451545e0)) % 360) AS an FROM (
-SELECT midnight, 2451545.0009e0 - {lon}/360 + round_even(midnight - 2451545e0 + 0.0009e0 + {lon}/360, 0) AS noon FROM (
-SELECT datediff('day', DATE '1970-01-01', {date}) + 2440587.5e0 AS midnight))))))))"""
+    """Sunset minute from tables of series terms, summed by a query."""
+    def series(terms) -> str:
+        rows = ", ".join(f"({n}, {c}e0, {s}e0)" for n, (c, s) in enumerate(((terms[0], 0.0), *terms[1:])))
+        return f"(SELECT sum(c*cos(n*w.g) + s*sin(n*w.g) ORDER BY n) FROM (VALUES {rows}) t(n, c, s))"
+
+    return f"""(SELECT CASE WHEN abs(h) <= 1 THEN CAST((round_even(720 - 360 - 4*lo + 4*degrees(acos(greatest(-1, least(1, h)))) - eq, 0) % 1440 + 1440) % 1440 AS INTEGER) END FROM (
+SELECT lo, eq, cos(radians(90.833e0))/(cos(la)*cos(de)) - tan(la)*tan(de) AS h FROM (
+SELECT radians({lat}) AS la, {lon} AS lo, {series(K.DECLINATION)} AS de, {series(K.TIME_EQUATION)} AS eq FROM (
+SELECT (dayofyear({date}) - 1 + 0.5e0)*2*pi()/365 AS g) w)))"""
 
 
 @query("time_1", f"SELECT s.plan_id, s.ord, {sunset_sql('s.day', 'p.lat', 'p.lon')} AS sunset FROM stops_fx s JOIN places_fx p ON p.id = s.place_id")
