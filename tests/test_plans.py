@@ -185,3 +185,10 @@ def test_catalogue_load_goes_on_after_a_restart(spark, tmp_path):
     land("b.json", range(8, 15))
     assert S.load_incrementally(spark, str(landing), store, buckets=4).count() == 15
     assert S.load_incrementally(spark, str(landing), store, buckets=4).select("osm_id").distinct().count() == 15
+
+
+def test_share_codes_are_drawn_again_on_a_clash(spark):
+    from trailgrid.sources import keyed
+
+    codes = {r.plan_id: r.code for r in keyed.share_codes(spark.range(12).withColumnRenamed("id", "plan_id"), length=1).collect()}
+    assert len(codes) == 12 and len(set(codes.values())) == 12

@@ -11,7 +11,7 @@ from trailgrid.functions.geo import Grid, haversine_m
 from trailgrid.operators.components import connected_components
 from trailgrid.operators.names import gram_spread, name_grams, rarest_grams
 from trailgrid.operators.range_join import covering_cells
-from trailgrid.operators.skew import SMALL_BYTES, estimated_bytes, hot_keys, split_join
+from trailgrid.operators.skew import hot_keys, split_join
 
 
 def reset_duplicates(places: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def reset_duplicates(places: DataFrame) -> DataFrame:
 CROWDED = 2_000
 
 
-def duplicate_pairs(places: DataFrame, crowded: int | None = None) -> DataFrame:
+def duplicate_pairs(places: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(id, duplicate_of): each active row that a better row with a similar name nearby beats.
 
     Copies share one node per (name, point), which knows the best row on it, so a pile of
@@ -59,13 +59,10 @@ def duplicate_pairs(places: DataFrame, crowded: int | None = None) -> DataFrame:
         covering_cells(losers, grid, "lat", "lon", "radius_m").drop("_whole")
         .withColumn("grams", F.array_distinct(T.trigrams("name")))
     )
-    keys, first_meeting = ["_cell"], F.lit(True)
-    if crowded is not None or estimated_bytes(active) >= SMALL_BYTES:
-        winners, cover = _split_crowded(winners, cover, crowded or CROWDED)
-        keys = ["_cell", "gram"]
-        first_meeting = (F.col("gram") == "") | (F.col("gram") == F.array_min(F.array_intersect("rare", "wgrams")))
+    winners, cover = _split_crowded(winners, cover, crowded)
+    first_meeting = (F.col("gram") == "") | (F.col("gram") == F.array_min(F.array_intersect("rare", "wgrams")))
     met = (
-        split_join(winners, cover, keys, ["wlat", "wlon"])
+        split_join(winners, cover, ["_cell", "gram"], ["wlat", "wlon"])
         .where((F.col("best") > F.col("worst")) & (haversine_m("lat", "lon", "wlat", "wlon") <= F.col("radius_m")))
         .where(first_meeting)
         .where(F.round(T.similarity(F.col("grams"), F.col("wgrams")), 6) >= K.DEDUPE_SIMILARITY)

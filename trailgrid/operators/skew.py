@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
-SMALL_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(frame: DataFrame) -> int:
-    """Catalyst's size estimate; no job runs."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(frame: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -35,17 +29,14 @@ def split_join(
     *,
     how: str = "inner",
     condition=None,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join ``small`` to ``large``, cutting the hot keys of ``large`` by a hash of ``spread``.
 
     Rows of ``small`` are repeated once per part, only for hot keys; with ``how="left"`` every
-    row of ``small`` is kept (once per part). An input whose estimated size fits one task's
-    memory is joined as it is, unless ``hot_rows`` asks for the split. No side carries a
-    broadcast hint: Spark broadcasts only below its own size threshold.
+    row of ``small`` is kept (once per part). The plan is the same at every size. No side carries
+    a broadcast hint: Spark broadcasts only below its own size threshold.
     """
-    if hot_rows is None and estimated_bytes(large) < SMALL_BYTES:
-        return _keyed_join(small, large, keys, how, condition)
     hot = hot_keys(large, keys, hot_rows or HOT_ROWS)
     part = F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")
     cut = large.join(hot, keys, "left").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")

@@ -23,9 +23,9 @@ from trailgrid.session import checkpointed
 DAY = ["plan_id", "day"]
 
 
-def free_candidates(candidates: DataFrame, used: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+def free_candidates(candidates: DataFrame, used: DataFrame, excluded: DataFrame, *keys: str) -> DataFrame:
     """Candidates no other day uses and nobody excluded."""
-    return candidates.join(used.unionByName(excluded).distinct(), [key, "id"], "left_anti")
+    return candidates.join(used.unionByName(excluded).distinct(), [*keys, "id"], "left_anti")
 
 
 def without_avoided(candidates: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.session import checkpointed
 
 REQUEST = (
     "plan_id bigint, days int, start_date date, center_lat double, center_lon double, radius_m int, "
@@ -51,19 +52,37 @@ def restore(stored: DataFrame, dump: DataFrame, keys: list[str], flag: str = "is
     return synced.unionByName(added)
 
 
-def share_code(seed: Column) -> Column:
-    """Ten characters of the share alphabet drawn from a hash of the seed."""
-    digest = F.substring(F.sha2(seed.cast("string"), 256), 1, K.SHARE_LENGTH)
-    return F.translate(digest, "0123456789abcdef", K.SHARE_ALPHABET[:16])
+def share_code(seed: Column, length: int = K.SHARE_LENGTH) -> Column:
+    """``length`` characters of the share alphabet, each drawn by 16 bits of a hash of the seed."""
+    digest = F.sha2(seed.cast("string").cast("binary"), 256)
+    drawn = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") % len(K.SHARE_ALPHABET) for i in range(length)]
+    return F.concat(*[F.substr(F.lit(K.SHARE_ALPHABET), n + 1, F.lit(1)) for n in drawn])
 
 
-def share_plans(stops: DataFrame) -> DataFrame:
-    """(code, payload): each plan as one JSON document under its code."""
+def share_codes(plans: DataFrame, length: int = K.SHARE_LENGTH) -> DataFrame:
+    """(plan_id, code), one code for each plan: the smallest plan keeps a code, others draw again.
+
+    A round groups all codes once; after the first only the few that clashed draw.
+    """
+    drawing = checkpointed(plans.select("plan_id").distinct().withColumn("code", share_code(F.col("plan_id"), length)))
+    settled, attempt = drawing.limit(0), 0
+    while True:
+        pool = settled.withColumn("_new", F.lit(False)).unionByName(drawing.withColumn("_new", F.lit(True)))
+        first = pool.groupBy("code").agg(F.min(F.struct("_new", "plan_id"))["plan_id"].alias("plan_id"))
+        kept = checkpointed(first.select("plan_id", "code"))
+        attempt += 1
+        again = F.concat_ws(":", F.col("plan_id").cast("string"), F.lit(str(attempt)))
+        drawing = checkpointed(drawing.join(kept, ["plan_id", "code"], "left_anti").select("plan_id", share_code(again, length).alias("code")))
+        settled = kept
+        if drawing.isEmpty():
+            return settled
+
+
+def share_plans(stops: DataFrame, length: int = K.SHARE_LENGTH) -> DataFrame:
+    """(code, plan_id, payload): each plan as one JSON document under its code."""
     ordered = F.array_sort(F.collect_list(F.struct("day", "ord", "place_id", "leg_km")))
     plans = stops.groupBy("plan_id").agg(ordered.alias("stops"))
-    return plans.select(
-        share_code(F.col("plan_id")).alias("code"), F.to_json(F.struct("plan_id", "stops")).alias("payload")
-    )
+    return plans.join(share_codes(stops, length), "plan_id").select("code", "plan_id", F.to_json(F.struct("plan_id", "stops")).alias("payload"))
 
 
 def open_shared(codes: DataFrame, shared: DataFrame) -> DataFrame:

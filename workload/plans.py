@@ -279,18 +279,21 @@ def join_23(fx):
 
 
 @query("join_24", """
-WITH c AS (SELECT DISTINCT plan_id, (place_id + 7*k) % 2000 AS id FROM days_fx, (VALUES (0), (1), (2), (3)) t(k) WHERE day = 1)
-SELECT plan_id, id FROM c WHERE NOT EXISTS (SELECT 1 FROM days_fx d WHERE d.plan_id = c.plan_id AND d.place_id = c.id AND d.day <> 1)
+WITH c AS (SELECT DISTINCT plan_id, day, place_id + 7*k AS id FROM days_fx, (VALUES (0), (1), (2), (3)) t(k))
+SELECT plan_id, day, id FROM c WHERE id IN (SELECT id FROM places_fx) AND NOT EXISTS (SELECT 1 FROM days_fx d WHERE d.plan_id = c.plan_id AND d.place_id = c.id AND d.day <> c.day)
 AND NOT EXISTS (SELECT 1 FROM edits_fx e WHERE e.plan_id = c.plan_id AND e.place_id = c.id AND e.op = 'remove')""")
 def join_24(fx):
     from trailgrid.plans.build import free_candidates
 
-    offered = fx.days.where("day = 1").select(
-        "plan_id", F.explode(F.array(*[(F.col("place_id") + 7 * k) % 2000 for k in range(4)])).alias("id")
-    ).distinct()
-    used = fx.days.where("day <> 1").select("plan_id", F.col("place_id").alias("id"))
-    out = fx.edits.where("op = 'remove'").select("plan_id", F.col("place_id").alias("id"))
-    return free_candidates(offered, used, out, "plan_id")
+    days = fx.days.select("plan_id", "day", "place_id")
+    offered = days.select("plan_id", "day", F.explode(F.array(*[F.col("place_id") + 7 * k for k in range(4)])).alias("id"))
+    known = offered.distinct().join(fx.places.select("id"), "id", "left_semi")
+    other = days.select("plan_id", F.col("day").alias("other"), F.col("place_id").alias("id")).distinct()
+    used = days.select("plan_id", "day").distinct().join(other, "plan_id").where("day <> other").select("plan_id", "day", "id")
+    out = days.select("plan_id", "day").distinct().join(
+        fx.edits.where("op = 'remove'").select("plan_id", F.col("place_id").alias("id")), "plan_id"
+    )
+    return free_candidates(known, used, out, "plan_id", "day").select("plan_id", "day", "id")
 
 
 EDITED = """known AS (SELECT * FROM edits_fx WHERE place_id IN (SELECT id FROM places_fx WHERE is_active)),
@@ -417,11 +420,8 @@ def plan_8(fx):
     return P.output_stops(fx.timed, fx.tags)
 
 
-CODE = f"translate(substr(sha256(CAST(plan_id AS VARCHAR)), 1, 10), '0123456789abcdef', {X.text(K.SHARE_ALPHABET[:16])})"
-
-
 @query("src_13", f"""
-SELECT {CODE} || '-d' || day || '-p' || (ord - 1) || '@trailgrid' AS uid, strftime(CAST(date AS TIMESTAMP) + to_minutes(CAST(arrival AS BIGINT)), '%Y%m%dT%H%M%S') AS starts,
+SELECT {X.SHARE_CODE} || '-d' || day || '-p' || (ord - 1) || '@trailgrid' AS uid, strftime(CAST(date AS TIMESTAMP) + to_minutes(CAST(arrival AS BIGINT)), '%Y%m%dT%H%M%S') AS starts,
 strftime(CAST(date AS TIMESTAMP) + to_minutes(CAST(departure AS BIGINT)), '%Y%m%dT%H%M%S') AS ends, name AS summary FROM ({DATED}) WHERE plan_id % 6 <> 0""")
 def src_13(fx):
     rows = _dated(fx).withColumns({

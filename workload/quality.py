@@ -298,11 +298,8 @@ def src_10(fx):
     return paths.select("plan_id", "ord", F.size("v").alias("vertices"), feeds.as_wkt(F.col("v")).alias("wkt"))
 
 
-CODE = f"translate(substr(sha256(CAST(plan_id AS VARCHAR)), 1, 10), '0123456789abcdef', {X.text(K.SHARE_ALPHABET[:16])})"
-
-
 @query("src_12", f"""
-SELECT {CODE} AS code, plan_id, count(*) AS stops, round(sum(leg_km), 3) AS km FROM days_fx WHERE plan_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY plan_id""")
+SELECT {X.SHARE_CODE} AS code, plan_id, count(*) AS stops, round(sum(leg_km), 3) AS km FROM days_fx WHERE plan_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY plan_id""")
 def src_12(fx):
     shared = keyed.share_plans(fx.days)
     asked = fx.orders.where("o_orderstatus <> 'F'").select(keyed.share_code(F.col("o_orderkey")).alias("code"))

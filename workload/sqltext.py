@@ -45,6 +45,9 @@ DETOURS = values([tuple(float(v) for v in row) for row in K.DETOUR_BY_ZONE], "d(
 COAST = values([(float(lat), float(lon)) for lon, lat in K.COAST], "c(clat, clon)")
 
 
+SHARE_CODE = f"list_aggregate(list_transform(range(0, 10), lambda i: substr({text(K.SHARE_ALPHABET)}, CAST(CAST('0x' || substr(sha256(CAST(plan_id AS VARCHAR)), 4*i + 1, 4) AS INT) % {len(K.SHARE_ALPHABET)} AS INT) + 1, 1)), 'string_agg', '')"
+
+
 def in_list(items) -> str:
     return "(" + ", ".join(text(i) for i in items) + ")"
 
