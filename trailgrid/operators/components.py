@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from trailgrid.session import checkpointed
 
 
+EDGES_PER_PART = 100_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest node of each component as its name.
 
     Alternates two star steps until no edge changes: every node first hands its larger, then
     its smaller neighbours to the smallest node it knows. Each step is one minimum per node
     (combined before the shuffle) and one join, and a hub's neighbours are never gathered in
-    one row. Every round is checkpointed to the shared folder.
+    one row. Every round is checkpointed to the shared folder, in as many parts as the edges
+    need, so that rounds over few edges don't write many empty files.
     """
     current = checkpointed(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    while True:
-        large = _star(current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v > u")
-        small = checkpointed(_star(large, None))
-        if _signature(small) == _signature(current):
+    signature = _signature(current)
+    parts = signature[0] // EDGES_PER_PART + 1
+    current = current.coalesce(parts)
+    while signature[0]:
+        large = _star(current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))), "v > u").coalesce(parts)
+        current = checkpointed(_star(large, None).coalesce(parts))
+        before, signature = signature, _signature(current)
+        if signature == before:
             break
-        current = small
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = members.select(F.col("component").alias("node"), "component")
     return members.unionByName(roots).distinct()
