@@ -23,8 +23,8 @@ MAX_TOKENS = 4096
 END_ID = 1
 SHARD_ROWS = 4096
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-#: Below this character no text rule looks at a letter's neighbours.
-LATIN_END = "\u0250"
+#: Below this character no text rule looks at a letter's neighbours, and small letters stay below it too.
+LATIN_END = "\u0180"
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 

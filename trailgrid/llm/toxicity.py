@@ -32,8 +32,9 @@ PATTERNS = {
 SAMPLE = 12_000
 UNITS = 1_500
 VOTERS = 160
-LEAST_DOCS = 4
-DOUBT = 0.01
+LEAST_DOCS = 3
+DOUBT = 3.0
+MOST_UNITS = 200_000
 LABEL_ACCURACY = 0.95
 PREFIXES = (4, 5, 6)
 ROUNDS = 40
@@ -78,12 +79,21 @@ class Model:
 def unit_counts(sample: DataFrame) -> DataFrame:
     """(unit, pos, neg): documents of either label that hold a unit, counted in each task first."""
     def count(batches):
+        counts = (Counter(), Counter())
+
+        def out():
+            units = list(counts[0].keys() | counts[1].keys())
+            batch = pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *[pa.array([c[u] for u in units], pa.int64()) for c in counts[::-1]]], names=["unit", "pos", "neg"])
+            for c in counts:
+                c.clear()
+            return batch
+
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
                 counts[label > 0].update(named(text_units(text.as_py())))
-            units = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), *[pa.array([c[u] for u in units], pa.int64()) for c in counts[::-1]]], names=["unit", "pos", "neg"])
+                if len(counts[0]) + len(counts[1]) > MOST_UNITS:
+                    yield out()
+        yield out()
 
     return sample.select("text", "label").mapInArrow(count, "unit string, pos long, neg long").groupBy("unit").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -91,8 +101,8 @@ def unit_counts(sample: DataFrame) -> DataFrame:
 def telling_units(counts: DataFrame, positives: int, negatives: int, most: int = UNITS) -> list[str]:
     """Units whose share of documents differs between the labels beyond chance, at most ``most``.
 
-    The likelihood ratio of a unit must pass ``DOUBT`` divided by the number of units tried, so
-    that hardly one unit in all gets in by luck. The strongest come first.
+    The likelihood ratio of a unit must beat ``DOUBT`` over the number of units tried, so that
+    hardly one unit in all gets in by luck. The strongest come first.
     """
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     p, q = a / (positives + 1.0), b / (negatives + 1.0)
