@@ -12,6 +12,7 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 BUDGET = 1024
 HISTORY = 192
 TURN_TOKENS = 4
+WORD = r"[^\x20\x09-\x0D]+"
 SYSTEM, TARGET = "system", "assistant"
 #: Control strings and their escapes; the backslash first, so that it always starts one.
 ESCAPES = (("\\", "\\b"), ("<|", "\\c"), ("</s>", "\\e"), ("<s>", "\\s"), ("[INST]", "\\i"), ("[/INST]", "\\j"))
@@ -32,7 +33,7 @@ ROLE_ESCAPES = (*ESCAPES, LINE_ESCAPE)
 
 def token_count(text: Column) -> Column:
     """Words and the marks of a turn: what a window's budget is counted in."""
-    return F.regexp_count(text, F.lit(r"\S+")) + TURN_TOKENS
+    return F.regexp_count(text, F.lit(WORD)) + TURN_TOKENS
 
 
 def placed_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str, budget: int, history: int) -> DataFrame:

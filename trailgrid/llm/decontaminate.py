@@ -16,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from trailgrid.llm.common import bare_words, keyed_texts
 
-#: A mask's words are hashed where it has a 1; a word under a 0 may be any.
-MASKS = ("1110110111", "1101011011", "1011101101", "11111111")
+#: A mask's words are hashed where it has a 1; a word under a 0 may be any. Wherever two of 13
+#: words in a row differ, one of the masks still fits between the differences.
+MASKS = ("11110101", "101100111")
 WINDOW = 13
 SHARE = 0.8
 LEAST_WORDS = 5
@@ -58,8 +59,13 @@ def hash_at(words: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarr
     return at, hashes
 
 
-def build_seeds(tests: list[tuple[object, str]]) -> Seeds:
-    """Tables of a block of tests. A test shorter than the masks adds a mask of its own length."""
+def short_mask(length: int, share: float) -> str:
+    """For a test shorter than the window: one of equal runs, more of them than words may differ."""
+    return "1" * (length // (length - math.ceil(share * length - 1e-9) + 1))
+
+
+def build_seeds(tests: list[tuple[object, str]], window: int = WINDOW, share: float = SHARE) -> Seeds:
+    """Tables of a block of tests."""
     numbers: dict[bytes, int] = {}
     rows, items = [], []
     for item, text in tests:
@@ -67,22 +73,19 @@ def build_seeds(tests: list[tuple[object, str]]) -> Seeds:
         if len(words) >= LEAST_WORDS:
             items.append(item)
             rows.append([numbers.setdefault(w, len(numbers) + 1) for w in words])
-    shapes = dict.fromkeys(MASKS)
-    for row in rows:
-        if len(row) < min(map(len, MASKS)):
-            shapes["1" * len(row)] = None
     flat, begin = [0] * GAP, []
     for row in rows:
         begin.append(len(flat))
         flat += row + [0] * GAP
     words = np.array(flat, dtype=np.int64)
+    starts = np.array([*begin, len(flat)], dtype=np.int64)
+    of_row = [MASKS if len(row) >= window else (short_mask(len(row), share),) for row in rows]
     masks, hashes, places, present = [], [], [], []
-    for shape in shapes:
+    for shape in dict.fromkeys(mask for own in of_row for mask in own):
         offsets = np.flatnonzero(np.array(list(shape)) == "1")
         at, h = hash_at(words, offsets, len(shape))
-        if len(shape) < min(map(len, MASKS)):
-            whole = np.isin(at, [b for b, row in zip(begin, rows) if len(row) == len(shape)])
-            at, h = at[whole], h[whole]
+        own = np.array([shape in o for o in of_row], dtype=bool)[np.searchsorted(starts, at, "right") - 1]
+        at, h = at[own], h[own]
         order = np.argsort(h, kind="stable")
         masks.append((offsets, len(shape)))
         hashes.append(h[order])
@@ -90,7 +93,7 @@ def build_seeds(tests: list[tuple[object, str]]) -> Seeds:
         table = np.zeros(1 << TABLE_BITS, dtype=bool)
         table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
         present.append(table)
-    return Seeds(numbers, words, np.array([*begin, len(flat)], dtype=np.int64), items, masks, hashes, places, present)
+    return Seeds(numbers, words, starts, items, masks, hashes, places, present)
 
 
 def candidates(words: np.ndarray, seeds: Seeds) -> np.ndarray:
@@ -216,7 +219,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
         sent = spark.sparkContext.broadcast(block)
 
         def scan(batches, sent=sent):
-            seeds = build_seeds(sent.value)
+            seeds = build_seeds(sent.value, window, share)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
                 out = [(keys[row], seeds.items[i], *got) for row, i, *got in batch_overlaps(batch.column(1).to_pylist(), seeds, window, share)]
@@ -246,7 +249,7 @@ def without_tests(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text:
 
 def _clean(sent, window: int, share: float):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seeds = build_seeds(sent.value)
+        seeds = build_seeds(sent.value, window, share)
         for texts in parts:
             kept = np.ones(len(texts), dtype=bool)
             kept[[row for row, *_ in batch_overlaps(texts.tolist(), seeds, window, share)]] = False

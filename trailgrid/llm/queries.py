@@ -104,7 +104,52 @@ def with_control_case(spark: SparkSession, turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", "role", "text").unionByName(case)
 
 
-@query("op10_chat")
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped_sql(column: str, escapes) -> str:
+    for plain, code in escapes:
+        column = f"replace({column}, {_lit(plain)}, {_lit(code)})"
+    return column.replace(_lit("\n"), "chr(10)")
+
+
+#: The same windows as running sums: only lengths are needed, as the texts are read back whole.
+CHAT_SQL = f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', {_lit(CONTROL_CASE)}), (-7, 1, 'assistant', {_lit(CONTROL_CASE)})
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos,
+        len(regexp_extract_all(text, '{chat.WORD}')) + {chat.TURN_TOKENS} AS tokens,
+        {len(chat.BEGIN) + 1 + len(chat.END)} + length({_escaped_sql("role", chat.ROLE_ESCAPES)}) + length({_escaped_sql("text", chat.ESCAPES)}) AS chars
+    FROM t
+), h AS (
+    SELECT *, pos = 1 AND role = '{chat.SYSTEM}' AS head,
+        coalesce(sum(CASE WHEN pos = 1 AND role = '{chat.SYSTEM}' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b,
+        greatest({chat.BUDGET} - {chat.HISTORY} - sum(CASE WHEN pos = 1 AND role = '{chat.SYSTEM}' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 1) AS room
+    FROM p
+), w AS (
+    SELECT *, CASE WHEN NOT head THEN 2*(b // room) + CASE WHEN b + tokens > (b // room + 1)*room THEN 1 ELSE 0 END END AS own FROM h
+), o AS (
+    SELECT *, coalesce(own, min(own) OVER (PARTITION BY conv_id), 0) AS win FROM w
+), f AS (
+    SELECT conv_id, win, arg_min(b, pos) AS b, bool_or(head) AS headed FROM o GROUP BY conv_id, win
+), r AS (
+    SELECT f.conv_id, sum(o.chars) AS chars FROM f JOIN o ON o.conv_id = f.conv_id AND NOT f.headed AND (o.head OR o.b BETWEEN f.b - {chat.HISTORY} AND f.b - 1)
+    GROUP BY f.conv_id
+), s AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS told,
+        coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = '{chat.TARGET}'), '') AS learnt, sum(chars) AS chars
+    FROM o GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+    CAST(s.chars + coalesce(r.chars, 0) AS BIGINT) AS formatted_chars
+FROM s LEFT JOIN r USING (conv_id)
+"""
+
+
+@query("op10_chat", CHAT_SQL)
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = with_control_case(spark, table(spark, folder, "conversations"))
     read = chat.read_back(chat.windows(turns))
