@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.session import checkpointed
 from trailgrid.functions.geo import arrival_overhead, haversine_km, with_estimate
 
 PROFILES = {"driving": "driving-car", "walking": "foot-walking"}
@@ -229,27 +230,32 @@ def split_by_stops(routes: DataFrame, path: str = "path", stops: str = "stops")
     return whole.withColumn("_at", anchors).withColumn("segments", cut).drop("_at")
 
 
-def simplify(paths: DataFrame, keys: list[str], tolerance: float = K.SIMPLIFY_TOLERANCE_DEG, passes: int = 2) -> DataFrame:
-    """Drop the vertices that stray less than ``tolerance`` from the line of their neighbours.
+def simplify(paths: DataFrame, keys: list[str], tolerance: float = K.SIMPLIFY_TOLERANCE_DEG) -> DataFrame:
+    """The vertices that keep every dropped one within ``tolerance`` of the line that is left.
 
-    ``paths`` is (keys, position, lat, lon); each pass drops every second such vertex at most,
-    so a dropped vertex always has both neighbours left.
+    ``paths`` is (keys, position, lat, lon). A stretch between two kept vertices is cut at the
+    vertex farthest from its chord (the first of equals) as long as that strays more than the
+    tolerance. All stretches of all paths are cut together, a round for each level of cuts, until
+    none is left to cut.
     """
-    order = Window.partitionBy(*keys).orderBy("position")
-    for _ in range(passes):
-        near = paths.withColumns(
-            {
-                "_n": F.row_number().over(order),
-                "_la": F.lag("lat").over(order), "_lo": F.lag("lon").over(order),
-                "_na": F.lead("lat").over(order), "_no": F.lead("lon").over(order),
-            }
-        )
-        dx, dy = F.col("_no") - F.col("_lo"), F.col("_na") - F.col("_la")
-        length = F.sqrt(dx * dx + dy * dy)
-        area = F.abs(dx * (F.col("_la") - F.col("lat")) - (F.col("_lo") - F.col("lon")) * dy)
-        offset = F.coalesce(F.try_divide(area, F.nullif(length, F.lit(0.0))),
-                            F.sqrt(F.pow(F.col("lat") - F.col("_la"), 2) + F.pow(F.col("lon") - F.col("_lo"), 2)))
-        inner = F.col("_la").isNotNull() & F.col("_na").isNotNull()
-        drop = F.coalesce(inner & (F.col("_n") % 2 == 0) & (offset < tolerance), F.lit(False))
-        paths = near.where(~drop).select(*keys, "position", "lat", "lon")
-    return paths
+    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("position")
+    ends = (F.col("position") == F.min("position").over(whole)) | (F.col("position") == F.max("position").over(whole))
+    rows = checkpointed(paths.select(*keys, "position", "lat", "lon").withColumn("_kept", ends))
+    while True:
+        here = F.when(F.col("_kept"), F.struct("position", "lat", "lon"))
+        ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        spans = rows.withColumns({
+            "_a": F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_b": F.first(here, ignorenulls=True).over(ahead),
+        })
+        dx, dy = F.col("_b.lon") - F.col("_a.lon"), F.col("_b.lat") - F.col("_a.lat")
+        px, py = F.col("lon") - F.col("_a.lon"), F.col("lat") - F.col("_a.lat")
+        along = F.least(F.greatest(F.coalesce(F.try_divide(px * dx + py * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        stray = F.when(~F.col("_kept"), F.round(F.sqrt(F.pow(px - along * dx, 2) + F.pow(py - along * dy, 2)), 12))
+        stretch = Window.partitionBy(*keys, "_a").orderBy(F.col("_stray").desc_nulls_last(), "position")
+        ranked = spans.withColumn("_stray", stray).withColumn("_first", F.row_number().over(stretch) == 1)
+        cut = F.col("_first") & F.coalesce(F.col("_stray") > tolerance, F.lit(False))
+        rows = checkpointed(ranked.select(*keys, "position", "lat", "lon", "_kept", cut.alias("_cut")))
+        if rows.where("_cut").isEmpty():
+            return rows.where("_kept").select(*keys, "position", "lat", "lon")
+        rows = rows.withColumn("_kept", F.col("_kept") | F.col("_cut")).drop("_cut")

@@ -271,13 +271,19 @@ VERTICES = """SELECT plan_id, 6*(day - 1) + ord AS position, lat + CASE WHEN ord
 UNION ALL SELECT plan_id, 100 + 6*(day - 1) + ord, 14.5e0 + 0.00001e0*(ord % 3), -89e0 + 0.001e0*(6*(day - 1) + ord) FROM days_fx"""
 
 
-def _simplify_pass(source: str) -> str:
-    return f"""(SELECT plan_id, position, lat, lon FROM (SELECT *, row_number() OVER w AS n, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lead(lat) OVER w AS na, lead(lon) OVER w AS no_
-FROM {source} WINDOW w AS (PARTITION BY plan_id ORDER BY position)) WHERE NOT coalesce(la IS NOT NULL AND na IS NOT NULL AND n % 2 = 0 AND
-coalesce(abs((no_ - lo)*(la - lat) - (lo - lon)*(na - la))/nullif(sqrt((no_ - lo)*(no_ - lo) + (na - la)*(na - la)), 0), sqrt(pow(lat - la, 2) + pow(lon - lo, 2))) < 0.00005e0, false))"""
-
-
-@query("win_19", f"SELECT plan_id, position, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {_simplify_pass(_simplify_pass('(' + VERTICES + ')'))}")
+STRAY = """round(sqrt(pow((v.lon - a.lon) - t.t*(b.lon - a.lon), 2) + pow((v.lat - a.lat) - t.t*(b.lat - a.lat), 2)), 12)"""
+WIN_19 = f"""WITH RECURSIVE v AS ({VERTICES}),
+stretch AS (SELECT plan_id, min(position) AS lo, max(position) AS hi FROM v GROUP BY plan_id
+UNION ALL SELECT plan_id, unnest([lo, m]) AS lo, unnest([m, hi]) AS hi FROM (
+SELECT s.plan_id, s.lo, s.hi, v.position AS m, row_number() OVER (PARTITION BY s.plan_id, s.lo ORDER BY {STRAY} DESC, v.position) AS r, {STRAY} AS stray
+FROM stretch s JOIN v a ON a.plan_id = s.plan_id AND a.position = s.lo JOIN v b ON b.plan_id = s.plan_id AND b.position = s.hi
+JOIN v ON v.plan_id = s.plan_id AND v.position > s.lo AND v.position < s.hi,
+LATERAL (SELECT greatest(0, least(1, coalesce(((v.lon - a.lon)*(b.lon - a.lon) + (v.lat - a.lat)*(b.lat - a.lat))/nullif((b.lon - a.lon)*(b.lon - a.lon) + (b.lat - a.lat)*(b.lat - a.lat), 0), 0))) AS t) t
+) WHERE r = 1 AND stray > 0.00005e0)
+SELECT plan_id, position, round(lat, 6) AS lat, round(lon, 6) AS lon FROM v WHERE EXISTS (SELECT 1 FROM stretch s WHERE s.plan_id = v.plan_id AND v.position IN (s.lo, s.hi))"""
+
+
+@query("win_19", WIN_19)
 def win_19(fx):
     paths = fx.sql(VERTICES.replace("FROM days_fx", "FROM {days_fx}"))
     return V.simplify(paths, ["plan_id"]).select("plan_id", "position", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
