@@ -37,21 +37,39 @@ def _half_chord(lat1: str, lon1: str, lat2: float, lon2: float) -> str:
     )
 
 
-def detour_factor(lat: str, lon: str) -> Column:
-    """Road over straight line: the closest zone that covers the point, else the country's.
+def _zones() -> str:
+    """The detour zones as one constant array; ``band`` is a zone's reach in degrees north and south."""
+    rows = [
+        f"named_struct('lat', {lat}D, 'lon', {lon}D, 'band', {math.degrees(km / K.EARTH_RADIUS_KM) * 1.001!r}D, "
+        f"'reach', {math.sin(km / (2 * K.EARTH_RADIUS_KM)) ** 2!r}D, 'factor', {factor}D)"
+        for lat, lon, km, factor in K.DETOUR_BY_ZONE
+    ]
+    return f"array({', '.join(rows)})"
+
+
+def detour_sql(lat: str, lon: str) -> str:
+    """SQL of the road over straight line: the closest zone that covers the point, else the country's.
 
-    A zone too far north or south is ruled out before any trigonometry.
+    A zone too far north or south is ruled out before any trigonometry, and the zones are walked
+    instead of written out, so that generated code stays small however often this is used.
     """
-    options = []
-    for zlat, zlon, radius_km, factor in K.DETOUR_BY_ZONE:
-        apart = _half_chord(lat, lon, zlat, zlon)
-        reach = math.sin(radius_km / (2 * K.EARTH_RADIUS_KM)) ** 2
-        band = math.degrees(radius_km / K.EARTH_RADIUS_KM) * 1.001
-        options.append(
-            f"CASE WHEN abs({lat} - {zlat}D) <= {band!r}D AND {apart} <= {reach!r}D "
-            f"THEN struct({apart} AS apart, {factor}D AS factor) END"
-        )
-    return F.expr(f"coalesce(least({', '.join(options)}).factor, {K.DETOUR_NATIONAL}D)")
+    apart = (
+        f"power(sin(radians(z.lat - {lat})/2), 2) + cos(radians({lat}))*cos(radians(z.lat))*power(sin(radians(z.lon - {lon})/2), 2)"
+    )
+    near = f"transform(filter({_zones()}, z -> abs({lat} - z.lat) <= z.band), z -> named_struct('apart', {apart}, 'reach', z.reach, 'factor', z.factor))"
+    return f"coalesce(array_min(filter({near}, q -> q.apart <= q.reach)).factor, {K.DETOUR_NATIONAL}D)"
+
+
+def detour_factor(lat: str, lon: str) -> Column:
+    return F.expr(detour_sql(lat, lon))
+
+
+def straight_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """SQL of ``haversine_km``."""
+    chord = (
+        f"power(sin(radians({lat2} - {lat1})/2), 2) + cos(radians({lat1}))*cos(radians({lat2}))*power(sin(radians({lon2} - {lon1})/2), 2)"
+    )
+    return f"{2 * K.EARTH_RADIUS_KM}D*asin(sqrt(least(1D, {chord})))"
 
 
 def speed_kmh(straight_km, mode="driving") -> Column:

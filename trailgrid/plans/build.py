@@ -14,7 +14,7 @@ from trailgrid import constants as K
 from trailgrid.functions import hours as H
 from trailgrid.functions import text as T
 from trailgrid.functions import timectx as C
-from trailgrid.functions.geo import with_estimate
+from trailgrid.functions.geo import detour_sql, straight_sql, with_estimate
 from trailgrid.operators import search as S
 from trailgrid.operators import sequence as Q
 from trailgrid.plans import requests as R
@@ -169,10 +169,38 @@ def dwell(category: Column, subcategory: Column) -> Column:
     ).cast("int")
 
 
+FILL_TRIES = 15
+
+
+def _walk() -> str:
+    """SQL fold over a day's candidates in fill order: what the day takes, and where it stands after.
+
+    A candidate is taken if the day has a stop, kilometres and minutes left for it from the last
+    stop taken; one that does not fit is passed by, until ``FILL_TRIES`` in a row did not.
+    """
+    speed = " ".join(f"WHEN g.straight < {limit}D THEN {kmh}D" for limit, kmh in K.SPEED_BANDS[:-1])
+    minutes = f"cast(greatest(1, bround(g.straight*g.factor/CASE {speed} ELSE {K.SPEED_BANDS[-1][1]}D END*60, 0)) AS int) + {K.ARRIVAL_OVERHEAD_MIN['driving']}"
+    leg = (
+        f"transform(array(named_struct('straight', {straight_sql('s.lat', 's.lon', 'c.lat', 'c.lon')}, 'factor', {detour_sql('(s.lat + c.lat)/2', '(s.lon + c.lon)/2')})), "
+        f"g -> named_struct('km', bround(g.straight*g.factor, 3), 'minutes', {minutes}))"
+    )
+    fits = (
+        f"s.misses < {FILL_TRIES} AND size(s.taken) < cap AND round(s.km + l.km, 3) <= budget - coalesce(reserve_km, 0D) "
+        "AND s.fin + l.minutes + c.dwell + expected*meal_minutes <= latest"
+    )
+    took = "named_struct('lat', c.lat, 'lon', c.lon, 'km', s.km + l.km, 'fin', s.fin + l.minutes + c.dwell, 'misses', 0, 'taken', concat(s.taken, array(c.fill)))"
+    passed = "named_struct('lat', s.lat, 'lon', s.lon, 'km', s.km, 'fin', s.fin, 'misses', s.misses + 1, 'taken', s.taken)"
+    start = "named_struct('lat', chain[0].lat, 'lon', chain[0].lon, 'km', 0D, 'fin', earliest + chain[0].dwell, 'misses', 0, 'taken', array(chain[0].fill))"
+    return f"aggregate(slice(chain, 2, size(chain)), {start}, (s, c) -> element_at(transform({leg}, l -> if({fits}, {took}, {passed})), 1)).taken"
+
+
 def feasible(day_seeds: DataFrame, filled: DataFrame, reserve: DataFrame, trips: DataFrame) -> DataFrame:
-    """The stops of each day that fit its cap, kilometres and clock in fill order."""
-    columns = ["plan_id", "day", "id", "name", "category", "subcategory", "lat", "lon"]
-    chain = day_seeds.select(*columns, F.lit(0).alias("fill")).unionByName(filled.select(*columns, "fill"))
+    """The stops each day takes, its seed first: a fold over the day's candidates, as ``_walk`` says.
+
+    A trip has at most 25 candidates a category, so a day's array is short.
+    """
+    columns = ["id", "name", "category", "subcategory", "lat", "lon"]
+    rows = day_seeds.select(*DAY, *columns, F.lit(0).alias("fill")).unionByName(filled.select(*DAY, *columns, F.col("fill").cast("int")))
     cap = R.stop_cap(F.col("max_stops"))
     fitting = R.meals_that_fit(F.col("earliest"), F.col("latest"), cap, F.col("include_meals"), F.lit(K.TYPICAL_VISIT_MIN))
     limits = trips.select(
@@ -180,23 +208,11 @@ def feasible(day_seeds: DataFrame, filled: DataFrame, reserve: DataFrame, trips:
         R.km_budget(F.col("max_km"), F.col("mode"), F.col("mode")).alias("budget"),
         F.greatest(cap - fitting, F.lit(1)).alias("cap"),
     )
-    order = Window.partitionBy(*DAY).orderBy("fill")
-    capped = chain.join(limits, "plan_id").where(F.col("fill") < F.col("cap"))
-    linked = capped.withColumns({"_plat": F.lag("lat").over(order), "_plon": F.lag("lon").over(order)})
-    legs = with_estimate(linked, ("_plat", "_plon"), ("lat", "lon"), km="leg_km", minutes="leg_min")
-    timed = legs.withColumns({
-        "leg_km": F.coalesce("leg_km", F.lit(0.0)),
-        "leg_min": F.when(F.col("_plat").isNull(), 0).otherwise(F.col("leg_min")),
-        "dwell": dwell(F.col("category"), F.col("subcategory")),
-    }).join(reserve, DAY, "left").withColumns({
-        "_km": F.round(F.sum("leg_km").over(order), 3),
-        "_end": F.col("earliest") + F.sum(F.col("leg_min") + F.col("dwell")).over(order),
-    })
-    return timed.where(
-        (F.col("fill") == 0)
-        | ((F.col("_km") <= F.col("budget") - F.coalesce("reserve_km", F.lit(0.0)))
-           & (F.col("_end") + F.col("expected") * F.col("meal_minutes") <= F.col("latest")))
-    ).select(*columns, F.col("fill").alias("ord"), "dwell", "earliest", "latest", "budget")
+    timed = rows.withColumn("dwell", dwell(F.col("category"), F.col("subcategory")))
+    days = timed.groupBy(*DAY).agg(F.sort_array(F.collect_list(F.struct("fill", *columns, "dwell"))).alias("chain"))
+    walked = days.join(limits, "plan_id").join(reserve, DAY, "left").withColumn("taken", F.expr(_walk()))
+    stops = walked.select(*DAY, "earliest", "latest", "budget", F.posexplode(F.expr("filter(chain, c -> array_contains(taken, c.fill))")).alias("ord", "c"))
+    return stops.select(*DAY, *[F.col(f"c.{c}").alias(c) for c in columns], "ord", "c.dwell", "earliest", "latest", "budget")
 
 
 def visit_order(stops: DataFrame) -> DataFrame:
@@ -320,34 +336,34 @@ def insert_meal(stops: DataFrame, chosen: DataFrame) -> DataFrame:
     return Q.schedule(with_legs(doubled.select(*columns).unionByName(table.select(*columns))))
 
 
-def trim(stops: DataFrame, passes: int = 2) -> DataFrame:
-    """Drop what a day cannot hold: a visit in the dark first, else the one that saves most km.
+def trim(stops: DataFrame) -> DataFrame:
+    """Drop visits until each day fits: one in the dark first, else the one that saves most km.
 
-    After the bounded passes a day that still does not fit loses its tail.
+    Every round takes one visit from each day that does not fit yet, so there are at most as many
+    rounds as a day has stops, and a round works only on the days that are still changing. Meals
+    stay; a day of meals alone is left as it is.
     """
-    whole = Window.partitionBy(*DAY)
-    for _ in range(passes):
-        order = Window.partitionBy(*DAY).orderBy("ord")
+    whole, order = Window.partitionBy(*DAY), Window.partitionBy(*DAY).orderBy("ord")
+    worst = Window.partitionBy(*DAY).orderBy(F.col("_dark").desc(), F.col("_saved").desc_nulls_last(), "ord")
+    settled = None
+    while True:
         marked = stops.withColumns({
             "_plat": F.lag("lat").over(order), "_plon": F.lag("lon").over(order),
             "_nlat": F.lead("lat").over(order), "_nlon": F.lead("lon").over(order), "_nkm": F.lead("leg_km").over(order),
-            "_late": F.col("meal").isNull() & R.too_late(F.col("category"), F.col("arrival"), F.col("dwell"), F.col("light")),
-            "_over": (F.sum("leg_km").over(whole) > F.col("budget")) | (F.max("departure").over(whole) > F.col("latest")),
+            "_dark": F.col("meal").isNull() & R.too_late(F.col("category"), F.col("arrival"), F.col("dwell"), F.col("light")),
+            "_over": (F.round(F.sum("leg_km").over(whole), 3) > F.col("budget")) | (F.max("departure").over(whole) > F.col("latest")),
         })
         skip = with_estimate(marked, ("_plat", "_plon"), ("_nlat", "_nlon"), km="_skip", minutes="_m")
-        saved = F.when(F.col("ord") > 1, F.col("leg_km") + F.coalesce(F.col("_nkm") - F.col("_skip"), F.lit(0.0)))
-        worst = Window.partitionBy(*DAY).orderBy(F.col("_late").desc(), F.col("_saved").desc_nulls_last(), "ord")
-        ranked = skip.withColumn("_saved", F.when(F.col("meal").isNull(), saved)).withColumns({
-            "_r": F.row_number().over(worst), "_any": F.max("_late").over(whole),
-        })
-        drop = (F.col("_r") == 1) & (F.col("_late") | (~F.col("_any") & F.col("_over") & F.col("_saved").isNotNull()))
-        stops = checkpointed(Q.schedule(with_legs(ranked.where(~drop).select(*stops.columns))))
-    order = Window.partitionBy(*DAY).orderBy("ord")
-    fits = (F.sum("leg_km").over(order) <= F.col("budget")) & (F.col("departure") <= F.col("latest"))
-    dark = F.col("meal").isNull() & R.too_late(F.col("category"), F.col("arrival"), F.col("dwell"), F.col("light"))
-    upto = Window.partitionBy(*DAY).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    kept = stops.withColumn("_ok", (fits & ~dark).cast("int")).withColumn("_all", F.min("_ok").over(upto))
-    return kept.where(F.col("_all") == 1).drop("_ok", "_all")
+        saved = F.round(F.col("leg_km") + F.coalesce("_nkm", F.lit(0.0)) - F.coalesce("_skip", F.lit(0.0)), 3)
+        ranked = skip.withColumn("_saved", F.when(F.col("meal").isNull(), saved)).withColumn("_r", F.row_number().over(worst))
+        goes = (F.col("_r") == 1) & F.col("meal").isNull() & (F.col("_dark") | F.col("_over"))
+        judged = checkpointed(ranked.withColumn("_goes", goes).withColumn("_open", F.max("_goes").over(whole)).select(*stops.columns, "_goes", "_open"))
+        fits = judged.where(~F.col("_open")).select(*stops.columns)
+        settled = fits if settled is None else settled.unionByName(fits)
+        changing = judged.where("_open AND NOT _goes").select(*stops.columns)
+        if changing.isEmpty():
+            return settled
+        stops = Q.schedule(with_legs(changing))
 
 
 def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = None) -> DataFrame:

@@ -73,11 +73,15 @@ reserve AS (SELECT plan_id, day, CASE WHEN need > 0.30e0*budget THEN 0e0 ELSE ne
 DWELL = f"coalesce({X.lookup(K.SUBCATEGORY_MINUTES, 'subcategory')}, {X.lookup(K.CATEGORY_MINUTES, 'category')}, 60)"
 CUT = f"""{FILL}, {RESERVE},
 chain AS (SELECT plan_id, day, id, category, subcategory, lat, lon, 0 AS fill FROM seeds UNION ALL SELECT plan_id, day, id, category, subcategory, lat, lon, fill FROM fill),
-cc AS (SELECT c.*, l.* EXCLUDE (plan_id), lag(lat) OVER (PARTITION BY c.plan_id, day ORDER BY fill) AS plat, lag(lon) OVER (PARTITION BY c.plan_id, day ORDER BY fill) AS plon FROM chain c JOIN lims l USING (plan_id) WHERE fill < greatest(cap - l.fit, 1)),
-lg AS (SELECT *, {DWELL} AS dwell, CASE WHEN plat IS NULL THEN 0e0 ELSE {_est('cc.p', 'cc.')} END AS road, CASE WHEN plat IS NULL THEN 0e0 ELSE {X.hav_km('plat', 'plon', 'lat', 'lon')} END AS straight FROM cc),
-lm AS (SELECT *, round_even(road, 3) AS leg_km, CASE WHEN plat IS NULL THEN 0 ELSE greatest(1, round_even(road/(CASE WHEN straight < 2 THEN 35e0 WHEN straight < 10 THEN 41e0 WHEN straight < 50 THEN 56e0 ELSE 62e0 END)*60, 0)) + 8 END AS leg_min FROM lg),
-rn AS (SELECT *, round(sum(leg_km) OVER (PARTITION BY plan_id, day ORDER BY fill), 3) AS km, earliest + sum(leg_min + dwell) OVER (PARTITION BY plan_id, day ORDER BY fill) AS fin FROM lm),
-cut AS (SELECT r.* FROM rn r LEFT JOIN reserve v USING (plan_id, day) WHERE fill = 0 OR (km <= budget - coalesce(reserve_km, 0) AND fin + expected*90 <= latest))"""
+cc AS (SELECT c.*, l.* EXCLUDE (plan_id), {DWELL} AS dwell, coalesce(v.reserve_km, 0) AS held FROM chain c JOIN lims l USING (plan_id) LEFT JOIN reserve v USING (plan_id, day)),
+walk AS (SELECT plan_id, day, CAST(0 AS BIGINT) AS fill, lat, lon, 0e0 AS km, CAST(earliest + dwell AS DOUBLE) AS fin, 0 AS misses, 1 AS n, true AS took, 0e0 AS leg_km, 0e0 AS leg_min FROM cc WHERE fill = 0
+UNION ALL SELECT plan_id, day, fill, CASE WHEN ok THEN lat ELSE plat END, CASE WHEN ok THEN lon ELSE plon END, CASE WHEN ok THEN km + step_km ELSE km END, CASE WHEN ok THEN fin + step_min + dwell ELSE fin END,
+CASE WHEN ok THEN 0 ELSE misses + 1 END, CASE WHEN ok THEN n + 1 ELSE n END, ok, step_km, step_min FROM (
+SELECT *, misses < 15 AND n < greatest(cap - fit, 1) AND round(km + step_km, 3) <= budget - held AND fin + step_min + dwell + expected*90 <= latest AS ok FROM (
+SELECT *, round_even(road, 3) AS step_km, greatest(1, round_even(road/(CASE WHEN straight < 2 THEN 35e0 WHEN straight < 10 THEN 41e0 WHEN straight < 50 THEN 56e0 ELSE 62e0 END)*60, 0)) + 8 AS step_min FROM (
+SELECT j.*, {_est('j.p', 'j.')} AS road, {X.hav_km('j.plat', 'j.plon', 'j.lat', 'j.lon')} AS straight FROM (
+SELECT c.*, w.lat AS plat, w.lon AS plon, w.km, w.fin, w.misses, w.n FROM walk w JOIN cc c ON c.plan_id = w.plan_id AND c.day = w.day AND c.fill = w.fill + 1) j)))),
+cut AS (SELECT c.* EXCLUDE (fill), w.n - 1 AS fill, w.leg_km, w.leg_min FROM walk w JOIN cc c ON c.plan_id = w.plan_id AND c.day = w.day AND c.fill = w.fill WHERE took)"""
 
 
 @query("plan_1", f"WITH {CANDS} SELECT plan_id, id, category, services, beach_side FROM cand")
@@ -123,7 +127,7 @@ def _cut(fx):
     return B.checkpointed(B.feasible(first, filled, B.meal_reserve(first, food, trips(fx)), trips(fx))), food
 
 
-@query("win_12", f"WITH {CUT} SELECT plan_id, CAST(day AS INTEGER) AS day, CAST(fill AS INTEGER) AS ord, id, CAST(dwell AS INTEGER) AS dwell FROM cut")
+@query("win_12", f"WITH RECURSIVE {CUT} SELECT plan_id, CAST(day AS INTEGER) AS day, CAST(fill AS INTEGER) AS ord, id, CAST(dwell AS INTEGER) AS dwell FROM cut")
 def win_12(fx):
     return _cut(fx)[0].select("plan_id", "day", "ord", "id", "dwell")
 
@@ -132,7 +136,7 @@ MEALC = f"""{CUT}, mc AS (SELECT c.plan_id, c.day, f.id AS food_id, min(round_ev
 options AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY near_km, food_id) AS r FROM mc) WHERE r <= 8)"""
 
 
-@query("win_15", f"WITH {MEALC} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, near_km FROM options")
+@query("win_15", f"WITH RECURSIVE {MEALC} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, near_km FROM options")
 def win_15(fx):
     stops, food = _cut(fx)
     rows = stops.withColumn("meal", F.lit(None).cast("string"))
@@ -160,14 +164,14 @@ g2 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY added_km,
 {"AND round(total + added_km, 3) <= budget" if budget else ""})"""
 
 
-@query("win_16", f"WITH {_meal_sql(690, 870, True)} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, CAST(fill + 1 AS INTEGER) AS after, added_km FROM g2 WHERE w = 1")
+@query("win_16", f"WITH RECURSIVE {_meal_sql(690, 870, True)} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, CAST(fill + 1 AS INTEGER) AS after, added_km FROM g2 WHERE w = 1")
 def win_16(fx):
     stops, food = _scheduled(fx)
     return B.cheapest_meal(stops, B.meal_candidates(stops, food), "lunch").select("plan_id", "day", "food_id", "after", "added_km")
 
 
 @query("plan_6", f"""
-WITH {_meal_sql(690, 870, False)}, dy AS (SELECT plan_id, day, earliest AS start, max(departure) AS stop, any_value(total) AS km, any_value(budget) AS budget, any_value(cap) AS cap, count(*) AS visits FROM sd GROUP BY plan_id, day, earliest),
+WITH RECURSIVE {_meal_sql(690, 870, False)}, dy AS (SELECT plan_id, day, earliest AS start, max(departure) AS stop, any_value(total) AS km, any_value(budget) AS budget, any_value(cap) AS cap, count(*) AS visits FROM sd GROUP BY plan_id, day, earliest),
 nf AS (SELECT d.*, (SELECT count(*) FROM sc f WHERE f.plan_id = d.plan_id AND f.category = 'food') AS food_nearby, (SELECT min(added_km) FROM g2 WHERE g2.plan_id = d.plan_id AND g2.day = d.day AND w = 1) AS added FROM dy d)
 SELECT plan_id, CAST(day AS INTEGER) AS day, 'lunch' AS meal, CASE WHEN NOT (start <= 870 AND stop >= 690) THEN 'out_of_reach' WHEN food_nearby = 0 THEN 'no_food' WHEN visits >= cap THEN 'no_stop_left' WHEN added IS NULL THEN 'none_in_window' ELSE 'over_budget' END AS cause,
 CASE WHEN start <= 870 AND stop >= 690 AND food_nearby > 0 AND visits < cap AND added IS NOT NULL THEN round(round(km, 3) + added, 1) END AS km_needed FROM nf""")
