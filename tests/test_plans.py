@@ -192,3 +192,31 @@ def test_share_codes_are_drawn_again_on_a_clash(spark):
 
     codes = {r.plan_id: r.code for r in keyed.share_codes(spark.range(12).withColumnRenamed("id", "plan_id"), length=1).collect()}
     assert len(codes) == 12 and len(set(codes.values())) == 12
+
+
+def test_ranks_and_medians_over_many_parts(spark):
+    from trailgrid.operators import skew
+
+    rng = random.Random(12)
+    rows = [(n, "crowd" if n % 4 else rng.choice(["a", "b", None]), rng.choice([1.5, 2.5, 7.0]) + rng.random()) for n in range(900)]
+    frame = spark.createDataFrame(rows, "id long, k string, v double")
+    got = {r.id: r.place for r in skew.ranked(frame, ["k"], ["v", "id"], "place", per_part=100).collect()}
+    for key in ("crowd", "a", "b", None):
+        own = sorted((v, n) for n, k, v in rows if k == key)
+        assert [got[n] for _, n in own] == list(range(1, len(own) + 1))
+    medians = {r.k: r.m for r in skew.middle(frame, ["k"], "v", ["id"], "m").collect()}
+    exact = {r.k: r.m for r in frame.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert medians == exact
+
+
+def test_opens_survive_a_restart(spark, tmp_path):
+    from trailgrid.streaming import flows as S
+
+    folder, store = str(tmp_path / "log"), str(tmp_path / "opens")
+    run = lambda: S.fold_by_key(
+        spark.readStream.schema("code string").parquet(folder), store, ["code"], lambda batch, _: S.opens(batch), S.fold_opens, buckets=3)
+    spark.createDataFrame([("a",), ("a",), ("b",)], "code string").write.parquet(folder)
+    assert {(r.code, r.opened) for r in run().collect()} == {("a", 2), ("b", 1)}
+    spark.createDataFrame([("b",), ("c",)], "code string").write.mode("append").parquet(folder)
+    assert {(r.code, r.opened) for r in run().collect()} == {("a", 2), ("b", 2), ("c", 1)}
+    assert {(r.code, r.opened) for r in run().collect()} == {("a", 2), ("b", 2), ("c", 1)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.functions.geo import haversine_km, with_estimate
 from trailgrid.operators.components import connected_components
+from trailgrid.operators.skew import middle
 
 
 def catalogue_stats(places: DataFrame) -> DataFrame:
@@ -132,12 +133,13 @@ def usage_cost(calls: DataFrame, usd_in: float, usd_out: float) -> DataFrame:
     """Mean units in and out, mean, median and largest total, mean cost and calls per dollar."""
     total = F.col("units_in") + F.col("units_out")
     cost = (F.avg("units_in") * usd_in + F.avg("units_out") * usd_out) / 1_000_000
+    halfway = middle(calls.withColumn("_total", total), [], "_total", [], "median_total")
     return calls.agg(
         F.count(F.lit(1)).alias("calls"), F.round(F.avg("units_in"), 3).alias("mean_in"),
         F.round(F.avg("units_out"), 3).alias("mean_out"), F.round(F.avg(total), 3).alias("mean_total"),
-        F.median(total).alias("median_total"), F.max(total).alias("worst"),
+        F.max(total).alias("worst"),
         F.round(cost, 9).alias("cost_usd"), F.floor(F.try_divide(F.lit(1.0), cost)).alias("per_dollar"),
-    )
+    ).join(halfway, F.lit(True), "left")
 
 
 def pin_spread(stops: DataFrame, keys: list[str], zoom: int = 12, diameter: float = 26.0) -> DataFrame:

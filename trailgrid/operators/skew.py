@@ -1,10 +1,14 @@
-"""Equi-joins whose hot keys are split over many tasks."""
+"""Joins, ranks and medians that stay spread over many tasks whatever the keys hold."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailgrid.session import checkpointed
+
 HOT_ROWS = 500_000
 
 
@@ -48,6 +52,37 @@ def split_join(
     return _keyed_join(repeated, cut, [*keys, "_part"], how, condition).drop("_part")
 
 
+RANK_ROWS = 1_000_000
+
+
+def ranked(rows: DataFrame, groups: list[str], order: list, name: str, per_part: int = RANK_ROWS) -> DataFrame:
+    """``rows`` with their place from 1 within ``groups``, however few or large the groups are.
+
+    Rows are sorted by range into parts of about ``per_part``; a row's place is its place in its
+    part plus the rows of its group in the parts before, which is one small row per part and
+    group. ``order`` must leave no ties.
+    """
+    parts = rows.count() // per_part + 1
+    spread = checkpointed(rows.repartitionByRange(parts, *groups, *order).withColumn("_p", F.spark_partition_id()))
+    here = Window.partitionBy("_p", *groups)
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spread.groupBy("_p", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    matched = reduce(lambda on, c: on & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")), groups, F.col("r._p") == F.col("o._p"))
+    placed = spread.withColumn("_i", F.row_number().over(here.orderBy(*order))).alias("r").join(offsets.alias("o"), matched)
+    return placed.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("_i") + F.col("_o")).alias(name))
+
+
+def middle(rows: DataFrame, groups: list[str], value: str, tie: list[str], name: str) -> DataFrame:
+    """(groups, name): the exact median of ``value`` in each group, nulls left out."""
+    known = rows.where(F.col(value).isNotNull())
+    place = ranked(known.select(*groups, value, *tie), groups, [value, *tie], "_place")
+    sizes = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    matched = reduce(lambda on, c: on & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")), groups, F.lit(True))
+    both = place.alias("r").join(sizes.alias("s"), matched).where(F.col("_place").isin(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)))
+    return both.groupBy(*[F.col(f"r.{c}") for c in groups]).agg(F.avg(value).alias(name))
+
+
 def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, condition) -> DataFrame:
     if condition is None:
         return left.join(right, keys, how)

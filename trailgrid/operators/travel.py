@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.operators.skew import middle
 from trailgrid.session import checkpointed
 from trailgrid.functions.geo import arrival_overhead, haversine_km, with_estimate
 
@@ -129,15 +130,17 @@ def by_band(edges: DataFrame, places: DataFrame) -> DataFrame:
     measured_pairs = _with_ends(edges, places).withColumn("straight", haversine_km("olat", "olon", "dlat", "dlon"))
     routed = F.col("km").isNotNull() & F.col("minutes").isNotNull() & (F.col("minutes") > 0)
     usable = routed & (F.col("straight") >= 0.05)
-    return (
-        measured_pairs.withColumn("band", band_of(F.col("straight")))
-        .groupBy("band")
-        .agg(
-            F.count_if(usable).alias("pairs"),
-            F.round(F.median(F.when(usable, F.col("km") / F.col("straight"))), 4).alias("detour"),
-            F.round(F.median(F.when(usable, F.col("km") / (F.col("minutes") / 60.0))), 3).alias("kmh"),
-            F.round(F.avg(F.when(routed, 0.0).otherwise(1.0)), 4).alias("no_route"),
-        )
+    banded = measured_pairs.withColumns({
+        "band": band_of(F.col("straight")), "detour": F.when(usable, F.col("km") / F.col("straight")),
+        "kmh": F.when(usable, F.col("km") / (F.col("minutes") / 60.0)),
+    })
+    counts = banded.groupBy("band").agg(
+        F.count_if(usable).alias("pairs"), F.round(F.avg(F.when(routed, 0.0).otherwise(1.0)), 4).alias("no_route")
+    )
+    detours = middle(banded, ["band"], "detour", ["origin", "destination"], "detour_")
+    speeds = middle(banded, ["band"], "kmh", ["origin", "destination"], "kmh_")
+    return counts.join(detours, "band", "left").join(speeds, "band", "left").select(
+        "band", "pairs", F.round("detour_", 4).alias("detour"), F.round("kmh_", 3).alias("kmh"), "no_route"
     )
 
 

@@ -17,27 +17,63 @@ def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what has arrived and read back what it wrote.
-
-    Appends go straight to parquet. Totals that are rewritten every batch go through
-    ``foreachBatch``, each batch in a folder of its own, and the last one is the result.
-    """
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run an appending stream over what has arrived and read back what it wrote."""
     spark = stream.sparkSession
     folder = run_folder(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start()
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-    batches: list[int] = []
+    writer.outputMode("append").format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/{batch_id}")
-        batches.append(batch_id)
 
-    writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows/{batches[-1]}")
+def stored_buckets(spark: SparkSession, store: str, before: int | None = None) -> dict[int, str]:
+    """Path of every bucket's newest version in a store, of the batches before ``before`` only if given.
+
+    A version counts once its batch was written whole.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[int, tuple[int, str]] = {}
+    for status in files.listStatus(path(store)) if files.exists(path(store)) else []:
+        name = status.getPath().getName()
+        version = int(name[1:]) if name.startswith("v") and name[1:].isdigit() else None
+        if version is None or (before is not None and version >= before) or not files.exists(path(f"{store}/{name}/_SUCCESS")):
+            continue
+        for part in files.listStatus(status.getPath()):
+            label = part.getPath().getName()
+            if label.startswith("bucket="):
+                bucket = int(label.split("=")[1])
+                newest[bucket] = max(newest.get(bucket, (-1, "")), (version, f"{store}/{name}/{label}"))
+    return {bucket: where for bucket, (_, where) in newest.items()}
+
+
+def fold_by_key(batches: DataFrame, store: str, keys: list[str], arrive, fold, buckets: int = 64) -> DataFrame | None:
+    """Fold what has arrived into a store of key buckets; returns the store, or None where it is empty.
+
+    ``arrive(batch, batch_id)`` gives rows with ``keys``, ``fold(rows)`` makes one row per key of
+    stored and arrived ones. There is no stream state: a batch reads and writes only the buckets
+    that its keys fall into, from what earlier batches left in the store. So a job that is stopped
+    goes on from there, and a batch that is run again gives the same version again.
+    """
+    spark = batches.sparkSession
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        arrived = arrive(batch, batch_id).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]
+        stored = stored_buckets(spark, store, batch_id)
+        known = [stored[b] for b in touched if b in stored]
+        rows = arrived.drop("bucket")
+        if known:
+            rows = spark.read.schema(rows.schema).parquet(*known).unionByName(rows)
+        if touched:
+            placed = fold(rows).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{batch_id}")
+        arrived.unpersist()
+
+    writer = batches.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True)
+    writer.foreachBatch(merge).start().awaitTermination()
+    paths = list(stored_buckets(spark, store).values())
+    return spark.read.parquet(*paths) if paths else None
 
 
 def _questions(requests: DataFrame, decimals: int) -> DataFrame:
@@ -62,16 +98,27 @@ def answers(requests: DataFrame, decimals: int = K.KEY_DECIMALS, seconds: int =
     return limits.limit_stream(_questions(requests, decimals), ((1, seconds),), delay).where("accepted").select("event_id", "ts")
 
 
-def phase_log(events: DataFrame) -> DataFrame:
-    """Seconds from candidates to draft and to plan per request, and its last phase.
+PHASES = ("candidates", "draft", "plan")
 
-    Works on a stream (complete output) and on a batch.
-    """
-    at = lambda phase: F.min(F.when(F.col("phase") == phase, F.col("ts")))
+
+def phase_marks(events: DataFrame) -> DataFrame:
+    """(request_id, first time of each phase, last, events): rows that ``fold_marks`` can add up."""
+    at = [F.min(F.when(F.col("phase") == phase, F.col("ts"))).alias(phase) for phase in PHASES]
+    last = F.max(F.struct("ts", "event_id", "phase")).alias("last")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("request_id").agg(*at, last, F.count(F.lit(1)).alias("events"))
+
+
+def fold_marks(marks: DataFrame) -> DataFrame:
+    firsts = [F.min(phase).alias(phase) for phase in PHASES]
+    return marks.groupBy("request_id").agg(*firsts, F.max("last").alias("last"), F.sum("events").alias("events"))
+
+
+def phase_log(marks: DataFrame) -> DataFrame:
+    """Seconds from candidates to draft and to plan per request, and its last phase."""
     seconds = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("request_id").agg(
-        seconds(at("candidates"), at("draft")).alias("to_draft"), seconds(at("draft"), at("plan")).alias("to_plan"),
-        F.max_by("phase", F.struct("ts", "event_id")).alias("last_phase"), F.count(F.lit(1)).alias("events"),
+    return marks.select(
+        "request_id", seconds("candidates", "draft").alias("to_draft"), seconds("draft", "plan").alias("to_plan"),
+        F.col("last.phase").alias("last_phase"), "events",
     )
 
 
@@ -80,66 +127,27 @@ def opens(log: DataFrame) -> DataFrame:
     return log.groupBy("code").agg(F.count(F.lit(1)).alias("opened"))
 
 
+def fold_opens(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("code").agg(F.sum("opened").alias("opened"))
+
+
 def never_opened(shared: DataFrame, log: DataFrame, before: Column) -> DataFrame:
     """Old shared plans nobody opened, for cleanup."""
     return shared.where(F.col("created_at") < before).join(log.select("code").distinct(), "code", "left_anti")
 
 
-def stored_versions(spark: SparkSession, store: str) -> dict[int, str]:
-    """Path of every bucket's newest version in a store; a version counts once its batch was written whole."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    newest: dict[int, tuple[int, str]] = {}
-    for status in files.listStatus(path) if files.exists(path) else []:
-        name = status.getPath().getName()
-        if not (name.startswith("v") and name[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}/_SUCCESS"))):
-            continue
-        for part in files.listStatus(status.getPath()):
-            label = part.getPath().getName()
-            if label.startswith("bucket="):
-                bucket = int(label.split("=")[1])
-                newest[bucket] = max(newest.get(bucket, (-1, "")), (int(name[1:]), f"{store}/{name}/{label}"))
-    return {bucket: path for bucket, (_, path) in newest.items()}
-
-
-def stored_catalogue(spark: SparkSession, store: str, buckets=None) -> DataFrame | None:
-    """The catalogue as the last whole batch left it, all of it or some buckets; None where nothing is stored."""
-    paths = [p for b, p in stored_versions(spark, store).items() if buckets is None or b in buckets]
-    return spark.read.parquet(*paths) if paths else None
-
-
 def load_incrementally(spark: SparkSession, landing: str, store: str, buckets: int = 64) -> DataFrame:
-    """Judge the element files that arrived and upsert them batch by batch; returns the catalogue.
-
-    The store holds a folder per batch with the key buckets that the batch touched; a bucket's
-    newest whole version holds. A batch reads and writes only its own buckets, what it starts from
-    is found in the store itself, so a job that is stopped and started again goes on from there,
-    and a batch that failed half-way is written again.
-    """
-    batches = spark.readStream.schema(osm.BATCH).json(landing)
+    """Judge the element files that arrived and upsert them batch by batch; returns the catalogue."""
     key = ["osm_type", "osm_id"]
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        arrived = osm.verdicts(batch.select(F.inline("elements"))).withColumns(
-            {"load": F.lit(batch_id), "tags": F.to_json("tags")}
-        )
-        placed = arrived.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
-        touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
-        stored = stored_catalogue(spark, store, touched)
-        fresh = placed.drop("bucket")
-        merged = keyed.upsert(fresh.limit(0) if stored is None else stored.select(*fresh.columns), fresh, key, "load")
-        if touched:
-            bucketed = merged.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-            bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{batch_id}")
-        placed.unpersist()
+    def judge(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = osm.verdicts(batch.select(F.inline("elements")))
+        return rows.withColumns({"load": F.lit(batch_id), "tags": F.to_json("tags")})
 
-    writer = batches.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True)
-    writer.foreachBatch(merge).start().awaitTermination()
-    found = stored_catalogue(spark, store)
-    if found is not None:
-        return found
-    empty = spark.createDataFrame([], osm.BATCH).select(F.inline("elements"))
-    return osm.verdicts(empty).withColumns({"load": F.lit(0), "tags": F.to_json("tags")})
+    found = fold_by_key(
+        spark.readStream.schema(osm.BATCH).json(landing), store, key, judge, lambda rows: keyed.upsert(rows.limit(0), rows, key, "load"), buckets
+    )
+    return judge(spark.createDataFrame([], osm.BATCH), 0) if found is None else found
 
 
 def daily_rain(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from trailgrid.functions import text as T
 from trailgrid.operators import dedupe as D
 from trailgrid.operators import names as N
 from trailgrid.operators import search as S
+from trailgrid.operators.skew import ranked
 from workload import sqltext as Q
 from workload.base import query
 
@@ -361,7 +362,5 @@ def agg_4(fx):
 
 @query("top_1", "SELECT id, CAST(row_number() OVER (PARTITION BY category ORDER BY quality DESC, CAST(id AS VARCHAR)) AS INTEGER) AS position FROM places_fx WHERE is_active")
 def top_1(fx):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("category").orderBy(F.col("quality").desc(), F.col("id").cast("string"))
-    return S.usable(fx.places).select("id", F.row_number().over(order).alias("position"))
+    rows = S.usable(fx.places).select("id", "category", F.col("quality").alias("q"), F.col("id").cast("string").alias("key"))
+    return ranked(rows, ["category"], [F.col("q").desc(), "key"], "position").select("id", F.col("position").cast("int").alias("position"))

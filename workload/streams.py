@@ -85,13 +85,14 @@ def str_4(fx):
     log = events(fx).where("event_id % 13 <> 5").select(
         "event_id", F.floor(F.col("event_id") / 3).alias("request_id"), phase.alias("phase"), "ts"
     )
-    return S.drain(S.phase_log(log), "phases", "complete")
+    marks = S.fold_by_key(log, run_folder(fx.spark, "phases"), ["request_id"], lambda batch, _: S.phase_marks(batch), S.fold_marks)
+    return S.phase_log(marks)
 
 
 @query("str_5", "SELECT concat('c', CAST(user_id AS VARCHAR)) AS code, count(*) AS opened FROM events WHERE event_type = 'click' GROUP BY user_id")
 def str_5(fx):
     log = events(fx).where("event_type = 'click'").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("code"))
-    return S.drain(S.opens(log), "opens", "complete")
+    return S.fold_by_key(log, run_folder(fx.spark, "opens"), ["code"], lambda batch, _: S.opens(batch), S.fold_opens).select("code", "opened")
 
 
 @query("str_5_cleanup", "SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' AND NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'click' AND user_id = o_custkey)")
