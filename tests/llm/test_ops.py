@@ -272,7 +272,7 @@ def test_base_spans_and_random_strings(spark):
         lines = [words(rng, 20), f"PassWord = '{draw(base62, 24)}'", words(rng, 5), f"é api_key:{draw(base62, 30)} token: secret: abcdefghi", draw("0123456789abcdef", 40), "AKIA" + draw("ABCDEFGHIJ234567", 16)]
         rows.append((n, "\n".join(rng.sample(lines, len(lines)))))
     hidden = draw(base62, 40)
-    rows += [(500, f"plain {hidden} words {'kalomiruseta' * 3} here"), (501, None), (502, ""), (503, "to\u212aen=abcdefghij \u017fecret=abcdefghij AKIA" + "A" * 11)]
+    rows += [(500, f"plain {hidden} words {'kalomiruseta' * 3} here 4845168114407329"), (501, None), (502, ""), (503, "to\u212aen=abcdefghij \u017fecret=abcdefghij AKIA" + "A" * 11)]
     docs = spark.createDataFrame(rows + [rows[0]], "doc_id long, text string")
     model = secrets.train(secrets.samples(docs))
     got = {}
