@@ -14,7 +14,7 @@ from workload.registry import QUERIES
 
 HEADLINE = (
     "win_1", "join_6", "join_10", "join_1", "join_3", "txt_3", "flt_2", "geo_3", "join_14", "join_20",
-    "win_5", "agg_15", "plan_4", "join_19", "agg_4", "str_1",
+    "win_5", "agg_15", "plan_4", "join_19", "agg_4", "str_1", "str_1_stream", "txt_12", "win_16", "plan_2",
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
@@ -209,6 +209,6 @@ def plan_text(stops: DataFrame, notes: DataFrame) -> DataFrame:
     return lines.groupBy("plan_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text"))
 
 
-def outside_radius(stops: DataFrame, slack_km: float = 0.5) -> DataFrame:
-    km = haversine_km("alat", "alon", "lat", "lon")
-    return stops.where(km > F.col("radius_m") / 1000.0 + slack_km)
+def outside_radius(slack_km: float = 0.5) -> Column:
+    """True for a stop (lat, lon) beyond radius_m of its plan's centre (alat, alon)."""
+    return haversine_km("alat", "alon", "lat", "lon") > F.col("radius_m") / 1000.0 + slack_km

@@ -19,11 +19,14 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rows(frame: DataFrame, check: str, value: Column, day: Column | None = None) -> DataFrame:
-    return frame.select(
-        "plan_id", (F.col("day") if day is None else day).cast("int").alias("day"), F.lit(check).alias("check"),
-        value.cast("double").alias("value"),
-    )
+def _failed(frame: DataFrame, checks: list[tuple[str, Column, Column]], day: Column | None = None) -> DataFrame:
+    """(plan_id, day, check, value) of every check that a row fails, all looked at in one pass.
+
+    ``checks`` are (name, condition that fails, value).
+    """
+    marks = [F.when(bad, F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"))) for name, bad, value in checks]
+    day = F.col("day") if day is None else day
+    return frame.select("plan_id", day.cast("int").alias("day"), F.explode(F.array_compact(F.array(*marks))).alias("_f")).select("plan_id", "day", "_f.*")
 
 
 def violations(plans: DataFrame, stops: DataFrame, missing: DataFrame | None = None) -> DataFrame:
@@ -32,29 +35,39 @@ def violations(plans: DataFrame, stops: DataFrame, missing: DataFrame | None = N
     ``plans`` holds earliest, latest, budget, max_stops, avoided, required, required_subs and
     days_asked; ``missing`` holds requested places no day visits.
     """
-    days = Q.day_totals(stops).join(plans, "plan_id")
+    visits = Q.visits(stops, ["plan_id", "day"])
+    days = Q.day_totals(stops).join(visits, ["plan_id", "day"], "left").join(plans, "plan_id")
     seen = stops.join(plans.select("plan_id", "avoided"), "plan_id")
     visited = stops.groupBy("plan_id").agg(
         F.countDistinct("day").alias("days_made"), F.collect_set("category").alias("categories"),
         F.collect_set("subcategory").alias("subcategories"),
     )
     whole = plans.join(visited, "plan_id", "left")
-    nothing = F.lit(None).cast("int")
-    empty = F.array().cast("array<string>")
-    lacking = lambda wanted, have: F.explode(F.array_except(F.coalesce(wanted, empty), F.coalesce(have, empty)))
-    visits = Q.visits(stops, ["plan_id", "day"]).join(plans.select("plan_id", "max_stops"), "plan_id")
+    nothing, empty, one = F.lit(None), F.array().cast("array<string>"), F.lit(1)
+    made = F.coalesce("days_made", F.lit(0))
+
+    def lacking(wanted: str, have: str, check: str) -> Column:
+        missed = F.array_except(F.coalesce(wanted, empty), F.coalesce(have, empty))
+        return F.transform(missed, lambda _: F.struct(F.lit(check).alias("check"), F.lit(1.0).alias("value")))
+
+    short = F.array_compact(F.array(F.when(
+        made < F.col("days_asked"), F.struct(F.lit("days").alias("check"), (F.col("days_asked") - made).cast("double").alias("value"))
+    )))
+    of_plan = F.concat(
+        short, lacking("required", "categories", "must_include_categories"), lacking("required_subs", "subcategories", "must_include_subcategories")
+    )
     parts = [
-        _rows(days.where("start < earliest"), "earliest_start", F.col("earliest") - F.col("start")),
-        _rows(days.where("stop > latest"), "latest_end", F.col("stop") - F.col("latest")),
-        _rows(days.where("travel_km > budget"), "max_travel_km_per_day", F.round(F.col("travel_km") - F.col("budget"), 2)),
-        _rows(visits.where("visits > max_stops"), "max_stops_per_day", F.col("visits") - F.col("max_stops")),
-        _rows(seen.where(F.array_contains("avoided", F.col("category"))), "avoided_categories", F.lit(1)),
-        _rows(whole.where("coalesce(days_made, 0) < days_asked"), "days", F.col("days_asked") - F.coalesce("days_made", F.lit(0)), nothing),
-        _rows(whole.select("plan_id", lacking(F.col("required"), F.col("categories"))), "must_include_categories", F.lit(1), nothing),
-        _rows(whole.select("plan_id", lacking(F.col("required_subs"), F.col("subcategories"))), "must_include_subcategories", F.lit(1), nothing),
+        _failed(days, [
+            ("earliest_start", F.col("start") < F.col("earliest"), F.col("earliest") - F.col("start")),
+            ("latest_end", F.col("stop") > F.col("latest"), F.col("stop") - F.col("latest")),
+            ("max_travel_km_per_day", F.col("travel_km") > F.col("budget"), F.round(F.col("travel_km") - F.col("budget"), 2)),
+            ("max_stops_per_day", F.col("visits") > F.col("max_stops"), F.col("visits") - F.col("max_stops")),
+        ]),
+        _failed(seen, [("avoided_categories", F.array_contains("avoided", F.col("category")), one)]),
+        whole.select("plan_id", nothing.cast("int").alias("day"), F.explode(of_plan).alias("_f")).select("plan_id", "day", "_f.*"),
     ]
     if missing is not None:
-        parts.append(_rows(missing, "must_include_places", F.lit(1), nothing))
+        parts.append(_failed(missing, [("must_include_places", F.lit(True), one)], nothing))
     return union_all(parts)
 
 
@@ -81,35 +94,39 @@ def independent_checks(plans: DataFrame, stops: DataFrame, places: DataFrame) ->
         F.collect_set("meal").alias("meals"),
     ).join(plans, "plan_id")
     made = stops.groupBy("plan_id").agg(F.countDistinct("day").alias("made"))
-    free = stops.where(F.col("meal").isNull())
     dark = (F.col("category").isin(*K.OUTDOOR) & (F.col("departure") > K.DUSK_MIN)) | (
         F.col("category").isin(*K.INDOOR) & (F.col("arrival") >= K.INDOOR_CLOSE_MIN)
     )
     (l_open, l_close), (d_open, _) = K.MEAL_WINDOWS["lunch"], K.MEAL_WINDOWS["dinner"]
-    fed = days.where("include_meals")
     no_lunch = (F.col("start") <= l_close) & (F.col("stop") >= l_open) & ~F.array_contains("meals", "lunch")
     no_dinner = (F.col("stop") >= d_open) & ~F.array_contains("meals", "dinner")
-    asked = stops.join(plans.select("plan_id", "avoided", "alat", "alon", "radius_m"), "plan_id")
-
-    def rows(frame: DataFrame, check: str) -> DataFrame:
-        return frame.select("plan_id", F.col("day").cast("int").alias("day"), F.lit(check).alias("check"))
-
-    short = plans.join(made, "plan_id", "left").where("coalesce(made, 0) < days_asked")
+    before = Window.partitionBy("plan_id", "place_id").orderBy("day", "ord")
+    known = places.where("is_active").select(F.col("id").alias("place_id"), F.lit(True).alias("_known"))
+    seen = (
+        stops.join(plans.select("plan_id", "avoided", "alat", "alon", "radius_m"), "plan_id")
+        .join(known, "place_id", "left").withColumn("_n", F.row_number().over(before))
+    )
+    short = plans.join(made, "plan_id", "left")
+    nothing = F.lit(None)
     return union_all([
-        rows(short.withColumn("day", F.lit(None)), "days"),
-        rows(repeated(stops), "repeated_place"),
-        rows(invented(stops, places), "invented_place"),
-        rows(days.where("start < earliest"), "earliest_start"),
-        rows(days.where("stop > latest"), "latest_end"),
-        Q.order_failures(stops).select("plan_id", F.col("day").cast("int").alias("day"), "check"),
-        rows(days.where("stops > max_stops"), "max_stops_per_day"),
-        rows(days.where("km > max_km + 0.01D"), "max_travel_km_per_day"),
-        rows(free.where(dark), "fuera_de_hora"),
-        rows(asked.where(F.array_contains("avoided", F.col("category"))), "avoided_categories"),
-        rows(outside_radius(asked), "radius"),
-        rows(fed.where(no_lunch), "include_meals"),
-        rows(fed.where(no_dinner), "include_meals"),
-    ])
+        _failed(short, [("days", F.coalesce("made", F.lit(0)) < F.col("days_asked"), nothing)], nothing),
+        _failed(seen, [
+            ("repeated_place", F.col("_n") > 1, nothing),
+            ("invented_place", F.col("_known").isNull(), nothing),
+            ("fuera_de_hora", F.col("meal").isNull() & dark, nothing),
+            ("avoided_categories", F.array_contains("avoided", F.col("category")), nothing),
+            ("radius", outside_radius(), nothing),
+        ]),
+        _failed(days, [
+            ("earliest_start", F.col("start") < F.col("earliest"), nothing),
+            ("latest_end", F.col("stop") > F.col("latest"), nothing),
+            ("max_stops_per_day", F.col("stops") > F.col("max_stops"), nothing),
+            ("max_travel_km_per_day", F.col("km") > F.col("max_km") + 0.01, nothing),
+            ("include_meals", F.col("include_meals") & no_lunch, nothing),
+            ("include_meals", F.col("include_meals") & no_dinner, nothing),
+        ]),
+        Q.order_failures(stops).select("plan_id", F.col("day").cast("int").alias("day"), "check", nothing.cast("double").alias("value")),
+    ]).drop("value")
 
 
 def rain_advice(wet: DataFrame) -> DataFrame:

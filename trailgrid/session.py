@@ -15,6 +15,7 @@ def build_session(app: str = "trailgrid", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -42,6 +43,14 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/trailgrid/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this library's under the shared one."""
+    if not folder.startswith(f"{shared_folder(spark)}/trailgrid/"):
+        raise ValueError(f"{folder} is not a run folder")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and cuts the lineage of a loop."""
     spark = frame.sparkSession
