@@ -200,6 +200,19 @@ COAST = (
 )
 COASTAL_KM = 12.0
 COAST_BAND_MIN = 3
+# known places, and whether they lie on the coast
+COAST_CONTROLS = (
+    ("El Cuco", 13.1667, -88.1167, True),
+    ("El Tunco", 13.4936, -89.3819, True),
+    ("El Zonte", 13.4936, -89.4400, True),
+    ("Costa del Sol", 13.3167, -88.9167, True),
+    ("La Libertad", 13.4883, -89.3222, True),
+    ("Santa Tecla", 13.6731, -89.2797, False),
+    ("San Salvador", 13.6929, -89.2182, False),
+    ("Ataco", 13.8697, -89.8467, False),
+    ("Santa Ana", 13.9942, -89.5597, False),
+    ("Suchitoto", 13.9356, -89.0272, False),
+)
 
 # --- weather and sea
 RAIN_MM = 1.0

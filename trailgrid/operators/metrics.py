@@ -58,6 +58,19 @@ def coast_outline(places: DataFrame) -> DataFrame:
     return bands.select("band", F.round(F.min("south").over(around), 6).alias("south"))
 
 
+def coast_controls(outline: DataFrame) -> DataFrame:
+    """(name, km, coastal, right): known places against an outline, at most 3 600 points in one row."""
+    points = outline.agg(F.collect_list(F.struct("band", "south")).alias("_line"))
+    known = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(lat).alias("lat"), F.lit(lon).alias("lon"), F.lit(coastal).alias("expected"))
+        for name, lat, lon, coastal in K.COAST_CONTROLS
+    ])
+    far = F.array_min(F.transform("_line", lambda p: haversine_km(F.col("c.lat"), F.col("c.lon"), p["south"], p["band"])))
+    measured = points.select("_line", F.explode(known).alias("c")).select("c.name", "c.expected", F.round(far, 3).alias("km"))
+    coastal = F.coalesce(F.col("km") <= K.COASTAL_KM, F.lit(False))
+    return measured.select("name", "km", coastal.alias("coastal"), (coastal == F.col("expected")).alias("right"))
+
+
 def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The upper median per key, from counts per distinct value rather than whole lists."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -129,6 +142,19 @@ def variety(stops: DataFrame, keys: list[str], min_stops: int = 3) -> DataFrame:
     ).where(F.col("stops") >= min_stops)
 
 
+def variety_summary(days: DataFrame) -> DataFrame:
+    """The days of ``variety`` in one row: means, days in a rut, and the shares of steps that repeat."""
+    share = lambda n, of: F.round(F.try_divide(n, of), 4)
+    steps, measured = F.sum(F.col("stops") - 1), F.count(F.lit(1))
+    runs, single = F.count_if(F.col("longest_run") >= 3), F.count_if(F.col("categories") == 1)
+    return days.agg(
+        measured.alias("days"), F.round(F.avg("categories"), 2).alias("mean_categories"), F.min("categories").alias("fewest"),
+        runs.alias("days_with_runs"), share(runs, measured).alias("run_share"),
+        single.alias("single_days"), share(single, measured).alias("single_share"),
+        share(F.sum("same_category"), steps).alias("category_repeats"), share(F.sum("same_subcategory"), steps).alias("subcategory_repeats"),
+    )
+
+
 def usage_cost(calls: DataFrame, usd_in: float, usd_out: float) -> DataFrame:
     """Mean units in and out, mean, median and largest total, mean cost and calls per dollar."""
     total = F.col("units_in") + F.col("units_out")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.functions import text as T
 from trailgrid.functions import timectx as C
+from trailgrid.operators import context as W
 from trailgrid.operators import sequence as Q
 from trailgrid.operators.metrics import outside_radius
 
@@ -224,12 +225,31 @@ def missing_ids(edits: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def output_stops(stops: DataFrame, tags: DataFrame) -> DataFrame:
-    """Stop rows as they are shown: clock, display name, cuisine, elevation and contact."""
+    """Stop rows as they are shown: clock, display name, cuisine, elevation, contact and rain.
+
+    ``stops`` holds ``wet``, as ``wet_stops`` gives it.
+    """
     joined = stops.join(tags.withColumnRenamed("id", "place_id").drop("name"), "place_id", "left")
     return joined.select(
         "plan_id", "day", "ord", "place_id", T.display_name("name").alias("shown"), "category", "subcategory",
         C.clock("arrival").alias("arrives"), C.clock("departure").alias("leaves"), "leg_min", "leg_km", "meal",
         T.cuisine_label("cuisine").alias("cuisine"), T.elevation_m("ele").alias("elevation_m"),
         T.contact("phone", "contact_phone", phone=True).alias("phone"),
-        T.contact("website", F.lit(None).cast("string"), phone=False).alias("website"),
+        T.contact("website", F.lit(None).cast("string"), phone=False).alias("website"), F.col("wet").alias("rained_on"),
+    )
+
+
+def output_days(stops: DataFrame, days: DataFrame, weather: DataFrame, sea: DataFrame, today: Column) -> DataFrame:
+    """Day rows as they are shown: clock, km, visits, sunset, and weather and sea or why there is none.
+
+    ``days`` holds plan_id, day, start_date, date, cell, alat, alon and coastal.
+    """
+    totals = Q.day_totals(stops).join(Q.visits(stops, ["plan_id", "day"]), ["plan_id", "day"])
+    dated = W.forecast_for(totals.join(days, ["plan_id", "day"]), weather, ["cell"], today).withColumnRenamed("reason", "no_weather")
+    summed = W.day_weather(dated).select("plan_id", "day", "temp_max", "temp_min", F.round("rain_mm", 1).alias("rain_mm"), "words")
+    at_sea = W.sea_for(days, sea, ["cell"], today).select("plan_id", "day", F.col("reason").alias("no_sea"), "wave_m")
+    return dated.join(summed, ["plan_id", "day"], "left").join(at_sea, ["plan_id", "day"]).select(
+        "plan_id", "day", "date", C.clock("start").alias("starts"), C.clock("stop").alias("ends"), "travel_km", "visits",
+        C.clock(C.sunset_minute("date", "alat", "alon")).alias("sunset"),
+        "no_weather", "temp_max", "temp_min", "rain_mm", "words", "no_sea", "wave_m",
     )

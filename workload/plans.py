@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 from trailgrid.functions import timectx as C
+from trailgrid.operators import context
 from trailgrid.operators import metrics as M
 from trailgrid.operators import search as S
 from trailgrid.operators import sequence as Q
@@ -16,7 +17,9 @@ from trailgrid.plans import validate as P
 from trailgrid.sources import feeds, keyed
 from workload import sqltext as X
 from workload.base import query
-from workload.timectx import WET, sunset_sql, wet_stops
+from workload.timectx import (
+    COASTAL, NO_SEA, REASON, SEA, TRIP_DAYS, WET, coastal_days, sea_days, sunset_sql, today, weather, wet_stops,
+)
 from workload.travel import ESTIMATE
 
 W = "(PARTITION BY plan_id, day ORDER BY ord"
@@ -88,6 +91,30 @@ def agg_16(fx):
     return M.variety(fx.days, ["plan_id", "day"])
 
 
+@query("agg_16_summary", f"""
+WITH s AS (SELECT *, category = lag(category) OVER {W}) AS same, subcategory = lag(subcategory) OVER {W}) AS sub FROM days_fx),
+r AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER {W} {UP}) AS run FROM s),
+g AS (SELECT plan_id, day, run, count(*) AS n FROM r GROUP BY plan_id, day, run),
+d AS (SELECT plan_id, day, count(*) AS stops, count(DISTINCT category) AS categories, count(*) FILTER (same) AS same, count(*) FILTER (sub) AS sub FROM r GROUP BY plan_id, day HAVING count(*) >= 3),
+l AS (SELECT plan_id, day, max(n) AS longest FROM g GROUP BY plan_id, day)
+SELECT count(*) AS days, round(avg(categories), 2) AS mean_categories, CAST(min(categories) AS INTEGER) AS fewest, count(*) FILTER (longest >= 3) AS days_with_runs, round(count(*) FILTER (longest >= 3)/count(*), 4) AS run_share,
+count(*) FILTER (categories = 1) AS single_days, round(count(*) FILTER (categories = 1)/count(*), 4) AS single_share, round(sum(same)/sum(stops - 1), 4) AS category_repeats, round(sum(sub)/sum(stops - 1), 4) AS subcategory_repeats FROM d JOIN l USING (plan_id, day)""")
+def agg_16_summary(fx):
+    return M.variety_summary(M.variety(fx.days, ["plan_id", "day"]))
+
+
+CONTROLS = X.values([(name, lat, lon, int(coastal)) for name, lat, lon, coastal in K.COAST_CONTROLS], "k(name, klat, klon, expected)")
+
+
+@query("agg_5_control", f"""
+WITH b AS (SELECT round(lon, 1) AS band, min(lat) AS south FROM sites_fx GROUP BY 1 HAVING count(*) >= 3),
+o AS (SELECT band, round(min(south) OVER (ORDER BY band ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS south FROM b),
+m AS (SELECT name, expected, round(min({X.hav_km('klat', 'klon', 'south', 'band')}), 3) AS km FROM {CONTROLS}, o GROUP BY name, expected)
+SELECT name, km, km <= 12 AS coastal, (km <= 12) = (expected = 1) AS "right" FROM m""")
+def agg_5_control(fx):
+    return M.coast_controls(M.coast_outline(fx.sites))
+
+
 def _leg_sql(a: str, b: str) -> str:
     """Estimated km between two aliased points, with the zone factor."""
     mid = f"({a}lat + {b}lat)/2", f"({a}lon + {b}lon)/2"
@@ -412,12 +439,35 @@ def plan_5(fx):
 
 @query("plan_8", f"""
 SELECT s.plan_id, s.day, s.ord, s.place_id, s.name AS shown, s.category, s.subcategory, printf('%02d:%02d', s.arrival % 1440//60, s.arrival % 60) AS arrives,
-printf('%02d:%02d', s.departure % 1440//60, s.departure % 60) AS leaves, s.leg_min, s.leg_km, s.meal, l.label AS cuisine, l.elevation_m, l.phone, l.website FROM timed_fx s JOIN (
+printf('%02d:%02d', s.departure % 1440//60, s.departure % 60) AS leaves, s.leg_min, s.leg_km, s.meal, l.label AS cuisine, l.elevation_m, l.phone, l.website,
+s.category IN ('nature', 'viewpoint') AND EXISTS (SELECT 1 FROM hourly_fx h WHERE h.date = DATE '2024-01-01' + CAST(s.plan_id % 30 AS INT) AND h.mm >= 1 AND h.hour BETWEEN s.arrival//60 AND s.departure//60) AS rained_on FROM timed_fx s JOIN (
 SELECT id, {X.lookup(K.CUISINES, "coalesce(list_filter(p, lambda x: x NOT IN ('regional', 'local') AND x IN " + X.in_list(K.CUISINES) + ")[1], list_filter(p, lambda x: x IN ('regional', 'local'))[1])")} AS label,
 CASE WHEN m BETWEEN 0 AND 2800 THEN CAST(m AS INTEGER) END AS elevation_m, nullif(trim(string_split(replace(coalesce(nullif(phone, ''), nullif(contact_phone, '')), ',', ';'), ';')[1]), '') AS phone, nullif(trim(string_split(website, ';')[1]), '') AS website
 FROM (SELECT *, list_transform(string_split(replace(cuisine, ',', ';'), ';'), lambda q: replace(lower(trim(q)), ' ', '_')) AS p, round_even(TRY_CAST(replace(trim(regexp_replace(lower(trim(ele)), 'm$', '')), ',', '.') AS DOUBLE), 0) AS m FROM tags_fx)) l ON l.id = s.place_id""")
 def plan_8(fx):
-    return P.output_stops(fx.timed, fx.tags)
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("plan_id") % 30).cast("int"))
+    stops = context.wet_stops(fx.timed.withColumns({"date": date, "cell": F.lit(0)}), weather(fx), ["cell"])
+    return P.output_stops(stops, fx.tags)
+
+
+HM = "printf('%02d:%02d', {0} % 1440//60, {0} % 60)"
+NO_WEATHER = REASON.format(h=15, gone="w.n IS NULL")
+
+
+@query("plan_8_days", f"""
+WITH t AS ({TRIP_DAYS}), d AS (SELECT s.plan_id, s.day, floor((sum(CAST(round(leg_km*1000) AS BIGINT)) + 5)/10)/100 AS travel_km, arg_min(arrival, ord) AS start, arg_max(departure, ord) AS stop, count(*) AS visits FROM timed_fx s GROUP BY ALL),
+w AS (SELECT date, count(*) AS n FROM hourly_fx GROUP BY date),
+f AS (SELECT d.plan_id, d.day, CAST(round_even(max(temp), 0) AS INTEGER) AS temp_max, CAST(round_even(min(temp), 0) AS INTEGER) AS temp_min, round(sum(mm), 1) AS rain_mm, coalesce(max(code) FILTER (mm >= 1), max(code) FILTER (code < 51), min(code)) AS code
+ FROM d JOIN t USING (plan_id, day) JOIN hourly_fx h ON h.date = t.date AND h.hour BETWEEN d.start//60 AND d.stop//60 GROUP BY ALL),
+b AS (SELECT t.*, d.* EXCLUDE (plan_id, day), {NO_WEATHER} AS no_weather, {sunset_sql('t.date', 'a.alat', 'a.alon')} AS sun FROM t JOIN d USING (plan_id, day) JOIN areas_fx a USING (area_id) LEFT JOIN w ON w.date = t.date),
+z AS (SELECT t.plan_id, t.day, {NO_SEA} AS no_sea, CASE WHEN {NO_SEA} IS NULL THEN w.wave_m END AS wave_m FROM t JOIN {COASTAL} c USING (area_id) LEFT JOIN {SEA} w ON w.date = t.date)
+SELECT b.plan_id, b.day, b.date, {HM.format('start')} AS starts, {HM.format('stop')} AS ends, travel_km, visits, CASE WHEN sun IS NOT NULL THEN {HM.format('sun')} END AS sunset, no_weather,
+CASE WHEN no_weather IS NULL THEN temp_max END AS temp_max, CASE WHEN no_weather IS NULL THEN temp_min END AS temp_min, CASE WHEN no_weather IS NULL THEN rain_mm END AS rain_mm,
+CASE WHEN no_weather IS NULL AND f.plan_id IS NOT NULL THEN {X.lookup(K.WMO, 'code', X.text('sin datos'))} END AS words, no_sea, wave_m FROM b JOIN z USING (plan_id, day) LEFT JOIN f USING (plan_id, day)""")
+def plan_8_days(fx):
+    days = coastal_days(fx).join(fx.areas.select("area_id", "alat", "alon"), "area_id")
+    stops = fx.timed.withColumn("anchor_id", F.lit(None).cast("long"))
+    return P.output_days(stops, days, weather(fx), sea_days(fx), today())
 
 
 @query("src_13", f"""

@@ -194,7 +194,7 @@ def _trip_days(fx):
     return days.withColumns({"date": R.date_of_day(F.col("start_date"), F.col("day")), "cell": F.lit(0)})
 
 
-def _weather(fx):
+def weather(fx):
     return W.weather_days(fx.hourly.withColumn("cell", F.lit(0)), ["cell"])
 
 
@@ -202,7 +202,7 @@ def _weather(fx):
 SELECT t.plan_id, t.day, {REASON.format(h=15, gone='w.n IS NULL')} AS reason,
 CASE WHEN {REASON.format(h=15, gone='w.n IS NULL')} IS NULL THEN w.n END AS hours FROM ({TRIP_DAYS}) t LEFT JOIN (SELECT date, CAST(count(*) AS INTEGER) AS n FROM hourly_fx GROUP BY date) w ON w.date = t.date""")
 def join_18(fx):
-    days = W.forecast_for(_trip_days(fx), _weather(fx), ["cell"], today())
+    days = W.forecast_for(_trip_days(fx), weather(fx), ["cell"], today())
     return days.select("plan_id", "day", "reason", F.when(F.col("hours").isNotNull(), F.size("hours")).alias("hours"))
 
 
@@ -213,7 +213,7 @@ coalesce(string_agg(CAST(hour AS VARCHAR), ',' ORDER BY hour) FILTER (mm >= 1),
 coalesce(max(code) FILTER (mm >= 1), max(code) FILTER (code < 51), min(code)) AS code FROM d GROUP BY plan_id""")
 def agg_12(fx):
     days = fx.plans.select("plan_id", F.col("start_date").alias("date"), F.col("earliest").alias("start"), F.col("latest").alias("stop"), F.lit(0).alias("cell"))
-    summary = W.day_weather(days.join(_weather(fx), ["cell", "date"]))
+    summary = W.day_weather(days.join(weather(fx), ["cell", "date"]))
     return summary.select(
         "plan_id", "temp_max", "temp_min", F.round("rain_mm", 1).alias("rain_mm"),
         F.array_join(F.transform("rain_hours", lambda h: h.cast("string")), ",").alias("rain_hours"), "code",
@@ -221,16 +221,23 @@ def agg_12(fx):
 
 
 SEA = "(SELECT date, round(max(mm)/10, 2) AS wave_m FROM hourly_fx WHERE day(date) % 4 <> 0 GROUP BY date)"
+COASTAL = f"(SELECT a.area_id, min({X.hav_km('a.alat', 'a.alon', 'c.clat', 'c.clon')}) <= 12 AS coastal FROM areas_fx a, {X.COAST} GROUP BY a.area_id)"
+NO_SEA = f"CASE WHEN NOT c.coastal THEN 'tierra_adentro' ELSE {REASON.format(h=6, gone='w.wave_m IS NULL')} END"
+
+
+def sea_days(fx):
+    return fx.hourly.where("day(date) % 4 <> 0").groupBy("date").agg(F.round(F.max("mm") / 10, 2).alias("wave_m")).withColumn("cell", F.lit(0))
+
+
+def coastal_days(fx):
+    return _trip_days(fx).join(fx.areas.select("area_id", G.is_coastal("alat", "alon").alias("coastal")), "area_id")
 
 
 @query("join_18_sea", f"""
-SELECT t.plan_id, t.day, CASE WHEN NOT c.coastal THEN 'tierra_adentro' ELSE {REASON.format(h=6, gone='w.wave_m IS NULL')} END AS reason,
-CASE WHEN c.coastal AND {REASON.format(h=6, gone='w.wave_m IS NULL')} IS NULL THEN w.wave_m END AS wave_m
-FROM ({TRIP_DAYS}) t JOIN (SELECT a.area_id, min({X.hav_km('a.alat', 'a.alon', 'c.clat', 'c.clon')}) <= 12 AS coastal FROM areas_fx a, {X.COAST} GROUP BY a.area_id) c USING (area_id) LEFT JOIN {SEA} w ON w.date = t.date""")
+SELECT t.plan_id, t.day, {NO_SEA} AS reason, CASE WHEN {NO_SEA} IS NULL THEN w.wave_m END AS wave_m
+FROM ({TRIP_DAYS}) t JOIN {COASTAL} c USING (area_id) LEFT JOIN {SEA} w ON w.date = t.date""")
 def join_18_sea(fx):
-    sea = fx.hourly.where("day(date) % 4 <> 0").groupBy("date").agg(F.round(F.max("mm") / 10, 2).alias("wave_m")).withColumn("cell", F.lit(0))
-    coast = fx.areas.select("area_id", G.is_coastal("alat", "alon").alias("coastal"))
-    return W.sea_for(_trip_days(fx).join(coast, "area_id"), sea, ["cell"], today()).select("plan_id", "day", "reason", "wave_m")
+    return W.sea_for(coastal_days(fx), sea_days(fx), ["cell"], today()).select("plan_id", "day", "reason", "wave_m")
 
 
 WET = f"""wet AS (SELECT v.plan_id, v.ord, v.place_id, p.name, DATE '2024-01-01' + CAST(v.plan_id % 30 AS INT) AS date, h.hour FROM ({VISITS}) v JOIN places_fx p ON p.id = v.place_id AND p.category IN ('nature', 'viewpoint')
@@ -242,7 +249,7 @@ def wet_stops(fx):
     stops = _visits(fx).drop("date").withColumns({"date": date, "cell": F.lit(0)}).join(
         fx.places.select(F.col("id").alias("place_id"), "category", "name"), "place_id"
     )
-    return W.wet_stops(stops, _weather(fx), ["cell"])
+    return W.wet_stops(stops, weather(fx), ["cell"])
 
 
 @query("join_19", f"WITH {WET} SELECT v.plan_id, v.ord, w.n IS NOT NULL AS wet, coalesce(w.n, 0) AS hours FROM ({VISITS}) v LEFT JOIN (SELECT plan_id, ord, CAST(count(*) AS INTEGER) AS n FROM wet GROUP BY plan_id, ord) w USING (plan_id, ord)")
