@@ -260,12 +260,6 @@ def meal_candidates(stops: DataFrame, food: DataFrame, wanted: DataFrame | None
     return closest.unionByName(liked).dropDuplicates([*DAY, "food_id"])
 
 
-def one_day_each(options: DataFrame) -> DataFrame:
-    """Every restaurant offered to its nearest day only, so no trip eats twice at one place."""
-    order = Window.partitionBy("plan_id", "food_id").orderBy("near_km", "day")
-    return options.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
-
-
 def cheapest_meal(
     stops: DataFrame, options: DataFrame, meal: str, *, enforce_budget: bool = True, tolerance: int = K.MEAL_EARLY_MIN,
 ) -> DataFrame:
@@ -336,6 +330,27 @@ def insert_meal(stops: DataFrame, chosen: DataFrame) -> DataFrame:
     return Q.schedule(with_legs(doubled.select(*columns).unionByName(table.select(*columns))))
 
 
+def shared_out(offer, hungry: DataFrame, food: DataFrame) -> DataFrame:
+    """One restaurant for each hungry day that has a fitting one, none twice in a trip.
+
+    All days choose their cheapest; where days of a trip want the same, the one it suits best
+    keeps it and the others choose again among the rest, until no two days clash. Each round
+    settles a day of every trip at least. ``offer(days, food)`` gives the choices of a round.
+    """
+    chosen = None
+    while True:
+        picks = offer(hungry, food)
+        best = Window.partitionBy("plan_id", "food_id").orderBy("price", "day")
+        judged = checkpointed(picks.withColumn("_r", F.row_number().over(best)))
+        kept = judged.where(F.col("_r") == 1).drop("_r")
+        chosen = kept if chosen is None else chosen.unionByName(kept)
+        clashed = judged.where(F.col("_r") > 1).select(*DAY)
+        if clashed.isEmpty():
+            return chosen
+        hungry = hungry.join(clashed, DAY, "left_semi")
+        food = food.join(chosen.select("plan_id", F.col("food_id").alias("id")), ["plan_id", "id"], "left_anti")
+
+
 def trim(stops: DataFrame) -> DataFrame:
     """Drop visits until each day fits: one in the dark first, else the one that saves most km.
 
@@ -384,14 +399,17 @@ def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = No
     lit = dated.withColumn("light", R.light_limit(F.col("date"), F.col("alat"), F.col("alon"))).drop("alat", "alon", "start_date")
     stops = checkpointed(Q.schedule(with_legs(lit.withColumn("meal", F.lit(None).cast("string")))))
     tables = food.select("plan_id", "id", "name", "lat", "lon")
+    known = None if hours is None else H.with_hours(hours.select(F.col("id").alias("food_id"), "opening_hours")).drop("opening_hours")
+
+    def offer(days: DataFrame, free: DataFrame, meal: str) -> DataFrame:
+        options = meal_candidates(days, free)
+        return cheapest_meal(days, options if known is None else options.join(known, "food_id", "left"), meal)
+
     for meal in ("lunch", "dinner"):
         hungry = stops.where("include_meals")
         taken = stops.where(F.col("meal").isNotNull()).select("plan_id", "id").distinct()
-        options = one_day_each(meal_candidates(hungry, tables.join(taken, ["plan_id", "id"], "left_anti")))
-        if hours is not None:
-            known = H.with_hours(hours.select(F.col("id").alias("food_id"), "opening_hours")).drop("opening_hours")
-            options = options.join(known, "food_id", "left")
-        stops = checkpointed(insert_meal(stops, cheapest_meal(hungry, options, meal)))
+        free = tables.join(taken, ["plan_id", "id"], "left_anti")
+        stops = checkpointed(insert_meal(stops, shared_out(lambda d, f, m=meal: offer(d, f, m), hungry, free)))
     done = trim(stops)
     leave = R.leaving_limit(F.col("category"), F.col("light"), F.col("latest"))
     return Q.share_waits(done.withColumn("leave_by", leave)).drop("leave_by")
