@@ -268,6 +268,10 @@ CATEGORY_MINUTES = {
     "viewpoint": 30, "food": 60, "culture": 75, "attraction": 90, "nature": 105, "lodging": 0,
 }
 MEAL_MINUTES = 90
+MODES = ("driving", "walking")
+ASKED_KM = (1.0, 500.0)
+VISIT_MINUTES = (10, 480)
+DAY_STARTS, DAY_ENDS = 540, 1200
 BREAKFAST_MINUTES = 45
 APPEAL = {
     "volcano": 1.0, "waterfall": 1.0, "beach": 0.95, "nature_reserve": 0.9, "peak": 0.85,

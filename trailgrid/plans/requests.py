@@ -114,18 +114,40 @@ def _notes(*tests: Column) -> Column:
 
 
 def clean_number(value: Column, low: float, high: float, name: str) -> tuple[Column, Column]:
-    """A number brought into its range and the note that says so."""
+    """A number brought into its range and the note that says so; what was not said stays null."""
     note = F.when(value < low, F.concat(F.lit(name), F.lit(f" < {low}"))).when(
         value > high, F.concat(F.lit(name), F.lit(f" > {high}"))
     )
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high)), note
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high))), note
+
+
+def clean_time(text: Column, default: int, name: str) -> tuple[Column, Column]:
+    """Minute of the day of an HH:MM text, hours and minutes wrapped; the default and a note if it is none."""
+    clock = r"^\s*(\d+)\s*:\s*(\d+)\s*(:.*)?$"
+    hours, minutes = (F.regexp_extract(text, clock, n).try_cast("int") for n in (1, 2))
+    minute = (hours % 24) * 60 + minutes % 60
+    return F.coalesce(minute, F.lit(default)), F.when(text.isNotNull() & minute.isNull(), F.lit(name))
+
+
+def clean_map(column: str, keep) -> tuple[Column, Column]:
+    """The entries of a map that ``keep(key, value)`` allows, and a note if any was dropped."""
+    kept = F.map_filter(column, lambda k, v: F.coalesce(keep(k, v), F.lit(False)))
+    return kept, F.when(F.size(column) > F.size(kept), F.lit(column))
 
 
 def clean_requests(raw: DataFrame, today: Column) -> DataFrame:
-    """Requests within their ranges and vocabularies, with one note per thing changed."""
+    """Requests within their ranges and vocabularies, with one note per field changed.
+
+    A number out of range is brought to its end, a visit's minutes out of range are dropped, an
+    unknown mode is driving, and a day that ends before it starts has the usual hours.
+    """
     days, days_note = clean_number(F.coalesce("days", F.lit(1)), 1, 7, "days")
     stops, stops_note = clean_number(F.col("max_stops"), 1, K.DAY_STOP_CAP, "max_stops")
     meal, meal_note = clean_number(F.coalesce("meal_minutes", F.lit(K.MEAL_MINUTES)), 20, 240, "meal_minutes")
+    km, km_note = clean_number(F.col("max_km"), *K.ASKED_KM, "max_km")
+    earliest, earliest_note = clean_time(F.col("earliest_text"), K.DAY_STARTS, "earliest")
+    latest, latest_note = clean_time(F.col("latest_text"), K.DAY_ENDS, "latest")
+    backwards = earliest >= latest
 
     def vocabulary(column: str, allowed: tuple) -> tuple[Column, Column]:
         lowered = F.transform(column, lambda v: F.lower(F.trim(v)))
@@ -137,23 +159,26 @@ def clean_requests(raw: DataFrame, today: Column) -> DataFrame:
     avoided, avoided_note = vocabulary("avoided", K.CATEGORIES)
     required, required_note = vocabulary("required_subcategories", K.REQUIRABLE_SUBCATEGORIES)
     meals, meals_note = vocabulary("must_include_meals", tuple(K.MEAL_WINDOWS))
-    modes = F.map_filter("day_modes", lambda k, v: v.isin("driving", "walking"))
-    modes_note = F.when(F.size("day_modes") > F.size(modes), F.lit("day_modes"))
-    minutes = F.map_filter("category_minutes", lambda k, v: k.isin(*K.CATEGORIES) & v.between(10, 480))
-    minutes_note = F.when(F.size("category_minutes") > F.size(minutes), F.lit("category_minutes"))
-    cuisines = F.map_filter(
-        F.transform_values("meal_cuisines", lambda k, v: F.replace(F.lower(F.trim(v)), F.lit(" "), F.lit("_"))),
-        lambda k, v: k.isin(*K.MEAL_WINDOWS, "any") & v.isin(*K.CUISINES) & ~v.isin(*K.CUISINES_THAT_ARE_MEALS),
-    )
+    modes, modes_note = clean_map("day_modes", lambda k, v: k.rlike(r"^\s*\d+\s*$") & v.isin(*K.MODES))
+    in_reason = lambda v: v.between(*K.VISIT_MINUTES)
+    minutes, minutes_note = clean_map("category_minutes", lambda k, v: k.isin(*K.CATEGORIES) & in_reason(v))
+    places, places_note = clean_map("place_minutes", lambda k, v: in_reason(v))
+    spelt = F.transform_values("meal_cuisines", lambda k, v: F.replace(F.lower(F.trim(v)), F.lit(" "), F.lit("_")))
+    meant = F.map_filter(spelt, lambda k, v: ~(k.isin(*K.MEAL_WINDOWS, "any") & v.isin(*K.CUISINES_THAT_ARE_MEALS)))
+    cuisines = F.map_filter(meant, lambda k, v: k.isin(*K.MEAL_WINDOWS, "any") & v.isin(*K.CUISINES))
+    cuisines_note = F.when(F.size(meant) > F.size(cuisines), F.lit("meal_cuisines"))
     start, start_note = clean_date(F.col("start_text"), today)
     return raw.select(
         "plan_id", days.cast("int").alias("days"), stops.cast("int").alias("max_stops"),
-        meal.cast("int").alias("meal_minutes"), preferred.alias("preferred"), avoided.alias("avoided"),
+        meal.cast("int").alias("meal_minutes"), km.alias("max_km"),
+        F.when(F.lower(F.trim("mode")).isin(*K.MODES), F.lower(F.trim("mode"))).otherwise("driving").alias("mode"),
+        F.when(backwards, K.DAY_STARTS).otherwise(earliest).alias("earliest"), F.when(backwards, K.DAY_ENDS).otherwise(latest).alias("latest"),
+        preferred.alias("preferred"), avoided.alias("avoided"),
         required.alias("required_subcategories"), meals.alias("must_include_meals"), modes.alias("day_modes"),
-        minutes.alias("category_minutes"), cuisines.alias("meal_cuisines"), start.alias("start_date"),
+        minutes.alias("category_minutes"), places.alias("place_minutes"), cuisines.alias("meal_cuisines"), start.alias("start_date"),
         _notes(
-            days_note, stops_note, meal_note, preferred_note, avoided_note, required_note, meals_note,
-            modes_note, minutes_note, start_note,
+            days_note, stops_note, meal_note, km_note, earliest_note, latest_note, F.when(backwards, F.lit("horario")),
+            preferred_note, avoided_note, required_note, meals_note, modes_note, minutes_note, places_note, cuisines_note, start_note,
         ).alias("notes"),
     )
 

@@ -500,36 +500,85 @@ def flt_12(fx):
     return without_avoided(fx.days.withColumn("avoided", avoided)).select("plan_id", "day", "ord")
 
 
-def _raw_requests(fx):
-    k = F.col("plan_id")
-    return fx.plans.select(
-        "plan_id", (k % 10).cast("int").alias("days"), (k % 15).cast("int").alias("max_stops"),
-        (k % 300).cast("int").alias("meal_minutes"),
-        F.array(F.lit("Nature "), F.lit("moon"), F.lit("nature")).alias("preferred"),
-        F.when(k % 2 == 0, F.array(F.lit("food"))).alias("avoided"),
-        F.array(F.lit("beach"), F.lit("volcano")).alias("required_subcategories"),
-        F.array(F.lit("LUNCH"), F.lit("tea")).alias("must_include_meals"),
-        F.create_map(F.lit("1"), F.lit("walking"), F.lit("2"), F.lit("boat")).alias("day_modes"),
-        F.create_map(F.lit("nature"), (k % 600).cast("int"), F.lit("stars"), F.lit(30)).alias("category_minutes"),
-        F.create_map(F.lit("lunch"), F.lit("Ice Cream"), F.lit("dinner"), F.lit("breakfast")).alias("meal_cuisines"),
-        F.when(k % 4 == 0, "pronto").when(k % 4 == 1, "2023-12-31").when(k % 4 == 2, F.col("start_date").cast("string")).otherwise("2026-01-01").alias("start_text"),
-    )
+RAW = """SELECT plan_id, CAST(plan_id % 10 AS INT) AS days, CAST(plan_id % 15 AS INT) AS max_stops, CAST(plan_id % 300 AS INT) AS meal_minutes,
+CASE WHEN plan_id % 6 = 0 THEN NULL ELSE (plan_id % 700)*1e0 END AS max_km, CASE plan_id % 4 WHEN 0 THEN ' Walking' WHEN 1 THEN 'boat' WHEN 2 THEN NULL ELSE 'driving' END AS mode,
+CASE plan_id % 5 WHEN 0 THEN '8:30' WHEN 1 THEN 'temprano' WHEN 2 THEN '25:61' WHEN 3 THEN NULL ELSE '21:00' END AS earliest_text,
+CASE plan_id % 4 WHEN 0 THEN '18:15' WHEN 1 THEN NULL WHEN 2 THEN 'x:y' ELSE '23:00:10' END AS latest_text,
+CASE plan_id % 3 WHEN 0 THEN 'Nature ,moon,nature' WHEN 1 THEN 'culture, FOOD' ELSE NULL END AS preferred,
+CASE plan_id % 4 WHEN 0 THEN 'food' WHEN 1 THEN 'Lodging,sky' ELSE NULL END AS avoided,
+CASE plan_id % 5 WHEN 0 THEN 'beach,volcano' WHEN 1 THEN 'peak' WHEN 2 THEN 'park, Beach' ELSE NULL END AS required_subcategories,
+CASE plan_id % 3 WHEN 0 THEN 'LUNCH,tea' WHEN 1 THEN 'dinner, breakfast,dinner' ELSE NULL END AS must_include_meals,
+CASE plan_id % 4 WHEN 0 THEN '1=walking,2=boat' WHEN 1 THEN '3=driving' WHEN 2 THEN 'first=walking' ELSE NULL END AS day_modes,
+CASE plan_id % 3 WHEN 0 THEN concat('nature=', CAST(plan_id % 600 AS VARCHAR(9)), ',stars=30') WHEN 1 THEN 'food=45,culture=long' ELSE NULL END AS category_minutes,
+CASE WHEN plan_id % 7 = 0 THEN NULL ELSE concat('17=', CAST(plan_id % 700 AS VARCHAR(9))) END AS place_minutes,
+CASE plan_id % 5 WHEN 0 THEN 'lunch=Ice Cream,dinner=breakfast' WHEN 1 THEN 'tea=pizza,any=martian' WHEN 2 THEN 'any= Pizza' WHEN 3 THEN 'dinner=breakfast' ELSE NULL END AS meal_cuisines,
+CASE plan_id % 4 WHEN 0 THEN 'pronto' WHEN 1 THEN '2023-12-31' WHEN 2 THEN CAST(start_date AS VARCHAR(10)) ELSE '2026-01-01' END AS start_text, start_date FROM {plans_fx}"""
 
 
-@query("flt_13", """
-WITH k AS (SELECT plan_id, plan_id % 10 AS d, plan_id % 15 AS s, plan_id % 300 AS m, plan_id % 600 AS c, start_date FROM plans_fx)
-SELECT plan_id, CAST(least(greatest(d, 1), 7) AS INTEGER) AS days, CAST(least(greatest(s, 1), 12) AS INTEGER) AS max_stops, CAST(least(greatest(m, 20), 240) AS INTEGER) AS meal_minutes,
-'nature' AS preferred, CASE WHEN plan_id % 2 = 0 THEN 'food' END AS avoided, 'beach' AS subs, 'lunch' AS meals, '1=walking' AS modes, CASE WHEN c BETWEEN 10 AND 480 THEN CAST(c AS INTEGER) END AS nature_minutes, 'lunch=ice_cream' AS cuisines,
-CAST(5 + CAST(d < 1 OR d > 7 AS INT) + CAST(s < 1 OR s > 12 AS INT) + CAST(m < 20 OR m > 240 AS INT) + CAST(plan_id % 4 <> 2 OR start_date < DATE '2024-01-05' AS INT) AS INTEGER) AS notes FROM k""")
+def _raw_requests(fx):
+    raw = fx.sql(RAW)
+    lists = {c: F.split(c, ",") for c in ("preferred", "avoided", "required_subcategories", "must_include_meals")}
+    texts = {c: F.expr(f"str_to_map({c}, ',', '=')") for c in ("day_modes", "meal_cuisines")}
+    numbers = {c: F.expr(f"transform_values(str_to_map({c}, ',', '='), (k, v) -> try_cast(v AS int))") for c in ("category_minutes", "place_minutes")}
+    return raw.withColumns({**lists, **texts, **numbers})
+
+
+def _words_sql(column: str, allowed) -> tuple[str, str]:
+    """(kept words joined, whether one was dropped) of a comma list."""
+    words = f"list_transform(string_split({column}, ','), lambda v: lower(trim(v)))"
+    known = f"list_filter({words}, lambda v: v IN {X.in_list(allowed)})"
+    kept = f"array_to_string(list_filter({known}, lambda v, i: list_position({known}, v) = i), ',')"
+    return f"CASE WHEN {column} IS NOT NULL THEN {kept} END", f"CAST(coalesce(len({words}) > len({known}), false) AS INT)"
+
+
+def _pairs_sql(column: str, allowed: str, value: str = "string_split(p, '=')[2]", silent: str = "false") -> tuple[str, str]:
+    """(kept pairs joined, whether one was dropped) of a list of key=value; ``k`` and ``v`` are p's halves."""
+    put = lambda test: test.replace("$k", "string_split(p, '=')[1]").replace("$v", f"({value})")
+    pairs = f"list_filter(string_split({column}, ','), lambda p: NOT ({put(silent)}))"
+    kept = f"list_filter({pairs}, lambda p: coalesce({put(allowed)}, false))"
+    said = f"array_to_string(list_transform({kept}, lambda p: string_split(p, '=')[1] || '=' || ({value})), ',')"
+    return f"CASE WHEN {column} IS NOT NULL THEN {said} END", f"CAST(coalesce(len({pairs}) > len({kept}), false) AS INT)"
+
+
+def _flt_13() -> str:
+    meals = X.in_list((*K.MEAL_WINDOWS, "any"))
+    number = "TRY_CAST(string_split(p, '=')[2] AS INT)"
+    spelt = "replace(lower(trim(string_split(p, '=')[2])), ' ', '_')"
+    fields = {
+        "preferred": _words_sql("preferred", K.CATEGORIES), "avoided": _words_sql("avoided", K.CATEGORIES),
+        "subs": _words_sql("required_subcategories", K.REQUIRABLE_SUBCATEGORIES), "meals": _words_sql("must_include_meals", K.MEAL_WINDOWS),
+        "modes": _pairs_sql("day_modes", "regexp_matches($k, '^\\s*\\d+\\s*$') AND $v IN ('driving', 'walking')"),
+        "minutes": _pairs_sql("category_minutes", f"$k IN {X.in_list(K.CATEGORIES)} AND $v BETWEEN 10 AND 480", number),
+        "places": _pairs_sql("place_minutes", "$v BETWEEN 10 AND 480", number),
+        "cuisines": _pairs_sql("meal_cuisines", f"$k IN {meals} AND $v IN {X.in_list(K.CUISINES)}", spelt, f"$k IN {meals} AND $v IN {X.in_list(K.CUISINES_THAT_ARE_MEALS)}"),
+    }
+    clock = "'^\\s*(\\d+)\\s*:\\s*(\\d+)\\s*(:.*)?$'"
+    minute = lambda c: f"(TRY_CAST(regexp_extract({c}, {clock}, 1) AS INT) % 24)*60 + TRY_CAST(regexp_extract({c}, {clock}, 2) AS INT) % 60"
+    date = "try_cast(start_text AS DATE)"
+    notes = " + ".join([
+        "CAST(days < 1 OR days > 7 AS INT)", "CAST(max_stops < 1 OR max_stops > 12 AS INT)", "CAST(meal_minutes < 20 OR meal_minutes > 240 AS INT)",
+        "CAST(coalesce(max_km < 1 OR max_km > 500, false) AS INT)", "CAST(earliest_text IS NOT NULL AND e IS NULL AS INT)", "CAST(latest_text IS NOT NULL AND l IS NULL AS INT)",
+        "CAST(coalesce(e, 540) >= coalesce(l, 1200) AS INT)", f"CAST({date} IS NULL OR {date} < DATE '2024-01-05' OR {date} > DATE '2025-01-04' AS INT)",
+        *[note for _, note in fields.values()],
+    ])
+    said = ", ".join(f"{kept} AS {name}" for name, (kept, _) in fields.items())
+    return f"""WITH r AS (SELECT *, {minute('earliest_text')} AS e, {minute('latest_text')} AS l FROM ({RAW.replace('{', '').replace('}', '')}))
+SELECT plan_id, CAST(least(greatest(days, 1), 7) AS INTEGER) AS days, CAST(least(greatest(max_stops, 1), 12) AS INTEGER) AS max_stops, CAST(least(greatest(meal_minutes, 20), 240) AS INTEGER) AS meal_minutes,
+CASE WHEN max_km IS NOT NULL THEN least(greatest(max_km, 1e0), 500e0) END AS max_km, CASE WHEN lower(trim(mode)) = 'walking' THEN 'walking' ELSE 'driving' END AS mode,
+CAST(CASE WHEN coalesce(e, 540) >= coalesce(l, 1200) THEN 540 ELSE coalesce(e, 540) END AS INTEGER) AS earliest, CAST(CASE WHEN coalesce(e, 540) >= coalesce(l, 1200) THEN 1200 ELSE coalesce(l, 1200) END AS INTEGER) AS latest,
+{said}, CAST({notes} AS INTEGER) AS notes FROM r"""
+
+
+@query("flt_13", _flt_13())
 def flt_13(fx):
-    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     clean = R.clean_requests(_raw_requests(fx), F.lit("2024-01-05").cast("date"))
     return clean.select(
-        "plan_id", "days", "max_stops", "meal_minutes", F.array_join("preferred", ",").alias("preferred"),
-        F.array_join("avoided", ",").alias("avoided"), F.array_join("required_subcategories", ",").alias("subs"),
-        F.array_join("must_include_meals", ",").alias("meals"), flat("day_modes").alias("modes"),
-        F.try_element_at("category_minutes", F.lit("nature")).alias("nature_minutes"), flat("meal_cuisines").alias("cuisines"),
-        F.size("notes").alias("notes"),
+        "plan_id", "days", "max_stops", "meal_minutes", "max_km", "mode", "earliest", "latest",
+        F.array_join("preferred", ",").alias("preferred"), F.array_join("avoided", ",").alias("avoided"),
+        F.array_join("required_subcategories", ",").alias("subs"), F.array_join("must_include_meals", ",").alias("meals"),
+        flat("day_modes").alias("modes"), flat("category_minutes").alias("minutes"), flat("place_minutes").alias("places"),
+        flat("meal_cuisines").alias("cuisines"), F.size("notes").alias("notes"),
     )
 
 
