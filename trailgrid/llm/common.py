@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,11 @@ def bare_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_MARKS_AS_SPACE).split()
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of runs laid end to end: each from its start, as long as its length."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)

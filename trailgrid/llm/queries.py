@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgrid.llm import chat, decontaminate, exact, lm, packing, quality, secrets, simhash, toxicity, urls
+from trailgrid.llm import chat, decontaminate, exact, lm, packing, phrases, pieces, quality, secrets, simhash, toxicity, trie, urls
 from trailgrid.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,96 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("learnt").cast("long").alias("loss_chars"), F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
         F.col("chars").alias("formatted_chars"),
     )
+
+
+#: Prefixes are lists of turn digests, and a subtree is every longer list that starts alike.
+TRIE_SQL = f"""
+WITH t AS (
+    SELECT conv_id, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS said, octet_length(encode(coalesce(text, ''))) AS size,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % {trie.GROUP} AS base, CAST(conv_id AS VARCHAR) AS s, count(*) AS own FROM t GROUP BY conv_id
+), h AS (
+    SELECT conv_id, base, own, xor(list_reduce([4294967295::BIGINT] || [CASE WHEN i % 8 = 0 THEN ascii(substr(s, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END FOR i IN range(8 * length(s))],
+        lambda r, e: xor(xor(r, e) >> 1, 3988292384 * (xor(r, e) & 1))), 4294967295) % {trie.HEADS} AS h
+    FROM c
+), n AS (
+    SELECT h.*, least(h.h, coalesce(b.own, 0)) AS taken FROM h LEFT JOIN c b ON b.conv_id = h.base
+), r AS (
+    SELECT n.conv_id, t.pos, t.said, t.size FROM n JOIN t ON t.conv_id = n.base AND t.pos < n.taken
+    UNION ALL SELECT n.conv_id, n.taken + t.pos - n.h, t.said, t.size FROM n JOIN t ON t.conv_id = n.conv_id AND t.pos >= n.h
+), m AS (
+    SELECT conv_id, list(said) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS path, size FROM r
+    UNION ALL SELECT conv_id, [], 0 FROM n
+), e AS (
+    SELECT conv_id, max(len(path)) AS depth FROM m GROUP BY conv_id
+), g AS (
+    SELECT path, min(conv_id) AS conv_id, len(path) AS depth, count(*) AS n_convs, max(size) AS size,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len(path)), '')) AS ends_sha256
+    FROM m JOIN e USING (conv_id) GROUP BY path
+), u AS (
+    SELECT a.path, count(*) FILTER (d.depth = a.depth + 1) AS n_children, sum((d.n_convs - 1) * d.size) AS saved
+    FROM g a JOIN g d ON d.depth >= a.depth AND d.path[:a.depth] = a.path GROUP BY a.path
+), l AS (
+    SELECT a.path, count(*) AS n_leaves FROM g a JOIN g d ON d.depth >= a.depth AND d.path[:a.depth] = a.path
+    JOIN u ON u.path = d.path AND u.n_children = 0 GROUP BY a.path
+)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, g.n_convs, u.n_children, l.n_leaves,
+    CAST(u.saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN u USING (path) JOIN l USING (path) LEFT JOIN g p ON p.path = g.path[:-2] AND g.depth > 0
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    told = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return told.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+#: Every n-gram as a string; HUGEINT holds the products.
+PHRASES_SQL = f"""
+WITH d AS (
+    SELECT coalesce(lang, '{phrases.NO_LANG}') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+    SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d
+), w AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+    SELECT lang, s.words, unnest([array_to_string(ws[i:i + s.words - 1], ' ') FOR i IN range(1, len(ws) - s.words + 2)]) AS phrase
+    FROM w, (SELECT unnest(range(1, {phrases.WORDS} + 1)) AS words) s
+), f AS (
+    SELECT lang, words, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}
+), n AS (
+    SELECT lang, count(*) AS n FROM g WHERE words = 1 GROUP BY lang
+), c AS (
+    SELECT lang, phrase, words, n AS a, unnest(range(1, words)) AS k, string_split(phrase, ' ') AS ws FROM f WHERE words > 1
+), s AS (
+    SELECT c.lang, c.phrase, c.words, c.a, c.k, x.n AS l, y.n AS r,
+        CAST(({phrases.MILLION}::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[:c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+), b AS (
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), k AS (
+    SELECT * FROM b WHERE NOT EXISTS (
+        SELECT 1 FROM f WHERE f.lang = b.lang AND f.words > b.words AND contains(' ' || f.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * f.n >= {phrases.SHARE} * b.a)
+), r AS (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM k
+)
+SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM r JOIN n USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
