@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailgrid.llm.common import keyed_texts, ragged
-from trailgrid.session import run_folder
 
 MARK = "▁"
 #: Characters of text in a block of rows, and bytes of text for each part of the table of words.
@@ -84,7 +84,7 @@ def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2^32, byte by byte place, compressed."""
     import zstandard
 
-    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -93,55 +93,100 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def blocks(rows: DataFrame, parts: int, apart: bool, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks of rows, and the distinct words of each block dealt over the ``parts`` of the table.
+def _packed_words(words: list[str]) -> tuple[bytes, bytes]:
+    """(letters, lengths) of words, compressed."""
+    import zstandard
+
+    letters = [w.encode() for w in words]
+    return zstandard.compress(b"".join(letters), 3), _packed(np.array([len(w) for w in letters]))
+
+
+def _unpacked_words(letters: bytes, lengths: bytes) -> list[str]:
+    import zstandard
+
+    ends = np.cumsum(_unpacked(lengths))
+    offsets = pa.py_buffer(np.concatenate([[0], ends]).astype("<i4").tobytes())
+    return pa.StringArray.from_buffers(len(ends), offsets, pa.py_buffer(zstandard.decompress(letters))).to_pylist()
 
-    A row with ``part`` -1 holds the keys of a block, the numbers of all its words in order and how
-    many each key has; one with a part holds that block's words in it and their numbers. A word is
-    once in a block however often it occurs, so a very common one is one entry for each block.
+
+def _blocks(batches, apart: bool, block_chars: int):
+    """(block, keys, words for each key, words by number, all words as numbers) of one task's rows; a very common word has a small number.
+
+    A block is named by its words, so whoever cuts the same rows names it alike.
     """
+    import xxhash
+
+    number, keys, counts, listed, chars = _Numbers(), [], [], [], 0
+
+    def told():
+        found = np.concatenate(listed)
+        order = np.argsort(-np.bincount(found, minlength=len(number)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        spelt = list(number)
+        words = [spelt[n] for n in order.tolist()]
+        name = xxhash.xxh64_intdigest(repr((keys, counts)).encode() + "\0".join(words).encode()) >> 1
+        return name, keys, np.array(counts), words, place[found] if len(found) else found
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py()
+            words = marked_words(text) if apart else [text] * bool(text)
+            keys.append(key)
+            counts.append(len(words))
+            listed.append(np.fromiter((number[w] for w in words), np.int64, len(words)))
+            chars += len(text) + 16
+            if chars >= block_chars:
+                yield told()
+                number, keys, counts, listed, chars = _Numbers(), [], [], [], 0
+    if keys:
+        yield told()
+
+
+def _part(word: str, parts: int) -> int:
+    return zlib.crc32(word.encode()) % parts
+
+
+def text_rows(rows: DataFrame, parts: int, apart: bool, block_chars: int) -> DataFrame:
+    """(block, numbers, counts, parts, keys): a block's keys, its texts as word numbers, and each word's part of the table."""
     kind = rows.schema["key"].dataType
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())),
-        T.StructField("numbers", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)),
+        T.StructField("block", T.LongType()), T.StructField("numbers", T.BinaryType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("parts", T.BinaryType()), T.StructField("keys", T.ArrayType(kind)),
     ])
 
-    def split(batches):
-        from pyspark import TaskContext
+    def work(batches):
+        batches = iter(batches)
+        for first in batches:
+            key_type = first.schema.field(0).type
+            for block, keys, counts, words, numbers in _blocks(chain([first], batches), apart, block_chars):
+                row = (block, _packed(numbers), _packed(counts), _packed(np.array([_part(w, parts) for w in words], np.int64)), keys)
+                types = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(key_type))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types)], names=schema.names)
 
-        block = TaskContext.get().partitionId() << 32
-        number, keys, listed, counts, chars = _Numbers(), [], [], [], 0
+    return rows.mapInArrow(work, schema)
 
-        def told(key_type):
-            by_part: dict[int, list[str]] = {}
-            for word in number:
-                by_part.setdefault(zlib.crc32(word.encode()) % parts, []).append(word)
-            out = [(block, -1, None, _packed(np.concatenate(listed)), _packed(np.array(counts)), keys)]
-            out += [(block, part, words, _packed(np.array([number[w] for w in words])), None, None) for part, words in by_part.items()]
-            types = (pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.list_(key_type))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=schema.names)
 
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                words = marked_words(text) if apart else [text] * bool(text)
-                keys.append(key)
-                counts.append(len(words))
-                listed.append(np.fromiter((number[w] for w in words), np.int64, len(words)))
-                chars += len(text) + 16
-                if chars >= block_chars:
-                    yield told(key_type)
-                    block += 1
-                    number, keys, listed, counts, chars = _Numbers(), [], [], [], 0
-        if keys:
-            yield told(key_type)
-
-    return rows.mapInArrow(split, schema)
+def word_rows(rows: DataFrame, parts: int, apart: bool, block_chars: int) -> DataFrame:
+    """(block, part, words, sizes): a block's distinct words, dealt over the ``parts`` of the table.
+
+    A word is once in a block however often it occurs, so a very common one is one entry for each block.
+    """
+    def work(batches):
+        for block, _, _, words, _ in _blocks(batches, apart, block_chars):
+            dealt: dict[int, list[str]] = {}
+            for word in words:
+                dealt.setdefault(_part(word, parts), []).append(word)
+            out = [(block, part, *_packed_words(members)) for part, members in dealt.items()]
+            if out:
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "part", "words", "sizes"])
+
+    return rows.mapInArrow(work, "block long, part int, words binary, sizes binary")
 
 
 def answered(words: DataFrame, path: str, apart: bool) -> DataFrame:
-    """(block, numbers, lengths, ids): the ids of each block's words, one row for each of its parts.
+    """(block, part, lengths, ids): the ids of each block's words, in the order of the asking row.
 
     The table of distinct words lies in parts of a bounded size: a task fills one part at a time,
     segments a word when its first block asks for it, and answers every block from the table.
@@ -151,36 +196,42 @@ def answered(words: DataFrame, path: str, apart: bool) -> DataFrame:
         table, at = {}, None
         for batch in batches:
             out = []
-            for block, part, asked, numbers in zip(*[batch.column(i) for i in range(4)]):
-                if part.as_py() != at:
-                    table, at = {}, part.as_py()
-                asked = asked.as_py()
+            for block, part, letters, sizes in zip(*[c.to_pylist() for c in batch.columns]):
+                if part != at:
+                    table, at = {}, part
+                asked = _unpacked_words(letters, sizes)
                 new = [w for w in asked if w not in table]
-                found = word_ids(m, new) if apart else m.encode(new, num_threads=1)
-                table.update((w, np.array(ids, dtype=np.int64)) for w, ids in zip(new, found))
-                lists = [table[w] for w in asked]
-                out.append((block.as_py(), numbers.as_py(), _packed(np.array([len(x) for x in lists])), _packed(np.concatenate(lists))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "numbers", "lengths", "ids"])
+                table.update(zip(new, word_ids(m, new) if apart else m.encode(new, num_threads=1)))
+                found = [table[w] for w in asked]
+                flat = np.fromiter(chain.from_iterable(found), np.int64)
+                out.append((block, part, _packed(np.fromiter(map(len, found), np.int64, len(found))), _packed(flat)))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["block", "part", "lengths", "ids"])
 
-    asked = words.select("block", "part", "words", "numbers").repartition("part").sortWithinPartitions("part", "block")
-    return asked.mapInArrow(look_up, "block long, numbers binary, lengths binary, ids binary")
+    asked = words.repartition("part").sortWithinPartitions("part", "block")
+    return asked.mapInArrow(look_up, "block long, part int, lengths binary, ids binary")
 
 
-def joined(rows: DataFrame, answers: DataFrame) -> DataFrame:
+def joined(texts: DataFrame, answers: DataFrame) -> DataFrame:
     """(key, ids) of every row, put together from its block's words by position."""
-    kind = rows.schema["keys"].dataType.elementType
+    kind = texts.schema["keys"].dataType.elementType
 
-    def put(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def put(rows: pa.Table, found: pa.Table) -> pa.Table:
+        told = {p: (_unpacked(n), _unpacked(i)) for p, n, i in zip(*[found.column(c).to_pylist() for c in ("part", "lengths", "ids")])}
         keys, ids, sizes = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        parts = [[_unpacked(x.as_py()) for x in found.column(n)] for n in ("numbers", "lengths", "ids")] if found.num_rows else [[np.zeros(0, np.int64)]] * 3
-        numbers, lengths, flat = map(np.concatenate, parts)
-        size, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-        size[numbers], start[numbers] = lengths, np.cumsum(lengths) - lengths
-        for listed, counts, key in zip(texts.column("numbers"), texts.column("counts"), texts.column("keys")):
-            words, counts = _unpacked(listed.as_py()), _unpacked(counts.as_py())
-            ids.append(flat[ragged(start[words], size[words])])
-            ends = np.concatenate([[0], np.cumsum(size[words])])
-            last = np.cumsum(counts)
+        for numbers, counts, parts, key in zip(*[rows.column(c) for c in ("numbers", "counts", "parts", "keys")]):
+            parts = _unpacked(parts.as_py())
+            size, start, flat, filled = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [np.zeros(0, np.int64)], 0
+            for part, (lengths, part_ids) in told.items():
+                mine = np.flatnonzero(parts == part)
+                size[mine], start[mine] = lengths, filled + np.cumsum(lengths) - lengths
+                flat.append(part_ids)
+                filled += len(part_ids)
+            if (size == 0).any():
+                raise RuntimeError("the rows of a partition changed between two readings: write the table first")
+            words, counts = _unpacked(numbers.as_py()), _unpacked(counts.as_py())
+            ids.append(np.concatenate(flat)[ragged(start[words], size[words])])
+            ends, last = np.concatenate([[0], np.cumsum(size[words])]), np.cumsum(counts)
             sizes.append(ends[last] - ends[last - counts])
             keys.append(key.values)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -188,8 +239,7 @@ def joined(rows: DataFrame, answers: DataFrame) -> DataFrame:
         return pa.table({"key": pa.concat_arrays(keys), "ids": lists})
 
     schema = T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    sent = rows.select("block", "numbers", "counts", "keys")
-    return sent.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, schema)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(put, schema)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, path: str | None = None,
@@ -200,16 +250,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, path: st
     whole text is one word). Each distinct word is segmented once, in the part of the table that its
     hash names, and ids come back by position. Null and empty texts have no ids; keys may be null or
     repeat, an empty table gives an empty one. A block of rows is as long as its longest text at least.
+    Texts are read and cut twice instead of being stored: rows are sorted within a partition, so a
+    task that is run again cuts the same blocks, and blocks that differ all the same raise an error.
     """
     path = path or model_path()
     apart = words_apart(path)
     rows = keyed_texts(docs, key, text)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    out = run_folder(docs.sparkSession, "pieces")
-    blocks(rows, max(1, math.ceil(total / part_bytes)), apart, block_chars).write.parquet(out)
-    stored = docs.sparkSession.read.parquet(out)
-    answers = answered(stored.where("part >= 0"), path, apart)
-    return joined(stored.where("part < 0"), answers).withColumnRenamed("key", key)
+    rows, parts = rows.sortWithinPartitions("key", "text"), max(1, math.ceil(total / part_bytes))
+    answers = answered(word_rows(rows, parts, apart, block_chars), path, apart)
+    return joined(text_rows(rows, parts, apart, block_chars), answers).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", *, path: str | None = None) -> DataFrame:
