@@ -24,14 +24,16 @@ TOP = 2000
 MILLION = 1_000_000
 SALT_ROWS = 200_000
 #: Bytes of text in a block, and bytes of text for each bucket of fingerprints.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
 BUCKET_BYTES = 4_000_000
 #: Two residues make the fingerprint, a third one the check.
 PRIMES = (2_147_483_647, 2_147_483_629, 2_147_483_587)
 BASES = (911_382_323, 972_663_749, 1_000_000_007)
-PRINT_BITS = 56
+PRINT_BITS = 52
 NO_LANG = "und"
 STEP = 4096
+#: Letters summed, and words compared, at a time.
+CHUNK = 64 * STEP
 #: A-Z small, tabs as spaces, everything that parts pieces as a line end.
 _PLAIN = bytes(10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END = re.compile(rb"[ \n]")
@@ -49,8 +51,8 @@ def powers(prime: int, base: int, length: int) -> np.ndarray:
 
 
 def power_table(prime: int, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers by high and low digit of the exponent, up to ``length``."""
-    return powers(prime, pow(base, STEP, prime), length // STEP + 1), powers(prime, base, STEP)
+    """Powers by high and low digit of the exponent, up to ``length`` at least."""
+    return powers(prime, pow(base, STEP, prime), 1 << (length // STEP).bit_length()), powers(prime, base, STEP)
 
 
 class Grams(NamedTuple):
@@ -68,7 +70,31 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], (data != 32) & (data != 10), [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    return starts, ends, np.cumsum(data == 10)[starts] if len(starts) else starts
+    return starts, ends, np.searchsorted(np.flatnonzero(data == 10), starts)
+
+
+def spaced_letters(data: np.ndarray) -> np.ndarray:
+    """The words of plain text with one space behind each."""
+    letters = np.append(data, np.uint8(32))
+    inside = (letters != 32) & (letters != 10)
+    letters[~inside] = 32
+    inside[1:] |= inside[:-1].copy()
+    return letters[inside]
+
+
+def sums_before(letters: np.ndarray, places: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """Prefix polynomial of ``letters`` before each of the ascending ``places``, some letters at a time."""
+    high, low = power_table(prime, base, len(letters))
+    out, carry = np.empty(len(places), np.uint64), np.uint64(0)
+    for at in range(0, len(letters) + 1, CHUNK):
+        part = letters[at:at + CHUNK]
+        rows = high[at // STEP:(at + len(part)) // STEP + 1, None]
+        terms = (rows * low % np.uint64(prime)).ravel()[:len(part)] * (part + np.uint64(1)) % np.uint64(prime)
+        sums = np.concatenate([[carry], carry + np.cumsum(terms)])
+        begin, end = np.searchsorted(places, [at, at + CHUNK])
+        out[begin:end] = sums[places[begin:end] - at]
+        carry = sums[-1]
+    return out
 
 
 def exact_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -79,7 +105,11 @@ def exact_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prints
     """
     number, _ = pd.factorize(prints)
     lengths, of = ends - starts, first_places(number)[number]
-    if (lengths == lengths[of]).all() and (data[ragged(starts, lengths)] == data[ragged(starts[of], lengths)]).all():
+    same = (lengths == lengths[of]).all()
+    for at in range(0, len(starts) if same else 0, CHUNK):
+        n, mine, first = lengths[at:at + CHUNK], starts[at:at + CHUNK], starts[of[at:at + CHUNK]]
+        same = same and (data[ragged(mine, n)] == data[ragged(first, n)]).all()
+    if same:
         return number
     raw, seen = data.tobytes(), {}
     return np.array([seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
@@ -103,22 +133,16 @@ def grams(plain: bytes, limit: int, most: int = WORDS, print_bits: int = PRINT_B
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Grams(none, none, none, none, none), 0
-    lengths = ends - starts + 1
-    tight_end = np.cumsum(lengths)
-    tight = tight_end - lengths
-    letters = np.full(int(tight_end[-1]), 32, np.uint8)
-    letters[ragged(tight, lengths - 1)] = data[ragged(starts, lengths - 1)]
-    sums, backs = [], []
-    for prime, base in zip(PRIMES, BASES):
-        high, low = power_table(prime, base, len(letters))
-        terms = (high[:, None] * low % np.uint64(prime)).ravel()[:len(letters)] * (letters + np.uint64(1)) % np.uint64(prime)
-        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)]))
-        high, low = power_table(prime, pow(base, -1, prime), len(letters))
-        backs.append(high[tight // STEP] * low[tight % STEP] % np.uint64(prime))
+    tight_end = np.cumsum(ends - starts + 1)
+    tight = tight_end - (ends - starts + 1)
+    letters, places = spaced_letters(data), np.stack([tight, tight_end - 1], axis=1).ravel()
+    sums = [sums_before(letters, places, prime, base).reshape(-1, 2).T for prime, base in zip(PRIMES, BASES)]
+    backs = [power_table(prime, pow(base, -1, prime), len(letters)) for prime, base in zip(PRIMES, BASES)]
 
     def hashed(which: int, first: np.ndarray, n: int) -> np.ndarray:
-        prime = np.uint64(PRIMES[which])
-        return (sums[which][tight_end[first + n - 1] - 1] - sums[which][tight[first]]) % prime * backs[which][first] % prime
+        prime, (high, low) = np.uint64(PRIMES[which]), backs[which]
+        back = high[tight[first] // STEP] * low[tight[first] % STEP] % prime
+        return (sums[which][1][first + n - 1] - sums[which][0][first]) % prime * back % prime
 
     def prints(first: np.ndarray, n: int) -> np.ndarray:
         return (hashed(0, first, n) << np.uint64(31) | hashed(1, first, n)) % np.uint64(1 << print_bits)
