@@ -68,9 +68,9 @@ class Grams(NamedTuple):
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, piece) of every word of plain text."""
     inside = np.concatenate([[False], (data != 32) & (data != 10), [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
     starts, ends = edges[::2], edges[1::2]
-    return starts, ends, np.searchsorted(np.flatnonzero(data == 10), starts)
+    return starts, ends, np.searchsorted(np.flatnonzero(data == 10).astype(np.int32), starts).astype(np.int32)
 
 
 def spaced_letters(data: np.ndarray) -> np.ndarray:
@@ -133,16 +133,17 @@ def grams(plain: bytes, limit: int, most: int = WORDS, print_bits: int = PRINT_B
     if not len(starts):
         none = np.zeros(0, np.int64)
         return Grams(none, none, none, none, none), 0
-    tight_end = np.cumsum(ends - starts + 1)
+    tight_end = np.cumsum(ends - starts + 1, dtype=np.int32)
     tight = tight_end - (ends - starts + 1)
     letters, places = spaced_letters(data), np.stack([tight, tight_end - 1], axis=1).ravel()
-    sums = [sums_before(letters, places, prime, base).reshape(-1, 2).T for prime, base in zip(PRIMES, BASES)]
+    sums = [sums_before(letters, places, prime, base) for prime, base in zip(PRIMES, BASES)]
     backs = [power_table(prime, pow(base, -1, prime), len(letters)) for prime, base in zip(PRIMES, BASES)]
+    del letters, places
 
     def hashed(which: int, first: np.ndarray, n: int) -> np.ndarray:
         prime, (high, low) = np.uint64(PRIMES[which]), backs[which]
         back = high[tight[first] // STEP] * low[tight[first] % STEP] % prime
-        return (sums[which][1][first + n - 1] - sums[which][0][first]) % prime * back % prime
+        return (sums[which][2 * (first + n) - 1] - sums[which][2 * first]) % prime * back % prime
 
     def prints(first: np.ndarray, n: int) -> np.ndarray:
         return (hashed(0, first, n) << np.uint64(31) | hashed(1, first, n)) % np.uint64(1 << print_bits)
@@ -152,17 +153,15 @@ def grams(plain: bytes, limit: int, most: int = WORDS, print_bits: int = PRINT_B
     exact, here = number, np.arange(len(starts))
     for n in range(1, most + 1):
         if n > 1:
-            longer = here[piece[here] == piece[np.minimum(here + n - 1, len(piece) - 1)]]
-            longer = longer[longer + n <= len(starts)]
-            codes, _ = pd.factorize(exact[np.searchsorted(here, longer)] * distinct + number[longer + n - 1])
-            exact, here = codes, longer
+            longer = here[:np.searchsorted(here, len(starts) - n + 1)]
+            longer = longer[piece[longer] == piece[longer + n - 1]]
+            exact, here = pd.factorize(exact[np.searchsorted(here, longer)] * distinct + number[longer + n - 1])[0], longer
         mine = int(np.searchsorted(here, own))
-        first, count = first_places(exact[:mine]), np.bincount(exact[:mine])
-        at = here[first]
-        found.append(Grams(count, starts[at], np.full(len(at), n), prints(at, n), hashed(2, at, n)))
-    joint = Grams(*[np.concatenate(c) for c in zip(*found)])
-    order = np.argsort(joint.at, kind="stable")
-    return Grams(*[c[order] for c in joint]), own
+        at = here[first_places(exact[:mine])]
+        found.append(Grams(np.bincount(exact[:mine]).astype(np.uint32), starts[at], np.full(len(at), n, np.uint8), prints(at, n), hashed(2, at, n).astype(np.uint32)))
+    del sums, backs, exact, here, number, tight, tight_end, piece
+    order = np.argsort(np.concatenate([g.at for g in found]), kind="stable")
+    return Grams(*[np.concatenate(c)[order] for c in zip(*found)]), own
 
 
 def phrase_at(plain: bytes, at: int, words: int) -> str:
