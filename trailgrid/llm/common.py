@@ -53,6 +53,14 @@ def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name`` with as many underscores ahead as it takes to be no column of ``frame``, whatever its case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(key: Column) -> Column:
     """True for the fold that is never learnt from; a null id is never learnt from either."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrid.llm.common import ascii_lower
+from trailgrid.llm.common import ascii_lower, free_name
 from trailgrid.session import checkpointed
 
 DIGEST = 32
@@ -186,9 +186,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     winners = checkpointed(copy_groups(rows).select("digest", "winner"))
     own = rows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     repeated = checkpointed(own.join(winners, (F.col("key").eqNullSafe(F.col("winner"))) & (own["digest"] == winners["digest"]), "left_semi").select("key", "digest"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(ascii_lower(F.col(text)).cast("binary"), 256)))
-    kept = marked.join(winners, (marked["_digest"] == winners["digest"]) & marked[key].eqNullSafe(winners["winner"]), "left_semi")
+    own_digest = free_name(docs, "_digest")
+    marked = docs.withColumn(own_digest, F.unhex(F.sha2(ascii_lower(F.col(text)).cast("binary"), 256)))
+    kept = marked.join(winners, (marked[own_digest] == winners["digest"]) & marked[key].eqNullSafe(winners["winner"]), "left_semi")
     if repeated.isEmpty():
-        return kept.drop("_digest")
-    same = (kept["_digest"] == repeated["digest"]) & kept[key].eqNullSafe(repeated["key"])
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, "_digest"])).drop("_digest")
+        return kept.drop(own_digest)
+    same = (kept[own_digest] == repeated["digest"]) & kept[key].eqNullSafe(repeated["key"])
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, own_digest])).drop(own_digest)

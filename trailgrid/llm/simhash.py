@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailgrid.llm.common import keyed_texts
+from trailgrid.llm.common import free_name, keyed_texts
 from trailgrid.operators.components import connected_components
 from trailgrid.session import checkpointed
 
@@ -137,8 +137,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     only where no row of its component has one.
     """
     found = near_duplicates(docs, key, text)
-    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_stays")).distinct()
-    return docs.join(stay, docs[key].eqNullSafe(F.col("_stays")), "left_semi")
+    stays = free_name(docs, "_stays")
+    stay = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias(stays)).distinct()
+    return docs.join(stay, docs[key].eqNullSafe(F.col(stays)), "left_semi")
 
 
 def hexadecimal(fp: Column) -> Column:
