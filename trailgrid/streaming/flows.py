@@ -9,6 +9,7 @@ from trailgrid import constants as K
 from trailgrid.session import run_folder
 from trailgrid.sources import keyed, osm
 from trailgrid.streaming import limits
+from trailgrid.streaming.store import BUCKET_ROWS, FAN, KeyStore
 
 
 def read_table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -26,54 +27,17 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def stored_buckets(spark: SparkSession, store: str, before: int | None = None) -> dict[int, str]:
-    """Path of every bucket's newest version in a store, of the batches before ``before`` only if given.
+def fold_by_key(batches: DataFrame, store: str, keys: list[str], arrive, fold, buckets: int = 1, fan: int = FAN, bucket_rows: int = BUCKET_ROWS) -> DataFrame | None:
+    """Fold what has arrived into a :class:`KeyStore`; returns its rows, or None where it is empty.
 
-    A version counts once its batch was written whole.
+    ``arrive(batch, batch_id)`` gives rows with ``keys``, ``fold(rows)`` makes one row per key of any
+    rows, in whatever steps. There is no stream state, and a batch reads nothing of the store but the
+    runs it merges. A job that is stopped goes on from there, and a batch that is run again changes nothing.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
-    newest: dict[int, tuple[int, str]] = {}
-    for status in files.listStatus(path(store)) if files.exists(path(store)) else []:
-        name = status.getPath().getName()
-        version = int(name[1:]) if name.startswith("v") and name[1:].isdigit() else None
-        if version is None or (before is not None and version >= before) or not files.exists(path(f"{store}/{name}/_SUCCESS")):
-            continue
-        for part in files.listStatus(status.getPath()):
-            label = part.getPath().getName()
-            if label.startswith("bucket="):
-                bucket = int(label.split("=")[1])
-                newest[bucket] = max(newest.get(bucket, (-1, "")), (version, f"{store}/{name}/{label}"))
-    return {bucket: where for bucket, (_, where) in newest.items()}
-
-
-def fold_by_key(batches: DataFrame, store: str, keys: list[str], arrive, fold, buckets: int = 64) -> DataFrame | None:
-    """Fold what has arrived into a store of key buckets; returns the store, or None where it is empty.
-
-    ``arrive(batch, batch_id)`` gives rows with ``keys``, ``fold(rows)`` makes one row per key of
-    stored and arrived ones. There is no stream state: a batch reads and writes only the buckets
-    that its keys fall into, from what earlier batches left in the store. So a job that is stopped
-    goes on from there, and a batch that is run again gives the same version again.
-    """
-    spark = batches.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        arrived = arrive(batch, batch_id).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = [r["bucket"] for r in arrived.select("bucket").distinct().collect()]
-        stored = stored_buckets(spark, store, batch_id)
-        known = [stored[b] for b in touched if b in stored]
-        rows = arrived.drop("bucket")
-        if known:
-            rows = spark.read.schema(rows.schema).parquet(*known).unionByName(rows)
-        if touched:
-            placed = fold(rows).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-            placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/v{batch_id}")
-        arrived.unpersist()
-
+    kept = KeyStore(batches.sparkSession, store, keys, fold, fan=fan, buckets=buckets, bucket_rows=bucket_rows)
     writer = batches.writeStream.option("checkpointLocation", f"{store}/state").trigger(availableNow=True)
-    writer.foreachBatch(merge).start().awaitTermination()
-    paths = list(stored_buckets(spark, store).values())
-    return spark.read.parquet(*paths) if paths else None
+    writer.foreachBatch(lambda batch, batch_id: kept.append(arrive(batch, batch_id), batch_id)).start().awaitTermination()
+    return kept.read()
 
 
 def _questions(requests: DataFrame, decimals: int) -> DataFrame:
@@ -136,7 +100,7 @@ def never_opened(shared: DataFrame, log: DataFrame, before: Column) -> DataFrame
     return shared.where(F.col("created_at") < before).join(log.select("code").distinct(), "code", "left_anti")
 
 
-def load_incrementally(spark: SparkSession, landing: str, store: str, buckets: int = 64) -> DataFrame:
+def load_incrementally(spark: SparkSession, landing: str, store: str, buckets: int = 1) -> DataFrame:
     """Judge the element files that arrived and upsert them batch by batch; returns the catalogue."""
     key = ["osm_type", "osm_id"]
 
@@ -165,11 +129,3 @@ def sliding_rain(rows: DataFrame, hours: int = 6) -> DataFrame:
         rows.withWatermark("ts", "3 hours").groupBy(F.window("ts", f"{hours} hours", "1 hour").alias("w"))
         .agg(F.round(F.sum("mm"), 4).alias("mm")).select(F.col("w.start").alias("starts"), "mm")
     )
-
-
-def late_rows(rows: DataFrame, allowed: str = "3 hours") -> DataFrame:
-    """Rows that a watermark of ``allowed`` behind the newest earlier row would drop, counted by day."""
-    newest = rows.groupBy("batch").agg(F.max("ts").alias("_newest"))
-    earlier = rows.join(newest.select((F.col("batch") + 1).alias("batch"), "_newest"), "batch")
-    late = earlier.where(F.col("ts") < F.col("_newest") - F.expr(f"INTERVAL {allowed}"))
-    return late.groupBy(F.col("ts").cast("date").alias("date")).agg(F.count(F.lit(1)).alias("late"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailgrid.session import run_folder
 from trailgrid.streaming import flows as S
 from trailgrid.streaming import limits as L
+from trailgrid.streaming import rollup as R
 from workload.base import query
 from workload.landing import elements, land_batches
 
@@ -132,10 +133,19 @@ def str_7_sliding(fx):
     return S.drain(S.sliding_rain(hourly_stream(fx)), "sliding").withColumn("starts", F.col("starts").cast("timestamp_ntz"))
 
 
-@query("str_7_late", """
-WITH r AS (SELECT CASE WHEN event_id % 10 = 3 THEN ts - INTERVAL 5 HOUR ELSE ts END AS ts, CAST(floor(event_id/100) AS BIGINT) AS batch FROM events), n AS (SELECT batch + 1 AS batch, max(ts) AS newest FROM r GROUP BY batch)
-SELECT CAST(ts AS DATE) AS date, count(*) AS late FROM r JOIN n USING (batch) WHERE ts < newest - INTERVAL 3 HOUR GROUP BY 1""")
+@query("str_7_late", f"""
+WITH r AS (SELECT user_id % 20 AS cell, event_id AS id, ts AS seen, CASE WHEN event_id % 10 = 3 THEN ts - INTERVAL 5 HOUR ELSE ts END AS ts, value/100 AS mm FROM events),
+j AS (SELECT *, max(ts) OVER (PARTITION BY cell ORDER BY seen, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM r
+WHERE epoch_ms(seen) < epoch_ms((SELECT max(ts) FROM events)) - {R.DELAY_SECONDS * 1000}),
+d AS (SELECT cell, CAST(ts AS DATE) AS date, coalesce(ts >= newest - INTERVAL 3 HOUR, true) AS kept, count(*) AS hours, round(sum(mm), 4) AS mm FROM j GROUP BY 1, 2, 3),
+n AS (SELECT cell, max(ts) AS newest FROM j GROUP BY cell)
+SELECT cell, date, kept, hours, mm FROM d JOIN n USING (cell) WHERE NOT kept OR date + INTERVAL 1 DAY <= newest - INTERVAL 3 HOUR""")
 def str_7_late(fx):
-    late = F.when(F.col("event_id") % 10 == 3, F.expr("ts - INTERVAL 5 HOURS")).otherwise(F.col("ts"))
-    rows = fx.events.select(late.alias("ts"), F.floor(F.col("event_id") / 100).alias("batch"))
-    return S.late_rows(rows)
+    """Files of rows in no order, some five hours behind the hour they arrived in."""
+    behind = F.when(F.col("event_id") % 10 == 3, F.expr("ts - INTERVAL 5 HOURS")).otherwise(F.col("ts"))
+    landed = fx.events.withColumn("ts", F.col("ts").cast("timestamp")).select(
+        (F.col("user_id") % 20).alias("cell"), F.col("event_id").alias("id"), F.col("ts").alias("seen"), behind.alias("ts"), (F.col("value") / 100).alias("mm"))
+    folder = run_folder(fx.spark, "hourly")
+    landed.repartition("id").write.parquet(folder)
+    told = R.drain_days(R.daily_stream(fx.spark.readStream.schema(landed.schema).parquet(folder)))
+    return told.withColumn("mm", F.round("mm", 4))
