@@ -94,3 +94,26 @@ def test_detour_of_zone_country_and_floor(spark):
 def test_missing_end_has_no_distance(spark):
     row = spark.sql("SELECT 13.0D AS a, -89.0D AS b, CAST(NULL AS DOUBLE) AS c").select(G.haversine_km("a", "b", "c", "b").alias("km")).first()
     assert row.km is None
+
+
+def test_k_nearest_meets_few_points_of_a_crowd(spark):
+    rng = random.Random(21)
+    places = [(i, 13.4 + rng.random() * 0.4, -89.4 + rng.random() * 0.4) for i in range(600)]
+    places += [(1000 + i, 13.6 + rng.random() * 0.002, -89.2 + rng.random() * 0.002) for i in range(1500)]
+    places += [(5000 - i, 13.61, -89.21) for i in range(900)]
+    places += [(6000 + i, 13.61 + 1e-7 * i, -89.21) for i in range(20)]
+    areas = [(1, 13.6005, -89.1995, 25_000), (2, 13.61, -89.21, 20_000), (3, 13.45, -89.35, 9_000), (4, 13.45, -89.35, 300), (5, 10.0, -80.0, 25_000), (6, 13.6005, -89.1995, 30)]
+    points = spark.createDataFrame([(i, "x", "nature", "park", a, b, 0.9, True) for i, a, b in places], PLACES)
+    asked = spark.createDataFrame(areas, "area_id int, alat double, alon double, radius_m int")
+    k, want, everything = 7, {}, 0
+    for n, a, b, r in areas:
+        near = sorted((round(km(a, b, c, d) * 1000, 1), i) for i, c, d in places if km(a, b, c, d) * 1000 <= r)
+        everything += len(near)
+        want[n] = [i for _, i in near[:k]]
+    for hot in (None, 50):
+        met = S.near_pairs(asked, points, k, reach_m=25_000, hot_rows=hot)
+        assert met.count() < 25 * k * len(areas) < everything / 4
+    got = {}
+    for r in S.search_nearby(asked, points, limit=k).orderBy("area_id", "rank").collect():
+        got.setdefault(r.area_id, []).append(r.id)
+    assert got == {n: ids for n, ids in want.items() if ids}

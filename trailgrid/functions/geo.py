@@ -170,3 +170,14 @@ class Grid:
 
     def cell(self, lat, lon) -> Column:
         return self.key(self.row(lat), self.column(lon))
+
+
+class GridOfRow(Grid):
+    """A grid that each row names itself, by the step and the number of columns it carries."""
+
+    def __init__(self, named: Column):
+        self.step, self.columns = named["step"], named["columns"]
+
+    @staticmethod
+    def named(grid: Grid) -> Column:
+        return F.struct(F.lit(grid.step).alias("step"), F.lit(grid.columns).cast("long").alias("columns"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
-from trailgrid.functions.geo import Grid, haversine_m, literal_map
+from trailgrid.functions.geo import Grid, GridOfRow, haversine_m, literal_map
 from trailgrid.operators.range_join import covering_cells, radius_pairs, radius_sums
 from trailgrid.operators.skew import split_join
 
@@ -51,8 +53,55 @@ def search_nearby(
 ) -> DataFrame:
     """Places within each area's radius, nearest first, at most ``limit`` per area."""
     found = usable(places, min_quality).where(category_filter(categories, include_lodging))
-    pairs = radius_pairs(areas, found, "radius_m", reach_m=reach_m)
-    return k_nearest(pairs, ["area_id"], min(max(limit, 1), K.MAX_LIMIT))
+    k = min(max(limit, 1), K.MAX_LIMIT)
+    return k_nearest(near_pairs(areas, found, k, reach_m=reach_m), ["area_id"], k)
+
+
+#: Rings of a search: each is half as wide as the one before; grids for every second one.
+RINGS = 8
+RING_GRIDS = 4
+
+
+def ring_reach(areas: DataFrame, points: DataFrame, k: int, reach_m: float) -> DataFrame:
+    """(alat, alon, radius_m, _ring_m): the narrowest ring around each area that surely holds ``k`` points.
+
+    Points are counted by fine cell once and added up for the wider rings; a ring holds at least what
+    lies in cells whole inside it. Areas without such a ring have no row.
+    """
+    spots = areas.select("alat", "alon", "radius_m").distinct()
+    fine = Grid.for_radius(reach_m / 2**RINGS / 4)
+    cells = points.groupBy(fine.row("lat").alias("_row"), fine.column("lon").alias("_column")).agg(F.count(F.lit(1)).alias("_n"))
+    grids = [Grid.for_radius(reach_m / 2**ring / 4) for ring in range(1, RINGS + 1)]
+    wider = [grid.key(F.shiftright("_row", fine.bits - grid.bits), F.shiftright("_column", fine.bits - grid.bits)) for grid in grids]
+    counts = cells.select("_n", F.posexplode(F.array(*wider)).alias("_ring", "_cell")).groupBy("_ring", "_cell").agg(F.sum("_n").alias("_n"))
+    rings = F.posexplode(F.array(*[F.struct(F.lit(reach_m / 2 ** (n + 1)).alias("m"), GridOfRow.named(grid).alias("grid")) for n, grid in enumerate(grids)])).alias("_ring", "_r")
+    around = spots.select("*", rings).where(F.col("radius_m") > F.col("_r.m"))
+    cover = covering_cells(around, GridOfRow(F.col("_r.grid")), "alat", "alon", F.col("_r.m")).where("_whole")
+    inside = cover.withColumn("_ring_m", F.col("_r.m")).drop("_r")
+    held = inside.join(counts, ["_ring", "_cell"]).groupBy("alat", "alon", "radius_m", "_ring_m").agg(F.sum("_n").alias("_n"))
+    return held.where(F.col("_n") >= k).groupBy("alat", "alon", "radius_m").agg(F.min("_ring_m").alias("_ring_m"))
+
+
+def near_pairs(areas: DataFrame, points: DataFrame, k: int, *, reach_m: float, hot_rows: int | None = None) -> DataFrame:
+    """Pairs among which each area's ``k`` nearest are: those within its narrowest ring, not all within its radius.
+
+    A ring goes on for the tenth of a metre that distances are rounded to. Of the points on one spot
+    only the ``k`` with the smallest ids can be among the nearest. An area meets points through a
+    grid of about its ring's width, so a crowded place costs a small multiple of ``k``.
+    """
+    rings = ring_reach(areas, points, k, reach_m)
+    reach = F.least(F.col("radius_m").cast("double"), F.coalesce(F.col("_ring_m") + 0.1, F.col("radius_m").cast("double")))
+    around = areas.join(rings, ["alat", "alon", "radius_m"], "left").withColumn("_near_m", reach).drop("_ring_m")
+    radii = [reach_m / 4**n for n in range(RING_GRIDS)]
+    grids = [Grid.for_radius(radius) for radius in radii]
+    grid_of = reduce(lambda n, r: F.when(F.col("_near_m") <= r[1], r[0]).otherwise(n), enumerate(radii), F.lit(0))
+    dealt = around.withColumn("_grid", grid_of).withColumn("_g", F.element_at(F.array(*map(GridOfRow.named, grids)), F.col("_grid") + 1))
+    cover = covering_cells(dealt, GridOfRow(F.col("_g")), "alat", "alon", F.col("_near_m")).drop("_whole", "_g")
+    on_spot = Window.partitionBy("lat", "lon").orderBy("id")
+    first = points.withColumn("_nth", F.row_number().over(on_spot)).where(F.col("_nth") <= k).drop("_nth")
+    keyed = first.select("*", F.posexplode(F.array(*[grid.cell("lat", "lon") for grid in grids])).alias("_grid", "_cell"))
+    pairs = split_join(keyed, cover, ["_grid", "_cell"], ["lat", "lon"], hot_rows=hot_rows).drop("_grid", "_cell")
+    return pairs.withColumn("distance_m", haversine_m("alat", "alon", "lat", "lon")).where(F.col("distance_m") <= F.col("_near_m")).drop("_near_m")
 
 
 def k_nearest(pairs: DataFrame, keys: list[str], k: int) -> DataFrame:
