@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from trailgrid.constants import APPEAL as G_APPEAL
 from trailgrid.functions import geo as G
 from trailgrid.operators import search as S
 from trailgrid.operators.range_join import radius_pairs, radius_sums
@@ -117,3 +118,29 @@ def test_k_nearest_meets_few_points_of_a_crowd(spark):
     for r in S.search_nearby(asked, points, limit=k).orderBy("area_id", "rank").collect():
         got.setdefault(r.area_id, []).append(r.id)
     assert got == {n: ids for n, ids in want.items() if ids}
+
+
+def test_a_crowded_cell_sends_only_what_can_win(spark):
+    rng = random.Random(23)
+    places = [(i, "x", "lodging" if i % 3 else "nature", "beach" if i % 3 == 0 else "hotel", 13.6 + rng.random() * 0.01, -89.2 + rng.random() * 0.01, round(rng.random(), 2), True) for i in range(1200)]
+    places += [(2000 + i, "y", "lodging", "hotel", 13.3 + rng.random() * 0.6, -89.5 + rng.random() * 0.6, round(rng.random(), 2), True) for i in range(200)]
+    areas = [(1, 13.61, -89.19, 20_000), (2, 13.6, -89.2, 900), (3, 13.9, -89.6, 25_000), (4, 13.605, -89.195, 12_000)]
+    points, asked = spark.createDataFrame(places, PLACES), spark.createDataFrame(areas, "area_id int, alat double, alon double, radius_m int")
+    inside = {n: [p for p in places if km(a, b, p[4], p[5]) * 1000 <= r] for n, a, b, r in areas}
+    pairs = S.contending_pairs(asked, points, 6, reach_m=25_000)
+    assert pairs.count() < sum(map(len, inside.values())) / 2
+    best = {n: sorted((p for p in held if p[2] != "lodging"), key=lambda p: (-p[6], p[0]))[:6] for n, held in inside.items()}
+    want = {n: {p[0] for p in sorted(held, key=lambda p: (-G_APPEAL.get(p[3], 0.25), -p[6], p[0]))[:2]} for n, held in best.items()}
+    got = {n: set() for n in want}
+    for r in S.top_by_appeal(asked, points, n=2).collect():
+        got[r.area_id].add(r.id)
+    assert got == want
+    beaches = [p for p in places if p[3] == "beach"]
+    by_beach = {p[0] for p in places if p[2] == "lodging" and any(km(p[4], p[5], q[4], q[5]) <= 2.5 for q in beaches)}
+    for n, a, b, _ in areas:
+        near = sorted((p for p in inside[n] if p[0] in by_beach), key=lambda p: (-p[6], round(km(a, b, p[4], p[5]) * 1000, 1), p[0]))[:5]
+        best[n] = [p[0] for p in near]
+    met = {n: [] for n in best}
+    for r in S.beach_lodging(asked, points, limit=5).orderBy("area_id", "rank").collect():
+        met[r.area_id].append(r.id)
+    assert met == best

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 from trailgrid.functions.geo import Grid, GridOfRow, haversine_m, literal_map
-from trailgrid.operators.range_join import covering_cells, radius_pairs, radius_sums
+from trailgrid.operators.range_join import covering_cells, radius_sums
 from trailgrid.operators.skew import split_join
 
 
@@ -125,53 +125,59 @@ def catalogue_services(places: DataFrame) -> DataFrame:
     return places.join(spots, ["lat", "lon"], "left")
 
 
-def best_per_category(
-    areas: DataFrame,
-    places: DataFrame,
-    *,
-    per_category: int = 10,
-    categories: list[str] | None = None,
-    include_lodging: bool = False,
-    min_quality: float = 0.0,
-    reach_m: float = 25_000,
-    key: str = "area_id",
-    hot_rows: int | None = None,
+def contending_pairs(
+    areas: DataFrame, found: DataFrame, keep: int, groups: tuple[str, ...] = (), *, reach_m: float, hot_rows: int | None = None
 ) -> DataFrame:
-    """The best ``per_category`` places of every category inside each area.
+    """Pairs among which the ``keep`` best by quality of each group inside every area are.
 
-    Areas may carry a ``min_quality`` of their own.
-
-    A cell that lies whole inside a circle only sends the qualities that fewer than
-    ``per_category`` of its rows beat, so most of a crowded cell never reaches the join; the
-    cells on the rim send every row.
+    A cell that lies whole inside a circle only sends the qualities that fewer than ``keep`` of its
+    rows beat, so most of a crowded cell never reaches the join; the cells on the rim send every row.
     """
-    keep = min(max(per_category, 1), K.MAX_PER_CATEGORY)
-    found = usable(places, min_quality).where(category_filter(categories, include_lodging))
     grid = Grid.for_radius(reach_m / 4)
     keyed = found.withColumn("_cell", grid.cell("lat", "lon"))
-
-    better = Window.partitionBy("_cell", "category").orderBy(F.col("quality").desc())
+    better = Window.partitionBy("_cell", *groups).orderBy(F.col("quality").desc())
     floors = (
-        keyed.groupBy("_cell", "category", "quality")
+        keyed.groupBy("_cell", *groups, "quality")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_ahead", F.sum("_n").over(better.rowsBetween(Window.unboundedPreceding, -1)))
         .where(F.coalesce(F.col("_ahead"), F.lit(0)) < keep)
-        .groupBy("_cell", "category")
+        .groupBy("_cell", *groups)
         .agg(F.min("quality").alias("_floor"))
     )
     both, rim = F.array(F.lit(True), F.lit(False)), F.array(F.lit(False))
     offered = (
-        keyed.join(floors, ["_cell", "category"])
+        keyed.join(floors, ["_cell", *groups])
         .withColumn("_whole", F.explode(F.when(F.col("quality") >= F.col("_floor"), both).otherwise(rim)))
         .drop("_floor")
     )
     cover = covering_cells(areas, grid, "alat", "alon", "radius_m")
-    pairs = (
+    return (
         split_join(offered, cover, ["_cell", "_whole"], ["id"], hot_rows=hot_rows)
         .drop("_cell", "_whole")
         .withColumn("distance_m", haversine_m("alat", "alon", "lat", "lon"))
         .where(F.col("distance_m") <= F.col("radius_m"))
     )
+
+
+def best_per_category(
+    areas: DataFrame,
+    places: DataFrame,
+    *,
+    per_category: int = 10,
+    categories: list[str] | None = None,
+    include_lodging: bool = False,
+    min_quality: float = 0.0,
+    reach_m: float = 25_000,
+    key: str = "area_id",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """The best ``per_category`` places of every category inside each area.
+
+    Areas may carry a ``min_quality`` of their own.
+    """
+    keep = min(max(per_category, 1), K.MAX_PER_CATEGORY)
+    found = usable(places, min_quality).where(category_filter(categories, include_lodging))
+    pairs = contending_pairs(areas, found, keep, ("category",), reach_m=reach_m, hot_rows=hot_rows)
     if "min_quality" in areas.columns:
         pairs = pairs.where(F.col("quality") >= F.col("min_quality"))
     order = Window.partitionBy(key, "category").orderBy(
@@ -198,11 +204,10 @@ def near_a_beach(lodgings: DataFrame, places: DataFrame) -> DataFrame:
 def beach_lodging(areas: DataFrame, places: DataFrame, *, limit: int = 12, reach_m: float = 25_000, key: str = "area_id") -> DataFrame:
     """Lodgings by a beach inside each area, best first, with their services count."""
     lodgings = places.where(F.col("is_active") & (F.col("category") == "lodging"))
-    pairs = radius_pairs(areas, near_a_beach(lodgings, places), "radius_m", reach_m=reach_m)
+    keep = min(max(limit, 1), K.BEACH_LIMIT)
+    pairs = contending_pairs(areas, near_a_beach(lodgings, places), keep, reach_m=reach_m)
     order = Window.partitionBy(key).orderBy(F.col("quality").desc(), F.round("distance_m", 1), "id")
-    best = pairs.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= min(max(limit, 1), K.BEACH_LIMIT)
-    )
+    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
     return with_services(best, places)
 
 
@@ -274,7 +279,7 @@ def appeal_of(subcategory) -> Column:
 def top_by_appeal(areas: DataFrame, places: DataFrame, n: int = 20, *, key: str = "area_id", reach_m: float = 25_000) -> DataFrame:
     """Per area: the 3n best by quality, then the n best of those by appeal."""
     found = places.where("is_active").where(category_filter())
-    pairs = radius_pairs(areas, found, "radius_m", reach_m=reach_m)
+    pairs = contending_pairs(areas, found, 3 * n, reach_m=reach_m)
     first = Window.partitionBy(key).orderBy(F.col("quality").desc(), "id")
     second = Window.partitionBy(key).orderBy(F.col("appeal").desc(), F.col("quality").desc(), "id")
     return (
