@@ -72,6 +72,21 @@ def straight_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return f"{2 * K.EARTH_RADIUS_KM}D*asin(sqrt(least(1D, {chord})))"
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``, which is worked out once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def leg_sql(start: str, stop: str) -> str:
+    """SQL of the driven struct (km, minutes) between two structs with lat and lon, as ``with_estimate`` gives it."""
+    speed = " ".join(f"WHEN g.straight < {limit}D THEN {kmh}D" for limit, kmh in K.SPEED_BANDS[:-1])
+    driven = f"cast(greatest(1, bround(g.straight*g.factor/CASE {speed} ELSE {K.SPEED_BANDS[-1][1]}D END*60, 0)) AS int)"
+    apart = straight_sql(f"{start}.lat", f"{start}.lon", f"{stop}.lat", f"{stop}.lon")
+    factor = detour_sql(f"({start}.lat + {stop}.lat)/2", f"({start}.lon + {stop}.lon)/2")
+    leg = f"named_struct('km', bround(g.straight*g.factor, 3), 'minutes', {driven} + {K.ARRIVAL_OVERHEAD_MIN['driving']})"
+    return let_sql(f"named_struct('straight', {apart}, 'factor', {factor})", "g", leg)
+
+
 def speed_kmh(straight_km, mode="driving") -> Column:
     straight_km = _col(straight_km)
     mode = F.lit(mode) if isinstance(mode, str) else mode

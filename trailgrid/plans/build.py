@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.functions import hours as H
 from trailgrid.functions import text as T
-from trailgrid.functions import timectx as C
-from trailgrid.functions.geo import detour_sql, straight_sql, with_estimate
+from trailgrid.functions.geo import leg_sql, with_estimate
 from trailgrid.operators import search as S
 from trailgrid.operators import sequence as Q
+from trailgrid.plans import meals as M
 from trailgrid.plans import requests as R
 from trailgrid.session import checkpointed
 
@@ -140,25 +140,29 @@ def fill_order(pool: DataFrame, day_seeds: DataFrame, trips: DataFrame) -> DataF
     )
 
 
-def expected_meals() -> Column:
-    named = F.array().cast("array<string>")
-    return F.size(R.meal_windows(F.col("earliest"), F.col("latest"), F.col("include_meals"), named))
+def expected_windows() -> Column:
+    """The meals a day of the trip may hold."""
+    return R.meal_windows(F.col("earliest"), F.col("latest"), F.col("include_meals"), F.col("named"))
 
 
 def meal_reserve(day_seeds: DataFrame, food: DataFrame, trips: DataFrame) -> DataFrame:
-    """Km each day keeps for its meals; none when they would take over 30 % of the budget."""
-    start = day_seeds.select(*DAY, F.col("lat").alias("slat"), F.col("lon").alias("slon"))
-    tables = food.select("plan_id", F.col("id").alias("food_id"), "lat", "lon")
-    near = with_estimate(start.join(tables, "plan_id"), ("slat", "slon"), ("lat", "lon"), km="_km", minutes="_min")
-    order = Window.partitionBy(*DAY).orderBy("_km", "food_id")
-    limits = trips.select(
-        "plan_id", expected_meals().alias("expected"),
+    """Km each day keeps for its meals: what inserting them into its tour costs, none when out of reach.
+
+    ``day_seeds`` is the tour, (plan_id, day, id, name, category, subcategory, lat, lon) and ord if a
+    day has several stops; days without a restaurant in the area are left out.
+    """
+    wishes = M.with_wishes(trips)
+    limits = wishes.select(
+        "plan_id", "earliest", "latest", "meal_minutes", "include_meals", R.stop_cap(F.col("max_stops")).alias("cap"),
         R.km_budget(F.col("max_km"), F.col("mode"), F.col("mode")).alias("budget"),
+        F.lit(None).cast("date").alias("date"), F.lit(K.DUSK_MIN).alias("light"), F.lit(None).cast("string").alias("meal"),
     )
-    ranked = near.withColumn("_r", F.row_number().over(order)).join(limits, "plan_id")
-    needed = F.sum(F.when(F.col("_r") <= F.col("expected"), F.col("_km")).otherwise(0.0))
-    total = ranked.groupBy(*DAY).agg(F.round(needed, 3).alias("_need"), F.first("budget").alias("_budget"))
-    return total.select(*DAY, F.when(F.col("_need") > K.MEAL_KM_SHARE * F.col("_budget"), 0.0).otherwise(F.col("_need")).alias("reserve_km"))
+    columns = [*DAY, "id", "name", "category", "subcategory", "lat", "lon"]
+    tour = day_seeds.select(*columns, F.col("ord") if "ord" in day_seeds.columns else F.lit(1).alias("ord"))
+    timed = tour.withColumn("dwell", dwell(F.col("category"), F.col("subcategory"))).join(limits, "plan_id")
+    stops = Q.schedule(with_legs(timed))
+    options = meal_candidates(stops, food, M.wanted_cuisines(wishes) if "cuisine" in food.columns else None)
+    return M.reserve_km(M.day_rows(stops, options, wishes, expected_windows()))
 
 
 def dwell(category: Column, subcategory: Column) -> Column:
@@ -178,12 +182,7 @@ def _walk() -> str:
     A candidate is taken if the day has a stop, kilometres and minutes left for it from the last
     stop taken; one that does not fit is passed by, until ``FILL_TRIES`` in a row did not.
     """
-    speed = " ".join(f"WHEN g.straight < {limit}D THEN {kmh}D" for limit, kmh in K.SPEED_BANDS[:-1])
-    minutes = f"cast(greatest(1, bround(g.straight*g.factor/CASE {speed} ELSE {K.SPEED_BANDS[-1][1]}D END*60, 0)) AS int) + {K.ARRIVAL_OVERHEAD_MIN['driving']}"
-    leg = (
-        f"transform(array(named_struct('straight', {straight_sql('s.lat', 's.lon', 'c.lat', 'c.lon')}, 'factor', {detour_sql('(s.lat + c.lat)/2', '(s.lon + c.lon)/2')})), "
-        f"g -> named_struct('km', bround(g.straight*g.factor, 3), 'minutes', {minutes}))"
-    )
+    leg = f"array({leg_sql('s', 'c')})"
     fits = (
         f"s.misses < {FILL_TRIES} AND size(s.taken) < cap AND round(s.km + l.km, 3) <= budget - coalesce(reserve_km, 0D) "
         "AND s.fin + l.minutes + c.dwell + expected*meal_minutes <= latest"
@@ -203,8 +202,8 @@ def feasible(day_seeds: DataFrame, filled: DataFrame, reserve: DataFrame, trips:
     rows = day_seeds.select(*DAY, *columns, F.lit(0).alias("fill")).unionByName(filled.select(*DAY, *columns, F.col("fill").cast("int")))
     cap = R.stop_cap(F.col("max_stops"))
     fitting = R.meals_that_fit(F.col("earliest"), F.col("latest"), cap, F.col("include_meals"), F.lit(K.TYPICAL_VISIT_MIN))
-    limits = trips.select(
-        "plan_id", "earliest", "latest", "meal_minutes", expected_meals().alias("expected"),
+    limits = M.with_wishes(trips).select(
+        "plan_id", "earliest", "latest", "meal_minutes", F.size(expected_windows()).alias("expected"),
         R.km_budget(F.col("max_km"), F.col("mode"), F.col("mode")).alias("budget"),
         F.greatest(cap - fitting, F.lit(1)).alias("cap"),
     )
@@ -240,7 +239,7 @@ def with_legs(stops: DataFrame) -> DataFrame:
     }).drop("_n", "_plat", "_plon")
 
 
-def meal_candidates(stops: DataFrame, food: DataFrame, wanted: DataFrame | None = None, limit: int = K.MEAL_CANDIDATES) -> DataFrame:
+def meal_candidates(stops: DataFrame, food: DataFrame, wanted: DataFrame | None = None, limit: int | Column = K.MEAL_CANDIDATES) -> DataFrame:
     """The restaurants nearest to any stop of the day, and the nearest with a wanted cuisine.
 
     ``wanted`` is (plan_id, cuisine); ``food`` then holds its cuisine tag.
@@ -260,95 +259,16 @@ def meal_candidates(stops: DataFrame, food: DataFrame, wanted: DataFrame | None
     return closest.unionByName(liked).dropDuplicates([*DAY, "food_id"])
 
 
-def cheapest_meal(
-    stops: DataFrame, options: DataFrame, meal: str, *, enforce_budget: bool = True, tolerance: int = K.MEAL_EARLY_MIN,
-) -> DataFrame:
-    """The cheapest (restaurant, gap) per day for one meal.
-
-    ``stops`` is a scheduled day (arrival, departure, leg_km, leg_min, earliest, latest,
-    budget, meal_minutes, light, cap, date); ``options`` comes from ``meal_candidates`` and may
-    hold ``open``. A restaurant known closed is out, one known open costs 1.5 km less.
-    """
-    opens, closes = K.MEAL_WINDOWS[meal]
-    w = Window.partitionBy(*DAY).orderBy("ord")
-    whole = Window.partitionBy(*DAY)
-    leave = R.leaving_limit(F.col("category"), F.col("light"), F.col("latest"))
-    slack = F.when(
-        F.col("meal").isNull(), F.greatest(F.least(F.col("dwell"), leave - F.col("departure")), F.lit(0))
-    ).otherwise(0)
-    gaps = stops.withColumns({
-        "_nlat": F.lead("lat").over(w), "_nlon": F.lead("lon").over(w), "_nkm": F.lead("leg_km").over(w),
-        "_total": F.sum("leg_km").over(whole), "_stops": F.count(F.lit(1)).over(whole),
-        "_slack": F.sum(slack).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_had": F.count_if(F.col("meal") == meal).over(whole),
-    }).where((F.col("_had") == 0) & (F.col("_stops") < F.col("cap")))
-    extra = [c for c in ("open",) if c in options.columns]
-    pairs = gaps.join(options.select(*DAY, "food_id", "food_name", "flat", "flon", *extra), DAY)
-    into = with_estimate(pairs, ("lat", "lon"), ("flat", "flon"), km="_in", minutes="_in_min")
-    out = with_estimate(into, ("flat", "flon"), ("_nlat", "_nlon"), km="_out", minutes="_out_min")
-    last = F.col("_nlat").isNull()
-    added = F.col("_in") + F.when(last, 0.0).otherwise(F.col("_out") - F.col("_nkm"))
-    timed = out.withColumns({
-        "added_km": F.round(added, 3), "natural": F.col("departure") + F.col("_in_min"),
-    }).withColumn("arrival_there", F.greatest(F.col("natural"), F.lit(opens)))
-    early = F.col("natural") < opens - tolerance
-    patient = (
-        last & (F.col("arrival_there") + F.col("meal_minutes") <= F.col("latest"))
-        & (opens - tolerance - F.col("natural") <= F.col("_slack"))
-    )
-    fits = (F.col("natural") <= closes) & (~early | patient)
-    if enforce_budget:
-        fits = fits & (F.round(F.col("_total") + F.col("added_km"), 3) <= F.col("budget"))
-    price = F.col("added_km")
-    if "open" in extra:
-        start = C.minute_of_week("date", "arrival_there")
-        state = H.visit_state(F.col("open"), start, start + F.col("meal_minutes"))
-        timed = timed.withColumn("state", state)
-        fits = fits & (F.col("state") != "cerrado")
-        price = price - F.when(F.col("state") == "abierto", K.MEAL_OPEN_BONUS_KM).otherwise(0.0)
-    order = Window.partitionBy(*DAY).orderBy("price", "food_id", "ord")
-    return (
-        timed.where(fits).withColumn("price", F.round(price, 3))
-        .withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1)
-        .select(*DAY, F.lit(meal).alias("meal"), "food_id", "food_name", "flat", "flon", F.col("ord").alias("after"), "added_km", "price")
-    )
-
-
-def insert_meal(stops: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The day with the chosen restaurant after its stop, legs and clock worked out again."""
-    doubled = stops.withColumn("ord", F.col("ord") * 2)
-    carried = [c for c in stops.columns if c not in (*DAY, "id", "name", "category", "subcategory", "lat", "lon", "ord", "dwell", "leg_km", "leg_min", "meal", "arrival", "departure")]
-    context = stops.groupBy(*DAY).agg(*[F.first(c).alias(c) for c in carried])
-    table = chosen.join(context, DAY).select(
-        *DAY, F.col("food_id").alias("id"), F.col("food_name").alias("name"), F.lit("food").alias("category"),
-        F.lit("restaurant").alias("subcategory"), F.col("flat").alias("lat"), F.col("flon").alias("lon"),
-        (F.col("after") * 2 + 1).cast("int").alias("ord"),
-        F.when(F.col("meal") == "breakfast", K.BREAKFAST_MINUTES).otherwise(F.col("meal_minutes")).cast("int").alias("dwell"),
-        "meal", *carried,
-    )
-    columns = [c for c in doubled.columns if c not in ("leg_km", "leg_min", "arrival", "departure")]
-    return Q.schedule(with_legs(doubled.select(*columns).unionByName(table.select(*columns))))
-
-
-def shared_out(offer, hungry: DataFrame, food: DataFrame) -> DataFrame:
-    """One restaurant for each hungry day that has a fitting one, none twice in a trip.
+def meal_options(stops: DataFrame, food: DataFrame, trips: DataFrame) -> DataFrame:
+    """What each day may eat at: enough of the nearest that earlier days of the trip cannot use them up.
 
-    All days choose their cheapest; where days of a trip want the same, the one it suits best
-    keeps it and the others choose again among the rest, until no two days clash. Each round
-    settles a day of every trip at least. ``offer(days, food)`` gives the choices of a round.
+    ``food`` may hold cuisine and open.
     """
-    chosen = None
-    while True:
-        picks = offer(hungry, food)
-        best = Window.partitionBy("plan_id", "food_id").orderBy("price", "day")
-        judged = checkpointed(picks.withColumn("_r", F.row_number().over(best)))
-        kept = judged.where(F.col("_r") == 1).drop("_r")
-        chosen = kept if chosen is None else chosen.unionByName(kept)
-        clashed = judged.where(F.col("_r") > 1).select(*DAY)
-        if clashed.isEmpty():
-            return chosen
-        hungry = hungry.join(clashed, DAY, "left_semi")
-        food = food.join(chosen.select("plan_id", F.col("food_id").alias("id")), ["plan_id", "id"], "left_anti")
+    wishes = M.with_wishes(trips)
+    reach = F.lit(K.MEAL_CANDIDATES) + len(K.MEAL_WINDOWS) * (F.col("days") - 1)
+    tables = food.join(wishes.select("plan_id", reach.alias("reach")), "plan_id")
+    wanted = M.wanted_cuisines(wishes) if "cuisine" in food.columns else None
+    return meal_candidates(stops, tables, wanted, F.col("reach")).drop("reach")
 
 
 def trim(stops: DataFrame) -> DataFrame:
@@ -381,13 +301,23 @@ def trim(stops: DataFrame) -> DataFrame:
         stops = Q.schedule(with_legs(changing))
 
 
+def tables_of(food: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Restaurants of each trip, with cuisine and open where ``known`` (id, opening_hours, cuisine) tells them."""
+    tables = food.select("plan_id", "id", "name", "lat", "lon")
+    if known is None:
+        return tables
+    told = H.with_hours(known.select("id", "opening_hours", *[c for c in ("cuisine",) if c in known.columns])).drop("opening_hours")
+    return tables.join(told, "id", "left")
+
+
 def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = None) -> DataFrame:
     """Finished stops of every trip: candidates, days, meals, clock, trim and shared waits.
 
-    ``hours`` is (id, opening_hours) of the restaurants, if known.
+    ``hours`` is (id, opening_hours) of the restaurants and their cuisine, if known; ``trips`` may hold
+    the meals asked for by name (``named``) and a cuisine per meal (``cuisines``).
     """
     scored = checkpointed(score(select_candidates(trips, places), trips))
-    food, _ = split_food(scored)
+    food = checkpointed(tables_of(split_food(scored)[0], hours))
     pool = one_of_each(scored)
     first = checkpointed(seeds(pool, trips))
     filled = fill_order(pool, first, trips)
@@ -398,18 +328,6 @@ def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = No
     dated = visit_order(kept).join(limits, "plan_id").withColumn("date", R.date_of_day(F.col("start_date"), F.col("day")))
     lit = dated.withColumn("light", R.light_limit(F.col("date"), F.col("alat"), F.col("alon"))).drop("alat", "alon", "start_date")
     stops = checkpointed(Q.schedule(with_legs(lit.withColumn("meal", F.lit(None).cast("string")))))
-    tables = food.select("plan_id", "id", "name", "lat", "lon")
-    known = None if hours is None else H.with_hours(hours.select(F.col("id").alias("food_id"), "opening_hours")).drop("opening_hours")
-
-    def offer(days: DataFrame, free: DataFrame, meal: str) -> DataFrame:
-        options = meal_candidates(days, free)
-        return cheapest_meal(days, options if known is None else options.join(known, "food_id", "left"), meal)
-
-    for meal in ("lunch", "dinner"):
-        hungry = stops.where("include_meals")
-        taken = stops.where(F.col("meal").isNotNull()).select("plan_id", "id").distinct()
-        free = tables.join(taken, ["plan_id", "id"], "left_anti")
-        stops = checkpointed(insert_meal(stops, shared_out(lambda d, f, m=meal: offer(d, f, m), hungry, free)))
-    done = trim(stops)
+    done = trim(checkpointed(M.stop_rows(M.eat_in_order(M.day_rows(stops, meal_options(stops, food, trips), trips)), stops.columns)))
     leave = R.leaving_limit(F.col("category"), F.col("light"), F.col("latest"))
     return Q.share_waits(done.withColumn("leave_by", leave)).drop("leave_by")

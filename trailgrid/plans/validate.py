@@ -145,12 +145,13 @@ def rain_advice(wet: DataFrame) -> DataFrame:
     )
 
 
-def meal_advice(days: DataFrame, offers: DataFrame) -> DataFrame:
-    """Why each missing meal is missing.
+def meal_advice(days: DataFrame, offers: DataFrame, unlike: DataFrame | None = None) -> DataFrame:
+    """Why each missing meal is missing, and which served ones are not of the cuisine asked for.
 
     ``days`` holds start, stop, km, budget, visits, cap, named (meals asked for), meals
     (meals served) and food_nearby; ``offers`` the cheapest insertion without a budget per
-    (plan_id, day, meal), with ``added_km``.
+    (plan_id, day, meal), with ``added_km``; ``unlike`` the meals (plan_id, day, meal) whose
+    restaurant does not say it serves what was asked for.
     """
     asked = F.array(*[
         F.struct(F.lit(m).alias("meal"), F.lit(o).alias("opens"), F.lit(c).alias("closes"))
@@ -169,11 +170,16 @@ def meal_advice(days: DataFrame, offers: DataFrame) -> DataFrame:
         .when(F.col("added_km").isNull(), "none_in_window")
         .otherwise("over_budget")
     )
-    return (
+    missing = (
         offered.withColumn("cause", cause).where(F.col("cause").isNotNull())
         .withColumn("km_needed", F.when(F.col("cause") == "over_budget", F.round(F.col("km") + F.col("added_km"), 1)))
         .select("plan_id", "day", "meal", "cause", "km_needed")
     )
+    if unlike is None:
+        return missing
+    return missing.unionByName(unlike.select(
+        "plan_id", "day", "meal", F.lit("cuisine_not_found").alias("cause"), F.lit(None).cast("double").alias("km_needed")
+    ))
 
 
 def long_fasts(stops: DataFrame) -> DataFrame:

@@ -132,7 +132,10 @@ CAST(CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 3 + s_suppkey % 5 END AS INT) AS
 date_add(DATE '2024-01-01', CAST(s_suppkey % 40 AS INT)) AS start_date, 90 AS meal_minutes,
 CASE s_suppkey % 3 WHEN 0 THEN 'culture' WHEN 1 THEN 'viewpoint' ELSE NULL END AS req_category,
 CASE s_suppkey % 4 WHEN 1 THEN 'beach' WHEN 2 THEN 'peak' ELSE NULL END AS req_sub, CASE WHEN s_suppkey % 2 = 0 THEN 'nature' ELSE NULL END AS pref_category,
-CASE WHEN s_suppkey % 5 = 1 THEN 'attraction' ELSE NULL END AS avoid_category FROM {supplier}""",
+CASE WHEN s_suppkey % 5 = 1 THEN 'attraction' ELSE NULL END AS avoid_category,
+s_suppkey % 3 = 1 AS named_breakfast, s_suppkey % 7 < 3 AS named_lunch, s_suppkey % 4 = 1 AS named_dinner,
+CASE s_suppkey % 6 WHEN 0 THEN 'regional' WHEN 4 THEN 'pizza' ELSE NULL END AS lunch_cuisine,
+CASE s_suppkey % 5 WHEN 2 THEN 'seafood' WHEN 3 THEN 'sushi' ELSE NULL END AS dinner_cuisine FROM {supplier}""",
     # the tags a place carries
     "tags_fx": """
 SELECT p_partkey AS id, p_name AS name,

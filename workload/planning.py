@@ -15,10 +15,12 @@ from workload.base import query
 
 
 def trips(fx):
-    listed = lambda c: F.filter(F.array(c), lambda v: v.isNotNull())
+    listed = lambda *cs: F.filter(F.array(*map(F.expr, cs)), lambda v: v.isNotNull())
     return fx.trips.select(
         "*", listed("req_category").alias("required"), listed("req_sub").alias("required_subs"),
         listed("pref_category").alias("preferred"), listed("avoid_category").alias("avoided"),
+        listed("CASE WHEN named_breakfast THEN 'breakfast' END", "CASE WHEN named_lunch THEN 'lunch' END", "CASE WHEN named_dinner THEN 'dinner' END").alias("named"),
+        F.expr("map_filter(map('lunch', lunch_cuisine, 'dinner', dinner_cuisine), (m, c) -> c IS NOT NULL)").alias("cuisines"),
     )
 
 
@@ -64,13 +66,73 @@ o1 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day, category ORDER BY
 o2 AS (SELECT o1.*, round(inn + 24*CASE WHEN category = pref_category OR category = req_category THEN 0 ELSE c - 1 + CAST(sc_ = category AS INT) END
  - CASE WHEN c = 1 AND category = req_category AND NOT list_contains(cats, category) THEN 60 ELSE 0 END - CASE WHEN i = 0 AND subcategory = req_sub AND NOT list_contains(subs, subcategory) THEN 60 ELSE 0 END, 6) AS fill_cost FROM o1 JOIN cov USING (plan_id)),
 fill AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY fill_cost, id) AS fill FROM o2)"""
-LIMS = """lims AS (SELECT plan_id, coalesce(max_km, 60e0) AS budget, coalesce(max_stops, 12) AS cap, CASE WHEN NOT include_meals THEN 0 ELSE CAST(latest >= 690 AND earliest <= 870 AS INT) + CAST(latest >= 1080 AS INT) END AS expected,
-CASE WHEN NOT include_meals THEN 0 WHEN earliest + coalesce(max_stops, 12)*102 >= 1080 AND latest >= 1080 THEN 2 ELSE 1 END AS fit, earliest, latest FROM trips_fx)"""
-RESERVE = f"""{LIMS}, fd AS (SELECT s.plan_id, s.day, f.id, round_even({_est('s.', 'f.')}, 3) AS km FROM seeds s JOIN sc f ON f.plan_id = s.plan_id AND f.category = 'food'),
-fr AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY km, id) AS r FROM fd),
-need AS (SELECT plan_id, day, round(sum(CASE WHEN r <= expected THEN km ELSE 0e0 END), 3) AS need, any_value(budget) AS budget FROM fr JOIN lims USING (plan_id) GROUP BY plan_id, day),
-reserve AS (SELECT plan_id, day, CASE WHEN need > 0.30e0*budget THEN 0e0 ELSE need END AS reserve_km FROM need)"""
+PARTS = "list_transform(string_split(replace(t.cuisine, ',', ';'), ';'), lambda p: replace(lower(trim(p)), ' ', '_'))"
+LIMS = f"""lims AS (SELECT plan_id, coalesce(max_km, 60e0) AS budget, coalesce(max_stops, 12) AS cap, CASE WHEN NOT include_meals THEN 0 ELSE CAST(named_breakfast AND earliest <= 570 AS INT) + CAST(latest >= 690 AND earliest <= 870 AS INT) + CAST(latest >= 1080 AS INT) END AS expected,
+CASE WHEN NOT include_meals THEN 0 WHEN earliest + coalesce(max_stops, 12)*102 >= 1080 AND latest >= 1080 THEN 2 ELSE 1 END AS fit, earliest, latest, include_meals, named_breakfast, named_lunch, named_dinner, lunch_cuisine, dinner_cuisine FROM trips_fx),
+tables AS (SELECT f.plan_id, f.id, f.lat, f.lon, coalesce(list_contains({PARTS}, l.lunch_cuisine), false) AS lunch_like, coalesce(list_contains({PARTS}, l.dinner_cuisine), false) AS dinner_like
+FROM sc f JOIN lims l USING (plan_id) JOIN tags_fx t ON t.id = f.id WHERE f.category = 'food')"""
 DWELL = f"coalesce({X.lookup(K.SUBCATEGORY_MINUTES, 'subcategory')}, {X.lookup(K.CATEGORY_MINUTES, 'category')}, 60)"
+SPEED = lambda km: f"(CASE WHEN {km} < 2 THEN 35e0 WHEN {km} < 10 THEN 41e0 WHEN {km} < 50 THEN 56e0 ELSE 62e0 END)"
+
+
+def _leg(a: str, b: str, name: str) -> str:
+    """Columns ``name``_road and ``name``_straight of a leg."""
+    return f"{_est(a, b)} AS {name}_road, {X.hav_km(a + 'lat', a + 'lon', b + 'lat', b + 'lon')} AS {name}_straight"
+
+
+def _minutes(name: str) -> str:
+    return f"greatest(1, round_even({name}_road/{SPEED(name + '_straight')}*60, 0)) + 8"
+
+
+def _near(stops: str, name: str) -> str:
+    """CTEs of the restaurants ``name`` that days with these stops look at."""
+    return f"""{name}0 AS (SELECT c.plan_id, c.day, f.id AS food_id, f.lunch_like, f.dinner_like, min(round_even({_est('c.', 'f.')}, 3)) AS near_km FROM {stops} c JOIN tables f ON f.plan_id = c.plan_id GROUP BY ALL),
+{name} AS (SELECT plan_id, day, food_id, near_km FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY near_km, food_id) AS r,
+row_number() OVER (PARTITION BY plan_id, day, lunch_like ORDER BY near_km, food_id) AS rl, row_number() OVER (PARTITION BY plan_id, day, dinner_like ORDER BY near_km, food_id) AS rd FROM {name}0)
+WHERE r <= 8 OR (lunch_like AND rl <= 8) OR (dinner_like AND rd <= 8))"""
+
+
+def _offers(x: str, k: str, seq: str, options: str, meal: str, where: str, budget: bool, wishes: bool) -> str:
+    """CTEs up to {x}b{k}: the best offer for one meal on the days {seq} (plan_id, day, pos, id, category, lat, lon, dwell, leg_km, leg_min, meal)."""
+    opens, closes = K.MEAL_WINDOWS[meal]
+    minutes = K.BREAKFAST_MINUTES if meal == "breakfast" else K.MEAL_MINUTES
+    like = f"{meal}_like" if wishes and meal != "breakfast" else "false"
+    fits = lambda t: f"nat <= {closes} AND (nat >= {opens} - {t} OR (nlat IS NULL AND greatest(nat, {opens}) + {minutes} <= latest AND {opens} - {t} - nat <= slack))"
+    head = f"UNION ALL SELECT plan_id, day, 0 AS pos, NULL AS lat, NULL AS lon, earliest AS departure, 0 AS slack, lat AS nlat, lon AS nlon, leg_km AS nkm, total, n, budget, cap, latest FROM {x}g{k} WHERE pos = 1" if meal == "breakfast" else ""
+    named = f"named_{meal} AND {fits(K.MEAL_RESCUE_MIN)}" if wishes else "false"
+    return f"""{x}s{k} AS (SELECT s.*, l.* EXCLUDE (plan_id), l.earliest + sum(s.leg_min) OVER u + sum(s.dwell) OVER u - s.dwell AS s0 FROM {seq} s JOIN lims l USING (plan_id) WHERE {where} WINDOW u AS (PARTITION BY s.plan_id, s.day ORDER BY s.pos)),
+{x}t{k} AS (SELECT *, s0 + dwell + greatest(coalesce(max(CASE meal WHEN 'breakfast' THEN 390 WHEN 'lunch' THEN 690 WHEN 'dinner' THEN 1080 END - s0) OVER (PARTITION BY plan_id, day ORDER BY pos), 0), 0) AS departure FROM {x}s{k}),
+{x}g{k} AS (SELECT *, sum(CASE WHEN meal IS NULL THEN greatest(least(dwell, CASE WHEN category IN ('nature', 'viewpoint') THEN 1095 WHEN category IN ('culture', 'attraction') THEN 1080 ELSE latest END - departure), 0) ELSE 0 END) OVER u AS slack,
+lead(lat) OVER u AS nlat, lead(lon) OVER u AS nlon, lead(leg_km) OVER u AS nkm, sum(leg_km) OVER w AS total, count(*) OVER w AS n FROM {x}t{k} WINDOW u AS (PARTITION BY plan_id, day ORDER BY pos), w AS (PARTITION BY plan_id, day)),
+{x}h{k} AS (SELECT plan_id, day, pos, lat, lon, departure, slack, nlat, nlon, nkm, total, n, budget, cap, latest FROM {x}g{k} {head}),
+{x}f{k} AS (SELECT o.plan_id, o.day, f.id AS food_id, f.lat AS flat, f.lon AS flon, {like} AS likes, bool_or({like}) OVER (PARTITION BY o.plan_id, o.day) AS any_like FROM {options} o JOIN tables f ON f.plan_id = o.plan_id AND f.id = o.food_id
+WHERE NOT EXISTS (SELECT 1 FROM {seq} s WHERE s.plan_id = o.plan_id AND s.day = o.day AND s.id = o.food_id)),
+{x}p{k} AS (SELECT h.*, f.food_id, f.flat, f.flon, {_leg('h.', 'f.f', 'i')}, {_leg('f.f', 'h.n', 'j')} FROM {x}h{k} h JOIN {x}f{k} f USING (plan_id, day) WHERE h.n < h.cap AND (f.likes OR NOT f.any_like)),
+{x}q{k} AS (SELECT *, coalesce(round_even(i_road, 3), 0e0) AS in_km, CASE WHEN pos = 0 THEN 0 ELSE {_minutes('i')} END AS in_min, round_even(j_road, 3) AS out_km, CASE WHEN nlat IS NULL THEN NULL ELSE {_minutes('j')} END AS out_min FROM {x}p{k}),
+{x}r{k} AS (SELECT q.*, l.named_breakfast, l.named_lunch, l.named_dinner, round(in_km + coalesce(out_km - nkm, 0e0), 3) AS added_km, departure + in_min AS nat FROM {x}q{k} q JOIN lims l USING (plan_id)),
+{x}v{k} AS (SELECT *, CASE WHEN {fits(K.MEAL_EARLY_MIN)} THEN 0 WHEN {named} THEN 1 END AS late FROM {x}r{k} {"WHERE round(total + added_km, 3) <= budget" if budget else ""}),
+{x}b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY late, added_km, food_id, pos) AS w FROM {x}v{k} WHERE late IS NOT NULL) WHERE w = 1)"""
+
+
+def _with_meals(x: str, start: str, options: str, windows: bool, budget: bool, wishes: bool) -> str:
+    """CTEs {x}b0 to {x}b2, the offers taken, and {x}3, the days after their meals."""
+    steps = [f"{x}0 AS ({start})"]
+    for k, meal in enumerate(K.MEAL_WINDOWS):
+        due = {"breakfast": "l.named_breakfast", "lunch": "true", "dinner": "true"}[meal]
+        if windows:
+            due += {"breakfast": " AND earliest <= 570", "lunch": " AND latest >= 690 AND earliest <= 870", "dinner": " AND latest >= 1080"}[meal]
+        steps.append(_offers(x, str(k), f"{x}{k}", options, meal, f"l.include_meals AND {due}", budget, wishes))
+        steps.append(f"""{x}{k + 1} AS (SELECT s.plan_id, s.day, CASE WHEN s.pos > b.pos THEN s.pos + 1 ELSE s.pos END AS pos, s.id, s.category, s.lat, s.lon, s.dwell,
+CASE WHEN s.pos = b.pos + 1 THEN b.out_km ELSE s.leg_km END AS leg_km, CASE WHEN s.pos = b.pos + 1 THEN b.out_min ELSE s.leg_min END AS leg_min, s.meal FROM {x}{k} s LEFT JOIN {x}b{k} b USING (plan_id, day)
+UNION ALL SELECT plan_id, day, pos + 1, food_id, 'food', flat, flon, {K.BREAKFAST_MINUTES if meal == 'breakfast' else K.MEAL_MINUTES}, in_km, in_min, '{meal}' FROM {x}b{k})""")
+    return ", ".join(steps)
+
+
+RESERVE = f"""{LIMS}, {_near('seeds', 'opt')},
+{_with_meals('y', f"SELECT plan_id, day, 1 AS pos, id, category, lat, lon, {DWELL} AS dwell, 0e0 AS leg_km, 0e0 AS leg_min, CAST(NULL AS VARCHAR) AS meal FROM seeds", 'opt', True, False, False)},
+need AS (SELECT s.plan_id, s.day, round(coalesce(any_value(b0.added_km), 0) + coalesce(any_value(b1.added_km), 0) + coalesce(any_value(b2.added_km), 0), 3) AS need, any_value(l.budget) AS budget
+FROM seeds s JOIN lims l USING (plan_id) LEFT JOIN yb0 b0 USING (plan_id, day) LEFT JOIN yb1 b1 USING (plan_id, day) LEFT JOIN yb2 b2 USING (plan_id, day) GROUP BY s.plan_id, s.day),
+reserve AS (SELECT plan_id, day, CASE WHEN need > 0.30e0*budget THEN 0e0 ELSE need END AS reserve_km FROM need)"""
 CUT = f"""{FILL}, {RESERVE},
 chain AS (SELECT plan_id, day, id, category, subcategory, lat, lon, 0 AS fill FROM seeds UNION ALL SELECT plan_id, day, id, category, subcategory, lat, lon, fill FROM fill),
 cc AS (SELECT c.*, l.* EXCLUDE (plan_id), {DWELL} AS dwell, coalesce(v.reserve_km, 0) AS held FROM chain c JOIN lims l USING (plan_id) LEFT JOIN reserve v USING (plan_id, day)),
@@ -111,18 +173,22 @@ def win_11(fx):
     return B.fill_order(pool, B.seeds(pool, trips(fx)), trips(fx)).select("plan_id", "day", "fill", "id", "fill_cost")
 
 
+def _food(rows, fx):
+    return B.tables_of(B.split_food(rows)[0], fx.tags.select("id", F.lit(None).cast("string").alias("opening_hours"), "cuisine"))
+
+
 @query("win_17", f"WITH {SEEDS}, {RESERVE} SELECT plan_id, CAST(day AS INTEGER) AS day, reserve_km FROM reserve")
 def win_17(fx):
-    rows = scored(fx)
+    rows = B.checkpointed(scored(fx))
     first = B.seeds(B.one_of_each(rows), trips(fx))
-    return B.meal_reserve(first, B.split_food(rows)[0], trips(fx))
+    return B.meal_reserve(first, _food(rows, fx), trips(fx))
 
 
 def _cut(fx):
     rows = B.checkpointed(scored(fx))
     pool = B.one_of_each(rows)
     first = B.checkpointed(B.seeds(pool, trips(fx)))
-    food = B.split_food(rows)[0]
+    food = _food(rows, fx)
     filled = B.fill_order(pool, first, trips(fx))
     return B.checkpointed(B.feasible(first, filled, B.meal_reserve(first, food, trips(fx)), trips(fx))), food
 
@@ -132,61 +198,75 @@ def win_12(fx):
     return _cut(fx)[0].select("plan_id", "day", "ord", "id", "dwell")
 
 
-MEALC = f"""{CUT}, mc AS (SELECT c.plan_id, c.day, f.id AS food_id, min(round_even({_est('c.', 'f.')}, 3)) AS near_km FROM cut c JOIN sc f ON f.plan_id = c.plan_id AND f.category = 'food' GROUP BY 1, 2, 3),
-options AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY near_km, food_id) AS r FROM mc) WHERE r <= 8)"""
+MEALC = f"{CUT}, {_near('cut', 'options')}"
 
 
 @query("win_15", f"WITH RECURSIVE {MEALC} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, near_km FROM options")
 def win_15(fx):
     stops, food = _cut(fx)
     rows = stops.withColumn("meal", F.lit(None).cast("string"))
-    return B.meal_candidates(rows, food.select("plan_id", "id", "name", "lat", "lon")).select("plan_id", "day", "food_id", "near_km")
+    return B.meal_candidates(rows, food, B.M.wanted_cuisines(trips(fx))).select("plan_id", "day", "food_id", "near_km")
 
 
 def _scheduled(fx):
     stops, food = _cut(fx)
-    limits = trips(fx).select("plan_id", "meal_minutes", B.R.stop_cap(F.col("max_stops")).alias("cap"))
+    limits = trips(fx).select("plan_id", "meal_minutes", "include_meals", B.R.stop_cap(F.col("max_stops")).alias("cap"))
     rows = stops.join(limits, "plan_id").withColumns({
-        "meal": F.lit(None).cast("string"), "light": F.lit(K.DUSK_MIN), "ord": F.col("ord") + 1,
+        "meal": F.lit(None).cast("string"), "light": F.lit(K.DUSK_MIN), "date": F.lit(None).cast("date"), "ord": F.col("ord") + 1,
     })
-    return B.checkpointed(Q.schedule(B.with_legs(rows))), food.select("plan_id", "id", "name", "lat", "lon")
+    return B.checkpointed(Q.schedule(B.with_legs(rows))), food
+
+
+def _eaten(fx):
+    """Days with their meals, each apart from the others of its trip."""
+    stops, food = _scheduled(fx)
+    return B.checkpointed(B.M.eat(B.M.day_rows(stops, B.meal_options(stops, food, trips(fx)), trips(fx)))), food
 
 
-def _meal_sql(opens: int, closes: int, budget: bool) -> str:
-    speed = lambda s: f"(CASE WHEN {s} < 2 THEN 35e0 WHEN {s} < 10 THEN 41e0 WHEN {s} < 50 THEN 56e0 ELSE 62e0 END)"
-    return f"""{MEALC}, sd AS (SELECT *, earliest + sum(leg_min) OVER u + sum(dwell) OVER u AS departure, lead(lat) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nlat, lead(lon) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nlon,
-lead(leg_km) OVER (PARTITION BY plan_id, day ORDER BY fill) AS nkm, sum(leg_km) OVER (PARTITION BY plan_id, day) AS total, count(*) OVER (PARTITION BY plan_id, day) AS k FROM cut WINDOW u AS (PARTITION BY plan_id, day ORDER BY fill)),
-sk AS (SELECT *, sum(greatest(least(dwell, CASE WHEN category IN ('nature', 'viewpoint') THEN 1095 WHEN category IN ('culture', 'attraction') THEN 1080 ELSE latest END - departure), 0)) OVER (PARTITION BY plan_id, day ORDER BY fill) AS slack FROM sd WHERE k < cap),
-g0 AS (SELECT s.*, o.food_id, f.lat AS flat, f.lon AS flon, {_est('s.', 'f.')} AS froad, {X.hav_km('s.lat', 's.lon', 'f.lat', 'f.lon')} AS str_in, CASE WHEN nlat IS NULL THEN 0e0 ELSE round_even({_est('f.', 's.n')}, 3) - nkm END AS more
- FROM sk s JOIN options o USING (plan_id, day) JOIN sc f ON f.plan_id = s.plan_id AND f.id = o.food_id),
-g1 AS (SELECT *, round(round_even(froad, 3) + more, 3) AS added_km, departure + greatest(1, round_even(froad/{speed('str_in')}*60, 0)) + 8 AS nat FROM g0),
-g2 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day ORDER BY added_km, food_id, fill) AS w FROM g1 WHERE nat <= {closes} AND (nat >= {opens} - 30 OR (nlat IS NULL AND greatest(nat, {opens}) + 90 <= latest AND {opens} - 30 - nat <= slack))
-{"AND round(total + added_km, 3) <= budget" if budget else ""})"""
+MEALS = f"""{MEALC}, {_with_meals('m', "SELECT plan_id, day, fill + 1 AS pos, id, category, lat, lon, dwell, leg_km, leg_min, CAST(NULL AS VARCHAR) AS meal FROM cut", 'options', False, True, True)}"""
 
 
-@query("win_16", f"WITH RECURSIVE {_meal_sql(690, 870, True)} SELECT plan_id, CAST(day AS INTEGER) AS day, food_id, CAST(fill + 1 AS INTEGER) AS after, added_km FROM g2 WHERE w = 1")
+@query("win_16", f"WITH RECURSIVE {MEALS} " + " UNION ALL ".join(
+    f"SELECT plan_id, CAST(day AS INTEGER) AS day, '{meal}' AS meal, food_id, CAST(pos AS INTEGER) AS after, added_km FROM mb{k}" for k, meal in enumerate(K.MEAL_WINDOWS)
+))
 def win_16(fx):
-    stops, food = _scheduled(fx)
-    return B.cheapest_meal(stops, B.meal_candidates(stops, food), "lunch").select("plan_id", "day", "food_id", "after", "added_km")
+    """The meals each day takes: where, after how many stops, and the km they add."""
+    eaten, _ = _eaten(fx)
+    return eaten.select("plan_id", "day", F.explode("picked").alias("p")).select("plan_id", "day", "p.meal", "p.food_id", "p.after", "p.added_km")
+
+
+PLAN_6 = ", ".join(
+    _offers("z", str(k), "m3", "options", meal, f"l.include_meals AND {'l.named_breakfast' if meal == 'breakfast' else 'true'} AND NOT EXISTS (SELECT 1 FROM m3 e WHERE e.plan_id = s.plan_id AND e.day = s.day AND e.meal = '{meal}')", False, False)
+    for k, meal in enumerate(K.MEAL_WINDOWS)
+)
 
 
 @query("plan_6", f"""
-WITH RECURSIVE {_meal_sql(690, 870, False)}, dy AS (SELECT plan_id, day, earliest AS start, max(departure) AS stop, any_value(total) AS km, any_value(budget) AS budget, any_value(cap) AS cap, count(*) AS visits FROM sd GROUP BY plan_id, day, earliest),
-nf AS (SELECT d.*, (SELECT count(*) FROM sc f WHERE f.plan_id = d.plan_id AND f.category = 'food') AS food_nearby, (SELECT min(added_km) FROM g2 WHERE g2.plan_id = d.plan_id AND g2.day = d.day AND w = 1) AS added FROM dy d)
-SELECT plan_id, CAST(day AS INTEGER) AS day, 'lunch' AS meal, CASE WHEN NOT (start <= 870 AND stop >= 690) THEN 'out_of_reach' WHEN food_nearby = 0 THEN 'no_food' WHEN visits >= cap THEN 'no_stop_left' WHEN added IS NULL THEN 'none_in_window' ELSE 'over_budget' END AS cause,
-CASE WHEN start <= 870 AND stop >= 690 AND food_nearby > 0 AND visits < cap AND added IS NOT NULL THEN round(round(km, 3) + added, 1) END AS km_needed FROM nf""")
+WITH RECURSIVE {MEALS}, {PLAN_6},
+c0 AS (SELECT s.*, l.earliest, l.earliest + sum(s.leg_min) OVER u + sum(s.dwell) OVER u - s.dwell AS s0 FROM m3 s JOIN lims l USING (plan_id) WINDOW u AS (PARTITION BY s.plan_id, s.day ORDER BY s.pos)),
+c1 AS (SELECT *, s0 + greatest(coalesce(max(CASE meal WHEN 'breakfast' THEN 390 WHEN 'lunch' THEN 690 WHEN 'dinner' THEN 1080 END - s0) OVER (PARTITION BY plan_id, day ORDER BY pos), 0), 0) AS arrival FROM c0),
+dy AS (SELECT plan_id, day, arg_min(arrival, pos) AS start, max(arrival + dwell) AS stop, round(sum(leg_km), 3) AS km, count(*) AS visits, list(meal) FILTER (meal IS NOT NULL) AS had FROM c1 GROUP BY plan_id, day),
+off AS (SELECT plan_id, day, 'breakfast' AS meal, added_km FROM zb0 UNION ALL SELECT plan_id, day, 'lunch', added_km FROM zb1 UNION ALL SELECT plan_id, day, 'dinner', added_km FROM zb2),
+win AS (SELECT 'breakfast' AS meal, 390 AS opens, 570 AS closes UNION ALL SELECT 'lunch', 690, 870 UNION ALL SELECT 'dinner', 1080, 1260),
+nf AS (SELECT d.*, w.*, l.cap, o.added_km, CASE w.meal WHEN 'breakfast' THEN named_breakfast WHEN 'lunch' THEN named_lunch ELSE named_dinner END AS named, start <= closes AND stop >= opens AS reached,
+(SELECT count(*) FROM tables f WHERE f.plan_id = d.plan_id) AS food_nearby FROM dy d JOIN lims l USING (plan_id) CROSS JOIN win w LEFT JOIN off o ON o.plan_id = d.plan_id AND o.day = d.day AND o.meal = w.meal
+WHERE l.include_meals AND NOT coalesce(list_contains(had, w.meal), false) AND (w.meal <> 'breakfast' OR named_breakfast)),
+ca AS (SELECT *, CASE WHEN NOT reached AND named THEN 'out_of_reach' WHEN NOT reached THEN NULL WHEN food_nearby = 0 THEN 'no_food' WHEN visits >= cap THEN 'no_stop_left' WHEN added_km IS NULL THEN 'none_in_window' ELSE 'over_budget' END AS cause FROM nf)
+SELECT plan_id, CAST(day AS INTEGER) AS day, meal, cause, CASE WHEN cause = 'over_budget' THEN round(km + added_km, 1) END AS km_needed FROM ca WHERE cause IS NOT NULL
+UNION ALL SELECT m.plan_id, CAST(m.day AS INTEGER), m.meal, 'cuisine_not_found', NULL FROM m3 m JOIN lims l USING (plan_id) JOIN tables f ON f.plan_id = m.plan_id AND f.id = m.id
+WHERE (m.meal = 'lunch' AND l.lunch_cuisine IS NOT NULL AND NOT f.lunch_like) OR (m.meal = 'dinner' AND l.dinner_cuisine IS NOT NULL AND NOT f.dinner_like)""")
 def plan_6(fx):
-    stops, food = _scheduled(fx)
-    offers = B.cheapest_meal(stops, B.meal_candidates(stops, food), "lunch", enforce_budget=False)
-    eaten = F.array(F.lit("dinner"))
+    """Every meal that a day went without and why, and the meals of another cuisine than the one asked for."""
+    eaten, food = _eaten(fx)
     tables = food.groupBy("plan_id").agg(F.count(F.lit(1)).alias("food_nearby"))
-    days = stops.groupBy("plan_id", "day").agg(
-        F.min("arrival").alias("start"), F.max("departure").alias("stop"), F.round(F.sum("leg_km"), 3).alias("km"),
-        F.first("budget").alias("budget"), F.first("cap").alias("cap"), F.count(F.lit(1)).alias("visits"),
-    ).join(tables, "plan_id", "left").withColumns({
-        "food_nearby": F.coalesce("food_nearby", F.lit(0)), "named": F.array(F.lit("lunch")), "meals": eaten,
-    })
-    return P.meal_advice(days, offers)
+    km = F.aggregate("seq", F.lit(0.0), lambda x, s: x + s["leg_km"])
+    days = eaten.where("d.include_meals").select(
+        "plan_id", "day", F.get("seq", F.lit(0))["arrival"].alias("start"), F.array_max(F.col("seq.departure")).alias("stop"),
+        F.round(km, 3).alias("km"), "d.budget", "d.cap", F.size("seq").alias("visits"), F.col("picked.meal").alias("meals"),
+    ).join(tables, "plan_id", "left").join(trips(fx).select("plan_id", "named"), "plan_id").withColumn(
+        "food_nearby", F.coalesce("food_nearby", F.lit(0))
+    )
+    return P.meal_advice(days, B.M.missing_offers(eaten), B.M.cuisine_missed(eaten))
 
 
 @query("plan_6_fast", """
@@ -197,7 +277,7 @@ def plan_6_fast(fx):
 
 
 def planned(fx):
-    hours = fx.tags.select("id", "opening_hours")
+    hours = fx.tags.select("id", "opening_hours", "cuisine")
     return B.plan_trips(trips(fx), fx.places, hours)
 
 
