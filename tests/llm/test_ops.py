@@ -223,7 +223,7 @@ def overlaps_brute(text, test, window=13, share=0.8):
     a = [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w]
     b = [w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", test.lower()) if w]
     size = min(window, len(b))
-    if len(b) < 5:
+    if not b:
         return False
     return any(
         sum(x == y for x, y in zip(a[i:i + size], b[j:j + size])) >= share * size
@@ -253,6 +253,21 @@ def test_overlaps_with_substitutions(spark):
     assert left == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_short_tests_and_scripts_without_spaces(spark):
+    long = "今天天气很好我们一起去公园散步然后回家吃饭看书睡觉"
+    tests = [(0, "the answer is forty"), (1, long), (2, "ตอบ คือ สี่สิบ"), (3, "。、"), (4, None)]
+    changed = long.replace("公园", "海边")
+    rows = [
+        (0, "We know: The ANSWER is forty, always."), (1, "the answer is not forty"), (2, f"前言。{long}！后记"), (3, f"x {changed} y"),
+        (4, long[:9]), (5, "คำตอบคือสี่สิบนะ"), (6, "ตอบ คือ สี่สิบ"), (7, ""), (8, None),
+    ]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, benchmark).collect()}
+    assert got == {(0, 0), (2, 1), (3, 1), (5, 2), (6, 2)}
+    assert {r.doc_id for r in decontaminate.without_tests(docs, benchmark).collect()} == {1, 4, 7, 8}
+    assert {r.item_id for r in decontaminate.overlaps(docs, benchmark, least_words=5).collect()} == {1, 2}
+
+
 # --- secrets
 
 def spans_brute(text):
@@ -282,6 +297,10 @@ def test_base_spans_and_random_strings(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in secrets.KINDS[:3])
         assert set(filter(None, r.base.split(","))) <= set(filter(None, r.spans.split(",")))
         got[r.doc_id] = r.spans
+    after = spark.createDataFrame([(1, f"id AKIA{'B7' * 8}/{draw(base62, 47)} end")], "doc_id long, text string")
+    assert secrets.scan(after, model).first().spans == "access:3:23,random:23:71"
+    counted = [sorted(map(tuple, secrets.samples(docs.repartition(n)).collect())) for n in (1, 9)]
+    assert counted[0] == counted[1] and all(len(s) <= secrets.PIECE for s, label, _ in counted[0] if label == 0)
     assert got[500] == f"random:6:{6 + len(hidden)}" and got[501] == got[502] == got[503] == ""
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,23 @@ from trailgrid.llm.common import bare_words, keyed_texts
 MASKS = ("11110101", "101100111")
 WINDOW = 13
 SHARE = 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 BLOCK_WORDS = 2_000_000
 GAP = max(map(len, MASKS))
 TABLE_BITS = 22
 RUN = 200_000
 
+#: Thai, Lao, Burmese, Khmer, kana and Han are written without spaces: each character is a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_WIDE_MARKS = re.compile("[\u3000-\u303f\uff01-\uff0f\uff1a-\uff20]")
+
+
+def passage_words(text: str) -> list[bytes]:
+    """``bare_words``, with a word for each character of a script without spaces; its marks part words."""
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", _WIDE_MARKS.sub(" ", text))
+    return bare_words(text)
+
 
 @dataclass
 class Seeds:
@@ -64,13 +76,13 @@ def short_mask(length: int, share: float) -> str:
     return "1" * (length // (length - math.ceil(share * length - 1e-9) + 1))
 
 
-def build_seeds(tests: list[tuple[object, str]], window: int = WINDOW, share: float = SHARE) -> Seeds:
-    """Tables of a block of tests."""
+def build_seeds(tests: list[tuple[object, str]], window: int = WINDOW, share: float = SHARE, least_words: int = LEAST_WORDS) -> Seeds:
+    """Tables of a block of tests; those of fewer than ``least_words`` words are left out."""
     numbers: dict[bytes, int] = {}
     rows, items = [], []
     for item, text in tests:
-        words = bare_words(text or "")
-        if len(words) >= LEAST_WORDS:
+        words = passage_words(text or "")
+        if len(words) >= max(least_words, 1):
             items.append(item)
             rows.append([numbers.setdefault(w, len(numbers) + 1) for w in words])
     flat, begin = [0] * GAP, []
@@ -167,7 +179,7 @@ def batch_overlaps(texts: list[str], seeds: Seeds, window: int, share: float) ->
 
     rows = []
     for i, text in enumerate(texts):
-        numbers = [number(w, 0) for w in bare_words(text)]
+        numbers = [number(w, 0) for w in passage_words(text)]
         rows.append(i)
         begin.append(size)
         run.append(numbers)
@@ -185,7 +197,7 @@ def _blocks(tests: DataFrame, key: str, text: str, block_words: int):
     rows = tests.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
     block, size = [], 0
     for row in rows.orderBy("key", "text").toLocalIterator():
-        words = len(row["text"].split())
+        words = len(passage_words(row["text"]))
         if block and size + words > block_words:
             yield block
             block, size = [], 0
@@ -196,14 +208,16 @@ def _blocks(tests: DataFrame, key: str, text: str, block_words: int):
 
 
 def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text",
-             window: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+             window: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, item, word_start, word_end, item_start, item_end, matched) of every overlap of a text with a test.
 
-    Words are lower-cased and parted by white space and ASCII marks. Every position of every text and test is
+    Words are lower-cased and parted by white space and ASCII marks; in scripts without spaces each
+    character is a word, and places count it so. Every position of every text and test is
     hashed under fixed masks that skip some words, equal hashes are met, and the texts are laid
     over each other there: an overlap needs ``window`` words in a row (or the whole test, if
     shorter) of which ``share`` agree. One row per text and test: the overlap with most equal
-    words. Tests of under five words are no passages. Tests are a stated query set: they are sent
+    words. A test of under five words is found where all of it stands in a row; ``least_words`` leaves out
+    shorter ones, a test without words is never found. Tests are a stated query set: they are sent
     out in blocks of at most ``block_words`` words, each against all texts, and texts are not
     shuffled. Null texts count as empty; null keys and items are carried; repeated rows give
     repeated rows; empty tables give an empty result.
@@ -219,7 +233,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
         sent = spark.sparkContext.broadcast(block)
 
         def scan(batches, sent=sent):
-            seeds = build_seeds(sent.value, window, share)
+            seeds = build_seeds(sent.value, window, share, least_words)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
                 out = [(keys[row], seeds.items[i], *got) for row, i, *got in batch_overlaps(batch.column(1).to_pylist(), seeds, window, share)]
@@ -237,19 +251,22 @@ def overlaps(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str =
 
 
 def without_tests(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", *, item: str = "item_id", item_text: str = "text",
-                  window: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the rows whose text overlaps any test, all columns as they were. No shuffle."""
+                  window: int = WINDOW, share: float = SHARE, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without the rows whose text overlaps any test (see :func:`overlaps`), all columns as they were. No shuffle.
+
+    Rows with a null or empty text stay, repeated rows go or stay together, and without tests all stay.
+    """
     spark = docs.sparkSession
     kept = docs
     for block in _blocks(tests, item, item_text, block_words):
-        clean = F.pandas_udf(_clean(spark.sparkContext.broadcast(block), window, share), "boolean")
+        clean = F.pandas_udf(_clean(spark.sparkContext.broadcast(block), window, share, least_words), "boolean")
         kept = kept.where(clean(F.coalesce(F.col(text), F.lit(""))))
     return kept
 
 
-def _clean(sent, window: int, share: float):
+def _clean(sent, window: int, share: float, least_words: int):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seeds = build_seeds(sent.value, window, share)
+        seeds = build_seeds(sent.value, window, share, least_words)
         for texts in parts:
             kept = np.ones(len(texts), dtype=bool)
             kept[[row for row, *_ in batch_overlaps(texts.tolist(), seeds, window, share)]] = False

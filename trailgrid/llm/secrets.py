@@ -28,6 +28,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9
 EVIDENCE = 12.0
 MEAN_EVIDENCE = 0.5
 MOST_WORDS = 200_000
+PIECE = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -59,33 +60,44 @@ class Model:
         return self.random.score(text) - self.ordinary.score(text)
 
 
+def uncovered(start: int, end: int, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """What the base spans, in order, leave of a run."""
+    left = []
+    for s, _, e, _ in base:
+        if s < end and start < e:
+            left.append((start, s))
+            start = max(start, e)
+    return [(s, e) for s, e in [*left, (start, end)] if e - s >= LEAST_RANDOM]
+
+
 def random_spans(text: str, base: list[tuple[int, int, int, int]], model: Model | None) -> list[tuple[int, int, int, int]]:
     """Runs of key characters outside the base spans that the random model explains far better.
 
-    Digits alone are a number, not a key.
+    What a base span leaves of a run is a run of its own. Digits alone are a number, not a key.
     """
     if model is None or longest(text) < LEAST_RANDOM:
         return []
     found = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if m.group().isdigit() or any(s < end and start < e for s, _, e, _ in base):
-            continue
-        evidence = model.evidence(m.group())
-        if evidence >= EVIDENCE and evidence >= MEAN_EVIDENCE * (end - start):
-            found.append((start, 3, end, start))
+        for start, end in uncovered(*m.span(), base):
+            run = text[start:end]
+            if run.isdigit():
+                continue
+            evidence = model.evidence(run)
+            if evidence >= EVIDENCE and evidence >= MEAN_EVIDENCE * (end - start):
+                found.append((start, 3, end, start))
     return found
 
 
 def samples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(string, label, n): labelled strings of all texts, counted in each task.
+    """(string, label, n): labelled strings of all texts, counted in each task and added up.
 
-    Label 1 has what the patterns take for secrets, label 0 the words of everything else. A word
-    counts once for each time a task hands on its counts, so common words don't drown the others;
-    what is long enough to be judged later is left out, lest a model learn what it is to find.
+    Label 1 has what the patterns take for secrets, label 0 the distinct words of everything else,
+    each once, so common words don't drown the others; a long one counts as pieces of ``PIECE``.
+    What is long enough to be judged later is left out, lest a model learn what it is to find.
     """
     def gather(batches):
-        words: Counter = Counter()
+        words: set[str] = set()
         secrets: Counter = Counter()
 
         def rows():
@@ -104,12 +116,15 @@ def samples(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                     rest.append(value[at:max(at, start)])
                     at = max(at, end)
                 rest.append(value[at:])
-                words.update(w[:64] for part in rest for w in set(part.split()) if len(w) < LEAST_RANDOM or not CANDIDATE.search(w))
+                plain = {w for part in rest for w in part.split() if len(w) < LEAST_RANDOM or not CANDIDATE.search(w)}
+                words.update(w[i:i + PIECE] for w in plain for i in range(0, len(w), PIECE))
                 if len(words) + len(secrets) > MOST_WORDS:
                     yield rows()
         yield rows()
 
-    return keyed_texts(docs, key, text).mapInArrow(gather, "string string, label int, n long")
+    counted = keyed_texts(docs, key, text).mapInArrow(gather, "string string, label int, n long")
+    once = F.when(F.col("label") == 0, F.lit(1)).otherwise(F.sum("n")).cast("long")
+    return counted.groupBy("string", "label").agg(once.alias("n"))
 
 
 def transitions(labelled: DataFrame) -> DataFrame:
