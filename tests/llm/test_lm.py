@@ -30,3 +30,26 @@ def test_registered_training_learns_an_order(spark):
     shuffled = spark.createDataFrame([(n, " ".join(rng.sample(t.split(), 200))) for n, t in rows], "doc_id long, text string")
     mean = lambda frame: frame.agg(F.avg("mean_pll")).first()[0]
     assert mean(lm.scores(docs, scorer)) > mean(lm.scores(shuffled, scorer)) + 0.2
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = random.Random(5)
+    rows = [(n, None if n == 7 else " ".join(rng.choices(VOCAB, k=rng.choice([0, 1, 40, 3000])))) for n in range(120)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string")
+    seen = [sorted(map(tuple, lm.corpus_scores(docs.repartition(n)).collect())) for n in (1, 13)]
+    assert seen[0] == seen[1] and len(seen[0]) == 125
+
+
+def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_WORDS", 4)
+    known = []
+    for size in (100, 10_000):
+        docs = spark.createDataFrame([(n, " ".join(f"w{n * 10 + i}" for i in range(10))) for n in range(size // 10)], "doc_id long, text string")
+        known.append(len(lm.vocabulary(lm.word_counts(docs)).words))
+    assert known == [20, 200]
+
+
+def test_rare_words_are_spelled_from_all_rare_words(spark):
+    docs = spark.createDataFrame([(0, "the " * 9 + "qq qz qy"), (1, None), (2, "")], "doc_id long, text string")
+    letters = lm.letter_counts(lm.word_counts(docs).where("n = 1"))
+    assert letters[ord("q")] == 5 and letters[32] == 4 and letters[ord("t")] == 1

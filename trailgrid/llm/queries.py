@@ -67,7 +67,7 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_lm_scores")
 def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return lm.scores(docs, lm.train(docs))
+    return lm.corpus_scores(docs)
 
 
 @query("op8_toxicity")
