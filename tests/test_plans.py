@@ -220,3 +220,27 @@ def test_opens_survive_a_restart(spark, tmp_path):
     spark.createDataFrame([("b",), ("c",)], "code string").write.mode("append").parquet(folder)
     assert {(r.code, r.opened) for r in run().collect()} == {("a", 2), ("b", 2), ("c", 1)}
     assert {(r.code, r.opened) for r in run().collect()} == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_places_asked_for_open_days_or_cost_less(spark):
+    from trailgrid.plans import build as B
+
+    trips = spark.createDataFrame(
+        [(1, 2, [7, 99, 5, 7, 3], [], [], ["culture"], [])],
+        "plan_id long, days int, requested array<bigint>, preferred array<string>, avoided array<string>, required array<string>, required_subs array<string>",
+    )
+    places = spark.createDataFrame(
+        [(i, f"Place {'x' if i in (1, 3) else i}", "food" if i == 5 else "culture", "museum", 13.7 + i / 100, -89.2, 0.5, True) for i in range(1, 10)],
+        "id long, name string, category string, subcategory string, lat double, lon double, quality double, is_active boolean",
+    )
+    known = places.where("id IN (1, 2, 4, 7)").select(F.lit(1).alias("plan_id"), *places.columns[:-1], F.lit(0).alias("services"), F.lit(False).alias("beach_side"))
+    scored = B.with_requested(B.score(known.withColumn("plan_id", F.lit(1).cast("long")), trips), trips, places)
+    assert {r.id: r.asked for r in scored.collect()} == {1: None, 2: None, 3: 4, 4: None, 5: 2, 7: 0}
+    pool = B.one_of_each(scored)
+    assert {r.id for r in pool.collect()} == {2, 3, 4, 5, 7}
+    first = B.seeds(pool, trips)
+    assert [(r.day, r.id) for r in first.orderBy("day").collect()] == [(1, 7), (2, 5)]
+    costs = {r.id: r.fill_cost for r in B.fill_order(pool, first, trips).collect()}
+    assert set(costs) == {2, 3, 4} and costs[3] < -100 < 0 < min(costs[2], costs[4])
+    stops = spark.createDataFrame([(1, 7), (1, 3)], "plan_id long, id long")
+    assert sorted(r.id for r in B.missing_requested(trips, stops).collect()) == [5, 99]

@@ -76,26 +76,57 @@ def score(candidates: DataFrame, trips: DataFrame) -> DataFrame:
     return candidates.join(wishes, "plan_id").withColumn("score", F.round(points, 6))
 
 
+def asked_places(trips: DataFrame, places: DataFrame) -> DataFrame:
+    """The catalogue rows of the places each trip asks for by id (``requested``), with their turn ``asked``.
+
+    A place asked for twice counts once; ids that the catalogue does not hold any more are left out.
+    """
+    named = trips.select("plan_id", F.posexplode(F.col("requested").cast("array<bigint>")).alias("asked", "id"))
+    first = named.groupBy("plan_id", "id").agg(F.min("asked").alias("asked"))
+    return first.join(places.where("is_active").select("id", "name", "category", "subcategory", "lat", "lon", "quality"), "id")
+
+
+def with_requested(scored: DataFrame, trips: DataFrame, places: DataFrame) -> DataFrame:
+    """Scored candidates and the places asked for, wherever they lie; ``asked`` is null for the others."""
+    if "requested" not in trips.columns:
+        return scored.withColumn("asked", F.lit(None).cast("int"))
+    asked = asked_places(trips, places)
+    marked = scored.join(asked.select("plan_id", "id", "asked"), ["plan_id", "id"], "left")
+    fresh = asked.join(scored.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
+    return marked.unionByName(score(fresh.withColumns({"services": F.lit(0), "beach_side": F.lit(False)}), trips))
+
+
+def missing_requested(trips: DataFrame, stops: DataFrame) -> DataFrame:
+    """(plan_id, id) of places asked for that no day of the finished plan visits."""
+    asked = trips.select("plan_id", F.explode(F.col("requested").cast("array<bigint>")).alias("id")).distinct()
+    return asked.join(stops.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
+
+
 def one_of_each(scored: DataFrame) -> DataFrame:
-    """Destinations without repeated names, malls or beach lodgings beyond their cap."""
-    best = [F.col("score").desc(), F.col("id")]
+    """Destinations without repeated names, malls or beach lodgings beyond their cap.
+
+    A place asked for always stays, whatever its category, and takes its name and a turn of its cap.
+    """
+    asked = F.col("asked").isNotNull()
+    best = [F.col("asked").asc_nulls_last(), F.col("score").desc(), F.col("id")]
     key = T.same_site_key("name", F.lit(None))
-    named = scored.where("category <> 'food'").withColumn(
+    named = scored.where((F.col("category") != "food") | asked).withColumn(
         "_n", F.row_number().over(Window.partitionBy("plan_id", key).orderBy(*best))
-    ).where(F.col("_n") == 1)
+    ).where((F.col("_n") == 1) | asked)
     for tag, cap in K.SUBCATEGORY_CAP.items():
         group = F.when(F.col("subcategory") == tag, F.lit(tag)).otherwise(F.col("id").cast("string"))
-        named = named.withColumn("_n", F.row_number().over(Window.partitionBy("plan_id", group).orderBy(*best))).where(F.col("_n") <= cap)
+        named = named.withColumn("_n", F.row_number().over(Window.partitionBy("plan_id", group).orderBy(*best))).where((F.col("_n") <= cap) | asked)
     group = F.when(F.col("beach_side"), F.lit("beach")).otherwise(F.col("id").cast("string"))
     capped = named.withColumn("_n", F.row_number().over(Window.partitionBy("plan_id", group).orderBy(*best)))
-    return capped.where(F.col("_n") <= K.BEACH_LODGING_CAP).drop("_n")
+    return capped.where((F.col("_n") <= K.BEACH_LODGING_CAP) | asked).drop("_n")
 
 
 def seeds(pool: DataFrame, trips: DataFrame) -> DataFrame:
-    """The first stop of each day: the best of each required category, then the best."""
-    first_of_kind = F.row_number().over(Window.partitionBy("plan_id", "category").orderBy(F.col("score").desc(), "id"))
+    """The first stop of each day: the places asked for in their order, the best of each required category, then the best."""
+    turn = F.col("asked").asc_nulls_last()
+    first_of_kind = F.row_number().over(Window.partitionBy("plan_id", "category").orderBy(turn, F.col("score").desc(), "id"))
     due = F.array_contains("required", F.col("category")) & (F.col("_kind") == 1)
-    order = Window.partitionBy("plan_id").orderBy(F.col("_due").desc(), F.col("score").desc(), "id")
+    order = Window.partitionBy("plan_id").orderBy(turn, F.col("_due").desc(), F.col("score").desc(), "id")
     ranked = pool.withColumn("_kind", first_of_kind).withColumn("_due", due).withColumn("day", F.row_number().over(order))
     return ranked.join(trips.select("plan_id", "days"), "plan_id").where(F.col("day") <= F.col("days")).drop("_kind", "_due", "days")
 
@@ -104,13 +135,13 @@ def fill_order(pool: DataFrame, day_seeds: DataFrame, trips: DataFrame) -> DataF
     """Every other destination under its cheapest seed, in the order a day would take them.
 
     A repeat of a subcategory costs 8 km more each time and a repeat of a category 24, so the
-    order of a greedy fill is two nested ranks.
+    order of a greedy fill is two nested ranks. A place asked for that opens no day costs 120 km less.
     """
     seed = day_seeds.select(
         "plan_id", "day", F.col("id").alias("seed_id"), F.col("category").alias("seed_category"),
         F.col("subcategory").alias("seed_sub"), F.col("lat").alias("slat"), F.col("lon").alias("slon"),
     )
-    rest = pool.join(day_seeds.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
+    rest = pool.where("category <> 'food'").join(day_seeds.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
     met = with_estimate(rest.join(seed, "plan_id"), ("slat", "slon"), ("lat", "lon"), km="_km", minutes="_min")
     closest = Window.partitionBy("plan_id", "id").orderBy("_km", "day")
     near = met.withColumn("_r", F.row_number().over(closest)).where(F.col("_r") == 1)
@@ -119,6 +150,7 @@ def fill_order(pool: DataFrame, day_seeds: DataFrame, trips: DataFrame) -> DataF
     )
     costed = near.join(covered, "plan_id").withColumn(
         "_base", F.col("_km") + F.when(T.is_vague_name("name"), K.VAGUE_KM).otherwise(0.0)
+        - F.when(F.col("asked").isNotNull(), K.REQUESTED_KM).otherwise(0.0)
     )
     by_sub = Window.partitionBy(*DAY, "category", "subcategory").orderBy("_base", "id")
     inner = costed.withColumn("_i", F.row_number().over(by_sub) - 1 + (F.col("seed_sub") == F.col("subcategory")).cast("int"))
@@ -310,14 +342,18 @@ def tables_of(food: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return tables.join(told, "id", "left")
 
 
-def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = None) -> DataFrame:
+def plan_trips(trips: DataFrame, places: DataFrame, hours: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
     """Finished stops of every trip: candidates, days, meals, clock, trim and shared waits.
 
     ``hours`` is (id, opening_hours) of the restaurants and their cuisine, if known; ``trips`` may hold
-    the meals asked for by name (``named``) and a cuisine per meal (``cuisines``).
+    the meals asked for by name (``named``), a cuisine per meal (``cuisines``) and places asked for
+    (``requested``, an array of ids). ``excluded`` is (plan_id, id) of places a trip may not use.
     """
-    scored = checkpointed(score(select_candidates(trips, places), trips))
-    food = checkpointed(tables_of(split_food(scored)[0], hours))
+    scored = with_requested(score(select_candidates(trips, places), trips), trips, places)
+    if excluded is not None:
+        scored = scored.join(excluded.select("plan_id", "id"), ["plan_id", "id"], "left_anti")
+    scored = checkpointed(scored)
+    food = checkpointed(tables_of(split_food(scored.where("asked IS NULL"))[0], hours))
     pool = one_of_each(scored)
     first = checkpointed(seeds(pool, trips))
     filled = fill_order(pool, first, trips)

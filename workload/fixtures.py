@@ -135,7 +135,11 @@ CASE s_suppkey % 4 WHEN 1 THEN 'beach' WHEN 2 THEN 'peak' ELSE NULL END AS req_s
 CASE WHEN s_suppkey % 5 = 1 THEN 'attraction' ELSE NULL END AS avoid_category,
 s_suppkey % 3 = 1 AS named_breakfast, s_suppkey % 7 < 3 AS named_lunch, s_suppkey % 4 = 1 AS named_dinner,
 CASE s_suppkey % 6 WHEN 0 THEN 'regional' WHEN 4 THEN 'pizza' ELSE NULL END AS lunch_cuisine,
-CASE s_suppkey % 5 WHEN 2 THEN 'seafood' WHEN 3 THEN 'sushi' ELSE NULL END AS dinner_cuisine FROM {supplier}""",
+CASE s_suppkey % 5 WHEN 2 THEN 'seafood' WHEN 3 THEN 'sushi' ELSE NULL END AS dinner_cuisine,
+CASE WHEN s_suppkey % 4 = 2 THEN g.a ELSE NULL END AS ask_first, CASE WHEN s_suppkey % 8 = 2 THEN g.b ELSE NULL END AS ask_second
+FROM {supplier} LEFT JOIN (SELECT CAST(round((lat - 13.2e0)/0.045e0) AS INT) AS cell, min(id) AS a, max(id) AS b FROM {places_fx}
+WHERE is_active AND category <> 'lodging' AND abs(lon + 90e0 - 0.09e0*round((lat - 13.2e0)/0.045e0)) <= 0.08e0
+GROUP BY CAST(round((lat - 13.2e0)/0.045e0) AS INT)) g ON g.cell = s_nationkey""",
     # the tags a place carries
     "tags_fx": """
 SELECT p_partkey AS id, p_name AS name,

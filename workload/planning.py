@@ -21,6 +21,7 @@ def trips(fx):
         listed("pref_category").alias("preferred"), listed("avoid_category").alias("avoided"),
         listed("CASE WHEN named_breakfast THEN 'breakfast' END", "CASE WHEN named_lunch THEN 'lunch' END", "CASE WHEN named_dinner THEN 'dinner' END").alias("named"),
         F.expr("map_filter(map('lunch', lunch_cuisine, 'dinner', dinner_cuisine), (m, c) -> c IS NOT NULL)").alias("cuisines"),
+        listed("ask_first", "ask_second").alias("requested"),
     )
 
 
@@ -51,17 +52,22 @@ cand AS (SELECT k.plan_id, k.id, k.name, k.category, k.subcategory, k.lat, k.lon
  UNION ALL SELECT k.plan_id, k.id, k.name, k.category, k.subcategory, k.lat, k.lon, k.quality, {SERV}, true FROM bl k)"""
 SCORED = f"""{CANDS}, sc AS (SELECT c.*, t.req_category, t.req_sub, t.pref_category, t.days, round({APPEAL}*2 + quality + CASE WHEN c.subcategory = t.req_sub OR (beach_side AND t.req_sub = 'beach') THEN 3e0 + least(services, 120)/120e0 ELSE 0e0 END
 + CASE WHEN category = pref_category THEN 0.6e0 ELSE 0e0 END, 6) AS score FROM cand c JOIN trips_fx t USING (plan_id))"""
-POOL = f"""{SCORED}, p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, lower(name) ORDER BY score DESC, id) AS n1 FROM sc WHERE category <> 'food') WHERE n1 = 1),
-p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, CASE WHEN subcategory = 'mall' THEN 'mall' ELSE CAST(id AS VARCHAR) END ORDER BY score DESC, id) AS n2 FROM p1) WHERE n2 = 1),
-pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, CASE WHEN beach_side THEN 'beach' ELSE CAST(id AS VARCHAR) END ORDER BY score DESC, id) AS n3 FROM p2) WHERE n3 = 1)"""
-SEEDS = f"""{POOL}, kd AS (SELECT *, category = req_category AND row_number() OVER (PARTITION BY plan_id, category ORDER BY score DESC, id) = 1 AS due FROM pool),
-seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY coalesce(due, false) DESC, score DESC, id) AS day FROM kd) WHERE day <= days)"""
-FILL = f"""{SEEDS}, rest AS (SELECT * FROM pool p WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.plan_id = p.plan_id AND s.id = p.id)),
+POOL = f"""{SCORED}, wish AS (SELECT plan_id, id, min(n) AS asked FROM (SELECT plan_id, ask_first AS id, 0 AS n FROM trips_fx UNION ALL SELECT plan_id, ask_second, 1 FROM trips_fx) WHERE id IS NOT NULL GROUP BY plan_id, id),
+sq AS (SELECT sc.*, w.asked FROM sc LEFT JOIN wish w USING (plan_id, id) UNION ALL
+SELECT w.plan_id, p.id, p.name, p.category, p.subcategory, p.lat, p.lon, p.quality, 0, false, t.req_category, t.req_sub, t.pref_category, t.days, round({APPEAL}*2 + quality + CASE WHEN subcategory = req_sub THEN 3e0 ELSE 0e0 END
++ CASE WHEN category = pref_category THEN 0.6e0 ELSE 0e0 END - CASE WHEN category = avoid_category THEN 2e0 ELSE 0e0 END, 6), w.asked
+FROM wish w JOIN places_fx p ON p.id = w.id AND p.is_active JOIN trips_fx t USING (plan_id) WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.plan_id = w.plan_id AND sc.id = w.id)),
+p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, lower(name) ORDER BY asked NULLS LAST, score DESC, id) AS n1 FROM sq WHERE category <> 'food' OR asked IS NOT NULL) WHERE n1 = 1 OR asked IS NOT NULL),
+p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, CASE WHEN subcategory = 'mall' THEN 'mall' ELSE CAST(id AS VARCHAR) END ORDER BY asked NULLS LAST, score DESC, id) AS n2 FROM p1) WHERE n2 = 1 OR asked IS NOT NULL),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, CASE WHEN beach_side THEN 'beach' ELSE CAST(id AS VARCHAR) END ORDER BY asked NULLS LAST, score DESC, id) AS n3 FROM p2) WHERE n3 = 1 OR asked IS NOT NULL)"""
+SEEDS = f"""{POOL}, kd AS (SELECT *, category = req_category AND row_number() OVER (PARTITION BY plan_id, category ORDER BY asked NULLS LAST, score DESC, id) = 1 AS due FROM pool),
+seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY asked NULLS LAST, coalesce(due, false) DESC, score DESC, id) AS day FROM kd) WHERE day <= days)"""
+FILL = f"""{SEEDS}, rest AS (SELECT * FROM pool p WHERE category <> 'food' AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.plan_id = p.plan_id AND s.id = p.id)),
 met AS (SELECT r.*, s.day, s.category AS sc_, s.subcategory AS ss_, round_even({_est('s.', 'r.')}, 3) AS km FROM rest r JOIN seeds s USING (plan_id)),
-nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, id ORDER BY km, day) AS r FROM met) WHERE r = 1),
+nr AS (SELECT *, km - CASE WHEN asked IS NULL THEN 0 ELSE 120 END AS base FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, id ORDER BY km, day) AS r FROM met) WHERE r = 1),
 cov AS (SELECT plan_id, list(category) AS cats, list(subcategory) AS subs FROM seeds GROUP BY plan_id),
-i1 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day, category, subcategory ORDER BY km, id) - 1 + CAST(ss_ = subcategory AS INT) AS i FROM nr),
-i2 AS (SELECT *, round(km + 8*i, 6) AS inn FROM i1),
+i1 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day, category, subcategory ORDER BY base, id) - 1 + CAST(ss_ = subcategory AS INT) AS i FROM nr),
+i2 AS (SELECT *, round(base + 8*i, 6) AS inn FROM i1),
 o1 AS (SELECT *, row_number() OVER (PARTITION BY plan_id, day, category ORDER BY inn, id) AS c FROM i2),
 o2 AS (SELECT o1.*, round(inn + 24*CASE WHEN category = pref_category OR category = req_category THEN 0 ELSE c - 1 + CAST(sc_ = category AS INT) END
  - CASE WHEN c = 1 AND category = req_category AND NOT list_contains(cats, category) THEN 60 ELSE 0 END - CASE WHEN i = 0 AND subcategory = req_sub AND NOT list_contains(subs, subcategory) THEN 60 ELSE 0 END, 6) AS fill_cost FROM o1 JOIN cov USING (plan_id)),
@@ -70,7 +76,7 @@ PARTS = "list_transform(string_split(replace(t.cuisine, ',', ';'), ';'), lambda
 LIMS = f"""lims AS (SELECT plan_id, coalesce(max_km, 60e0) AS budget, coalesce(max_stops, 12) AS cap, CASE WHEN NOT include_meals THEN 0 ELSE CAST(named_breakfast AND earliest <= 570 AS INT) + CAST(latest >= 690 AND earliest <= 870 AS INT) + CAST(latest >= 1080 AS INT) END AS expected,
 CASE WHEN NOT include_meals THEN 0 WHEN earliest + coalesce(max_stops, 12)*102 >= 1080 AND latest >= 1080 THEN 2 ELSE 1 END AS fit, earliest, latest, include_meals, named_breakfast, named_lunch, named_dinner, lunch_cuisine, dinner_cuisine FROM trips_fx),
 tables AS (SELECT f.plan_id, f.id, f.lat, f.lon, coalesce(list_contains({PARTS}, l.lunch_cuisine), false) AS lunch_like, coalesce(list_contains({PARTS}, l.dinner_cuisine), false) AS dinner_like
-FROM sc f JOIN lims l USING (plan_id) JOIN tags_fx t ON t.id = f.id WHERE f.category = 'food')"""
+FROM sc f JOIN lims l USING (plan_id) JOIN tags_fx t ON t.id = f.id WHERE f.category = 'food' AND NOT EXISTS (SELECT 1 FROM wish w WHERE w.plan_id = f.plan_id AND w.id = f.id))"""
 DWELL = f"coalesce({X.lookup(K.SUBCATEGORY_MINUTES, 'subcategory')}, {X.lookup(K.CATEGORY_MINUTES, 'category')}, 60)"
 SPEED = lambda km: f"(CASE WHEN {km} < 2 THEN 35e0 WHEN {km} < 10 THEN 41e0 WHEN {km} < 50 THEN 56e0 ELSE 62e0 END)"
 
@@ -162,30 +168,34 @@ def win_9(fx):
     return scored(fx).select("plan_id", "id", "score")
 
 
+def asked_for(fx):
+    return B.with_requested(scored(fx), trips(fx), fx.places)
+
+
 @query("win_10", f"WITH {SEEDS} SELECT plan_id, CAST(day AS INTEGER) AS day, id, score FROM seeds")
 def win_10(fx):
-    return B.seeds(B.one_of_each(scored(fx)), trips(fx)).select("plan_id", "day", "id", "score")
+    return B.seeds(B.one_of_each(asked_for(fx)), trips(fx)).select("plan_id", "day", "id", "score")
 
 
 @query("win_11", f"WITH {FILL} SELECT plan_id, CAST(day AS INTEGER) AS day, CAST(fill AS INTEGER) AS fill, id, fill_cost FROM fill")
 def win_11(fx):
-    pool = B.one_of_each(scored(fx))
+    pool = B.one_of_each(asked_for(fx))
     return B.fill_order(pool, B.seeds(pool, trips(fx)), trips(fx)).select("plan_id", "day", "fill", "id", "fill_cost")
 
 
 def _food(rows, fx):
-    return B.tables_of(B.split_food(rows)[0], fx.tags.select("id", F.lit(None).cast("string").alias("opening_hours"), "cuisine"))
+    return B.tables_of(B.split_food(rows.where("asked IS NULL"))[0], fx.tags.select("id", F.lit(None).cast("string").alias("opening_hours"), "cuisine"))
 
 
 @query("win_17", f"WITH {SEEDS}, {RESERVE} SELECT plan_id, CAST(day AS INTEGER) AS day, reserve_km FROM reserve")
 def win_17(fx):
-    rows = B.checkpointed(scored(fx))
+    rows = B.checkpointed(asked_for(fx))
     first = B.seeds(B.one_of_each(rows), trips(fx))
     return B.meal_reserve(first, _food(rows, fx), trips(fx))
 
 
 def _cut(fx):
-    rows = B.checkpointed(scored(fx))
+    rows = B.checkpointed(asked_for(fx))
     pool = B.one_of_each(rows)
     first = B.checkpointed(B.seeds(pool, trips(fx)))
     food = _food(rows, fx)
