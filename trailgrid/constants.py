@@ -114,6 +114,8 @@ GENERIC_CUISINES = ("regional", "local")
 CUISINES_THAT_ARE_MEALS = ("breakfast",)
 MAX_ELEVATION_M = 2_800
 
+OPEN_STATES = ("abierto", "desconocido", "cerrado")
+
 # --- zones: key, name, lat, lon, radius (m), aliases, aliases valid only as the whole text
 ZONES = (
     ("san-salvador", "San Salvador", 13.6929, -89.2182, 15_000, ("capital",), ()),

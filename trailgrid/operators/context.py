@@ -94,8 +94,9 @@ def visit_states(visits: DataFrame) -> DataFrame:
 
 
 def meal_hours_audit(visits: DataFrame) -> DataFrame:
-    """Meals open, closed and unknown per weekday."""
+    """Meals and the km to them by zone, weekday and state, and over any of these (null), as ``level`` tells."""
+    km = F.sum(F.bround(F.col("leg_km") * 1000, 0).cast("long")) / 1000
     return (
-        visit_states(visits).groupBy(F.weekday("date").alias("weekday"), "state")
-        .agg(F.count(F.lit(1)).alias("meals"), F.round(F.sum("leg_km"), 2).alias("km"))
+        visit_states(visits).withColumn("weekday", F.weekday("date")).cube("zone", "weekday", "state")
+        .agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("meals"), F.round(km, 3).alias("km"))
     )

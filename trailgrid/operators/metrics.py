@@ -155,6 +155,33 @@ def variety_summary(days: DataFrame) -> DataFrame:
     )
 
 
+def plan_metrics(stops: DataFrame, meals: DataFrame) -> DataFrame:
+    """Finished days measured side by side, by zone and weekday and over either (null), as ``level`` tells.
+
+    ``stops`` holds plan_id, day, ord, zone, date, place and leg_km; ``meals`` is (plan_id, day, state) of their
+    meals. Days, stops, km, meals by state, variety of days of three stops or more, and what the
+    dearest inner stop costs on days of four or more. All facts meet on (plan_id, day) once; shares have four
+    digits, so their median counts few distinct values.
+    """
+    keys = ["plan_id", "day"]
+    km = F.sum(F.bround(F.col("leg_km") * 1000, 0).cast("long"))
+    days = stops.groupBy(*keys, "zone", F.weekday("date").alias("weekday")).agg(F.count(F.lit(1)).alias("_stops"), km.alias("_metres"))
+    eaten = meals.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_meals"), *[F.count_if(F.col("state") == s).alias(f"_{s}") for s in K.OPEN_STATES]
+    )
+    varied = variety(stops, keys).select(*keys, "categories", "longest_run")
+    facts = days.join(eaten, keys, "left").join(varied, keys, "left").join(marginal_cost(stops, keys), keys, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c[1:])
+    return facts.cube("zone", "weekday").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("days"), total("_stops"), F.round(F.sum("_metres") / 1000, 3).alias("km"),
+        total("_meals"), *[total(f"_{s}") for s in K.OPEN_STATES],
+        F.count("categories").alias("varied_days"), F.round(F.avg("categories"), 2).alias("mean_categories"),
+        F.count_if(F.col("longest_run") >= 3).alias("days_with_runs"), F.count_if(F.col("categories") == 1).alias("single_days"),
+        F.count("share").alias("measured_days"), F.round(F.median("share"), 5).alias("median_share"), F.max("share").alias("worst_share"),
+        F.count_if(F.col("share") >= 0.30).alias("dear_days"),
+    )
+
+
 def usage_cost(calls: DataFrame, usd_in: float, usd_out: float) -> DataFrame:
     """Mean units in and out, mean, median and largest total, mean cost and calls per dollar."""
     total = F.col("units_in") + F.col("units_out")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 
@@ -56,3 +59,16 @@ def cases(spark: SparkSession) -> DataFrame:
             K.MEAL_MINUTES, row["preferred"], row["avoided"], [], [],
         ))
     return spark.createDataFrame(rows, SCHEMA)
+
+
+def week(spark: SparkSession, monday: dt.date = dt.date(2024, 1, 1)) -> DataFrame:
+    """The cases on each day of a week, as trips ``name/date``; closing days fall on a few weekdays only."""
+    days = F.sequence(F.lit(monday), F.lit(monday + dt.timedelta(days=6)))
+    dated = cases(spark).withColumn("start_date", F.explode(days))
+    return dated.withColumn("plan_id", F.concat_ws("/", "plan_id", "start_date"))
+
+
+def zone_of(plan_id: str = "plan_id") -> Column:
+    """The zone of a trip of ``cases`` or ``week``."""
+    zones = F.create_map(*[F.lit(text) for name, zone, _ in CASES for text in (name, zone)])
+    return F.try_element_at(zones, F.substring_index(plan_id, "/", 1))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.operators import context
 from trailgrid.operators import metrics as M
 from trailgrid.operators import sequence as Q
 from trailgrid.plans import build as B
-from trailgrid.plans import corpus
+from trailgrid.plans import corpus, revise
 from trailgrid.plans import validate as P
 from workload import sqltext as X
 from workload.base import query
@@ -303,6 +304,25 @@ def plan_2(fx):
     return planned(fx).select("plan_id", "day", "ord", "id", "meal", "arrival", "departure", "leg_km", "leg_min")
 
 
+@query("plan_7_swap")
+def plan_7_swap(fx):
+    """Plans where every second trip gives up the first visit of its last day: that day is planned anew."""
+    hours = fx.tags.select("id", "opening_hours", "cuisine")
+    stops = B.checkpointed(planned(fx))
+    visits = stops.where("meal IS NULL AND plan_id % 2 = 0").groupBy("plan_id", "day").agg(F.min_by("id", "ord").alias("id"))
+    last = visits.groupBy("plan_id").agg(F.max("day").alias("day"))
+    swapped = revise.swap_days(trips(fx), stops, visits.join(last, ["plan_id", "day"]), fx.places, hours)
+    return swapped.select("plan_id", "day", "ord", "id", "meal", "arrival", "departure", "leg_km", "leg_min")
+
+
+@query("plan_9_metrics")
+def plan_9_metrics(fx):
+    """The evaluation requests of every weekday planned on the catalogue, measured by zone and weekday."""
+    stops = B.checkpointed(B.plan_trips(corpus.week(fx.spark), fx.places, fx.tags.select("id", "opening_hours")))
+    named = stops.withColumn("zone", corpus.zone_of()).join(fx.tags.select("id", "opening_hours"), "id", "left")
+    return M.plan_metrics(named, context.visit_states(named.where("meal IS NOT NULL")))
+
+
 @query("plan_9")
 def plan_9(fx):
     """The evaluation requests planned on the catalogue, one row per case with its metrics."""

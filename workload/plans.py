@@ -13,12 +13,13 @@ from trailgrid.operators import search as S
 from trailgrid.operators import sequence as Q
 from trailgrid.operators import travel as V
 from trailgrid.plans import requests as R
+from trailgrid.plans import revise
 from trailgrid.plans import validate as P
 from trailgrid.sources import feeds, keyed
 from workload import sqltext as X
 from workload.base import query
 from workload.timectx import (
-    COASTAL, NO_SEA, REASON, SEA, TRIP_DAYS, WET, coastal_days, sea_days, sunset_sql, today, weather, wet_stops,
+    COASTAL, HOURS, MEAL_STATE, MERGED, NO_SEA, REASON, SEA, TRIP_DAYS, WET, coastal_days, sea_days, sunset_sql, today, weather, wet_stops, dated_stops,
 )
 from workload.travel import ESTIMATE
 
@@ -132,6 +133,24 @@ def agg_15(fx):
     return M.marginal_summary(M.marginal_cost(fx.days, ["plan_id", "day"]))
 
 
+@query("agg_17_metrics", f"""
+WITH {HOURS}, {MERGED}, {MEAL_STATE}, {MARGINS},
+vs AS (SELECT *, category = lag(category) OVER {W}) AS same FROM timed_fx), vr AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER {W} {UP}) AS run FROM vs),
+vg AS (SELECT plan_id, day, max(n) AS longest FROM (SELECT plan_id, day, run, count(*) AS n FROM vr GROUP BY plan_id, day, run) GROUP BY plan_id, day),
+vd AS (SELECT plan_id, day, count(DISTINCT category) AS categories FROM timed_fx GROUP BY plan_id, day HAVING count(*) >= 3),
+dd AS (SELECT s.plan_id, s.day, t.area_id AS zone, CAST(isodow(t.start_date + CAST(s.day - 1 AS INT)) - 1 AS INTEGER) AS weekday, count(*) AS n, sum(CAST(round_even(s.leg_km*1000, 0) AS BIGINT)) AS metres
+FROM timed_fx s JOIN plans_fx t USING (plan_id) GROUP BY ALL),
+de AS (SELECT plan_id, day, count(*) AS n, count(*) FILTER (state = 'abierto') AS o, count(*) FILTER (state = 'desconocido') AS u, count(*) FILTER (state = 'cerrado') AS c FROM ate GROUP BY plan_id, day)
+SELECT zone, weekday, GROUPING(zone, weekday) AS level, count(*) AS days, CAST(sum(dd.n) AS BIGINT) AS stops, round(sum(metres)/1000, 3) AS km, CAST(coalesce(sum(de.n), 0) AS BIGINT) AS meals,
+CAST(coalesce(sum(o), 0) AS BIGINT) AS abierto, CAST(coalesce(sum(u), 0) AS BIGINT) AS desconocido, CAST(coalesce(sum(c), 0) AS BIGINT) AS cerrado,
+count(categories) AS varied_days, round(avg(categories), 2) AS mean_categories, count(*) FILTER (categories IS NOT NULL AND longest >= 3) AS days_with_runs, count(*) FILTER (categories = 1) AS single_days,
+count(share) AS measured_days, round(median(share), 5) AS median_share, max(share) AS worst_share, count(*) FILTER (share >= 0.30) AS dear_days
+FROM dd LEFT JOIN de USING (plan_id, day) LEFT JOIN vd USING (plan_id, day) LEFT JOIN vg USING (plan_id, day) LEFT JOIN m USING (plan_id, day) GROUP BY CUBE (zone, weekday)""")
+def agg_17_metrics(fx):
+    stops = dated_stops(fx)
+    return M.plan_metrics(stops, context.visit_states(stops.where("meal IS NOT NULL")))
+
+
 @query("agg_18", """
 WITH c AS (SELECT conv_id, CAST(coalesce(sum(length(text)) FILTER (role = 'user'), 0) AS BIGINT) AS i, CAST(coalesce(sum(length(text)) FILTER (role <> 'user'), 0) AS BIGINT) AS o FROM conversations GROUP BY conv_id)
 SELECT count(*) AS calls, round(avg(i), 3) AS mean_in, round(avg(o), 3) AS mean_out, round(avg(i + o), 3) AS mean_total, median(i + o) AS median_total, max(i + o) AS worst,
@@ -336,6 +355,27 @@ def plan_7(fx):
     return P.apply_edits(fx.meals, fx.edits, fx.places)
 
 
+DWELL = f"coalesce({X.lookup(K.SUBCATEGORY_MINUTES, 'subcategory')}, {X.lookup(K.CATEGORY_MINUTES, 'category')}, 60)"
+NEAR_ZONE = X.hav_km('(plat + lat)/2', '(plon + lon)/2', 'd.zlat', 'd.zlon')
+
+
+@query("plan_7_clock", f"""
+WITH {EDITED}, tch AS (SELECT plan_id, day FROM known UNION SELECT plan_id, to_day FROM known WHERE op = 'move'),
+sr AS (SELECT e.*, p.category, p.subcategory, p.lat, p.lon, t.earliest, t.mode FROM edited e JOIN tch USING (plan_id, day) JOIN places_fx p ON p.id = e.place_id AND p.is_active JOIN plans_fx t USING (plan_id)),
+lk AS (SELECT *, row_number() OVER {W}) AS n, lag(lat) OVER {W}) AS plat, lag(lon) OVER {W}) AS plon,
+CAST(CASE WHEN meal = 'breakfast' THEN {K.BREAKFAST_MINUTES} WHEN meal IS NOT NULL THEN {K.MEAL_MINUTES} ELSE {DWELL} END AS INT) AS dwell FROM sr),
+ls AS (SELECT *, {X.hav_km('plat', 'plon', 'lat', 'lon')} AS straight, coalesce((SELECT arg_min(d.factor, {NEAR_ZONE}) FROM {X.DETOURS} WHERE {NEAR_ZONE} <= d.zkm), 1.53e0) AS factor FROM lk),
+lm AS (SELECT *, CASE WHEN n = 1 THEN 0e0 ELSE round_even(straight*factor, 3) END AS leg_km, CAST(CASE WHEN n = 1 THEN 0 WHEN mode = 'walking' THEN greatest(1, round_even(straight*factor/5e0*60, 0)) + 2 ELSE
+greatest(1, round_even(straight*factor/(CASE WHEN straight < 2 THEN 35e0 WHEN straight < 10 THEN 41e0 WHEN straight < 50 THEN 56e0 ELSE 62e0 END)*60, 0)) + 8 END AS INT) AS leg_min FROM ls),
+l0 AS (SELECT *, earliest + sum(leg_min) OVER u + sum(dwell) OVER u - dwell AS s0 FROM lm WINDOW u AS (PARTITION BY plan_id, day ORDER BY n)),
+l1 AS (SELECT *, s0 + greatest(coalesce(max(CASE meal WHEN 'breakfast' THEN 390 WHEN 'lunch' THEN 690 WHEN 'dinner' THEN 1080 END - s0) OVER (PARTITION BY plan_id, day ORDER BY n), 0), 0) AS arrival FROM l0)
+SELECT plan_id, day, CAST(n AS INT) AS ord, place_id, meal, CAST(arrival AS INT) AS arrival, CAST(arrival + dwell AS INT) AS departure, leg_km, leg_min, true AS touched FROM l1
+UNION ALL SELECT plan_id, day, ord, place_id, meal, arrival, departure, leg_km, leg_min, false FROM timed_fx s WHERE NOT EXISTS (SELECT 1 FROM tch WHERE tch.plan_id = s.plan_id AND tch.day = s.day)""")
+def plan_7_clock(fx):
+    """Plans after their edits: touched days with new legs and hours, the others as they were."""
+    return revise.rescheduled(fx.timed, fx.edits, fx.places, fx.plans)
+
+
 @query("plan_7_missing", "SELECT DISTINCT plan_id, place_id FROM edits_fx WHERE place_id NOT IN (SELECT id FROM places_fx WHERE is_active)")
 def plan_7_missing(fx):
     return P.missing_ids(fx.edits, fx.places)

@@ -101,11 +101,23 @@ def join_20(fx):
     return W.visit_states(_visits(fx)).select("plan_id", "ord", "state")
 
 
-@query("agg_17", f"""WITH {HOURS}, {MERGED}, {STATE} SELECT CAST(isodow(s.date) - 1 AS INTEGER) AS weekday, state, count(*) AS meals, round(sum(s.ord*1.5e0), 2) AS km
-FROM states s JOIN places_fx p ON p.id = s.place_id AND p.category = 'food' GROUP BY 1, 2""")
+MEAL_STATE = f"""v AS (SELECT s.plan_id, s.day, s.leg_km, s.place_id, t.area_id AS zone, t.start_date + CAST(s.day - 1 AS INT) AS date, s.arrival, s.departure FROM timed_fx s JOIN plans_fx t USING (plan_id) WHERE s.meal IS NOT NULL),
+ate AS (SELECT v.*, CASE WHEN k.opening_hours IS NULL THEN 'desconocido'
+WHEN EXISTS (SELECT 1 FROM mg WHERE mg.opening_hours = t.opening_hours AND mg.opens <= {MINUTE} AND mg.closes >= {MINUTE} + v.departure - v.arrival) THEN 'abierto' ELSE 'cerrado' END AS state
+FROM v LEFT JOIN tags_fx t ON t.id = v.place_id LEFT JOIN known k ON k.opening_hours = t.opening_hours)"""
+
+
+def dated_stops(fx):
+    """Finished stops with their zone, date and the opening hours known of the place."""
+    days = fx.plans.select("plan_id", F.col("area_id").alias("zone"), "start_date")
+    dated = fx.timed.join(days, "plan_id").withColumn("date", R.date_of_day(F.col("start_date"), F.col("day")))
+    return dated.join(fx.tags.select(F.col("id").alias("place_id"), "opening_hours"), "place_id", "left")
+
+
+@query("agg_17", f"""WITH {HOURS}, {MERGED}, {MEAL_STATE} SELECT zone, CAST(isodow(date) - 1 AS INTEGER) AS weekday, state, GROUPING(zone, isodow(date), state) AS level, count(*) AS meals,
+round(sum(CAST(round_even(leg_km*1000, 0) AS BIGINT))/1000, 3) AS km FROM ate GROUP BY CUBE (zone, isodow(date), state)""")
 def agg_17(fx):
-    food = fx.places.where("category = 'food'").select(F.col("id").alias("place_id"))
-    return W.meal_hours_audit(_visits(fx).join(food, "place_id").withColumn("leg_km", F.col("ord") * 1.5))
+    return W.meal_hours_audit(dated_stops(fx).where("meal IS NOT NULL"))
 
 
 @query("time_5", "SELECT plan_id, ord, ((arrival + 900) % 1440) AS wrapped, 900 - arrival AS apart, printf('%02d:%02d', ((arrival + 900) % 1440)//60, (arrival + 900) % 60) AS clock FROM (" + VISITS + ")")
