@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.llm.test_ops import VOCAB
@@ -53,3 +55,26 @@ def test_rare_words_are_spelled_from_all_rare_words(spark):
     docs = spark.createDataFrame([(0, "the " * 9 + "qq qz qy"), (1, None), (2, "")], "doc_id long, text string")
     letters = lm.letter_counts(lm.word_counts(docs).where("n = 1"))
     assert letters[ord("q")] == 5 and letters[32] == 4 and letters[ord("t")] == 1
+
+
+def test_words_part_at_ascii_white_space_only():
+    rng = random.Random(9)
+    texts = ["", " ", "\t\n\x0b\x0c\r ", "a", " a", "a ", "A b c", "　", "x" * 70_000, "é \U0001f600 中文"]
+    texts += ["".join(rng.choices("aB \t\n\r\x0b\x0cé ", k=rng.randrange(40))) for _ in range(300)]
+    found, counts = lm.split_words(pa.array(texts))
+    plain = [t.lower().encode().split() for t in texts]
+    assert counts.tolist() == [len(p) for p in plain]
+    assert [w.encode() for w in found.to_pylist()] == [w for p in plain for w in p]
+
+
+def test_reading_in_portions_changes_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "the cat sat on the mat"), (1, None), (2, "rare zebra"), (3, "the " * 500)], "doc_id long, text string").coalesce(1)
+    vocab = lm.vocabulary(lm.word_counts(docs), words=3)
+    texts = pa.array([r.text or "" for r in docs.orderBy("doc_id").collect()])
+    whole = vocab.read_all(texts)
+    monkeypatch.setattr(lm, "PORTION", 8)
+    parts = [(begin, vocab.read_all(piece)) for begin, piece in lm.portions(texts)]
+    assert [b for b, _ in parts][0] == 0 and len(parts) > 1
+    for i in range(3):
+        assert np.array_equal(np.concatenate([p[i] for _, p in parts]), whole[i])
+    assert set(whole[0].tolist()) <= set(range(1, vocab.size))
