@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trailgrid.operators import dedupe as D
 from trailgrid.operators import search as S
 from trailgrid.plans import build as B
 
@@ -24,3 +25,15 @@ def test_trips_of_one_circle_share_a_search(spark, monkeypatch):
     assert searched == [2, 2]
     near = {(n, 1, 2, False) for n in (1, 4, 5)} | {(3, 1, 0, False)}
     assert rows == near | {(n, 3, 0, False) for n in (1, 2, 3, 4, 5, 9)} | {(n, 2, 2, True) for n in (1, 2, 4, 5, 9)}
+
+
+def test_same_site_broadcasts_no_rows_of_the_catalogue(spark):
+    rows = [(n, f"Parque Tova{n // 3}" if n % 3 else f"Parque Nacional Tova{n // 3}", 13.0 + n // 3 * 0.02, -90.0, 0.5, True) for n in range(60)]
+    places = spark.createDataFrame(rows, "id long, name string, lat double, lon double, quality double, is_active boolean")
+    pairs = D.same_site_pairs(places)
+    for frame in (pairs, D.same_site_groups(places)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        # what may be broadcast: the one row of the count, and hot keys, which are counted and few
+        data = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" not in line]
+        assert not data and "SortMergeJoin" in plan
+    assert {tuple(r) for r in pairs.collect()} == {(n + 1, n) for n in range(0, 60, 3)}

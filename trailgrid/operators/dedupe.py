@@ -139,7 +139,7 @@ def same_site_pairs(places: DataFrame) -> DataFrame:
     active = places.where("is_active")
     nodes = same_site_nodes(places)
     rare = rare_words(active).select("word")
-    keyed = split_join(nodes.withColumn("word", F.explode("words")), rare, ["word"], ["node"])
+    keyed = split_join(nodes.withColumn("word", F.explode("words")), rare, ["word"], ["node"], both_large=True)
     grid = Grid.for_radius(K.SAME_SITE_M)
     short = covering_cells(
         keyed.select("word", F.col("node").alias("a"), F.col("words").alias("few"), F.col("lat").alias("alat"), F.col("lon").alias("alon")),
@@ -147,7 +147,7 @@ def same_site_pairs(places: DataFrame) -> DataFrame:
     ).drop("_whole")
     long = keyed.withColumn("_cell", grid.cell("lat", "lon")).withColumnRenamed("node", "b")
     return (
-        split_join(long, short, ["_cell", "word"], ["lat", "lon"])
+        split_join(long, short, ["_cell", "word"], ["lat", "lon"], both_large=True)
         .where(
             (F.size("few") < F.size("words")) & (F.size(F.array_except("few", "words")) == 0)
             & (haversine_m("alat", "alon", "lat", "lon") <= K.SAME_SITE_M)
@@ -161,11 +161,12 @@ def same_site_groups(places: DataFrame) -> DataFrame:
     active = places.where("is_active")
     groups = connected_components(same_site_pairs(places))
     words = F.array_sort(T.significant_words("name"))
+    nodes = same_site_nodes(places).withColumnsRenamed({"lat": "_lat", "lon": "_lon", "words": "_words"})
+    # a catalogue that compresses well looks small enough to broadcast: neither side is
     members = (
         active.withColumn("words", words)
-        .join(same_site_nodes(places).withColumnsRenamed({"lat": "_lat", "lon": "_lon", "words": "_words"}),
-              (F.col("words") == F.col("_words")) & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")))
-        .join(groups, "node").select("id", "quality", "component")
+        .join(nodes.hint("merge"), (F.col("words") == F.col("_words")) & (F.col("lat") == F.col("_lat")) & (F.col("lon") == F.col("_lon")))
+        .join(groups.hint("merge"), "node").select("id", "quality", "component")
     )
     heads = members.groupBy("component").agg(F.max(F.struct("quality", "id"))["id"].alias("same_place_as"))
-    return members.join(heads, "component").select("id", "same_place_as")
+    return members.join(heads.hint("merge"), "component").select("id", "same_place_as")
