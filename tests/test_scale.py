@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
+
 from trailgrid.operators import dedupe as D
 from trailgrid.operators import search as S
 from trailgrid.plans import build as B
+from trailgrid.streaming import limits as L
 
 
 def test_trips_of_one_circle_share_a_search(spark, monkeypatch):
@@ -37,3 +40,13 @@ def test_same_site_broadcasts_no_rows_of_the_catalogue(spark):
         data = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" not in line]
         assert not data and "SortMergeJoin" in plan
     assert {tuple(r) for r in pairs.collect()} == {(n + 1, n) for n in range(0, 60, 3)}
+
+
+def test_trailing_count_steps_once_per_row(spark):
+    times = [0, 0, 5, 9_999_999, 10_000_000, 10_000_004, 10_000_005, 19_999_999, 20_000_000, 45_000_000, -1, -3, None, None]
+    rows = spark.createDataFrame([(k, t) for k in ("a", None) for t in times], "key string, _at long")
+    counted = L.trailing_count(rows, "key", 10, "n")
+    brute = lambda t: sum(u is None for u in times) if t is None else sum(u is not None and t - 10_000_000 < u <= t for u in times)
+    assert sorted(map(str, counted.collect())) == sorted(str(Row(key=k, _at=t, n=brute(t))) for k in ("a", None) for t in times)
+    # a frame that moves at both ends is added up anew for every row
+    assert "specifiedwindowframe(RangeFrame, -" not in counted._jdf.queryExecution().optimizedPlan().toString()

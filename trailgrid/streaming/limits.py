@@ -117,15 +117,17 @@ def limit_stream(log: DataFrame, limits=K.PLAN_LIMITS, delay: str = "10 minutes"
 def trailing_count(rows: DataFrame, key: str, seconds: int, name: str) -> DataFrame:
     """Rows of the same key in the ``seconds`` up to each row; ``_at`` holds microseconds.
 
-    Time is cut into slots as long as the window. A row also visits the next slot as context,
-    so a busy key is one task per slot instead of one task in all.
+    A row counts one from its time on, and one less when the window has left it, so a running sum over
+    both is the count, in steps that don't grow with the window. Time is cut into slots as long as
+    the window, and a slot starts from the rows that leave it, so a busy key is one task per slot.
     """
     width = seconds * 1_000_000
-    slot = F.floor(F.col("_at") / width)
-    placed = rows.withColumn("_slot", F.explode(F.array(slot, slot + 1)))
-    trailing = Window.partitionBy(key, "_slot").orderBy("_at").rangeBetween(-(width - 1), 0)
-    counted = placed.withColumn(name, F.count(F.lit(1)).over(trailing))
-    return counted.where(F.col("_slot") == slot).drop("_slot")
+    here, gone = F.struct(F.col("_at").alias("at"), F.lit(1).alias("step")), F.struct((F.col("_at") + width).alias("at"), F.lit(-1).alias("step"))
+    steps = rows.withColumn("_e", F.explode(F.array(here, gone))).withColumn("_slot", F.col("_e.at") - F.pmod("_e.at", F.lit(width)))
+    slot = Window.partitionBy(key, "_slot")
+    upto = slot.orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    counted = steps.withColumn(name, F.sum("_e.step").over(upto) + F.count_if(F.col("_e.step") < 0).over(slot))
+    return counted.where(F.col("_e.step") > 0).drop("_e", "_slot")
 
 
 def attempts_in_window(log: DataFrame, limits=K.PLAN_LIMITS) -> DataFrame:
