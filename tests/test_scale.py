@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from trailgrid import constants as K
 from trailgrid.operators import dedupe as D
+from trailgrid.operators import range_join as R
 from trailgrid.operators import search as S
 from trailgrid.plans import build as B
 from trailgrid.streaming import limits as L
@@ -50,3 +56,21 @@ def test_trailing_count_steps_once_per_row(spark):
     assert sorted(map(str, counted.collect())) == sorted(str(Row(key=k, _at=t, n=brute(t))) for k in ("a", None) for t in times)
     # a frame that moves at both ends is added up anew for every row
     assert "specifiedwindowframe(RangeFrame, -" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_of_one_circle_are_measured_once_on_a_grid_of_its_width(spark, monkeypatch):
+    draw = random.Random(7)
+    radii = [150, 700, 2_500, 6_000, 24_000, 40_000]
+    probes = [(n, 13.0 + n % 6 * 0.01, -90.0, radii[n % 6]) for n in range(60)]
+    points = [(13.0 + draw.random() * 0.3, -90.1 + draw.random() * 0.3) for _ in range(500)]
+    met, join = [], R.split_join
+    monkeypatch.setattr(R, "split_join", lambda large, small, *a, **k: met.append((small.select("alat", "alon", "radius_m").distinct().count(), small)) or join(large, small, *a, **k))
+    counted = R.radius_sums(
+        spark.createDataFrame(probes, "id long, alat double, alon double, radius_m int"), spark.createDataFrame(points, "lat double, lon double"),
+        "radius_m", {"n": F.lit(1)}, reach_m=25_000,
+    )
+    far = lambda a, b, c, d: 2 * K.EARTH_RADIUS_KM * 1000 * math.asin(math.sqrt(
+        math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    assert {tuple(r) for r in counted.collect()} == {(*p, sum(far(p[1], p[2], *q) <= p[3] for q in points)) for p in probes}
+    assert met[0][0] == 6 and met[0][1].groupBy("radius_m").count().agg(F.max("count")).first()[0] < 2_000
+    assert met[0][1].where("radius_m = 150").select("_grid").distinct().collect()[0][0] == 4
