@@ -12,6 +12,7 @@ from trailgrid import constants as K
 from trailgrid.operators import dedupe as D
 from trailgrid.operators import range_join as R
 from trailgrid.operators import search as S
+from trailgrid.operators import travel as V
 from trailgrid.plans import build as B
 from trailgrid.streaming import limits as L
 
@@ -74,3 +75,28 @@ def test_sums_of_one_circle_are_measured_once_on_a_grid_of_its_width(spark, monk
     assert {tuple(r) for r in counted.collect()} == {(*p, sum(far(p[1], p[2], *q) <= p[3] for q in points)) for p in probes}
     assert met[0][0] == 6 and met[0][1].groupBy("radius_m").count().agg(F.max("count")).first()[0] < 2_000
     assert met[0][1].where("radius_m = 150").select("_grid").distinct().collect()[0][0] == 4
+
+
+def _nearest_after(stops, path):
+    """Vertices, from 1, by a plain loop."""
+    at = []
+    for lat, lon in stops[:-1]:
+        start = at[-1] - 1 if at else 0
+        at.append(min(range(start, len(path)), key=lambda i: ((path[i][0] - lat) ** 2 + (path[i][1] - lon) ** 2, i)) + 1)
+    return [*at, len(path)]
+
+
+def test_stops_are_looked_for_in_whole_batches(spark):
+    draw = random.Random(3)
+    point = lambda: (draw.randrange(6) / 4, draw.randrange(6) / 4)
+    routes = [(n, [point() for _ in range(draw.randrange(5))], [point() for _ in range(draw.randrange(9))]) for n in range(200)]
+    rows = spark.createDataFrame(routes, "id int, stops array<struct<lat:double,lon:double>>, path array<struct<lat:double,lon:double>>").coalesce(1)
+    cut = V.split_by_stops(rows)
+    want = {}
+    for n, stops, path in routes:
+        if len(stops) >= 2 and len(path) >= 2:
+            at = _nearest_after(stops, path)
+            want[n] = [path[a - 1:b] if b > a else [] for a, b in zip(at, at[1:])]
+    assert {r.id: [[tuple(v) for v in s] for s in r.segments] for r in cut.collect()} == want
+    # no lambda steps through the vertices of a route for each of its stops
+    assert "sequence(" not in cut._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,31 +199,43 @@ def request_plan(members: DataFrame, key: str, block: int = K.MATRIX_BLOCK) -> D
     )
 
 
+def _points(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, sizes, lat, lon) of a column of arrays of struct(lat, lon); a missing coordinate is NaN."""
+    at = lists.offsets.to_numpy().astype(np.int64)
+    lat, lon = (lists.values.field(n).cast(pa.float64()) for n in ("lat", "lon"))
+    return at[:-1], np.diff(at), lat.to_numpy(zero_copy_only=False), lon.to_numpy(zero_copy_only=False)
+
+
+def _vertices_of_stops(path: pa.Array, stops: pa.Array) -> pa.Array:
+    """The vertex, from 1, that each stop of a route takes, as ``split_by_stops`` says."""
+    start, size, lat, lon = _points(path)
+    first, count, stop_lat, stop_lon = _points(stops)
+    ends = np.cumsum(count)
+    taken, here = np.empty(count.sum(), np.int32), np.zeros(len(start), np.int64)
+    taken[ends - 1] = size
+    for turn in range(count.max(initial=0) - 1):
+        rows = np.flatnonzero(count > turn + 1)
+        left = size[rows] - here[rows]
+        begin = np.cumsum(left) - left
+        vertex = np.repeat(start[rows] + here[rows] - begin, left) + np.arange(left.sum())
+        dlat = lat[vertex] - np.repeat(stop_lat[first[rows] + turn], left)
+        dlon = lon[vertex] - np.repeat(stop_lon[first[rows] + turn], left)
+        away = dlat * dlat + dlon * dlon
+        away[np.isnan(away)] = -np.inf
+        nearest = np.flatnonzero(away == np.repeat(np.minimum.reduceat(away, begin), left))
+        here[rows] += nearest[np.searchsorted(nearest, begin)] - begin
+        taken[ends[rows] - count[rows] + turn] = here[rows] + 1
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(taken))
+
+
 def split_by_stops(routes: DataFrame, path: str = "path", stops: str = "stops") -> DataFrame:
     """``segments``: the path cut at each stop, one segment per leg.
 
     Both columns are arrays of struct(lat, lon). A stop takes the nearest vertex at or after
     the previous stop's, the last stop takes the end, and neighbours share a vertex; a leg
-    without length is empty. Read the arrays from a table: a lambda evaluates a computed
-    array again for every element.
+    without length is empty. Each stop is looked for in all routes of a batch at once.
     """
-
-    def nearest(start: Column, stop: Column) -> Column:
-        def ranked(i: Column) -> Column:
-            vertex = F.element_at(path, i)
-            lat, lon = vertex["lat"] - stop["lat"], vertex["lon"] - stop["lon"]
-            return F.struct((lat * lat + lon * lon).alias("d"), i.alias("i"))
-
-        return F.array_min(F.transform(F.sequence(start, F.size(path)), ranked))["i"]
-
-    anchors = F.aggregate(
-        F.slice(stops, 1, F.size(stops) - 1),
-        F.array().cast("array<int>"),
-        lambda taken, stop: F.concat(
-            taken, F.array(nearest(F.coalesce(F.try_element_at(taken, F.lit(-1)), F.lit(1)), stop))
-        ),
-        lambda taken: F.concat(taken, F.array(F.size(path))),
-    )
+    places = F.arrow_udf(_vertices_of_stops, "array<int>")
     bounds = F.arrays_zip(
         F.slice("_at", 1, F.size("_at") - 1).alias("a"), F.slice("_at", 2, F.size("_at")).alias("b")
     )
@@ -230,7 +244,7 @@ def split_by_stops(routes: DataFrame, path: str = "path", stops: str = "stops")
         lambda s: F.when(s["b"] > s["a"], F.slice(path, s["a"], s["b"] - s["a"] + 1)).otherwise(F.slice(path, 1, 0)),
     )
     whole = routes.where((F.size(stops) >= 2) & (F.size(path) >= 2))
-    return whole.withColumn("_at", anchors).withColumn("segments", cut).drop("_at")
+    return whole.withColumn("_at", places(path, stops)).withColumn("segments", cut).drop("_at")
 
 
 def simplify(paths: DataFrame, keys: list[str], tolerance: float = K.SIMPLIFY_TOLERANCE_DEG) -> DataFrame:
