@@ -100,3 +100,29 @@ def test_stops_are_looked_for_in_whole_batches(spark):
     assert {r.id: [[tuple(v) for v in s] for s in r.segments] for r in cut.collect()} == want
     # no lambda steps through the vertices of a route for each of its stops
     assert "sequence(" not in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_paths_are_dealt_once_however_often_they_are_cut(spark):
+    draw = random.Random(5)
+    paths = {n: [(draw.randrange(40) / 1000, draw.randrange(40) / 1000) for _ in range(draw.choice([1, 2, 3, 9, 60]))] for n in range(40)}
+
+    def brute(points, lo, hi):
+        (ay, ax), (by, bx) = points[lo], points[hi]
+        dx, dy, best = bx - ax, by - ay, (0.0, 0)
+        for i in range(lo + 1, hi):
+            px, py = points[i][1] - ax, points[i][0] - ay
+            t = min(max((px * dx + py * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+            best = max(best, (round(math.hypot(px - t * dx, py - t * dy), 12), -i))
+        return brute(points, lo, -best[1]) | brute(points, -best[1], hi) if best[0] > 0.004 else {lo, hi}
+
+    rows = spark.createDataFrame([(k, n, *p) for k, ps in paths.items() for n, p in enumerate(ps)], "k int, position int, lat double, lon double")
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        thin = V.simplify(rows.repartition(3), ["k"], 0.004)
+        assert {(r.k, r.position) for r in thin.collect()} == {(k, n) for k, ps in paths.items() for n in brute(ps, 0, len(ps) - 1)}
+        plan = thin._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+    # before, every level of cuts dealt all vertices out anew
+    assert "MapInArrow" in plan

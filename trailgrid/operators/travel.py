@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trailgrid import constants as K
 from trailgrid.operators.skew import middle
-from trailgrid.session import checkpointed
 from trailgrid.functions.geo import arrival_overhead, haversine_km, with_estimate
 
 PROFILES = {"driving": "driving-car", "walking": "foot-walking"}
@@ -252,27 +251,63 @@ def simplify(paths: DataFrame, keys: list[str], tolerance: float = K.SIMPLIFY_TO
 
     ``paths`` is (keys, position, lat, lon). A stretch between two kept vertices is cut at the
     vertex farthest from its chord (the first of equals) as long as that strays more than the
-    tolerance. All stretches of all paths are cut together, a round for each level of cuts, until
-    none is left to cut.
+    tolerance. A task reads its paths in order and cuts the whole ones of a batch together, so
+    paths are dealt and sorted once however many cuts they need.
     """
     whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("position")
     ends = (F.col("position") == F.min("position").over(whole)) | (F.col("position") == F.max("position").over(whole))
-    rows = checkpointed(paths.select(*keys, "position", "lat", "lon").withColumn("_kept", ends))
-    while True:
-        here = F.when(F.col("_kept"), F.struct("position", "lat", "lon"))
-        ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        spans = rows.withColumns({
-            "_a": F.last(here, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-            "_b": F.first(here, ignorenulls=True).over(ahead),
-        })
-        dx, dy = F.col("_b.lon") - F.col("_a.lon"), F.col("_b.lat") - F.col("_a.lat")
-        px, py = F.col("lon") - F.col("_a.lon"), F.col("lat") - F.col("_a.lat")
-        along = F.least(F.greatest(F.coalesce(F.try_divide(px * dx + py * dy, F.nullif(dx * dx + dy * dy, F.lit(0.0))), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        stray = F.when(~F.col("_kept"), F.round(F.sqrt(F.pow(px - along * dx, 2) + F.pow(py - along * dy, 2)), 12))
-        stretch = Window.partitionBy(*keys, "_a").orderBy(F.col("_stray").desc_nulls_last(), "position")
-        ranked = spans.withColumn("_stray", stray).withColumn("_first", F.row_number().over(stretch) == 1)
-        cut = F.col("_first") & F.coalesce(F.col("_stray") > tolerance, F.lit(False))
-        rows = checkpointed(ranked.select(*keys, "position", "lat", "lon", "_kept", cut.alias("_cut")))
-        if rows.where("_cut").isEmpty():
-            return rows.where("_kept").select(*keys, "position", "lat", "lon")
-        rows = rows.withColumn("_kept", F.col("_kept") | F.col("_cut")).drop("_cut")
+    rows = paths.select(*keys, "position", "lat", "lon").withColumns({
+        "_kept": F.coalesce(ends, F.lit(False)), "_opens": F.row_number().over(order) == 1,
+    })
+    schema = paths.select(*keys, "position", "lat", "lon").schema
+
+    def work(batches):
+        waiting = []
+        for batch in batches:
+            opens = np.flatnonzero(batch.column("_opens").to_numpy(zero_copy_only=False))
+            if not len(opens):
+                waiting.append(batch)
+                continue
+            yield from _simplified([*waiting, batch.slice(0, opens[-1])], tolerance)
+            waiting = [batch.slice(opens[-1])]
+        yield from _simplified(waiting, tolerance)
+
+    return rows.mapInArrow(work, schema)
+
+
+def _simplified(batches: list[pa.RecordBatch], tolerance: float):
+    """The kept rows of whole paths."""
+    if not sum(b.num_rows for b in batches):
+        return
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    read = lambda c: rows.column(c).to_numpy()
+    kept = _cut(read("_kept").astype(bool), np.cumsum(read("_opens")), read("lat").astype(float), read("lon").astype(float), tolerance)
+    yield from rows.filter(pa.array(kept)).drop_columns(["_kept", "_opens"]).to_batches()
+
+
+def _cut(kept: np.ndarray, path: np.ndarray, lat: np.ndarray, lon: np.ndarray, tolerance: float) -> np.ndarray:
+    """``kept`` and the vertices at which stretches are cut; only stretches that were cut are looked at again."""
+    kept = kept.copy()
+    open_rows = np.flatnonzero(~kept)
+    while len(open_rows):
+        corners, stretch = np.flatnonzero(kept), (np.cumsum(kept) - 1)[open_rows]
+        inside = (stretch >= 0) & (stretch < len(corners) - 1)
+        open_rows, stretch = open_rows[inside], stretch[inside]
+        a, b = corners[stretch], corners[stretch + 1]
+        between = (path[a] == path[open_rows]) & (path[b] == path[open_rows])
+        open_rows, stretch, a, b = (x[between] for x in (open_rows, stretch, a, b))
+        if not len(open_rows):
+            break
+        dx, dy, px, py = lon[b] - lon[a], lat[b] - lat[a], lon[open_rows] - lon[a], lat[open_rows] - lat[a]
+        length = dx * dx + dy * dy
+        along = np.clip(np.divide(px * dx + py * dy, length, out=np.zeros(len(length)), where=length != 0), 0.0, 1.0)
+        stray = np.floor(np.sqrt((px - along * dx) ** 2 + (py - along * dy) ** 2) * 1e12 + 0.5) / 1e12
+        stray[np.isnan(stray)] = -1.0
+        begin = np.flatnonzero(np.diff(stretch, prepend=-1))
+        farthest, size = np.maximum.reduceat(stray, begin), np.diff(begin, append=len(stray))
+        at = np.flatnonzero(stray == np.repeat(farthest, size))
+        first = at[np.searchsorted(at, begin)]
+        kept[open_rows[first[farthest > tolerance]]] = True
+        open_rows = open_rows[np.repeat(farthest > tolerance, size)]
+        open_rows = open_rows[~kept[open_rows]]
+    return kept
