@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.operators import context as X
 from trailgrid.operators import dedupe as D
 from trailgrid.operators import range_join as R
 from trailgrid.operators import search as S
@@ -126,3 +127,20 @@ def test_paths_are_dealt_once_however_often_they_are_cut(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
     # before, every level of cuts dealt all vertices out anew
     assert "MapInArrow" in plan
+
+
+def test_runs_of_rain_are_found_once_per_date(spark):
+    draw = random.Random(11)
+    rain = {d: {h for h in range(24) if draw.random() < 0.5} for d in range(1, 5)}
+    legs = [(n, d, a, a + draw.choice([-5, 0, 1, 59, 60, 61, 400])) for n, (d, a) in enumerate((draw.randint(1, 5), draw.randrange(1440)) for _ in range(300))]
+    want = set()
+    for n, d, a, b in legs:
+        inside = sorted(h for h in rain.get(d, ()) if h * 60 < b and h * 60 + 60 > a) if b > a else []
+        for h in inside:
+            if h - 1 not in inside:
+                last = next(e for e in range(h, 25) if e + 1 not in inside)
+                want.add((n, (max(h * 60, a) - a) / (b - a), (min(last * 60 + 60, b) - a) / (b - a)))
+    rows = spark.createDataFrame(legs, "n int, date int, arrival int, departure int")
+    hours = spark.createDataFrame([(d, h) for d, hs in rain.items() for h in hs], "date int, hour int")
+    wet = X.rain_stretches(rows, hours, [])
+    assert {(r.n, r.begins, r.ends) for r in wet.collect()} == want

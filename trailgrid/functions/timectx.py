@@ -85,18 +85,3 @@ def hour_runs(hours: Column) -> Column:
     starts = F.filter(ordered, lambda h: ~F.array_contains(ordered, h - 1))
     ends = F.filter(ordered, lambda h: ~F.array_contains(ordered, h + 1))
     return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
-
-
-def rain_shares(start, stop, hours: Column) -> Column:
-    """Merged stretches of rain inside a leg, as struct(begins, ends) fractions of it."""
-    start, stop = _c(start), _c(stop)
-    inside = F.filter(hours, lambda h: (h * 60 < stop) & (h * 60 + 60 > start))
-    length = stop - start
-    merged = F.transform(
-        hour_runs(inside),
-        lambda r: F.struct(
-            F.try_divide((F.greatest(r["first"] * 60, start) - start).cast("double"), length).alias("begins"),
-            F.try_divide((F.least(r["last"] * 60 + 60, stop) - start).cast("double"), length).alias("ends"),
-        ),
-    )
-    return F.when(stop > start, merged).otherwise(F.slice(merged, 1, 0))

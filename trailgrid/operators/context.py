@@ -67,6 +67,24 @@ def wet_stops(stops: DataFrame, weather: DataFrame, keys: list[str]) -> DataFram
     return joined.withColumn("rain_hours", hours).withColumn("wet", outdoor & (F.size("rain_hours") > 0))
 
 
+def rain_stretches(legs: DataFrame, rainy: DataFrame, keys: list[str]) -> DataFrame:
+    """Legs (date, arrival, departure) with every stretch of rain inside them, as fractions ``begins`` and ``ends``.
+
+    ``rainy`` is (keys, date, hour). Its runs of hours are found once per date; a leg meets whole
+    runs and cuts them to its own length, which are the runs of the hours it passes through.
+    """
+    hours = rainy.groupBy(*keys, "date").agg(F.collect_set("hour").alias("_hours"))
+    runs = hours.select(*keys, "date", F.explode(C.hour_runs(F.col("_hours"))).alias("_run")).select(
+        *keys, "date", (F.col("_run.first") * 60).alias("_from"), (F.col("_run.last") * 60 + 60).alias("_to")
+    )
+    start, stop = F.col("arrival"), F.col("departure")
+    met = legs.join(runs, [*keys, "date"]).where((F.col("_from") < stop) & (F.col("_to") > start) & (stop > start))
+    return met.withColumns({
+        "begins": F.try_divide((F.greatest(F.col("_from"), start) - start).cast("double"), stop - start),
+        "ends": F.try_divide((F.least(F.col("_to"), stop) - start).cast("double"), stop - start),
+    }).drop("_from", "_to")
+
+
 def day_weather(days: DataFrame) -> DataFrame:
     """Summary of the travelled hours: temperatures, rain, rainy hours, one code and its words."""
     inside = days.withColumn("_in", hours_between(F.col("hours"), F.col("start"), F.col("stop")))

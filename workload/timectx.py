@@ -163,11 +163,10 @@ h AS (SELECT v.*, r.hour, r.hour - row_number() OVER (PARTITION BY plan_id, ord
 SELECT plan_id, ord, round((greatest(min(hour)*60, any_value(a)) - any_value(a))::DOUBLE/(any_value(b) - any_value(a)), 6) AS begins,
 round((least(max(hour)*60 + 60, any_value(b)) - any_value(a))::DOUBLE/(any_value(b) - any_value(a)), 6) AS ends FROM h GROUP BY plan_id, ord, g""")
 def time_13(fx):
-    rain = fx.hourly.where(C.is_rain("mm")).groupBy("date").agg(F.collect_set("hour").alias("rainy"))
     start = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("plan_id") % 30).cast("int"))
     visits = _visits(fx).select("plan_id", "ord", "arrival", (F.col("departure") + 200).alias("departure"), start.alias("date"))
-    runs = visits.join(rain, "date").withColumn("r", F.explode(C.rain_shares("arrival", "departure", F.col("rainy"))))
-    return runs.select("plan_id", "ord", F.round("r.begins", 6).alias("begins"), F.round("r.ends", 6).alias("ends"))
+    runs = W.rain_stretches(visits, fx.hourly.where(C.is_rain("mm")), [])
+    return runs.select("plan_id", "ord", F.round("begins", 6).alias("begins"), F.round("ends", 6).alias("ends"))
 
 
 @query("txt_22", """
