@@ -234,3 +234,17 @@ def test_queries_agree_with_their_twins(spark, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == sorted(frame.columns)
     assert normalise(frame.columns, [tuple(r) for r in frame.collect()]) == normalise(names, result.fetchall())
+
+
+def test_ids_are_read_as_one_array(spark):
+    """A list column, sliced as Arrow may hand it on, gives its lists without an object for each id on the way."""
+    import pyarrow as pa
+
+    lists = [[5, 6], [], [7], [8, 9, 10], []]
+    column = pa.array(lists, pa.list_(pa.int32()))
+    assert list(pieces.id_lists(column)) == lists and list(pieces.id_lists(column.slice(1, 3))) == lists[1:4]
+    assert list(pieces.id_lists(column.slice(2, 0))) == [] == list(pieces.id_lists(column.slice(5)))
+    m = pieces.model(pieces.model_path())
+    texts = ["", "one two", "", "three  fourx"]
+    rows = spark.createDataFrame([(n, m.encode(t)) for n, t in enumerate(texts)] + [(9, None)], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.text for r in pieces.decode(rows).collect()} == {n: m.decode(m.encode(t)) for n, t in enumerate(texts)} | {9: ""}

@@ -262,6 +262,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", *, path: st
     return joined(text_rows(rows, parts, apart, block_chars), answers).withColumnRenamed("key", key)
 
 
+def id_lists(column: pa.ListArray):
+    """The lists of a column of ids, one after the other, read from one array: an Arrow scalar for each id costs more than decoding."""
+    ends = column.offsets.to_numpy()
+    ids = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
+    for start, stop in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist()):
+        yield ids[start:stop].tolist()
+
+
 def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", *, path: str | None = None) -> DataFrame:
     """``key``, ``ids`` and the ``text`` that the ids stand for; null ids count as none."""
     path = path or model_path()
@@ -270,7 +278,7 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", *, path: s
     def back(batches):
         m = model(path)
         for batch in batches:
-            texts = [m.decode(x.as_py()) for x in batch.column(1)]
+            texts = [m.decode(x) for x in id_lists(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["key", "ids", "text"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())])
