@@ -16,6 +16,7 @@ from trailgrid.operators import search as S
 from trailgrid.operators import travel as V
 from trailgrid.plans import build as B
 from trailgrid.streaming import limits as L
+from workload.registry import QUERIES
 
 
 def test_trips_of_one_circle_share_a_search(spark, monkeypatch):
@@ -144,3 +145,9 @@ def test_runs_of_rain_are_found_once_per_date(spark):
     hours = spark.createDataFrame([(d, h) for d, hs in rain.items() for h in hs], "date int, hour int")
     wet = X.rain_stretches(rows, hours, [])
     assert {(r.n, r.begins, r.ends) for r in wet.collect()} == want
+
+
+def test_matrix_answers_measure_a_pair_once(spark):
+    plan = QUERIES["src_9"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # once for the answer, once for the operator that judges it; before, the answer took it twice
+    assert plan.count("ASIN(") == 2

@@ -267,10 +267,15 @@ def src_9(fx):
 
     straight = lambda a, b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])
     known = lambda a, b: (a["i"] * 7 + b["i"] * 3) % 5 != 0
-    answers = sets.select(
+    measured = sets.withColumn("straight", grid(lambda a, b: F.when(known(a, b), straight(a, b))))
+
+    def scaled(factor):
+        return F.transform("p", lambda a, n: F.zip_with("p", F.get("straight", n), lambda b, s: factor(a, b, s)))
+
+    answers = measured.select(
         "plan_id", F.col("p").alias("origins"), F.col("p").alias("destinations"),
-        grid(lambda a, b: F.when(known(a, b), straight(a, b) * (0.9 + 0.1 * ((a["i"] * 11 + b["i"] * 5) % 4)) * 1000)).alias("metres"),
-        grid(lambda a, b: F.when(known(a, b), straight(a, b) * 90.0)).alias("seconds"),
+        scaled(lambda a, b, s: s * (0.9 + 0.1 * ((a["i"] * 11 + b["i"] * 5) % 4)) * 1000).alias("metres"),
+        F.transform("straight", lambda row: F.transform(row, lambda s: s * 90.0)).alias("seconds"),
     )
     return feeds.matrix_edges(answers, ["plan_id"])
 
