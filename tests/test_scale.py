@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trailgrid import constants as K
 from trailgrid.operators import context as X
 from trailgrid.operators import dedupe as D
+from trailgrid.operators import metrics as M
 from trailgrid.operators import range_join as R
 from trailgrid.operators import search as S
 from trailgrid.operators import travel as V
@@ -151,3 +152,23 @@ def test_matrix_answers_measure_a_pair_once(spark):
     plan = QUERIES["src_9"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     # once for the answer, once for the operator that judges it; before, the answer took it twice
     assert plan.count("ASIN(") == 2
+
+
+def _passes(name, spark):
+    """How often the plan of a query works out the stops, which are read from lineitem."""
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+
+
+def test_plan_text_reads_its_stops_once(spark):
+    # before, headings and notes each worked the stops out again
+    assert _passes("agg_20", spark) == 1
+    stops = spark.createDataFrame(
+        [(1, 1, 2, 600, "b", None, "food", 1.5, 9), (1, 1, 1, 540, "a", None, "nature", 0.0, 0), (1, 2, 1, 480, "c", "lunch", "food", 0.0, 0)],
+        "plan_id long, day int, ord int, arrival int, name string, meal string, category string, leg_km double, leg_min int")
+    notes = spark.createDataFrame([(1, 1, "y"), (1, 1, "x"), (2, 1, "z")], "plan_id long, day int, detail string")
+    told = {r.plan_id: r.text for r in M.plan_text(stops, notes).collect()}
+    assert told == {
+        1: "DÍA 1\n  09:00  a (nature)\n  10:00  b (food) · 1.5 km · 9 min\n  * x\n  * y\nDÍA 2\n  08:00  c (lunch)", 2: "  * z",
+    }
+    counted = {r.plan_id: r.text for r in M.plan_text(stops, F.concat(F.count(F.lit(1)), F.lit(" stops"))).collect()}
+    assert counted[1].splitlines()[3] == "  * 2 stops" and counted[1].endswith("  * 1 stops")

@@ -247,19 +247,29 @@ def trip_cards(stops: DataFrame) -> DataFrame:
     )
 
 
-def plan_text(stops: DataFrame, notes: DataFrame) -> DataFrame:
-    """Each plan as one text: a heading per day, its stops and legs, then its notes."""
+def plan_text(stops: DataFrame, notes: DataFrame | Column) -> DataFrame:
+    """Each plan as one text: a heading per day, its stops and legs, then its notes.
+
+    ``notes`` is (plan_id, day, detail), or a column that adds up a day's stops to its one note. A day's lines
+    are gathered in one pass over the stops; only lines and days go on from there.
+    """
+    keys = ["plan_id", "day"]
     clock = lambda c: F.concat(F.lpad(F.floor(F.col(c) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.col(c) % 60).cast("string"), 2, "0"))
     visit = F.concat(F.lit("  "), clock("arrival"), F.lit("  "), F.col("name"), F.lit(" ("), F.coalesce("meal", "category"), F.lit(")"))
     leg = F.when(F.col("leg_km") > 0, F.concat(F.lit(" · "), F.format_number("leg_km", 1), F.lit(" km · "), F.col("leg_min"), F.lit(" min"))).otherwise("")
-    heading = stops.select("plan_id", "day").distinct().select(
-        "plan_id", "day", F.lit(0).alias("ord"), F.concat(F.lit("DÍA "), F.col("day")).alias("line")
-    )
-    lines = heading.unionByName(stops.select("plan_id", "day", "ord", F.concat(visit, leg).alias("line"))).unionByName(
-        notes.select("plan_id", "day", F.lit(1_000).alias("ord"), F.concat(F.lit("  * "), F.col("detail")).alias("line"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("day", "ord", "line")))
-    return lines.groupBy("plan_id").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text"))
+    note = lambda c: F.concat(F.lit("  * "), c)
+    ordered = F.sort_array(F.collect_list(F.struct("ord", F.concat(visit, leg).alias("line"))))
+    lines = F.concat(F.array(F.concat(F.lit("DÍA "), F.col("day"))), F.transform(ordered, lambda r: r["line"]))
+    if isinstance(notes, Column):
+        days = stops.groupBy(*keys).agg(F.concat(lines, F.array(note(notes))).alias("lines"))
+    else:
+        told = notes.groupBy(*keys).agg(F.sort_array(F.collect_list(note(F.col("detail")))).alias("_notes"))
+        none = F.array().cast("array<string>")
+        days = stops.groupBy(*keys).agg(lines.alias("lines")).join(told, keys, "full_outer").select(
+            *keys, F.concat(F.coalesce("lines", none), F.coalesce("_notes", none)).alias("lines")
+        )
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("day", "lines"))), lambda d: d["lines"]))
+    return days.groupBy("plan_id").agg(F.array_join(whole, "\n").alias("text"))
 
 
 def outside_radius(slack_km: float = 0.5) -> Column:

@@ -195,8 +195,7 @@ UNION ALL SELECT plan_id, day, ord, '  ' || printf('%02d:%02d', arrival//60, arr
 UNION ALL SELECT plan_id, day, 1000, '  * ' || count(*) || ' paradas' FROM timed_fx GROUP BY plan_id, day)
 SELECT plan_id, string_agg(line, chr(10) ORDER BY day, ord, line) AS text FROM l GROUP BY plan_id""")
 def agg_20(fx):
-    notes = fx.timed.groupBy("plan_id", "day").agg(F.concat(F.count(F.lit(1)), F.lit(" paradas")).alias("detail"))
-    return M.plan_text(fx.timed.withColumn("leg_km", F.bround("leg_km", 1)), notes)
+    return M.plan_text(fx.timed.withColumn("leg_km", F.bround("leg_km", 1)), F.concat(F.count(F.lit(1)), F.lit(" paradas")))
 
 
 @query("win_3", f"""
