@@ -88,46 +88,61 @@ def repeated(stops: DataFrame) -> DataFrame:
 
 
 def independent_checks(plans: DataFrame, stops: DataFrame, places: DataFrame) -> DataFrame:
-    """(plan_id, day, check): failures worked out again from the finished stops alone."""
+    """(plan_id, day, check): failures worked out again from the finished stops alone.
+
+    Two passes over the stops: one judges each stop, the other adds up days and, from these, plans.
+    """
+    def failed(checks: list[tuple[str, Column]]) -> Column:
+        return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
+
+    dark = (F.col("category").isin(*K.OUTDOOR) & (F.col("departure") > K.DUSK_MIN)) | (
+        F.col("category").isin(*K.INDOOR) & (F.col("arrival") >= K.INDOOR_CLOSE_MIN)
+    )
+    before, order = Window.partitionBy("plan_id", "place_id").orderBy("day", "ord"), Window.partitionBy("plan_id", "day").orderBy("ord")
+    known = places.where("is_active").select(F.col("id").alias("place_id"), F.lit(True).alias("_known"))
+    asked = plans.select("plan_id", "avoided", "alat", "alon", "radius_m", F.lit(True).alias("_asked"))
+    columns = ["plan_id", "day", "ord", "place_id", "category", "lat", "lon", "meal", "arrival", "departure"]
+    seen = stops.select(*columns).withColumns({"_n": F.row_number().over(before), "_previous": F.lag("departure").over(order)})
+    of_stop = failed([
+        ("repeated_place", F.col("_asked") & (F.col("_n") > 1)),
+        ("invented_place", F.col("_asked") & F.col("_known").isNull()),
+        ("fuera_de_hora", F.col("_asked") & F.col("meal").isNull() & dark),
+        ("avoided_categories", F.col("_asked") & F.array_contains("avoided", F.col("category"))),
+        ("radius", F.col("_asked") & outside_radius()),
+        *Q.order_checks("_previous"),
+    ])
+    judged = seen.join(asked, "plan_id", "left").join(known, "place_id", "left")
+
     days = stops.groupBy("plan_id", "day").agg(
         Q.km_sum("leg_km").alias("km"), F.min_by("arrival", "ord").alias("start"),
         F.max_by("departure", "ord").alias("stop"), F.count(F.lit(1)).alias("stops"),
         F.collect_set("meal").alias("meals"),
-    ).join(plans, "plan_id")
-    made = stops.groupBy("plan_id").agg(F.countDistinct("day").alias("made"))
-    dark = (F.col("category").isin(*K.OUTDOOR) & (F.col("departure") > K.DUSK_MIN)) | (
-        F.col("category").isin(*K.INDOOR) & (F.col("arrival") >= K.INDOOR_CLOSE_MIN)
     )
+    made = days.groupBy("plan_id").agg(F.count("day").alias("made"), F.collect_list(F.struct("day", "km", "start", "stop", "stops", "meals")).alias("_days"))
     (l_open, l_close), (d_open, _) = K.MEAL_WINDOWS["lunch"], K.MEAL_WINDOWS["dinner"]
-    no_lunch = (F.col("start") <= l_close) & (F.col("stop") >= l_open) & ~F.array_contains("meals", "lunch")
-    no_dinner = (F.col("stop") >= d_open) & ~F.array_contains("meals", "dinner")
-    before = Window.partitionBy("plan_id", "place_id").orderBy("day", "ord")
-    known = places.where("is_active").select(F.col("id").alias("place_id"), F.lit(True).alias("_known"))
-    seen = (
-        stops.join(plans.select("plan_id", "avoided", "alat", "alon", "radius_m"), "plan_id")
-        .join(known, "place_id", "left").withColumn("_n", F.row_number().over(before))
+
+    def of_day(d: Column) -> Column:
+        no_lunch = (d["start"] <= l_close) & (d["stop"] >= l_open) & ~F.array_contains(d["meals"], "lunch")
+        no_dinner = (d["stop"] >= d_open) & ~F.array_contains(d["meals"], "dinner")
+        checks = failed([
+            ("earliest_start", d["start"] < F.col("earliest")),
+            ("latest_end", d["stop"] > F.col("latest")),
+            ("max_stops_per_day", d["stops"] > F.col("max_stops")),
+            ("max_travel_km_per_day", d["km"] > F.col("max_km") + 0.01),
+            ("include_meals", F.col("include_meals") & no_lunch),
+            ("include_meals", F.col("include_meals") & no_dinner),
+        ])
+        return F.transform(checks, lambda c: F.struct(d["day"].cast("int").alias("day"), c.alias("check")))
+
+    short = F.transform(
+        failed([("days", F.coalesce("made", F.lit(0)) < F.col("days_asked"))]),
+        lambda c: F.struct(F.lit(None).cast("int").alias("day"), c.alias("check")),
     )
-    short = plans.join(made, "plan_id", "left")
-    nothing = F.lit(None)
+    of_plan = F.concat(short, F.coalesce(F.flatten(F.transform("_days", of_day)), F.array().cast("array<struct<day:int,check:string>>")))
     return union_all([
-        _failed(short, [("days", F.coalesce("made", F.lit(0)) < F.col("days_asked"), nothing)], nothing),
-        _failed(seen, [
-            ("repeated_place", F.col("_n") > 1, nothing),
-            ("invented_place", F.col("_known").isNull(), nothing),
-            ("fuera_de_hora", F.col("meal").isNull() & dark, nothing),
-            ("avoided_categories", F.array_contains("avoided", F.col("category")), nothing),
-            ("radius", outside_radius(), nothing),
-        ]),
-        _failed(days, [
-            ("earliest_start", F.col("start") < F.col("earliest"), nothing),
-            ("latest_end", F.col("stop") > F.col("latest"), nothing),
-            ("max_stops_per_day", F.col("stops") > F.col("max_stops"), nothing),
-            ("max_travel_km_per_day", F.col("km") > F.col("max_km") + 0.01, nothing),
-            ("include_meals", F.col("include_meals") & no_lunch, nothing),
-            ("include_meals", F.col("include_meals") & no_dinner, nothing),
-        ]),
-        Q.order_failures(stops).select("plan_id", F.col("day").cast("int").alias("day"), "check", nothing.cast("double").alias("value")),
-    ]).drop("value")
+        judged.select("plan_id", F.col("day").cast("int").alias("day"), F.explode(of_stop).alias("check")),
+        plans.join(made, "plan_id", "left").select("plan_id", F.explode(of_plan).alias("_f")).select("plan_id", "_f.*"),
+    ])
 
 
 def rain_advice(wet: DataFrame) -> DataFrame:
