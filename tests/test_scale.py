@@ -172,3 +172,15 @@ def test_plan_text_reads_its_stops_once(spark):
     }
     counted = {r.plan_id: r.text for r in M.plan_text(stops, F.concat(F.count(F.lit(1)), F.lit(" stops"))).collect()}
     assert counted[1].splitlines()[3] == "  * 2 stops" and counted[1].endswith("  * 1 stops")
+
+
+def test_compliance_of_no_plans_and_of_plans_without_failures(spark):
+    kinds = ("plan_id long", "plan_id long, day int, check string", "plan_id long")
+    measure = lambda plans, failures, stops: {
+        r.metric: r.value for r in M.compliance(*(spark.createDataFrame(rows, kind) for rows, kind in zip((plans, failures, stops), kinds))).collect()
+    }
+    assert measure([], [], []) == {"cases": 0, "met": 0, "met_share": None, "stops": 0}
+    failures = [(1, 1, "days"), (1, None, "days"), (2, 1, "include_meals"), (9, 1, "radius")]
+    assert measure([(1,), (2,), (3,)], failures, [(1,), (2,)]) == {
+        "cases": 3, "met": 2, "met_share": 0.6667, "hard:days": 2, "hard:radius": 1, "soft:include_meals": 1, "stops": 2,
+    }

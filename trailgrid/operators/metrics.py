@@ -82,20 +82,31 @@ def upper_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return ranked.where(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
+PLANS_PER_PART = 100_000
+
+
 def compliance(plans: DataFrame, failures: DataFrame, stops: DataFrame) -> DataFrame:
-    """Share of plans that meet every hard limit, failures per check and stops, as (metric, value)."""
+    """Share of plans that meet every hard limit, failures per check and stops, as (metric, value).
+
+    Failures are worked out and dealt once: a plan meets its own in a part that holds about
+    ``PLANS_PER_PART`` plans, however many there are. A row without a check stands for the plan itself.
+    """
     soft = F.col("check").isin(*K.SOFT_CHECKS)
-    broken = failures.where(~soft).select("plan_id").distinct().withColumn("_broken", F.lit(True))
-    cases = plans.select("plan_id").distinct().join(broken, "plan_id", "left").agg(
-        F.count(F.lit(1)).cast("double").alias("cases"),
-        F.count_if(F.col("_broken").isNull()).cast("double").alias("met"),
-        F.round(F.avg(F.when(F.col("_broken").isNull(), 1.0).otherwise(0.0)), 4).alias("met_share"),
-    ).unpivot([], ["cases", "met", "met_share"], "metric", "value")
-    checks = failures.groupBy(
-        F.concat(F.when(soft, "soft:").otherwise("hard:"), F.col("check")).alias("metric")
-    ).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    cases = plans.select("plan_id", F.lit(None).cast("string").alias("check")).distinct()
+    dealt = cases.unionByName(failures.select("plan_id", "check")).repartition(plans.count() // PLANS_PER_PART + 1, "plan_id")
+    counted = dealt.groupBy("plan_id", "check").agg(F.count(F.lit(1)).alias("_n"))
+    hard = F.col("check").isNotNull() & ~soft
+    judged = counted.withColumn("_broken", F.max(F.coalesce(hard, F.lit(False))).over(Window.partitionBy("plan_id")))
+    per_check = judged.groupBy("check").agg(F.sum("_n").alias("_n"), F.count_if(~F.col("_broken")).alias("_met"))
+    plan = F.col("check").isNull()
+    number = lambda c: F.coalesce(F.max(F.when(plan, F.col(c))), F.lit(0)).cast("double")
+    named = F.struct(F.concat(F.when(soft, "soft:").otherwise("hard:"), F.col("check")).alias("metric"), F.col("_n").cast("double").alias("value"))
+    row = per_check.agg(number("_n").alias("cases"), number("_met").alias("met"), F.collect_list(F.when(~plan, named)).alias("checks"))
+    metric = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    share = F.round(F.try_divide(F.col("met"), F.col("cases")), 4)
+    told = F.concat(F.array(metric("cases", F.col("cases")), metric("met", F.col("met")), metric("met_share", share)), F.col("checks"))
     total = stops.agg(F.lit("stops").alias("metric"), F.count(F.lit(1)).cast("double").alias("value"))
-    return cases.unionByName(checks).unionByName(total)
+    return row.select(F.explode(told).alias("_m")).select("_m.*").unionByName(total)
 
 
 def marginal_cost(stops: DataFrame, keys: list[str], min_stops: int = 4) -> DataFrame:
