@@ -174,6 +174,11 @@ def test_plan_text_reads_its_stops_once(spark):
     assert counted[1].splitlines()[3] == "  * 2 stops" and counted[1].endswith("  * 1 stops")
 
 
+def test_checks_read_their_stops_twice_and_metrics_once(spark):
+    # before: four times for the checks, nine for the share of plans that meet them, and seven for the metrics
+    assert [_passes(name, spark) for name in ("plan_4", "agg_14", "agg_17_metrics")] == [2, 3, 1]
+
+
 def test_compliance_of_no_plans_and_of_plans_without_failures(spark):
     kinds = ("plan_id long", "plan_id long, day int, check string", "plan_id long")
     measure = lambda plans, failures, stops: {

@@ -70,20 +70,24 @@ def parse_hours(texts: DataFrame, column: str = "opening_hours") -> DataFrame:
     return distinct.join(weeks, column, "left").select(column, F.when(plain.isin(*K.ALWAYS_OPEN), always).otherwise(F.col("week")).alias("open"))
 
 
-def with_hours(rows: DataFrame, column: str = "opening_hours") -> DataFrame:
+def with_hours(rows: DataFrame, column: str = "opening_hours", *, runs: bool = False) -> DataFrame:
     """``rows`` with the parsed ``open`` array of their text; each distinct text is read once.
 
-    Rows without a text, usually the most, are not joined: they would all be one key.
+    With ``runs`` the array is also merged once per text, as ``merge_runs`` does it, into ``runs``. Rows
+    without a text, usually the most, are not joined: they would all be one key.
     """
     parsed = parse_hours(rows, column)
-    known = rows.where(F.col(column).isNotNull()).join(parsed, column, "left").select(*rows.columns, "open")
-    kind = parsed.schema["open"].dataType
-    return known.unionByName(rows.where(F.col(column).isNull()).withColumn("open", F.lit(None).cast(kind)))
+    if runs:
+        parsed = parsed.withColumn("runs", merge_runs(F.col("open")))
+    told = [c for c in parsed.columns if c != column]
+    known = rows.where(F.col(column).isNotNull()).join(parsed, column, "left").select(*rows.columns, *told)
+    absent = {c: F.lit(None).cast(parsed.schema[c].dataType) for c in told}
+    return known.unionByName(rows.where(F.col(column).isNull()).withColumns(absent))
 
 
 def merge_runs(intervals: Column) -> Column:
     """Overlapping or touching open intervals joined, the week repeated once for wrap-around."""
-    moved = F.array_sort(F.concat(
+    moved = F.sort_array(F.concat(
         F.transform(intervals, lambda s: F.struct(s["opens"].alias("opens"), s["closes"].alias("closes"))),
         F.transform(intervals, lambda s: F.struct((s["opens"] + K.WEEK_MIN).alias("opens"), (s["closes"] + K.WEEK_MIN).alias("closes"))),
         F.transform(
@@ -107,11 +111,12 @@ def merge_runs(intervals: Column) -> Column:
     )
 
 
-def visit_state(open_: Column, start: Column, stop: Column) -> Column:
+def visit_state(open_: Column, start: Column, stop: Column, runs: Column | None = None) -> Column:
     """abierto when the whole visit lies in open time, cerrado when not, desconocido without hours.
 
-    ``start`` and ``stop`` are minutes of the week; ``open_`` comes from ``parse_hours``.
+    ``start`` and ``stop`` are minutes of the week; ``open_`` comes from ``parse_hours``, ``runs`` is its
+    ``merge_runs`` if that is known already.
     """
-    covered = F.exists(merge_runs(open_), lambda s: (s["opens"] <= start) & (s["closes"] >= stop))
+    covered = F.exists(merge_runs(open_) if runs is None else runs, lambda s: (s["opens"] <= start) & (s["closes"] >= stop))
     known = open_.isNotNull() & start.isNotNull()
     return F.when(~known, "desconocido").when((F.size(open_) > 0) & covered, "abierto").otherwise("cerrado")

@@ -105,10 +105,14 @@ def day_weather(days: DataFrame) -> DataFrame:
 
 
 def visit_states(visits: DataFrame) -> DataFrame:
-    """Visits (date, arrival, departure, opening_hours) with their opening state."""
+    """Visits (date, arrival, departure, opening_hours) with their opening state.
+
+    Visits that hold ``open`` and ``runs``, as ``with_hours`` tells them, are not read again.
+    """
     start = C.minute_of_week("date", "arrival")
     stop = start + F.greatest(F.col("departure") - F.col("arrival"), F.lit(0))
-    return H.with_hours(visits).withColumn("state", H.visit_state(F.col("open"), start, stop)).drop("open")
+    known = visits if "runs" in visits.columns else H.with_hours(visits, runs=True)
+    return known.withColumn("state", H.visit_state(F.col("open"), start, stop, F.col("runs"))).drop("open", "runs")
 
 
 def meal_hours_audit(visits: DataFrame) -> DataFrame:

@@ -109,21 +109,33 @@ def compliance(plans: DataFrame, failures: DataFrame, stops: DataFrame) -> DataF
     return row.select(F.explode(told).alias("_m")).select("_m.*").unionByName(total)
 
 
-def marginal_cost(stops: DataFrame, keys: list[str], min_stops: int = 4) -> DataFrame:
-    """Per day of four stops or more: the largest share of the route one inner stop costs."""
+def _with_margins(stops: DataFrame, keys: list[str], min_stops: int) -> DataFrame:
+    """``stops`` with ``into``, the km to each, and ``_saved``, the km its day saves without it; null in shorter days.
+
+    The way out of a stop is the way into the next one, so it is measured once.
+    """
     w = Window.partitionBy(*keys).orderBy("ord")
-    around = stops.withColumns({
-        "plat": F.lag("lat").over(w), "plon": F.lag("lon").over(w), "nlat": F.lead("lat").over(w),
-        "nlon": F.lead("lon").over(w), "_stops": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
-    }).where(F.col("_stops") >= min_stops)
+    long = F.col("_stops") >= min_stops
+    around = stops.withColumn("_stops", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumns({
+        "plat": F.when(long, F.lag("lat").over(w)), "plon": F.when(long, F.lag("lon").over(w)),
+        "nlat": F.when(long, F.lead("lat").over(w)), "nlon": F.when(long, F.lead("lon").over(w)),
+    })
     legs = with_estimate(around, ("plat", "plon"), ("lat", "lon"), km="into", minutes="_m1")
-    legs = with_estimate(legs, ("lat", "lon"), ("nlat", "nlon"), km="out", minutes="_m2")
-    legs = with_estimate(legs, ("plat", "plon"), ("nlat", "nlon"), km="skip", minutes="_m3")
-    saved = F.col("into") + F.col("out") - F.col("skip")
+    legs = with_estimate(legs, ("plat", "plon"), ("nlat", "nlon"), km="skip", minutes="_m2")
+    saved = F.col("into") + F.lead("into").over(w) - F.col("skip")
+    return legs.withColumn("_saved", saved).drop("plat", "plon", "nlat", "nlon", "skip", "_m1", "_m2")
+
+
+def _share(total: str, saved: str) -> Column:
+    return F.when(F.col(total) > 0, F.round(F.col(saved) / F.col(total), 4))
+
+
+def marginal_cost(stops: DataFrame, keys: list[str], min_stops: int = 4) -> DataFrame:
+    """Per day of four stops or more: the largest share of the route one inner stop costs."""
+    legs = _with_margins(stops, keys, min_stops).where(F.col("_stops") >= min_stops)
     return (
-        legs.groupBy(*keys).agg(F.sum("into").alias("_total"), F.max(saved).alias("_saved"))
-        .where(F.col("_total") > 0)
-        .select(*keys, F.round(F.col("_saved") / F.col("_total"), 4).alias("share"))
+        legs.groupBy(*keys).agg(F.sum("into").alias("_total"), F.max("_saved").alias("_dearest"))
+        .where(F.col("_total") > 0).select(*keys, _share("_total", "_dearest").alias("share"))
     )
 
 
@@ -166,22 +178,33 @@ def variety_summary(days: DataFrame) -> DataFrame:
     )
 
 
-def plan_metrics(stops: DataFrame, meals: DataFrame) -> DataFrame:
+def plan_metrics(stops: DataFrame, meals: DataFrame | None = None) -> DataFrame:
     """Finished days measured side by side, by zone and weekday and over either (null), as ``level`` tells.
 
     ``stops`` holds plan_id, day, ord, zone, date, place and leg_km; ``meals`` is (plan_id, day, state) of their
-    meals. Days, stops, km, meals by state, variety of days of three stops or more, and what the
-    dearest inner stop costs on days of four or more. All facts meet on (plan_id, day) once; shares have four
-    digits, so their median counts few distinct values.
+    meals, or ``stops`` itself holds ``state``, null where a stop is no meal. Days, stops, km, meals by state, variety
+    of days of three stops or more, and what the dearest inner stop costs on days of four or more. All facts of a
+    day come from one pass over its stops; shares have four digits, so their median counts few distinct values.
     """
     keys = ["plan_id", "day"]
+    w = Window.partitionBy(*keys).orderBy("ord")
+    fields = [*keys, "ord", "zone", "date", "category", "lat", "lon", "leg_km", *(["state"] if meals is None else [])]
+    turn = _with_margins(stops.select(*fields), keys, 4).withColumns({
+        "_i": F.row_number().over(w), "_same": F.col("category") == F.lag("category").over(w),
+    })
+    begun = F.max(F.when(F.col("_same"), None).otherwise(F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     km = F.sum(F.bround(F.col("leg_km") * 1000, 0).cast("long"))
-    days = stops.groupBy(*keys, "zone", F.weekday("date").alias("weekday")).agg(F.count(F.lit(1)).alias("_stops"), km.alias("_metres"))
-    eaten = meals.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_meals"), *[F.count_if(F.col("state") == s).alias(f"_{s}") for s in K.OPEN_STATES]
+    eaten = [F.count("state").alias("_meals"), *[F.count_if(F.col("state") == s).alias(f"_{s}") for s in K.OPEN_STATES]]
+    days = turn.withColumn("_run", F.col("_i") - begun + 1).groupBy(*keys, "zone", F.weekday("date").alias("weekday")).agg(
+        F.count(F.lit(1)).alias("_stops"), km.alias("_metres"), F.size(F.collect_set("category")).alias("_kinds"),
+        F.max("_run").alias("_longest"), F.sum("into").alias("_total"), F.max("_saved").alias("_dearest"), *(eaten if meals is None else []),
     )
-    varied = variety(stops, keys).select(*keys, "categories", "longest_run")
-    facts = days.join(eaten, keys, "left").join(varied, keys, "left").join(marginal_cost(stops, keys), keys, "left")
+    varied = F.col("_stops") >= 3
+    facts = days.withColumns({
+        "categories": F.when(varied, F.col("_kinds")), "longest_run": F.when(varied, F.col("_longest")), "share": _share("_total", "_dearest"),
+    })
+    if meals is not None:
+        facts = facts.join(meals.groupBy(*keys).agg(*eaten), keys, "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c[1:])
     return facts.cube("zone", "weekday").agg(
         F.grouping_id().alias("level"), F.count(F.lit(1)).alias("days"), total("_stops"), F.round(F.sum("_metres") / 1000, 3).alias("km"),

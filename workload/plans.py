@@ -147,8 +147,8 @@ count(categories) AS varied_days, round(avg(categories), 2) AS mean_categories,
 count(share) AS measured_days, round(median(share), 5) AS median_share, max(share) AS worst_share, count(*) FILTER (share >= 0.30) AS dear_days
 FROM dd LEFT JOIN de USING (plan_id, day) LEFT JOIN vd USING (plan_id, day) LEFT JOIN vg USING (plan_id, day) LEFT JOIN m USING (plan_id, day) GROUP BY CUBE (zone, weekday)""")
 def agg_17_metrics(fx):
-    stops = dated_stops(fx)
-    return M.plan_metrics(stops, context.visit_states(stops.where("meal IS NOT NULL")))
+    states = context.visit_states(dated_stops(fx))
+    return M.plan_metrics(states.withColumn("state", F.when(F.col("meal").isNotNull(), F.col("state"))))
 
 
 @query("agg_18", """

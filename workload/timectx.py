@@ -108,10 +108,11 @@ FROM v LEFT JOIN tags_fx t ON t.id = v.place_id LEFT JOIN known k ON k.opening_h
 
 
 def dated_stops(fx):
-    """Finished stops with their zone, date and the opening hours known of the place."""
+    """Finished stops with their zone, date and the hours known of the place, read once per text of the catalogue."""
     days = fx.plans.select("plan_id", F.col("area_id").alias("zone"), "start_date")
     dated = fx.timed.join(days, "plan_id").withColumn("date", R.date_of_day(F.col("start_date"), F.col("day")))
-    return dated.join(fx.tags.select(F.col("id").alias("place_id"), "opening_hours"), "place_id", "left")
+    known = H.with_hours(fx.tags.select(F.col("id").alias("place_id"), "opening_hours"), runs=True).drop("opening_hours")
+    return dated.join(known, "place_id", "left")
 
 
 @query("agg_17", f"""WITH {HOURS}, {MERGED}, {MEAL_STATE} SELECT zone, CAST(isodow(date) - 1 AS INTEGER) AS weekday, state, GROUPING(zone, isodow(date), state) AS level, count(*) AS meals,
