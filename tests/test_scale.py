@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
+from trailgrid.functions import geo as G
 from trailgrid.operators import context as X
 from trailgrid.operators import dedupe as D
 from trailgrid.operators import metrics as M
@@ -154,6 +156,29 @@ def test_matrix_answers_measure_a_pair_once(spark):
     assert plan.count("ASIN(") == 2
 
 
+def test_a_point_meets_only_the_zones_of_its_cell(spark):
+    draw = random.Random(13)
+    points = [(12.9 + draw.random() * 2, -90.4 + draw.random() * 2.6) for _ in range(3_000)]
+    points += [(lat + x, lon + y) for lat, lon, _, _ in K.DETOUR_BY_ZONE for x in (0.0, 0.1) for y in (0.0, -0.1)]
+    points += [(None, -89.0), (13.7, None), (float("nan"), -89.2), (91.0, 400.0)]
+
+    def brute(lat, lon):
+        if lat is None or lon is None or math.isnan(lat):
+            return K.DETOUR_NATIONAL
+        far = lambda a, b: math.sin(math.radians(a - lat) / 2) ** 2 + math.cos(math.radians(lat)) * math.cos(math.radians(a)) * math.sin(math.radians(b - lon) / 2) ** 2
+        near = [(far(a, b), factor) for a, b, km, factor in K.DETOUR_BY_ZONE if far(a, b) <= math.sin(km / (2 * K.EARTH_RADIUS_KM)) ** 2]
+        return min(near)[1] if near else K.DETOUR_NATIONAL
+
+    rows = spark.createDataFrame([(n, *p) for n, p in enumerate(points)], "n int, lat double, lon double")
+    factors = rows.withColumn("f", G.detour_factor("lat", "lon"))
+    assert {r.n: r.f for r in factors.collect()} == {n: brute(*p) for n, p in enumerate(points)}
+    # before, every zone was held against every point
+    south, west, height, width, cells = G._zone_cells()
+    lists = json.loads(cells)
+    assert len(lists) == height * width and max(map(len, lists)) < len(K.DETOUR_BY_ZONE) / 2
+    assert "from_json" not in factors._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _passes(name, spark):
     """How often the plan of a query works out the stops, which are read from lineitem."""
     return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")

@@ -75,7 +75,7 @@ def day_rows(stops: DataFrame, options: DataFrame, trips: DataFrame, meals: Colu
     """One row (plan_id, day, d) per day: its stops, restaurants from near to far, meals owed and limits.
 
     ``stops`` is scheduled and has the columns of ``SHARED``; ``options`` is (plan_id, day, food_id,
-    food_name, flat, flon, near_km) with ``cuisine`` and ``open`` if known. A day starts at its anchor if
+    food_name, flat, flon, near_km) with ``cuisine`` and ``runs`` or ``open`` if known. A day starts at its anchor if
     ``stops`` says ``anchored``.
     """
     opening = F.try_element_at(F.create_map(*[F.lit(v) for m, (o, _) in K.MEAL_WINDOWS.items() for v in (m, o)]), F.col("meal"))
@@ -93,7 +93,8 @@ def day_rows(stops: DataFrame, options: DataFrame, trips: DataFrame, meals: Colu
     table = F.struct(
         F.col("near_km"), F.col("food_id").cast("bigint").alias("food_id"), F.col("food_name"), F.col("flat").alias("lat"), F.col("flon").alias("lon"),
         (T._cuisine_parts("cuisine") if "cuisine" in known else F.lit(None).cast("array<string>")).alias("parts"),
-        (H.merge_runs(F.col("open")) if "open" in known else F.lit(None).cast("array<struct<opens:int,closes:int>>")).alias("runs"),
+        (F.col("runs") if "runs" in known else H.merge_runs(F.col("open")) if "open" in known
+         else F.lit(None).cast("array<struct<opens:int,closes:int>>")).alias("runs"),
     )
     tables = options.groupBy(*DAY).agg(F.sort_array(F.collect_list(table)).alias("options"))
     wishes = with_wishes(trips).select("plan_id", "named", "cuisines")
