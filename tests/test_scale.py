@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ from trailgrid.operators import dedupe as D
 from trailgrid.operators import metrics as M
 from trailgrid.operators import range_join as R
 from trailgrid.operators import search as S
+from trailgrid.operators import sequence as Q
 from trailgrid.operators import travel as V
 from trailgrid.plans import build as B
 from trailgrid.streaming import limits as L
+from workload import fixtures
 from workload.registry import QUERIES
 
 
@@ -214,3 +217,31 @@ def test_compliance_of_no_plans_and_of_plans_without_failures(spark):
     assert measure([(1,), (2,), (3,)], failures, [(1,), (2,)]) == {
         "cases": 3, "met": 2, "met_share": 0.6667, "hard:days": 2, "hard:radius": 1, "soft:include_meals": 1, "stops": 2,
     }
+
+
+def test_stops_of_plans_are_sorted_twice_and_dealt_in_parts_of_a_size(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "STOPS_PER_PART", 1_000)
+    for name in ("win_4", "win_5", "win_7", "plan_6_fast", "agg_11"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        # once to number them, once for the days; before also by kind of meal, and again after plans had joined (these are broadcast here)
+        assert len(re.findall(r"\bSort \[", plan)) == 2
+        # about 6,000 stops; before, as many parts as the session's shuffles have
+        assert len(re.findall(r"Exchange hashpartitioning\(plan_id#\d+L, 7\), REPARTITION_BY_NUM", plan)) == 2
+        assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_stops_and_clock_are_those_of_their_views(spark):
+    fx = fixtures.Fixtures(spark, "/root/testdata/sf0.001")
+    for view in ("stops_fx", "timed_fx"):
+        told, asked = getattr(fx, view), fx.sql(fixtures.VIEWS[view])
+        assert [(f.name, f.dataType) for f in told.schema] == [(f.name, f.dataType) for f in asked.schema]
+        assert told.exceptAll(asked).isEmpty() and asked.exceptAll(told).isEmpty()
+    meals = fx.stops_of_plans("latest").join(fx.plans.select("plan_id", F.col("latest").alias("_latest")), "plan_id")
+    assert meals.where("latest <> _latest").isEmpty()
+    assert meals.select(*fx.meals.columns).exceptAll(fx.meals).isEmpty() and meals.count() == fx.meals.count()
+
+
+def test_first_meals_of_a_day(spark):
+    rows = [(1, 1, 1, "lunch"), (1, 1, 2, None), (1, 1, 3, "dinner"), (1, 1, 4, "lunch"), (1, 1, 5, "dinner"), (1, 2, 1, "lunch"), (2, 1, 9, "breakfast")]
+    kept = Q.first_meals(spark.createDataFrame(rows, "plan_id long, day int, ord int, meal string"))
+    assert {tuple(r) for r in kept.collect()} == {(*r[:3], None if r[:3] in ((1, 1, 4), (1, 1, 5)) else r[3]) for r in rows}

@@ -212,8 +212,7 @@ def win_3(fx):
 
 @query("win_4", "SELECT plan_id, day, ord, arrival, departure FROM timed_fx")
 def win_4(fx):
-    stops = fx.meals.join(fx.plans.select("plan_id", "earliest"), "plan_id")
-    return Q.schedule(stops).select("plan_id", "day", "ord", "arrival", "departure")
+    return Q.schedule(fx.stops_of_plans("earliest")).select("plan_id", "day", "ord", "arrival", "departure")
 
 
 def _share_sql(source: str, passes: int = 3) -> str:
@@ -234,9 +233,8 @@ LEAVE = "CASE WHEN s.category IN ('nature', 'viewpoint') THEN 1095 WHEN s.catego
 
 @query("win_5", f"WITH {_share_sql(f'(SELECT s.*, {LEAVE} AS leave_by FROM timed_fx s JOIN plans_fx t USING (plan_id))')} SELECT plan_id, day, ord, arrival, departure FROM p3")
 def win_5(fx):
-    plans = fx.plans.select("plan_id", "latest")
     leave = R.leaving_limit(F.col("category"), F.lit(K.DUSK_MIN), F.col("latest"))
-    stops = fx.timed.join(plans, "plan_id").withColumn("leave_by", leave)
+    stops = fx.clocked("latest").withColumn("leave_by", leave)
     return Q.share_waits(stops).select("plan_id", "day", "ord", "arrival", "departure")
 
 
