@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrid import constants as K
@@ -10,17 +10,44 @@ from trailgrid.functions.geo import with_estimate
 from trailgrid.operators import sequence as Q
 from trailgrid.plans import build as B
 from trailgrid.plans import requests as R
-from trailgrid.plans import validate as P
 from trailgrid.session import checkpointed
 
 DAY = ["plan_id", "day"]
 CLOCK = ["ord", "place_id", "meal", "arrival", "departure", "leg_km", "leg_min"]
 
 
-def touched_days(edits: DataFrame, places: DataFrame) -> DataFrame:
-    """(plan_id, day) that an edit of a place still in the catalogue names, by its day or where it moves to."""
-    known = edits.join(places.where("is_active").select(F.col("id").alias("place_id")), "place_id", "left_semi")
-    return known.select(*DAY).unionByName(known.where("op = 'move'").select("plan_id", F.col("to_day").alias("day"))).distinct()
+def _asked(known: DataFrame) -> DataFrame:
+    """The edits of each plan as one array; a plan has few."""
+    return known.groupBy("plan_id").agg(F.collect_set(F.struct("day", "op", "place_id", "to_day")).alias("_asked"))
+
+
+def _touched() -> Column:
+    """Whether an edit of the plan names the day, as its own or as the one it moves a place to."""
+    day = F.col("day")
+    return F.coalesce(F.exists("_asked", lambda e: (e["day"] == day) | ((e["op"] == "move") & (e["to_day"] == day))), F.lit(False))
+
+
+def _open_days(stops: DataFrame, known: DataFrame) -> DataFrame:
+    """``validate.apply_edits`` for the touched days alone: a stop meets the edits of its plan once.
+
+    It stays, goes, or arrives at the end of each day that it is moved to.
+    """
+    kinds = dict(stops.dtypes)
+    mine = lambda e: (e["day"] == F.col("day")) & (e["place_id"] == F.col("place_id"))
+    gone = F.coalesce(F.exists("_asked", lambda e: mine(e) & e["op"].isin("remove", "move")), F.lit(False))
+    row = lambda day, ord_, moved: F.struct(
+        day.cast(kinds["day"]).alias("day"), ord_.cast(kinds["ord"]).alias("ord"), F.lit(moved).alias("_moved"))
+    stays = F.filter(F.array(row(F.col("day"), F.col("ord"), False)), lambda _: _touched() & ~gone)
+    moves = F.transform(F.filter("_asked", lambda e: mine(e) & (e["op"] == "move")), lambda e: row(e["to_day"], F.lit(1_000), True))
+    placed = stops.select(*DAY, "ord", "place_id", "meal").join(_asked(known), "plan_id").select(
+        "plan_id", "place_id", "meal", F.explode(F.concat(stays, moves)).alias("_r")
+    ).select("plan_id", "_r.*", "place_id", "meal")
+    same = Window.partitionBy(*DAY, "place_id", "_moved").orderBy(F.col("meal").asc_nulls_last())
+    once = placed.withColumn("_n", F.row_number().over(same)).where("_n = 1 OR NOT _moved").select(*DAY, "ord", "place_id", "meal")
+    added = known.where("op = 'add'").select(
+        "plan_id", "day", F.lit(1_000).alias("ord"), "place_id", F.lit(None).cast("string").alias("meal")).distinct()
+    order = Window.partitionBy(*DAY).orderBy("ord", "place_id")
+    return once.unionByName(added).withColumn("ord", F.row_number().over(order))
 
 
 def rescheduled(stops: DataFrame, edits: DataFrame, places: DataFrame, plans: DataFrame) -> DataFrame:
@@ -28,14 +55,15 @@ def rescheduled(stops: DataFrame, edits: DataFrame, places: DataFrame, plans: Da
 
     ``plans`` is (plan_id, earliest, mode). Touched days lose places that left the catalogue, and are
     renumbered; how long a stop lasts is worked out again, as a stop may have changed its meal.
+    Edits are worked out and checkpointed once, stops are gone through twice: for the days that stay and for the others.
     """
-    touched = touched_days(edits, places)
-    kept = stops.join(touched, DAY, "left_anti").select(*DAY, *CLOCK, F.lit(False).alias("touched"))
+    active = places.where("is_active").select(F.col("id").alias("place_id"))
+    known = checkpointed(edits.join(active, "place_id", "left_semi").select(*DAY, "op", "place_id", "to_day"))
+    kept = stops.join(_asked(known), "plan_id", "left").where(~_touched()).select(*DAY, *CLOCK, F.lit(False).alias("touched"))
     found = places.where("is_active").select(F.col("id").alias("place_id"), "category", "subcategory", "lat", "lon")
-    open_days = P.apply_edits(stops, edits, places).join(touched, DAY, "left_semi")
-    known = open_days.join(found, "place_id").join(plans.select("plan_id", "earliest", "mode"), "plan_id")
+    linked = _open_days(stops, known).join(found, "place_id").join(plans.select("plan_id", "earliest", "mode"), "plan_id")
     order = Window.partitionBy(*DAY).orderBy("ord")
-    linked = known.withColumns({
+    linked = linked.withColumns({
         "_plat": F.lag("lat").over(order), "_plon": F.lag("lon").over(order), "_n": F.row_number().over(order),
         "dwell": F.when(F.col("meal") == "breakfast", K.BREAKFAST_MINUTES).when(F.col("meal").isNotNull(), K.MEAL_MINUTES)
         .otherwise(B.dwell(F.col("category"), F.col("subcategory"))),
