@@ -20,6 +20,8 @@ from trailgrid.operators import search as S
 from trailgrid.operators import sequence as Q
 from trailgrid.operators import travel as V
 from trailgrid.plans import build as B
+from trailgrid.plans import revise
+from trailgrid.plans import validate as P
 from trailgrid.streaming import limits as L
 from workload import fixtures
 from workload.registry import QUERIES
@@ -245,3 +247,27 @@ def test_first_meals_of_a_day(spark):
     rows = [(1, 1, 1, "lunch"), (1, 1, 2, None), (1, 1, 3, "dinner"), (1, 1, 4, "lunch"), (1, 1, 5, "dinner"), (1, 2, 1, "lunch"), (2, 1, 9, "breakfast")]
     kept = Q.first_meals(spark.createDataFrame(rows, "plan_id long, day int, ord int, meal string"))
     assert {tuple(r) for r in kept.collect()} == {(*r[:3], None if r[:3] in ((1, 1, 4), (1, 1, 5)) else r[3]) for r in rows}
+
+
+def test_edited_plans_go_through_their_stops_twice(spark):
+    # the edits are checkpointed; before, fourteen passes over lineitem for stops and edits
+    assert _passes("plan_7_clock", spark) <= 2
+
+
+def test_open_days_are_those_of_all_edits(spark):
+    draw = random.Random(7)
+    stops = [(p, d, o, draw.randint(1, 6), draw.choice([None, "lunch"]))
+             for p in range(30) for d in (1, 2, 3) for o in range(1, draw.randint(1, 4))]
+    edits = [(draw.randint(0, 31), draw.randint(1, 3), draw.choice(["move", "remove", "add"]), draw.randint(1, 7), draw.randint(1, 4)) for _ in range(90)]
+    stops = spark.createDataFrame(stops, "plan_id long, day int, ord int, place_id long, meal string")
+    edits = spark.createDataFrame(edits, "plan_id long, day int, op string, place_id long, to_day int")
+    places = spark.createDataFrame([(i, True) for i in range(1, 8)], "id long, is_active boolean")
+    rows = lambda frame: sorted(map(str, frame.select("plan_id", "day", "ord", "place_id").collect()))
+    touched = edits.select("plan_id", "day").union(edits.where("op = 'move'").select("plan_id", "to_day")).distinct()
+    asked = P.apply_edits(stops, edits, places).join(touched, ["plan_id", "day"], "left_semi")
+    assert rows(revise._open_days(stops, edits)) == rows(asked) != []
+
+
+def test_violations_go_through_their_stops_once(spark):
+    # the stops, the edits and the stops that edits ask for; before, the stops were worked out three times more
+    assert _passes("plan_3", spark) <= 3

@@ -20,56 +20,51 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _failed(frame: DataFrame, checks: list[tuple[str, Column, Column]], day: Column | None = None) -> DataFrame:
-    """(plan_id, day, check, value) of every check that a row fails, all looked at in one pass.
-
-    ``checks`` are (name, condition that fails, value).
-    """
-    marks = [F.when(bad, F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"))) for name, bad, value in checks]
-    day = F.col("day") if day is None else day
-    return frame.select("plan_id", day.cast("int").alias("day"), F.explode(F.array_compact(F.array(*marks))).alias("_f")).select("plan_id", "day", "_f.*")
-
-
 def violations(plans: DataFrame, stops: DataFrame, missing: DataFrame | None = None) -> DataFrame:
     """(plan_id, day, check, value): every hard limit a plan breaks and by how much.
 
     ``plans`` holds earliest, latest, budget, max_stops, avoided, required, required_subs and
-    days_asked; ``missing`` holds requested places no day visits.
+    days_asked; ``missing`` holds requested places no day visits. The stops are added up to days
+    and these to plans, in one pass.
     """
-    visits = Q.visits(stops, ["plan_id", "day"])
-    days = Q.day_totals(stops).join(visits, ["plan_id", "day"], "left").join(plans, "plan_id")
-    seen = stops.join(plans.select("plan_id", "avoided"), "plan_id")
-    visited = stops.groupBy("plan_id").agg(
-        F.countDistinct("day").alias("days_made"), F.collect_set("category").alias("categories"),
-        F.collect_set("subcategory").alias("subcategories"),
+    days = stops.groupBy("plan_id", "day").agg(
+        Q.km_sum("leg_km").alias("travel_km"), F.min_by("arrival", "ord").alias("start"), F.max_by("departure", "ord").alias("stop"),
+        Q.visit_count().alias("visits"), F.collect_list("category").alias("categories"), F.collect_set("subcategory").alias("subcategories"),
     )
-    whole = plans.join(visited, "plan_id", "left")
-    nothing, empty, one = F.lit(None), F.array().cast("array<string>"), F.lit(1)
-    made = F.coalesce("days_made", F.lit(0))
+    facts = F.struct("day", "travel_km", "start", "stop", "visits", "categories", "subcategories")
+    made = days.groupBy("plan_id").agg(F.count("day").alias("_made"), F.collect_list(facts).alias("_days"))
+    empty, made_days = F.array().cast("array<string>"), F.coalesce("_made", F.lit(0))
+
+    def broken(check: str, value: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), value.cast("double").alias("value"))
+
+    def of_day(d: Column) -> Column:
+        limits = F.array_compact(F.array(
+            F.when(d["start"] < F.col("earliest"), broken("earliest_start", F.col("earliest") - d["start"])),
+            F.when(d["stop"] > F.col("latest"), broken("latest_end", d["stop"] - F.col("latest"))),
+            F.when(d["travel_km"] > F.col("budget"), broken("max_travel_km_per_day", F.round(d["travel_km"] - F.col("budget"), 2))),
+            F.when(d["visits"] > F.col("max_stops"), broken("max_stops_per_day", d["visits"] - F.col("max_stops"))),
+        ))
+        avoided = F.filter(d["categories"], lambda c: F.array_contains("avoided", c))
+        failed = F.concat(limits, F.coalesce(F.transform(avoided, lambda _: broken("avoided_categories", F.lit(1))), F.array()))
+        return F.transform(failed, lambda f: F.struct(d["day"].cast("int").alias("day"), f["check"].alias("check"), f["value"].alias("value")))
 
     def lacking(wanted: str, have: str, check: str) -> Column:
-        missed = F.array_except(F.coalesce(wanted, empty), F.coalesce(have, empty))
-        return F.transform(missed, lambda _: F.struct(F.lit(check).alias("check"), F.lit(1.0).alias("value")))
-
-    short = F.array_compact(F.array(F.when(
-        made < F.col("days_asked"), F.struct(F.lit("days").alias("check"), (F.col("days_asked") - made).cast("double").alias("value"))
-    )))
-    of_plan = F.concat(
-        short, lacking("required", "categories", "must_include_categories"), lacking("required_subs", "subcategories", "must_include_subcategories")
+        missed = F.array_except(F.coalesce(wanted, empty), F.coalesce(F.flatten(F.transform("_days", lambda d: d[have])), empty))
+        return F.transform(missed, lambda _: broken(check, F.lit(1)))
+
+    short = F.array_compact(F.array(F.when(made_days < F.col("days_asked"), broken("days", F.col("days_asked") - made_days))))
+    of_plan = F.transform(
+        F.concat(short, lacking("required", "categories", "must_include_categories"), lacking("required_subs", "subcategories", "must_include_subcategories")),
+        lambda f: F.struct(F.lit(None).cast("int").alias("day"), f["check"].alias("check"), f["value"].alias("value")),
     )
-    parts = [
-        _failed(days, [
-            ("earliest_start", F.col("start") < F.col("earliest"), F.col("earliest") - F.col("start")),
-            ("latest_end", F.col("stop") > F.col("latest"), F.col("stop") - F.col("latest")),
-            ("max_travel_km_per_day", F.col("travel_km") > F.col("budget"), F.round(F.col("travel_km") - F.col("budget"), 2)),
-            ("max_stops_per_day", F.col("visits") > F.col("max_stops"), F.col("visits") - F.col("max_stops")),
-        ]),
-        _failed(seen, [("avoided_categories", F.array_contains("avoided", F.col("category")), one)]),
-        whole.select("plan_id", nothing.cast("int").alias("day"), F.explode(of_plan).alias("_f")).select("plan_id", "day", "_f.*"),
-    ]
-    if missing is not None:
-        parts.append(_failed(missing, [("must_include_places", F.lit(True), one)], nothing))
-    return union_all(parts)
+    of_days = F.coalesce(F.flatten(F.transform("_days", of_day)), F.array().cast("array<struct<day:int,check:string,value:double>>"))
+    found = plans.join(made, "plan_id", "left").select("plan_id", F.explode(F.concat(of_plan, of_days)).alias("_f")).select("plan_id", "_f.*")
+    if missing is None:
+        return found
+    return found.unionByName(missing.select(
+        "plan_id", F.lit(None).cast("int").alias("day"), F.lit("must_include_places").alias("check"), F.lit(1.0).alias("value")
+    ))
 
 
 def invented(stops: DataFrame, places: DataFrame) -> DataFrame:

@@ -420,7 +420,7 @@ UNION ALL SELECT plan_id, NULL, 'must_include_subcategories', 1 FROM (SELECT pla
 UNION ALL SELECT DISTINCT plan_id, NULL, 'must_include_places', 1 FROM edits_fx e WHERE op = 'add' AND NOT EXISTS (SELECT 1 FROM timed_fx s WHERE s.plan_id = e.plan_id AND s.place_id = e.place_id)""")
 def plan_3(fx):
     asked = fx.edits.where("op = 'add'").select("plan_id", "place_id").distinct()
-    missing = asked.join(fx.timed.select("plan_id", "place_id").distinct(), ["plan_id", "place_id"], "left_anti").select("plan_id").distinct()
+    missing = asked.join(fx.timed.select("plan_id", "place_id"), ["plan_id", "place_id"], "left_anti").select("plan_id").distinct()
     return P.violations(_limits(fx), _anchored(fx), missing.withColumn("day", F.lit(None)))
 
 
