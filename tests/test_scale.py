@@ -59,6 +59,33 @@ def test_same_site_broadcasts_no_rows_of_the_catalogue(spark):
     assert {tuple(r) for r in pairs.collect()} == {(n + 1, n) for n in range(0, 60, 3)}
 
 
+def test_trips_and_places_stay_off_the_driver(spark, tmp_path):
+    """What a join guesses from small files has a row for each trip or place."""
+    def stored(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    circle = "alat double, alon double, radius_m int, min_quality double"
+    trips = stored("trips", [(n, 13.2, -90.0, 10_000, 0.4, 2, [], [], [], [], [n, 40]) for n in range(1, 6)],
+                   f"plan_id long, {circle}, days int, preferred array<string>, avoided array<string>, required array<string>, required_subs array<string>, requested array<long>")
+    places = stored("places", [(n, f"p{n}", "food" if n % 2 else "nature", "restaurant" if n % 2 else "beach", 13.2, -90.0, 0.5, n != 4) for n in range(1, 9)],
+                    "id long, name string, category string, subcategory string, lat double, lon double, quality double, is_active boolean")
+    tags = stored("tags", [(n, "24/7" if n < 5 else None, "pizza") for n in range(1, 9)], "id long, opening_hours string, cuisine string")
+    candidates = stored("candidates", [(n % 5 + 1, n, f"p{n}", "food", "restaurant", 13.2, -90.0, 0.5, 0, False) for n in range(1, 9)],
+                        "plan_id long, id long, name string, category string, subcategory string, lat double, lon double, quality double, services int, beach_side boolean")
+    scored = B.score(candidates, trips)
+    tables = B.tables_of(candidates, tags)
+    frames = {"asked": B.asked_places(trips, places), "scored": scored, "tables": tables, "seeds": B.seeds(scored.withColumn("asked", F.lit(None).cast("int")), trips)}
+    for name, frame in frames.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        # what may be broadcast: the distinct texts of opening hours
+        rows = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "opening_hours" not in line]
+        assert not rows and "SortMergeJoin" in plan, name
+    assert {(r.plan_id, r.id) for r in frames["asked"].collect()} == {(n, n) for n in (1, 2, 3, 5)}
+    assert {r.id: bool(r.runs) for r in tables.collect()} == {n: n < 5 for n in range(1, 9)}
+    assert tables.columns == ["id", "plan_id", "name", "lat", "lon", "cuisine", "runs"]
+
+
 def test_trailing_count_steps_once_per_row(spark):
     times = [0, 0, 5, 9_999_999, 10_000_000, 10_000_004, 10_000_005, 19_999_999, 20_000_000, 45_000_000, -1, -3, None, None]
     rows = spark.createDataFrame([(k, t) for k in ("a", None) for t in times], "key string, _at long")

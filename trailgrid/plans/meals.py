@@ -98,7 +98,7 @@ def day_rows(stops: DataFrame, options: DataFrame, trips: DataFrame, meals: Colu
     )
     tables = options.groupBy(*DAY).agg(F.sort_array(F.collect_list(table)).alias("options"))
     wishes = with_wishes(trips).select("plan_id", "named", "cuisines")
-    whole = days.join(tables, DAY, "left").join(wishes, "plan_id").withColumns({
+    whole = days.join(tables, DAY, "left").join(wishes.hint("merge"), "plan_id").withColumns({
         "options": F.coalesce("options", F.expr("array()")),
         "midnight": F.weekday("date") * K.DAY_MIN,
     })
