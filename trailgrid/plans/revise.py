@@ -84,11 +84,11 @@ def swap_days(trips: DataFrame, stops: DataFrame, swaps: DataFrame, places: Data
     every round for all trips at once.
     """
     columns = stops.columns
-    turns = checkpointed(swaps.join(stops.select(*DAY, "id"), [*DAY, "id"], "left_semi").withColumn(
+    turns = checkpointed(swaps.join(stops.select(*DAY, "id").hint("merge"), [*DAY, "id"], "left_semi").withColumn(
         "_turn", F.dense_rank().over(Window.partitionBy("plan_id").orderBy("day"))
     ))
     for turn in range(1, (turns.agg(F.max("_turn")).first()[0] or 0) + 1):
-        target = turns.where(F.col("_turn") == turn).select(*DAY).distinct()
+        target = turns.where(F.col("_turn") == turn).select(*DAY).distinct().hint("merge")
         frozen = stops.join(target, DAY, "left_anti")
         single = trips.join(target, "plan_id").withColumns({
             "start_date": R.date_of_day(F.col("start_date"), F.col("day")), "days": F.lit(1),
